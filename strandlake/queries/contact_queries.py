@@ -9,7 +9,6 @@ from strandlake.operators import annotate, contacts, persistence, summaries
 from strandlake.queries.base import Registry
 
 R = Registry()
-PHLA, TCR = F.col("chain_id").isin("A", "B", "C"), F.col("chain_id").isin("D", "E")
 
 # least heavy-atom distance of each residue pair and frame
 MIN_SQL = """SELECT p.traj_id, p.frame, p.chain_id chain_id_1, p.resid resid_1, q.chain_id chain_id_2, q.resid resid_2,
@@ -45,8 +44,16 @@ SUMMARY_COLS = "mean_occupancy median_occupancy mean_max_consecutive_fraction st
 ALL = "placed residues chains regions"
 
 
+def phla():
+    return F.col("chain_id").isin("A", "B", "C")
+
+
+def tcr():
+    return F.col("chain_id").isin("D", "E")
+
+
 def contact_pairs(spark, d):
-    return contacts.contact_frequencies(ad.placed_atoms(spark, d), PHLA, TCR)
+    return contacts.contact_frequencies(ad.placed_atoms(spark, d), phla(), tcr())
 
 
 def semantics(spark):
@@ -74,7 +81,7 @@ def _(spark, d):
   FROM placed p JOIN placed q USING (traj_id, frame) WHERE p.chain_id IN ('A','B','C') AND q.chain_id IN ('D','E') AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) <= 4.0""", "distance")
 def _(spark, d):
     p = ad.placed_atoms(spark, d).select("traj_id", "frame", "chain_id", "atom_id", "x", "y", "z")
-    return contacts.capped_pairs(p.where(PHLA), p.where(TCR), 4.0).select("traj_id", "frame", "atom_id_1", "atom_id_2", "distance")
+    return contacts.capped_pairs(p.where(phla()), p.where(tcr()), 4.0).select("traj_id", "frame", "atom_id_1", "atom_id_2", "distance")
 
 
 @R.add("c01_residue_contact_frequency", "placed", CONTACT_SQL + " SELECT * FROM pairs", "contact_frequency min_distance")
@@ -86,14 +93,14 @@ def _(spark, d):
 ev AS (SELECT traj_id, frame, chain_id_1, resid_1, chain_id_2, resid_2, min(d) d FROM (SELECT p.traj_id, p.frame, p.chain_id chain_id_1, p.resid resid_1, q.chain_id chain_id_2, q.resid resid_2, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) d
  FROM ab p JOIN ab q USING (traj_id, frame) WHERE p.chain_id IN ('A','B','C') AND q.chain_id IN ('D','E') AND (p.acid AND q.base OR p.base AND q.acid)) WHERE d <= 6.0 GROUP BY ALL)""" + PAIRS_SQL + " SELECT * FROM pairs", "contact_frequency min_distance")
 def _(spark, d):
-    return contacts.salt_bridges(ad.placed_atoms(spark, d), PHLA, TCR, 6.0).drop("frame_segments", "interaction_family")
+    return contacts.salt_bridges(ad.placed_atoms(spark, d), phla(), tcr(), 6.0).drop("frame_segments", "interaction_family")
 
 
 @R.add("c04_hydrophobic_contacts", "placed", """WITH h AS (SELECT * FROM placed WHERE resname IN ('PHE','LEU','TYR') AND name NOT IN ('N','CA','C','O')),
 ev AS (SELECT traj_id, frame, chain_id_1, resid_1, chain_id_2, resid_2, min(d) d FROM (SELECT p.traj_id, p.frame, p.chain_id chain_id_1, p.resid resid_1, q.chain_id chain_id_2, q.resid resid_2, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) d
  FROM h p JOIN h q USING (traj_id, frame) WHERE p.chain_id IN ('A','B','C') AND q.chain_id IN ('D','E')) WHERE d <= 4.5 GROUP BY ALL)""" + PAIRS_SQL + " SELECT * FROM pairs", "contact_frequency min_distance")
 def _(spark, d):
-    return contacts.hydrophobic_contacts(ad.placed_atoms(spark, d), PHLA, TCR).drop("frame_segments", "interaction_family")
+    return contacts.hydrophobic_contacts(ad.placed_atoms(spark, d), phla(), tcr()).drop("frame_segments", "interaction_family")
 
 
 @R.add("c02_hydrogen_bonds", "placed", """WITH s AS (SELECT *, CASE WHEN chain_id IN ('A','B','C') THEN 1 ELSE 2 END side FROM placed),
@@ -104,7 +111,7 @@ ev AS (SELECT dh.traj_id, dh.frame, dh.chain_id chain_id_1, dh.resid resid_1, a.
 SELECT traj_id, chain_id_1, resid_1, chain_id_2, resid_2, count(DISTINCT frame) contact_frames, count(*) n_events, min(distance) min_distance, avg(angle) mean_angle, any_value(total_frames) total_frames, count(DISTINCT frame)/any_value(total_frames) contact_frequency
 FROM ev JOIN (SELECT traj_id, count(DISTINCT frame) total_frames FROM placed GROUP BY 1) USING (traj_id) WHERE distance <= 8.0 AND angle >= 90 GROUP BY ALL""", "min_distance mean_angle contact_frequency")
 def _(spark, d):
-    return contacts.hydrogen_bonds(ad.placed_atoms(spark, d), PHLA, TCR, 6.0, 8.0, 90.0)
+    return contacts.hydrogen_bonds(ad.placed_atoms(spark, d), phla(), tcr(), 6.0, 8.0, 90.0)
 
 
 RRCS_SQL = """WITH hv AS (SELECT * FROM placed WHERE element <> 'H'), fr AS (SELECT DISTINCT traj_id, frame FROM placed),
@@ -176,14 +183,14 @@ def _(spark, d):
 @R.add("c15_contact_number", "placed", """SELECT traj_id, frame, count(*) FILTER (WHERE sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) < 4.5) contact_number
  FROM placed p JOIN placed q USING (traj_id, frame) WHERE p.chain_id='C' AND q.chain_id IN ('D','E') GROUP BY ALL""")
 def _(spark, d):
-    return contacts.contact_number(ad.placed_atoms(spark, d), F.col("chain_id") == "C", TCR)
+    return contacts.contact_number(ad.placed_atoms(spark, d), F.col("chain_id") == "C", tcr())
 
 
 @R.add("c16_native_contacts", "placed", """WITH mn AS (SELECT p.traj_id, p.frame, p.chain_id c1, p.resid r1, q.chain_id c2, q.resid r2, min(sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))) d FROM placed p JOIN placed q USING (traj_id, frame) WHERE p.chain_id IN ('A','B','C') AND q.chain_id IN ('D','E') GROUP BY ALL),
 nt AS (SELECT traj_id, c1, r1, c2, r2, d d0, count(*) OVER (PARTITION BY traj_id) n_native FROM mn WHERE frame = 0 AND d < 4.5)
 SELECT traj_id, frame, n_native, avg(CASE WHEN d < 4.5 THEN 1.0 ELSE 0.0 END) fnat, avg(1/(1+exp(5.0*(d-1.8*d0)))) q FROM mn JOIN nt USING (traj_id, c1, r1, c2, r2) WHERE n_native >= 3 GROUP BY ALL""", "fnat q")
 def _(spark, d):
-    return contacts.native_contacts(ad.placed_atoms(spark, d), PHLA, TCR)
+    return contacts.native_contacts(ad.placed_atoms(spark, d), phla(), tcr())
 
 
 @R.add("c17_peptide_hla_occupancy", "placed", "WITH mn AS (SELECT p.traj_id, p.frame, p.resid r1, q.resid r2, min(sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))) d FROM placed p JOIN placed q USING (traj_id, frame) WHERE p.chain_id='C' AND q.chain_id='A' AND p.name NOT LIKE 'H%' AND q.name NOT LIKE 'H%' GROUP BY ALL), t AS (SELECT traj_id, count(DISTINCT frame) n FROM placed GROUP BY 1), f AS (SELECT traj_id, r1, r2, count(*) / any_value(n) f FROM mn JOIN t USING (traj_id) WHERE d < 4.5 GROUP BY ALL) SELECT traj_id, r1 resid, max(f) occupancy FROM f GROUP BY ALL", "occupancy")
