@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows with long texts or arrays: a batch is bounded in bytes, so that neither side of a worker's pipe holds much at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started from."""
+    """Let Python workers import this package wherever the driver was started from, and bound Arrow batches unless the
+    session has settings of its own."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
