@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.tables import give_back
+
 #: Bytes of text in a block, and keys of a range.
 BLOCK_BYTES = 6_000_000
 RANGE_KEYS = 3_000_000
@@ -56,6 +58,7 @@ def with_totals(
     ranges = max(1, round(size / 6 / RANGE_KEYS))  # a word and its gap are some six bytes
 
     def send(t: pa.Table) -> pa.Table:
+        give_back()
         keys, counts = keys_of(t)
         # ranges of equal width: keys are hashes
         number = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
@@ -81,12 +84,15 @@ def with_totals(
         out = np.empty(len(flat), np.uint8)
         out[order] = np.repeat(total, np.diff(np.append(first, len(flat))))
         ends = np.cumsum([len(k) for k in keys])
+        del keys, flat, order, ordered, counts
+        give_back()
         return pa.table({"range": t["range"], "block": t["block"], "totals": pa.array([x.tobytes() for x in np.split(out, ends[:-1])], pa.binary())})
 
     def meet(t: pa.Table, totals: pa.Table) -> pa.Table:
         if not t.num_rows:
             return empty
         keys, _ = keys_of(t)
+        give_back()
         parts = dict(zip(totals["range"].to_pylist(), totals["totals"].to_pylist()))
         return answer(t, keys, np.frombuffer(b"".join(parts[r] for r in sorted(parts)), np.uint8))
 

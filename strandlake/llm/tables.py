@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,16 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one task has needed would stay with its process."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of the text column, or one row."""
     for b in batches:
@@ -37,6 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000)
             end = max(start + 1, int(size.searchsorted(base + most, side="right")))
             yield b.slice(start, end - start)
             start = end
+    give_back()
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
