@@ -13,9 +13,9 @@ def stability_label(occupancy: Column, longest: Column, segments: Column) -> Col
 
 
 def rotamer_label(angle: Column) -> Column:
-    """p (60), t (180) or m (-60) by the 120-degree sector of an angle wrapped to [-180, 180)."""
+    """g+, g- or t by the 120-degree sector of an angle wrapped to [-180, 180)."""
     wrapped = F.pmod(angle + 180.0, F.lit(360.0)) - 180.0
-    return F.when((wrapped >= 0) & (wrapped < 120), "g+").when((wrapped >= -120) & (wrapped < 0), "g-").otherwise("trans")
+    return F.when((wrapped >= 0) & (wrapped < 120), "g+").when((wrapped >= -120) & (wrapped < 0), "g-").otherwise("t")
 
 
 def effect_size_word(d: Column) -> Column:
@@ -27,8 +27,15 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
-def burial_class(relative: Column) -> Column:
-    return F.when(relative < 0.2, "buried").when(relative < 0.5, "partial").otherwise("exposed")
+def burial_state(delta: Column, relative: Column, unbound: Column, core: float = 10.0, least: float = 10.0, rim: float = 0.3) -> Column:
+    """unknown, core (little surface unbound), exposed (little lost), interface_core or interface_rim."""
+    return (
+        F.when(delta.isNull() | relative.isNull(), "unknown")
+        .when(unbound < core, "core")
+        .when(delta < least, "exposed")
+        .when(relative < rim, "interface_core")
+        .otherwise("interface_rim")
+    )
 
 
 def acute_degrees(cosine: Column) -> Column:

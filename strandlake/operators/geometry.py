@@ -175,3 +175,12 @@ def distance_trim(points: DataFrame, peptide: Column, cutoff: float) -> DataFram
     mid = pep.select(*FRAME, *(F.col(a).alias(f"m{a}") for a in "xyz"))
     d = F.sqrt(sum(((F.col(a) - F.col(f"m{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
     return res.join(mid, list(FRAME)).withColumn("distance", d).select(*FRAME, "chain_id", "resid", "distance", (F.col("distance") <= cutoff).alias("kept"))
+
+
+def loop_geometry(points: DataFrame, loop: Column, peptide: Column) -> DataFrame:
+    """Span between a loop's first and last atom, and the distance of its tip (place n // 2) to the peptide's centre, per frame."""
+    arr = F.array_sort(F.collect_list(F.when(loop, F.struct("atom_id", "x", "y", "z"))))
+    g = points.where(loop | peptide).groupBy(*FRAME).agg(arr.alias("l"), *(F.avg(F.when(peptide, F.col(a))).alias(f"p{a}") for a in "xyz"))
+    first, last, tip = F.element_at("l", 1), F.element_at("l", -1), F.col("l")[F.floor(F.size("l") / 2).cast("int")]
+    gap = lambda u, v: F.sqrt(sum(((u(a) - v(a)) ** 2 for a in "xyz"), F.lit(0.0)))
+    return g.select(*FRAME, gap(lambda a: last[a], lambda a: first[a]).alias("span"), gap(lambda a: tip[a], lambda a: F.col(f"p{a}")).alias("tip_distance"))

@@ -195,9 +195,9 @@ def rotamer_entropy(angles: DataFrame, keys: tuple[str, ...], angle: str, joint:
 
 def secondary_structure(codes: DataFrame, keys: tuple[str, ...] = ("traj_id", "resid"), code: str = "code") -> DataFrame:
     """Shares of helix (H, G, I), sheet (E, B) and the rest; the dominant one (ties: helix, sheet, loop) and its share."""
-    shares = codes.groupBy(*keys).agg(
-        F.avg(F.col(code).isin("H", "G", "I").cast("double")).alias("helix"), F.avg(F.col(code).isin("E", "B").cast("double")).alias("sheet")
-    ).withColumn("loop", 1 - F.col("helix") - F.col("sheet"))
+    helix, sheet = F.col(code).isin("H", "G", "I"), F.col(code).isin("E", "B")
+    share = lambda c: F.avg(c.cast("double"))
+    shares = codes.groupBy(*keys).agg(share(helix).alias("helix"), share(sheet).alias("sheet"), share(~helix & ~sheet).alias("loop"))
     top = F.greatest("helix", "sheet", "loop")
     return shares.withColumns({"dominant": F.when(F.col("helix") == top, "helix").when(F.col("sheet") == top, "sheet").otherwise("loop"), "stability": top})
 
@@ -208,6 +208,13 @@ def buried_area(areas: DataFrame, a: str = "sasa_a", b: str = "sasa_b", ab: str
     return areas.withColumns({"bsa": bsa, "interface_ratio": F.coalesce(F.try_divide(2 * bsa, F.col(a) + F.col(b)), F.lit(0.0))})
 
 
+def reconcile_area(df: DataFrame, half: str, other: str, side: str, gap: float = 20.0, asymmetry: float = 12.0) -> DataFrame:
+    """Percent gaps between two area estimates and between twice one side and the whole, and whether both are within limits."""
+    pct = lambda a, b: 100 * F.abs(a - b) / F.greatest(b, F.lit(1e-6))
+    out = df.withColumns({"gap_pct": pct(F.col(half), F.col(other)), "asymmetry_pct": pct(2 * F.col(side), F.col(half))})
+    return out.withColumn("consistent", (F.col("gap_pct") <= gap) & (F.col("asymmetry_pct") <= asymmetry))
+
+
 def describe(df: DataFrame, value: str, *keys: str, std: str = "samp") -> DataFrame:
     """mean, std, min, max, median and n of a value per group; ``std``: samp or pop."""
     f = F.stddev_samp if std == "samp" else F.stddev_pop
@@ -231,12 +238,24 @@ def conservation(msa: DataFrame, n_seqs: DataFrame, keys: tuple[str, ...] = ("se
     return ent.join(n_seqs, keys[0]).select(*keys, "n_observed", F.when(F.col("n_observed") >= least * F.col("n"), score).alias("conservation"))
 
 
-def validation(facts: DataFrame) -> DataFrame:
-    """Issues, status and score of structure files from their facts (n_atoms, n_chains, n_altloc, n_missing, has_hydrogen)."""
-    issue = lambda cond, text: F.when(cond, F.lit(text))
-    issues = F.array_compact(F.array(issue(F.col("n_atoms") == 0, "no atoms"), issue(F.col("n_chains") < 2, "few chains"), issue(F.col("n_altloc") > 0, "alternate locations"), issue(F.col("n_missing") > 0, "missing residues")))
-    n = F.size(issues)
-    return facts.withColumns({"issues": issues, "status": F.when(n == 0, "valid").when(n <= 2, "warning").otherwise("invalid"), "score": F.greatest(F.lit(0), 100 - 25 * n)})
+def validation(facts: DataFrame, most_missing: float = 0.1) -> DataFrame:
+    """Issues, status and score (0 to 100) of structures from facts (chains_normal, n_chains, coordinates_ok, has_protein, completeness).
+
+    Score: 30 for the chain count (15 with any chain), 25 for coordinates, 25 for protein, 20 by completeness. No issue: valid, one: acceptable."""
+    issue = lambda cond, text: F.when(~F.coalesce(cond, F.lit(False)), F.lit(text))
+    normal, coords, protein = F.col("chains_normal"), F.col("coordinates_ok"), F.col("has_protein")
+    issues = F.array_compact(
+        F.array(
+            issue(normal, "unusual_chain_count"),
+            issue(coords, "unreasonable_coordinates"),
+            issue(protein, "no_protein_found"),
+            issue(F.col("completeness") >= 1 - most_missing, "significant_missing_residues"),
+        )
+    )
+    score = F.when(normal, 30.0).when(F.col("n_chains") > 0, 15.0).otherwise(0.0) + F.when(coords, 25.0).otherwise(0.0) + F.when(protein, 25.0).otherwise(0.0) + 20 * F.col("completeness")
+    out = facts.withColumn("issues", issues)
+    n = F.size("issues")
+    return out.withColumns({"status": F.when(n == 0, "valid").when(n == 1, "acceptable").otherwise("problematic"), "score": F.least(F.lit(100.0), score)})
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], *keys: str, rank: str = "rank") -> DataFrame:
