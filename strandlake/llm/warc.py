@@ -52,7 +52,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit(MAGIC + "WARC-Type: "),
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"\r\nWARC-Record-ID: <{NAME}"),
-        F.col("id").cast("string"),
+        F.coalesce(F.col("id").cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
