@@ -68,13 +68,14 @@ def labelled(spark, d):
     return summaries.pair_occupancy(annotated(spark, d))
 
 
-@R.add("j01_residue_semantics", "residues chains regions", """SELECT r.chain_id, r.resid, role component, CASE WHEN role LIKE 'TCR%' THEN 'tcr' ELSE 'phla' END complex_side, CASE WHEN role NOT LIKE 'TCR%' THEN role END phla_region,
+@R.add("j01_residue_semantics", "placed chains regions", """SELECT r.chain_id, r.resid, role component, CASE WHEN role LIKE 'TCR%' THEN 'tcr' ELSE 'phla' END complex_side, CASE WHEN role NOT LIKE 'TCR%' THEN role END phla_region,
   CASE WHEN role LIKE 'TCR%' THEN NULL WHEN role='HLA_alpha' THEN CASE WHEN resid BETWEEN 50 AND 86 OR resid BETWEEN 140 AND 176 THEN 'groove' ELSE 'non_groove' END ELSE role END mhc_region,
   CASE WHEN role LIKE 'TCR%' THEN NULL WHEN role='HLA_alpha' THEN CASE WHEN resid BETWEEN 50 AND 86 THEN 'alpha1_helix' WHEN resid BETWEEN 140 AND 176 THEN 'alpha2_helix' ELSE 'non_groove' END ELSE role END mhc_subregion,
   CASE WHEN role LIKE 'TCR%' THEN replace(role,'TCR_','') END tcr_chain, CASE WHEN role LIKE 'TCR%' THEN coalesce(region,'non_cdr') END tcr_region
-  FROM residues r JOIN chains c ON r.chain_id = c.chain_id LEFT JOIN regions g ON r.chain_id = g.chain_id AND r.resid BETWEEN g.resid_start AND g.resid_end""")
+  FROM (SELECT DISTINCT chain_id, resid FROM placed) r JOIN chains c ON r.chain_id = c.chain_id LEFT JOIN regions g ON r.chain_id = g.chain_id AND r.resid BETWEEN g.resid_start AND g.resid_end""")
 def _(spark, d):
-    return semantics(spark)
+    res = ad.placed_atoms(spark, d).select("chain_id", "resid").distinct()
+    return annotate.residue_semantics(res, ad.chains(spark), ad.regions(spark))
 
 
 @R.add("j04_capped_distance_join", "placed", """SELECT p.traj_id, p.frame, p.atom_id atom_id_1, q.atom_id atom_id_2, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) distance

@@ -22,9 +22,9 @@ def at(chain):
     return F.col("chain_id") == chain
 
 
-@R.add("f01_atom_selection", "atoms", "SELECT atom_id, chain_id, resid, name FROM atoms WHERE chain_id IN ('A','C') AND name NOT LIKE 'H%'")
+@R.add("f01_atom_selection", "placed", "SELECT traj_id, frame, atom_id, chain_id, resid, name FROM placed WHERE chain_id IN ('A','C') AND name NOT LIKE 'H%'")
 def _(spark, d):
-    return annotate.select_atoms(ad.atoms(spark), chains=["A", "C"], heavy_only=True).select("atom_id", "chain_id", "resid", "name")
+    return annotate.select_atoms(points(spark, d), chains=["A", "C"], heavy_only=True).select("traj_id", "frame", "atom_id", "chain_id", "resid", "name")
 
 
 @R.add("f02_atom_criteria", "placed", "SELECT traj_id, frame, atom_id FROM placed WHERE element = 'O' AND resname IN ('ASP','GLU') AND bfactor >= 15")

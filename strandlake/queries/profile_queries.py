@@ -8,6 +8,7 @@ from strandlake import adapters as ad
 from strandlake.functions import labels
 from strandlake.operators import profiles, replicas
 from strandlake.queries import contact_queries as cq
+from strandlake.queries import series_queries as sq
 from strandlake.queries.base import Registry
 
 R = Registry()
@@ -109,3 +110,27 @@ def _(spark, d):
 def _(spark, d):
     t = ad.contacts(spark, d).groupBy("traj_id", "partner_id").agg(F.avg("occupancy").alias("o"), F.count("*").alias("n"))
     return t.groupBy("traj_id", labels.stability_label(F.col("o"), F.col("o") / 2, F.col("n")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@R.add("p01_interface_profile", cq.ALL, cq.CONTACT_SQL + cq.CLASS_SQL + " SELECT traj_id, interaction_class, stability_label, count(*) n, avg(contact_frequency) mean_occupancy FROM lab GROUP BY ALL", "mean_occupancy")
+def _(spark, d):
+    from strandlake.plans.workloads import interface_profile
+
+    p = interface_profile(ad.placed_atoms(spark, d), cq.phla(), cq.tcr(), ad.chains(spark), ad.regions(spark))
+    return p.groupBy("traj_id", "interaction_class", "stability_label").agg(F.count("*").alias("n"), F.avg("contact_frequency").alias("mean_occupancy"))
+
+
+@R.add("p02_library_statistics", "replicas", "WITH m AS (SELECT complex_id, avg(crossing) crossing, arg_max(grp, (run = 3, crossing, -run)) grp FROM replicas GROUP BY 1) SELECT grp, count(crossing) n, avg(crossing) mean, quantile_cont(crossing, 0.25) p25, quantile_cont(crossing, 0.5) median, quantile_cont(crossing, 0.75) p75, min(crossing) AS \"min\", max(crossing) AS \"max\" FROM m GROUP BY 1", "mean p25 median p75 min max")
+def _(spark, d):
+    from strandlake.plans.workloads import library_statistics
+
+    return library_statistics(ad.replicas(spark, d), "crossing", ["grp", "host"], "grp", 50000.0)[1]
+
+
+@R.add("p03_state_landscape", "frames", "WITH " + sq.GRID + """, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY n DESC, ix, iy) k FROM hs) WHERE k <= 3), c AS (SELECT traj_id, CAST(k AS INTEGER) AS state, xl + (ix+0.5)*(xh-xl)/tp.nx cx, yl + (iy+0.5)*(yh-yl)/tp.ny cy FROM tp JOIN nb USING (traj_id)),
+a AS (SELECT traj_id, frame, arg_min(state, ((x-cx)*(x-cx)+(y-cy)*(y-cy), state)) AS state FROM cv JOIN c USING (traj_id) GROUP BY ALL) SELECT traj_id, state, count(*) n FROM a GROUP BY ALL""")
+def _(spark, d):
+    from strandlake.plans.workloads import state_landscape
+
+    states = state_landscape(sq.cvs(spark, d), "cv1", "cv2")[1]
+    return states.groupBy("traj_id", "state").agg(F.count("*").alias("n"))
