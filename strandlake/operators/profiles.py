@@ -127,3 +127,27 @@ def two_samples(df: DataFrame, value: str, is_first: Column, *keys: str) -> Data
         ((F.col("mean1") - F.col("mean2")) / pooled).alias("cohen_d"),
         (F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"),
     )
+
+
+def pair_group(role_1: Column, role_2: Column) -> Column:
+    """anchor (peptide and heavy chain), specificity (peptide and receptor), restriction (heavy chain and receptor), else null."""
+    key = F.array_join(F.array_sort(F.array(role_1, role_2)), "+")
+    return F.when(key == "mhc+peptide", "anchor").when(key == "peptide+tcr", "specificity").when(key == "mhc+tcr", "restriction")
+
+
+def grouped_pairs(pairs: DataFrame, roles: DataFrame, most: int = 12, key: str = "traj_id") -> DataFrame:
+    """Pairs between different roles by group, the ``most`` of largest occupancy per trajectory and family, with the longest run's share.
+
+    roles: (chain_id, role), a row per chain."""
+    j = pairs
+    for t in ("1", "2"):
+        j = j.join(F.broadcast(roles.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("role").alias(f"role_{t}"))), f"chain_id_{t}", "left")
+    j = j.withColumn("group", pair_group(F.col("role_1"), F.col("role_2"))).where("group IS NOT NULL AND contact_frequency > 0")
+    longest = F.try_divide(F.col("max_consecutive_frames").cast("double"), F.col("total_frames").cast("double"))
+    order = W.partitionBy(key, "interaction_family").orderBy(F.round("contact_frequency", 9).desc(), "chain_id_1", "resid_1", "chain_id_2", "resid_2")
+    return j.withColumns({"longest_frac": longest, "rank": F.row_number().over(order)}).where(F.col("rank") <= most)
+
+
+def manifest_row(meta: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """One flat row per record: each field is the first available value of its paths into the nested record."""
+    return meta.select(*(F.coalesce(*(F.col(p) for p in paths)).alias(name) for name, paths in fields.items()))

@@ -134,3 +134,17 @@ def _(spark, d):
 
     states = state_landscape(sq.cvs(spark, d), "cv1", "cv2")[1]
     return states.groupBy("traj_id", "state").agg(F.count("*").alias("n"))
+
+
+@R.add("a16_grouped_pairs", "placed", cq.CONTACT_SQL + """, g AS (SELECT *, CASE WHEN chain_id_1='C' THEN 'specificity' WHEN chain_id_1='A' THEN 'restriction' END AS "group" FROM pairs), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY round(contact_frequency,9) DESC, chain_id_1, resid_1, chain_id_2, resid_2) AS INTEGER) AS "rank" FROM g WHERE "group" IS NOT NULL)
+SELECT traj_id, "group", chain_id_1, resid_1, chain_id_2, resid_2, contact_frequency, max_consecutive_frames/total_frames longest_frac, n_segments, "rank" FROM k WHERE "rank" <= 12""", "contact_frequency longest_frac")
+def _(spark, d):
+    role = F.when(F.col("role").startswith("TCR"), "tcr").when(F.col("role") == "HLA_alpha", "mhc").when(F.col("role") == "beta2m", "b2m").otherwise(F.col("role"))
+    g = profiles.grouped_pairs(cq.contact_pairs(spark, d), ad.chains(spark).withColumn("role", role))
+    return g.select("traj_id", "group", "chain_id_1", "resid_1", "chain_id_2", "resid_2", "contact_frequency", "longest_frac", "n_segments", "rank")
+
+
+@R.add("f06_manifest_row", "replicas", "SELECT complex_id, coalesce(CASE WHEN reversed_polarity THEN label END, grp) title, coalesce(host, locus) AS source FROM replicas")
+def _(spark, d):
+    meta = ad.replicas(spark, d).select("complex_id", F.struct(F.when(F.col("reversed_polarity"), F.col("label")).alias("title"), F.struct("host").alias("origin")).alias("rcsb"), F.struct("grp", "locus").alias("manual"))
+    return profiles.manifest_row(meta, {"complex_id": ["complex_id"], "title": ["rcsb.title", "manual.grp"], "source": ["rcsb.origin.host", "manual.locus"]})
