@@ -16,8 +16,8 @@ record; rows behind such a break are not returned. Identifiers are expected to b
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from strandlake.session import materialize
 
@@ -68,12 +68,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def _cuts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run of bytes between two magics: file, place in the scan, bytes, and what its header says."""
+    """One row per run of bytes between two magics: file (a hash of its path), place in the scan, bytes, and what its header says."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     head = F.substring_index("value", "\r\n\r\n", 1)
     field = lambda name, what: F.regexp_extract(F.col("head"), f"(?:^|\\r\\n){name}: {what}(?:\\r\\n|$)", 1)
     return (
-        raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("block"), "value")
+        raw.select(F.xxhash64("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("block"), "value")
         .withColumns({"bytes": F.octet_length("value").cast("long"), "head": head})
         .withColumns(
             {
@@ -136,20 +136,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     owned = materialize(owned, "owned")
     records = owned.where("on_chain")
     intact = records.where("whole").select("name", "type", "refers", F.col("length").alias("bytes"), "digest")
-    pieces = owned.where("NOT owner.whole").select("file", "place", "at", F.col("owner.at").alias("owner"))
-    body = (
-        cuts.select("file", "place", "value")
-        .join(pieces, ["file", "place"])
-        .groupBy("file", "owner")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
-        .select("file", F.col("owner").alias("at"), F.array_join("parts.value", MAGIC).cast("binary").alias("all"))
-    )
-    cut = (
-        records.where("NOT whole")
-        .join(body, ["file", "at"])
-        .select("name", "type", "refers", F.col("length").alias("bytes"), base32_sha1(F.expr("substring(all, cast(skip + 1 as int), cast(length as int))")).alias("digest"))
-    )
-    found = materialize(intact.union(cut), "records")
+    # few payloads hold the magic: only if there are any is the archive read again, for their pieces alone
+    pieces = materialize(owned.where("NOT owner.whole").select("file", "place", "at", F.col("owner.at").alias("owner")), "pieces")
+    if not pieces.isEmpty():
+        body = (
+            cuts.select("file", "place", "value")
+            .join(pieces, ["file", "place"])
+            .groupBy("file", "owner")
+            .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+            .select("file", F.col("owner").alias("at"), F.array_join("parts.value", MAGIC).cast("binary").alias("all"))
+        )
+        whole = base32_sha1(F.expr("substring(all, cast(skip + 1 as int), cast(length as int))"))
+        cut = records.where("NOT whole").join(body, ["file", "at"]).where(F.octet_length("all") >= F.col("skip") + F.col("length"))
+        intact = intact.union(cut.select("name", "type", "refers", F.col("length").alias("bytes"), whole.alias("digest")))
+    found = materialize(intact, "records")
     target = found.where("type <> 'revisit'").select(F.col("name").alias("refers"), F.col("bytes").alias("t_bytes"), F.col("digest").alias("t_digest"))
     # one response may be referred to by a third of all records: only the response's few columns are looked up
     return found.join(target, "refers", "left").select(
