@@ -9,6 +9,7 @@ import numpy as np
 # Odd 64-bit multipliers for the byte and the word polynomial, and a window finaliser's three.
 BYTE_BASE = np.uint64(0x9E6C63D0876A9A35)
 WORD_BASE = np.uint64(0xD1342543DE82EF95)
+WORD_INVERSE = np.uint64(pow(int(WORD_BASE), -1, 1 << 64))
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -86,9 +87,8 @@ class Words:
             k = last - back
             inside[k[(k >= 0) & (k < len(inside))]] = False
         first = np.flatnonzero(inside)
-        power = powers(WORD_BASE, n + 1)
         prefix = np.empty(n + 1, np.uint64)
         prefix[0] = 0
-        np.cumsum(self.hashes * power[:n][::-1], dtype=np.uint64, out=prefix[1:])
-        # prefix[i] sums hash[j] * base**(n-1-j): scaling a window's difference by base**first aligns all windows
-        return mix((prefix[first + width] - prefix[first]) * power[first]), first
+        np.cumsum(self.hashes * powers(WORD_BASE, n), dtype=np.uint64, out=prefix[1:])
+        # prefix[i] sums hash[j] * base**j: a window's difference times base**-first is a function of its words alone
+        return mix((prefix[first + width] - prefix[first]) * powers(WORD_INVERSE, n)[first]), first
