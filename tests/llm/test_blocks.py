@@ -47,3 +47,11 @@ def test_substring_dedup_over_many_blocks(cut, spread):
     want = {i: v[:3] for i, v in brute_removals(spread, 35).items()}
     assert sum(v[1] > 0 for v in want.values()) == 24
     assert got == want
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_ngram_join_over_many_blocks(cut, spread, n, percent):
+    got = rows(ngram_join.link_components(cut, n, percent), "doc_id", "n_shingles", "component_id")
+    want = brute_components(spread, n, percent)
+    assert sum(i != c for i, (_, c) in want.items()) >= 15
+    assert got == want
