@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a DOM in one pass over its tags. Elements that are never article text by their meaning (scripts, forms,
-navigation, and blocks that class, id or role name as adverts, notices, comments and the like) are left out. Every other
+Each page becomes a DOM in one pass over its tags. Elements that are never article text by their meaning (scripts, navigation)
+are left out. Forms, and blocks that class, id or role name as adverts, notices, comments and the like, are left out
+unless they wrap the text: they hold an article, main or h1 element that no such name marks, or most of the body's characters outside links (named blocks
+only where no such article or main stands outside). Every other
 node's density is its characters per tag, adjusted by the share of link characters and tags against the body's; the
 sum of its children's densities tells an article's node from both its parts and its frame. The least density on the path from that
 node to the body is the threshold that a part beside it must reach to belong to the text. If an article or main element
@@ -30,7 +32,7 @@ _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 DROPPED = frozenset(
-    "script style textarea title head nav footer aside form button select option input noscript iframe object embed svg canvas template dialog menu audio video map".split()
+    "script style textarea title head nav footer aside button select option input noscript iframe object embed svg canvas template dialog menu audio video map".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -41,39 +43,60 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|nav\w*|menus?|breadcrumbs?|pagination|pager|sidebar\w*|side|widgets?|related|recommend\w*|share|sharing|social|footer\w*|header|masthead|topbar|toolbar"
-    r"|comments?\w*|disqus|replies|respond|search\w*|skip|copyright|tags|toc)(?:$|[\s_-])",
+    r"|nav\w*|menus?|breadcrumbs?|pagination|pager|widgets?|related|recommend\w*|sharing|social|footer\w*|masthead|topbar|toolbar"
+    r"|comments?\w*|disqus|replies|respond|search\w*|skip|copyright|toc)(?:$|[\s_-])"
+    # compound names with these are of layouts and headings too
+    r"|(?:^|\s)(?:sidebar|side|share|header|tags)(?:$|\s)",
     re.I,
 )
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "named", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False):
+        self.tag, self.parent, self.noise, self.named = tag, parent, noise, named
         self.parts: list = []
 
 
-def _is_noise(tag: str, attrs: str, stack: list[Node]) -> bool:
-    if tag in DROPPED:
-        return True
-    in_article = any(n.tag in ("article", "main") for n in stack)
-    if tag == "header":
-        return not in_article
-    if "=" not in attrs or tag in ("body", "html", "article", "main", "h1"):
-        return False
-    for m in _ATTR.finditer(attrs):
+def _is_noise(tag: str, stack: list[Node]) -> bool:
+    return tag in DROPPED or tag == "header" and not any(n.tag in ("article", "main") for n in stack)
+
+
+def _is_named(attrs: str) -> bool:
+    for m in _ATTR.finditer(attrs) if "=" in attrs else ():
         value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
-            if value.lower() in _NOISE_ROLE:
-                return True
-        elif _NOISE.search(value):
+        if value.lower() in _NOISE_ROLE if m[1].lower() == "role" else _NOISE.search(value):
             return True
     return False
 
 
+def _drop_named(root: Node) -> None:
+    """Make noise of the forms and named elements that do not wrap the text."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if not n.noise:
+            order.append(n)
+            todo += [x for x in n.parts if isinstance(x, Node)]
+    for n in reversed(order):  # chars: outside links; marks: articles and mains, and headings, that no name makes noise
+        own = not n.named
+        frames, heads = int(own and n.tag in ("article", "main")), int(own and n.tag == "h1")
+        n.chars = 0
+        for x in n.parts:
+            if isinstance(x, str):
+                n.chars += len("".join(x.split()))
+            elif not x.noise:
+                n.chars += x.chars
+                frames, heads = frames + x.marks[0], heads + x.marks[1]
+        n.chars *= n.tag != "a"
+        n.marks = frames, heads
+    for n in order:
+        if (n.named or n.tag == "form") and n.tag not in ("article", "main", "h1") and not any(n.marks):
+            n.noise = 2 * n.chars <= root.chars or n.tag != "form" and root.marks[0] > 0
+
+
 def parse(page: str) -> Node:
     """The page's elements below a root that stands for the body."""
     root = Node("body", None)
@@ -114,7 +137,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in scope:
                     break
-        node = Node(tag, stack[-1], stack[-1].noise or _is_noise(tag, m[3], stack))
+        node = Node(tag, stack[-1], stack[-1].noise or _is_noise(tag, stack), _is_named(m[3]))
         if not node.noise or not stack[-1].noise:
             stack[-1].parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
@@ -126,6 +149,7 @@ def parse(page: str) -> Node:
         stack.append(node)
     if at < len(page) and not stack[-1].noise:
         stack[-1].parts.append(page[at:])
+    _drop_named(root)
     return root
 
 
