@@ -52,9 +52,9 @@ def _(spark, d):
 
 @R.add("m35_peptide_bulge")
 def _(spark, d):
-    return rings.peptide_bulge(dense(spark, d).where("frame % 5 = 0"), list(range(7)), [9, 10, 11, 12])
+    return rings.peptide_bulge(dense(spark, d), list(range(7)), [9, 10, 11, 12])
 
 
 @R.add("m36_surface_areas")
 def _(spark, d):
-    return rings.surface_areas(dense(spark, d).where("frame % 10 = 0"), [1.7] * 21, {"phla": list(range(13)), "tcr": list(range(13, 21))})
+    return rings.surface_areas(dense(spark, d), [1.7] * 21, {"phla": list(range(13)), "tcr": list(range(13, 21))})
