@@ -1,15 +1,16 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a DOM in one pass over its tags. Elements that are never article text by their meaning (scripts, navigation)
+Each page becomes a DOM in one forward pass over its bytes, in time linear in its length whatever it holds. Elements that are never article text by their meaning (scripts, navigation)
 are left out. Forms, and blocks that class, id or role name as adverts, notices, comments and the like, are left out
 unless they wrap the text: they hold an article, main or h1 element that no such name marks, or most of the body's characters outside links (named blocks
 only where no such article or main stands outside). Every other
 node's density is its characters per tag, adjusted by the share of link characters and tags against the body's; the
-sum of its children's densities tells an article's node from both its parts and its frame. The least density on the path from that
-node to the body is the threshold that a part beside it must reach to belong to the text. If an article or main element
-holds the node, that element is the text.
+sum of its children's densities tells an article's node from both its parts and its frame (of equal sums, an article or main
+element's counts). The least density on the path from that node to the body is the threshold that a part beside the path must reach to belong to
+the text. Short parts count too if they lie between two such parts, or beside the path inside an article or main element, and are not mostly links.
 
-A null, empty or text-less page gives an empty text. Unclosed and misnested tags are closed as a browser would. The work is
+A null, empty or text-less page gives an empty text. Unclosed and misnested tags are closed as a browser would; a tag or comment that
+the page's end cuts off is no text. The work is
 one map over the pages; nothing is shuffled and each row stands alone, repeated or not.
 """
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.tables import map_texts, texts_of
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:([\"'])|([^\s>]*)))?")
+_SPACE = re.compile(r"[\s/]*")
 
 # Element names of HTML by their part.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +40,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr".split())
+HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+MAIN = frozenset(("article", "main"))
 #: an opening tag ends these open elements, up to the nearest of its scope
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -60,16 +64,8 @@ class Node:
         self.parts: list = []
 
 
-def _is_noise(tag: str, stack: list[Node]) -> bool:
-    return tag in DROPPED or tag == "header" and not any(n.tag in ("article", "main") for n in stack)
-
-
-def _is_named(attrs: str) -> bool:
-    for m in _ATTR.finditer(attrs) if "=" in attrs else ():
-        value = m[2] or m[3] or m[4] or ""
-        if value.lower() in _NOISE_ROLE if m[1].lower() == "role" else _NOISE.search(value):
-            return True
-    return False
+def _is_named(attrs: dict[str, str]) -> bool:
+    return attrs.get("role", "").lower() in _NOISE_ROLE or any(_NOISE.search(attrs[k]) for k in ("class", "id") if k in attrs)
 
 
 def _drop_named(root: Node) -> None:
@@ -97,58 +93,131 @@ def _drop_named(root: Node) -> None:
             n.noise = 2 * n.chars <= root.chars or n.tag != "form" and root.marks[0] > 0
 
 
+class _Scanner:
+    """Finds what a page's next piece of markup is. It never looks at a character twice for the same thing: a quote or an end
+    that was once looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` next stands; the page's length if nowhere."""
+        if what not in self.missing:
+            k = self.page.find(what, at)
+            if k >= 0:
+                return k
+            self.missing.add(what)
+        return len(self.page)
+
+    def tag_end(self, at: int) -> tuple[int, dict[str, str], bool]:
+        """Behind the tag whose attributes begin at ``at``; class, id and role; whether it closes itself."""
+        page, attrs = self.page, {}
+        while True:
+            m = _ATTR.match(page, at)
+            if m is None:
+                end = _SPACE.match(page, at).end()
+                return end + 1, attrs, page[end - 1 : end] == "/" and end > at
+            at, value = m.end(), m[3]
+            if m[2]:
+                end = self.find(m[2], at)
+                value, at = page[at:end], end + 1
+            name = m[1].lower()
+            if name in ("class", "id", "role") and value:
+                attrs.setdefault(name, value)
+
+
+class _Stack:
+    """Open elements, and for each name and for blocks where they stand in the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, [0]
+
+    def nearest(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCK:
+            self.blocks.append(k)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place ``k``."""
+        while len(self.nodes) > k:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+
 def parse(page: str) -> Node:
     """The page's elements below a root that stands for the body."""
-    root = Node("body", None)
-    stack, at, raw = [root], 0, None
-    for m in _TAG.finditer(page):
-        if m.start() < at:
+    scan, stack, at = _Scanner(page), _Stack(root := Node("body", None)), 0
+    text = 0  # where the text that is still to be added begins
+
+    def add_text(end: int) -> None:
+        if end > text and not stack.nodes[-1].noise:
+            stack.nodes[-1].parts.append(page[text:end])
+
+    while (at := scan.find("<", at)) < len(page):
+        opened = at + 1
+        if page.startswith("!--", opened):
+            add_text(at)
+            text = at = scan.find("-->", opened + 3) + 3
             continue
-        if m.start() > at and (not stack[-1].noise):
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK and tag not in BLOCK:
-                    break  # an inline end tag does not close a block
+        closing = page.startswith("/", opened)
+        m = _NAME.match(page, opened + closing)
+        if m is None:
+            if closing or page[opened : opened + 1] in ("!", "?"):
+                add_text(at)
+                text = at = scan.find(">", opened) + 1
+            else:
+                at += 1  # a mere less-than sign
             continue
+        add_text(at)
+        end, attrs, ended = scan.tag_end(m.end())
+        text = at = end
+        if end > len(page):
+            break
+        tag = m[0].lower()
         if tag in ("html", "body"):
             continue
+        if closing:
+            k = stack.nearest((tag,))
+            if k and (tag in BLOCK or stack.blocks[-1] <= k):  # an inline end tag does not close a block
+                stack.cut(k)
+            continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            k = stack.nearest(("p",))
+            if k and stack.blocks[-1] == k:
+                stack.cut(k)
         if tag in ENDS:
-            ended, scope = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ended:
-                    del stack[k:]
-                    break
-                if stack[k].tag in scope:
-                    break
-        node = Node(tag, stack[-1], stack[-1].noise or _is_noise(tag, stack), _is_named(m[3]))
-        if not node.noise or not stack[-1].noise:
-            stack[-1].parts.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            names, scope = ENDS[tag]
+            k = stack.nearest(names)
+            if k > stack.nearest(scope):
+                stack.cut(k)
+        above = stack.nodes[-1]
+        noise = above.noise or tag in DROPPED or tag == "header" and not stack.nearest(MAIN)
+        node = Node(tag, above, noise, _is_named(attrs))
+        if not above.noise:
+            above.parts.append(node)
+        if tag in VOID or ended and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            if close is None:
+                return _finish(root)
+            text = at = scan.find(">", close.end() - 1) + 1
             continue
-        stack.append(node)
-    if at < len(page) and not stack[-1].noise:
-        stack[-1].parts.append(page[at:])
+        stack.push(node)
+    else:
+        add_text(len(page))
+    return _finish(root)
+
+
+def _finish(root: Node) -> Node:
     _drop_named(root)
     return root
 
@@ -191,7 +260,7 @@ def _density(n: Node, share: float) -> float:
     return n.chars / tags * (math.log(x) / math.log(base) if base > 1 and x > 0 else math.log(max(x, 1.0)))
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _blocks(nodes: list) -> list[str]:
     """Texts of the blocks below ``nodes``, in page order."""
     out, line = [], []
 
@@ -229,23 +298,32 @@ def main_text(page: str) -> str:
     order = _measure(root)
     if not root.chars:
         return ""
-    best = max(order, key=lambda n: n.total)
+    best = max(order, key=lambda n: (n.total, n.tag in MAIN))
     if best.total <= 0:
         best = root
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for n in path:
-        if n.tag in ("article", "main"):
-            return "\n".join(_blocks([n]))
     threshold = min(n.density for n in path)
-    inside = set(map(id, path))
-    chosen = []
-    for n in order:  # beside the path: whole subtrees that are as dense, and headings on the way
-        if n.parent is not None and id(n.parent) in inside and (n is best or id(n) not in inside and n.parent is not best):
-            if n is best or n.density >= threshold and n.chars or re.fullmatch("h[1-6]", n.tag):
-                chosen.append(n)
-    return "\n".join(_blocks(chosen or [best]))
+    outermost = max((k for k, n in enumerate(path) if n.tag in MAIN), default=0)
+    before, behind = [], []
+    for k in range(1, len(path)):
+        left, right = _beside(path[k], path[k - 1], threshold, k <= outermost)
+        before.append(left)
+        behind.append(right)
+    return "\n".join(_blocks([*(x for xs in reversed(before) for x in xs), best, *(x for xs in behind for x in xs)]))
+
+
+def _beside(frame: Node, middle: Node, threshold: float, inside: bool) -> tuple[list, list]:
+    """The parts of ``frame`` that belong to the text, on both sides of ``middle``. ``inside``: of an article or main element."""
+    parts = [x for x in frame.parts if isinstance(x, str) or not x.noise]
+    here = next(i for i, x in enumerate(parts) if x is middle)
+    dense = [i for i, x in enumerate(parts) if isinstance(x, Node) and (i == here or x.chars and x.density >= threshold or x.tag in HEADINGS)]
+    first, last = (0, len(parts)) if inside else (dense[0], dense[-1])
+    taken = set(dense)
+    fits = lambda i, x: i in taken or first <= i <= last and (isinstance(x, str) or 2 * x.link_chars < x.chars or not x.chars)
+    sides = [(i, x) for i, x in enumerate(parts) if i != here and fits(i, x)]
+    return [x for i, x in sides if i < here], [x for i, x in sides if i > here]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
