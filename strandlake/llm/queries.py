@@ -29,7 +29,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(pages, path)
     return warc.read_warc(spark, path).select(
-        F.col("name").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_name").cast("long").alias("refers_to")
+        F.col("name").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_name").try_cast("long").alias("refers_to")
     )
 
 
