@@ -16,10 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandlake.llm.tables import give_back
 
-#: Bytes of text in a block, and keys of a range.
+#: Bytes of text in a block, and keys of a range, unless the caller says otherwise: a task needs some fifty times a block. Packed
+#: rows are blocks x ranges, but never more than keys, and as long as a row holds hundreds of keys its overhead is small; for
+#: corpora of many terabytes raise both with the executors' memory.
 BLOCK_BYTES = 6_000_000
 RANGE_KEYS = 3_000_000
 
@@ -34,10 +38,10 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def into_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def into_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """Rows (block, id, text), and the bytes of all texts."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, round(size / BLOCK_BYTES))
+    n = max(1, round(size / (block_bytes or BLOCK_BYTES)))
     # texts are dealt by identifier and content: equal identifiers do not gather
     block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int")
     rows = docs.select(block.alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -49,13 +53,14 @@ def with_totals(
     size: int,
     keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
     answer: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table],
-    schema: str,
+    schema: StructType,
+    range_keys: int | None = None,
 ) -> DataFrame:
     """Apply ``answer(block, keys, totals)`` to every block of ``rows``.
 
     ``keys_of(block)``: ascending distinct keys and their counts in the block; it must not depend on the order of rows.
     ``totals``: the count of each key over all blocks, 255 standing for 255 and more."""
-    ranges = max(1, round(size / 6 / RANGE_KEYS))  # a word and its gap are some six bytes
+    ranges = max(1, round(size / 6 / (range_keys or RANGE_KEYS)))  # a word and its gap are some six bytes
 
     def send(t: pa.Table) -> pa.Table:
         give_back()
@@ -90,16 +95,13 @@ def with_totals(
 
     def meet(t: pa.Table, totals: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return empty
+            return arrow.empty_table()
         keys, _ = keys_of(t)
         give_back()
         parts = dict(zip(totals["range"].to_pylist(), totals["totals"].to_pylist()))
-        return answer(t, keys, np.frombuffer(b"".join(parts[r] for r in sorted(parts)), np.uint8))
+        return answer(t, keys, np.frombuffer(b"".join(parts[r] for r in sorted(parts)), np.uint8)).cast(arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    arrow = to_arrow_schema(schema)
     sent = rows.groupBy("block").applyInArrow(send, "range int, block int, keys binary, counts binary")
     added = sent.groupBy("range").applyInArrow(add, "range int, block int, totals binary")
     return rows.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(meet, schema)

@@ -15,10 +15,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 from strandlake.llm.blocks import into_blocks, with_totals
 from strandlake.llm.hashing import Words
-from strandlake.llm.tables import bytes_of
+from strandlake.llm.tables import bytes_of, loose
 
 WIDTH = 35
 
@@ -36,10 +37,12 @@ def _keys(t: pa.Table, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
     return words, *words.windows(width)
 
 
-def removals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def removals(
+    docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, block_bytes: int | None = None, range_keys: int | None = None
+) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, spans) of each row; spans: [start, end) word intervals removed.
 
-    With ``texts`` also ``kept_text``: the text without the removed words and the white space behind each."""
+    ``id_col`` may be a struct of whatever should go with a row. With ``texts`` also ``kept_text``: the text without the removed words and the white space behind each."""
 
     def keys_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = np.unique(_keys(t, width)[1], return_counts=True)
@@ -87,7 +90,7 @@ def removals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_c
         }
         return pa.table(columns | ({"kept_text": pa.array(kept_text, pa.string())} if texts else {}))
 
-    rows, size = into_blocks(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>" + ", kept_text string" * texts
-    return with_totals(rows, size, keys_of, answer, schema).withColumnRenamed("id", id_col)
+    rows, size = into_blocks(docs, id_col, text_col, block_bytes)
+    schema = StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, spans array<array<long>>" + ", kept_text string" * texts)
+    schema = StructType([StructField("id", loose(docs.schema[id_col].dataType)), *schema.fields])
+    return with_totals(rows, size, keys_of, answer, schema, range_keys).withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from strandlake.session import ship
 
@@ -26,6 +27,11 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def loose(kind: T.DataType) -> T.DataType:
+    """The type with all fields of structs nullable, as Arrow tables that come back from tasks are held against."""
+    return T.StructType([T.StructField(f.name, loose(f.dataType)) for f in kind]) if isinstance(kind, T.StructType) else kind
+
+
 _LIBC = ctypes.CDLL(None)
 
 
