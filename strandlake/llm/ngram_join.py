@@ -6,14 +6,16 @@
 2. Documents with equal shingle sets become one class, for which its smallest identifier stands.
 3. Prefix filter in the order of corpus frequency, rarest first: two linked classes share a shingle of both prefixes. A shingle's
    pivot is the smallest class that has it in its prefix, and classes gather by pivot, so linked classes meet in a
-   group and a class is in few groups. Groups larger than ``group`` are cut into blocks, and each pair of blocks is a task.
+   group and a class is in few groups. Groups larger than ``group`` are cut into blocks, each searched beside the pivot. What
+   that leaves outside the group's largest component, and only that, is searched against the group's other blocks.
 4. In a group DivideSkip finds each class's partners: the longest inverted lists are set aside, the others are merged in a heap,
    and a class that occurs often enough is looked up in the long lists by binary search. Classes
    already connected are not tested again: what is wanted is the components, and a spanning forest of the links has them.
 5. Connected components by alternating minimum labels over the forest's edges.
 
 Null and empty texts have no shingles and link with nothing. A text of fewer words than ``n`` is one shingle. Repeated identifiers
-are one document with several texts. Hashes are 64 bits wide.
+are one document with several texts for ``link_components``; ``drop_near`` tells rows apart by identifier and content and keeps
+one of rows repeated whole. Hashes are 64 bits wide.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from strandlake.llm.blocks import into_blocks, with_totals
 from strandlake.llm.components import components
 from strandlake.llm.hashing import Words, mix
-from strandlake.llm.tables import bytes_of
+from strandlake.llm.tables import bytes_of, loose
 from strandlake.session import materialize
 
 MU = 0.01  # DivideSkip's weight of a probe against a merge
@@ -74,7 +78,7 @@ def prefix(tokens: np.ndarray, totals: np.ndarray, percent: int) -> np.ndarray |
 
 class Forest:
     def __init__(self, n: int):
-        self.up, self.trees = list(range(n)), n
+        self.up = list(range(n))
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -83,43 +87,52 @@ class Forest:
 
     def join(self, i: int, j: int) -> bool:
         i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-            self.trees -= 1
+        self.up[max(i, j)] = min(i, j)
         return i != j
 
 
-def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets``, which ascend in size."""
+def divide_skip(sets: list[np.ndarray], percent: int, known: list | None = None, sides: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Edges that, with those implied by equal ``known`` labels, span the links among ``sets``, which ascend in size.
+
+    With ``sides`` only pairs of different sides are tested."""
     lists: dict[int, list[int]] = {}
     forest, edges = Forest(len(sets)), []
+    first: dict = {}
+    for x, label in enumerate(known or ()):
+        forest.join(x, first.setdefault(label, x))
+    roots: set[int] = set()  # of the sets up to this one
     for x, tokens in enumerate(sets):
         tokens = tokens.tolist()
         size = len(tokens)
+        roots.add(forest.root(x))
         t = needed(size, percent)  # partners are no larger, so the overlap is at least this
-        mine = sorted((lists[k] for k in tokens if k in lists), key=len)
+        mine = sorted((lists[k] for k in tokens if k in lists), key=len) if len(roots) > 1 else ()
         if len(mine) >= t and size:
             skip = min(t - 1, ceil(t / (MU * log2(max(2, len(mine[-1]))) + 1)), len(mine))
             short, long_ = mine[: len(mine) - skip], mine[len(mine) - skip :]
             for y, same in groupby(heapq.merge(*short)):
-                if forest.trees == len(sets) - x:
-                    break  # all sets up to this one are one component
+                if len(roots) == 1:
+                    break
                 n = sum(1 for _ in same)
-                if n < t - skip or 100 * len(sets[y]) < percent * size or forest.root(x) == forest.root(y):
+                if n < t - skip or 100 * len(sets[y]) < percent * size or sides and sides[x] == sides[y] or forest.root(x) == forest.root(y):
                     continue
                 for k in long_:
                     i = bisect_left(k, y)
                     n += i < len(k) and k[i] == y
-                if 100 * n >= percent * (size + len(sets[y]) - n) and forest.join(x, y):
+                if 100 * n >= percent * (size + len(sets[y]) - n):
+                    roots.discard(max(forest.root(x), forest.root(y)))
+                    forest.join(x, y)
                     edges.append((x, y))
         for k in tokens:
             lists.setdefault(k, []).append(x)
     return edges
 
 
-def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group: int = 300) -> DataFrame:
+def link_components(
+    docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group: int = 300, block_bytes: int | None = None, range_keys: int | None = None
+) -> DataFrame:
     """(id, n_shingles, component_id) of each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = loose(docs.schema[id_col].dataType)
 
     def keys_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sets = shingle_sets(bytes_of(t["text"]), n)
@@ -146,10 +159,10 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
             }
         )
 
-    rows, size = into_blocks(docs, id_col, text_col)
-    seen = materialize(
-        with_totals(rows, size, keys_of, answer, f"id {kind}, n_shingles long, high long, low long, prefix array<long>, text string"), "shingles"
-    )
+    rows, size = into_blocks(docs, id_col, text_col, block_bytes)
+    schema = StructType.fromDDL("n_shingles long, high long, low long, prefix array<long>, text string")
+    schema = StructType([StructField("id", kind), *schema.fields])
+    seen = materialize(with_totals(rows, size, keys_of, answer, schema, range_keys), "shingles")
     able = seen.where("high IS NOT NULL")
     classes = able.groupBy("n_shingles", "high", "low").agg(F.min("id").alias("rep"))
     first = classes.select(F.col("rep").alias("id")).distinct()
@@ -158,22 +171,38 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     pivots = postings.groupBy("token").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(postings.join(pivots, "token").select("pivot", "id").distinct(), "members")
     sizes = members.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").withColumn("cuts", F.ceil(F.col("m") / group).cast("int"))
-    placed = (
-        members.join(sizes, "pivot")
-        .withColumn("_cut", F.expr("cast(pmod(xxhash64(id), cuts) as int)"))
-        .withColumn("_other", F.explode(F.expr("sequence(0, cuts - 1)")))
-        .select("pivot", "id", F.least("_cut", "_other").alias("a"), F.greatest("_cut", "_other").alias("b"))
-    )
+    sizes = materialize(sizes, "sizes")
+    texts = reps.select("id", "text")
 
     def search(t: pa.Table) -> pa.Table:
+        # a class may come with two texts only if identifiers repeat
         sets, ids = shingle_sets(bytes_of(t["text"]), n), t["id"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-        edges = divide_skip([sets[i] for i in order], percent)
-        return pa.table({k: pa.array([ids[order[e[j]]] for e in edges], t.schema.field("id").type) for j, k in enumerate(("src", "dst"))})
-
-    tasks = placed.join(reps.select("id", "text"), "id").select("pivot", "a", "b", "id", "text")
-    edges = tasks.groupBy("pivot", "a", "b").applyInArrow(search, f"src {kind}, dst {kind}").distinct()
-    labels = components(materialize(edges, "edges"))
+        label, side = t["label"].to_pylist(), t["side"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+        pick = lambda x: [_key(x[i]) for i in order]
+        known = pick(label) if label[0] is not None else None
+        edges = divide_skip([sets[i] for i in order], percent, known, pick(side) if side[0] is not None else None)
+        ends = (pa.array([order[e[j]] for e in edges], pa.int64()) for j in (0, 1))
+        return pa.table({k: t["id"].take(x) for k, x in zip(("src", "dst"), ends)}).cast(arrow)
+
+    edge = StructType([StructField("src", kind), StructField("dst", kind)])
+    arrow = to_arrow_schema(edge)
+
+    def links(placed: DataFrame) -> DataFrame:
+        """Edges found in the tasks (pivot, a, b) of (pivot, a, b, id, label, side)."""
+        tasks = placed.join(texts, "id").select("pivot", "a", "b", "id", "text", "label", "side")
+        return materialize(tasks.groupBy("pivot", "a", "b").applyInArrow(search, edge).distinct(), "edges")
+
+    cut = F.expr("cast(pmod(xxhash64(id), cuts) as int)")
+    dealt = members.join(sizes, "pivot")
+    hubs = sizes.where("cuts > 1").select("pivot", F.explode(F.expr("sequence(0, cuts - 1)")).alias("a"), F.col("pivot").alias("id"))
+    none = [F.lit(0).alias("b"), F.lit(None).cast(kind).alias("label"), F.lit(None).cast("boolean").alias("side")]
+    near = dealt.select("pivot", cut.alias("a"), "id").union(hubs).distinct().select("pivot", "a", "id", *none)
+    edges = links(near)
+    labels = components(edges)
+    if not sizes.where("cuts > 1").isEmpty():
+        more = links(_across(dealt.where("cuts > 1").select("pivot", "id"), labels, group))
+        labels = components(edges.union(more))
     by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("n_shingles", "high", "low", F.coalesce("label", "rep").alias("component"))
     # classes of copies differ in size: the class side has one row each, and AQE splits the other
     return (
@@ -183,8 +212,31 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     )
 
 
+def _key(x):
+    return tuple(x.values()) if isinstance(x, dict) else x
+
+
+def _across(big: DataFrame, labels: DataFrame, group: int) -> DataFrame:
+    """Tasks that bring each member outside the largest component of its group together with all members it has not met."""
+    label = F.coalesce("label", "id").alias("label")
+    known = materialize(big.join(labels.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", label), "known")
+    most = known.groupBy("pivot", "label").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("m"))
+    most = most.select("pivot", F.col("top.label").alias("top"), F.expr(f"cast(ceil((m - top.n) / {group}) as int)").alias("others"), F.expr(f"cast(ceil(top.n / {group}) as int)").alias("cuts"))
+    sided = known.join(most.where("others > 0"), "pivot").withColumn("side", F.col("label") == F.col("top"))
+    place = lambda k: F.expr(f"cast(pmod(xxhash64(id), {k}) as int)")
+    few, many = sided.where("NOT side"), sided.where("side")
+    met = few.withColumn("o", F.explode(F.expr("sequence(0, others - 1)"))).select(
+        "pivot", F.least(place("others"), "o").alias("a"), F.greatest(place("others"), "o").alias("b"), "id", "label", F.lit(None).cast("boolean").alias("side")
+    )
+    # blocks of the largest component are numbered below zero
+    out = few.withColumn("o", F.explode(F.expr("sequence(0, cuts - 1)"))).select("pivot", place("others").alias("a"), (-1 - F.col("o")).alias("b"), "id", "label", "side")
+    back = many.withColumn("o", F.explode(F.expr("sequence(0, others - 1)"))).select("pivot", F.col("o").alias("a"), (-1 - place("cuts")).alias("b"), "id", "label", "side")
+    return met.union(out).union(back)
+
+
 def drop_near(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stand for their component (its smallest identifier), with all their columns."""
-    found = link_components(docs, n, percent, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(stay, id_col, "left_semi")
+    """The row that stands for each component (its smallest identifier), with all its columns."""
+    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("content")))
+    found = link_components(keyed.select("_key", F.col(text_col).alias("_content")), n, percent, "_key", "_content")
+    stay = found.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
+    return keyed.join(stay, "_key").dropDuplicates(["_key"]).drop("_key")
