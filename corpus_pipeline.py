@@ -15,8 +15,7 @@ NEAR = {"n": 5, "percent": 80}
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    kept = quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return quality_rules.drop_failed(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +29,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that stand elsewhere too."""
-    kept = substring_dedup.removals(docs, texts=True).select("doc_id", "kept_text")
-    return docs.join(kept, "doc_id").withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(docs.columns)
+    """All documents, without the passages that stand elsewhere too. A row's other columns go with its text: nothing is joined by identifier."""
+    carried = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), "text")
+    kept = substring_dedup.removals(carried, id_col="_row", texts=True).select("_row.*", F.col("kept_text").alias("text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

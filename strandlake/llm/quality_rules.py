@@ -4,7 +4,8 @@ Every rule is evaluated once. The ledger keeps the measurements and one long of
 is a mask of rules under a version name, so applying a policy, or asking what a rule alone removes, is bit arithmetic
 over the ledger and reads no text again.
 
-Null and empty texts have no words, measure 0 and fail ``few_words``. Repeated rows are judged row by row.
+Null and empty texts have no words, measure 0 and fail ``few_words``. Repeated rows are judged row by row: ``drop_failed`` carries
+the rows through the ledger, so no identifier is joined.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ POLICIES = {"base": BASE, "v1": 0b001111, "v2": 0b111111}
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_lines, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits) of each row."""
+    """(id, n_words, n_lines, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits) of each row.
+
+    Windows are compared as 64-bit hashes, not word by word: two different windows of one text would have to share one."""
     # A window is a 64-bit hash; its leading bits and its place are packed into one long and sorted as primitives, so
     # equal windows become neighbours, whose full hashes are then compared.
     words = F.array_remove(F.split("_text", SPACE), "")
@@ -101,6 +104,12 @@ def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumns({"base_failed": F.expr(f"(fail_bits & {BASE}L) <> 0"), "kept": F.expr(f"(fail_bits & {mask}L) = 0")})
 
 
+def drop_failed(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows that the policy keeps, with all their columns."""
+    carried = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_content"))
+    return apply_policy(ledger(carried, "_row", "_content"), policy).where("kept").select("_row.*")
+
+
 def ablations(rows: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
     """One row per policy and rule in it: documents the rule fails, those the policy rejects, and those that only this rule
     rejects (kept if the rule were left out). One aggregation over the ledger's bits, pre-summed in each task."""

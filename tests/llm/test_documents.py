@@ -217,17 +217,46 @@ def brute_license(t):
     return len(w), len(hits), min(hits)[0] if hits else None, max(hits)[0] if hits else None, ",".join(sorted({x for _, x in hits}))
 
 
+def brute_templates(t):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    more, best = set(), 0.0
+    for label, words, need, half in licenses._templates(licenses.TEMPLATES, 0.8):
+        for k in range(0, len(w), half):
+            n = len(set(w[k : k + 2 * half]) & set(words))
+            if n >= need:
+                more.add(label)
+                best = max(best, n / len(words))
+    return more, best
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+# 1. Redistributions of source code must retain the above copyright notice"""
+
+
+@pytest.mark.parametrize("before", [0, 7, 63, 200])
+def test_wrapped_licenses_in_long_texts(spark, before):
+    filler = " ".join(f"word{k}" for k in range(before))
+    one_line = "released early this year under the hood there is a license plate " * 30
+    texts = [(1, f"{filler}\n{MIT}\n{filler}"), (2, f"{filler} {BSD}"), (2, one_line), (2, "released under the apache license"), (4, f"{filler} Licensed under the\nMIT license"), (None, MIT.upper())]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, row string, block int")
+    got = sorted((str(r["doc_id"]), r["labels"], r["score"] > 0.99) for r in licenses.scan(df).collect())
+    assert got == sorted([("1", "mit", True), ("2", "bsd", True), ("2", "", False), ("2", "", False), ("4", "mit", True), ("None", "mit", True)])
+    where = {(r["label"], r["doc_id"]): (r["first_word"], r["block_words"]) for r in licenses.template_matches(df).collect() if r["doc_id"] == 1}
+    assert all(at <= before + 66 and at + n >= before for at, n in where.values()) and where
+
+
 def test_license_scan(docs, nothing, corpus):
     got = rows(licenses.scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert {i: v[:5] for i, v in got.items()} == {i: brute_license(t) for i, t in corpus}
     for i, t in corpus:
-        more, best = set(), 0.0
-        for line in (t or "").split("\n"):
-            w = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line)))
-            for label, words, need in licenses._templates(licenses.TEMPLATES, 0.8):
-                if len(w & set(words)) >= need:
-                    more.add(label)
-                    best = max(best, len(w & set(words)) / len(words))
+        more, best = brute_templates(t)
         base = set(filter(None, got[i][4].split(",")))
         assert got[i][5] == ",".join(sorted(base | more))
         assert got[i][6] == pytest.approx(1.0 if base else best)
