@@ -84,7 +84,7 @@ def _templates(templates: dict[str, list[str]], threshold: float) -> list[tuple[
 
 
 def _strings(ws) -> Column:
-    return F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    return F.expr(f"cast(array({', '.join(map(repr, ws))}) as array<string>)")
 
 
 def _any_of(words: list[str]) -> str:
