@@ -16,52 +16,148 @@ def superpose(mobile: np.ndarray, target: np.ndarray, fit: np.ndarray | None = N
     return (mobile - mc) @ (u @ vt) + tc
 
 
+def superpose_each(mobile: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Frames (F, N, 3) rotated and moved each onto its own target (F, N, 3)."""
+    mc, tc = mobile.mean(1, keepdims=True), targets.mean(1, keepdims=True)
+    u, _, vt = np.linalg.svd((mobile - mc).swapaxes(1, 2) @ (targets - tc))
+    u[:, :, -1] *= np.sign(np.linalg.det(u @ vt))[:, None]
+    return (mobile - mc) @ (u @ vt) + tc
+
+
+def distances(x: np.ndarray, manhattan: bool = False, step: int = 64) -> np.ndarray:
+    """All distances between rows, made some rows at a time."""
+    out = np.empty((len(x), len(x)))
+    for i in range(0, len(x), step):
+        diff = x[i : i + step, None] - x[None]
+        out[i : i + step] = np.abs(diff).sum(2) if manhattan else np.sqrt((diff * diff).sum(2))
+    return out
+
+
 def rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Root mean square distance of frames (F, N, 3) to (N, 3) as they lie."""
     return np.sqrt(((a - b) ** 2).sum(-1).mean(-1))
 
 
-def fitted_rmsd(mobile: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3)."""
+def fitted_rmsd(mobile: np.ndarray, targets: np.ndarray, steps: int = 40) -> np.ndarray:
+    """RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3).
+
+    The best overlap of two frames is the largest root of l^4 - 2 p l^2 - 8 det(H) l + 2 |H'H|^2 - p^2 with H their 3 x 3 correlation and p = |H|^2:
+    its roots are the signed sums of H's singular values. Newton steps from above reach it for all pairs at once; the few that
+    are slow to settle (equal singular values) are solved by themselves."""
     a = mobile - mobile.mean(1, keepdims=True)
     b = targets - targets.mean(1, keepdims=True)
-    n = a.shape[1]
-    h = np.einsum("fni,gnj->fgij", a, b)
-    s = np.linalg.svd(h, compute_uv=False)
-    s[..., -1] *= np.sign(np.linalg.det(h))
-    total = (a**2).sum((1, 2))[:, None] + (b**2).sum((1, 2))[None, :] - 2 * s.sum(-1)
-    return np.sqrt(np.maximum(total, 0) / n)
+    h = np.stack([np.stack([a[:, :, i] @ b[:, :, j].T for j in range(3)], -1) for i in range(3)], -2)
+    sizes = (a**2).sum((1, 2))[:, None] + (b**2).sum((1, 2))[None, :]
+    p = (h**2).sum((2, 3))
+    gram = h.swapaxes(2, 3) @ h
+    c1, c0 = -8 * np.linalg.det(h), 2 * (gram**2).sum((2, 3)) - p * p
+    root = sizes / 2
+    moving = np.ones(root.shape, bool)
+    for _ in range(steps):
+        slope = 4 * root * (root * root - p) + c1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.where(moving & (slope != 0), (root * root * (root * root - 2 * p) + c1 * root + c0) / slope, 0.0)
+        root = root - step
+        moving &= np.abs(step) > 1e-13 * sizes
+        if not moving.any():
+            break
+    if moving.any():
+        s = np.linalg.svd(h[moving], compute_uv=False)
+        s[:, -1] *= np.sign(np.linalg.det(h[moving]))
+        root[moving] = s.sum(-1)
+    return np.sqrt(np.maximum(sizes - 2 * root, 0) / a.shape[1])
+
+
+def plane_axes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, directions within the best plane (F, 2, 3), its normal) of point sets (F, K, 3), from their 3 x 3 scatter."""
+    centre = points.mean(1)
+    d = points - centre[:, None]
+    _, v = np.linalg.eigh(d.swapaxes(1, 2) @ d)
+    return centre, v[:, :, 2:0:-1].swapaxes(1, 2), v[:, :, 0]
+
+
+def _cosine(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of rows of u with unit rows of v; 1 where u has no length."""
+    length = np.linalg.norm(u, axis=1)
+    some = length >= 1e-6
+    return np.where(some, (u * v).sum(1) / np.where(some, length, 1.0), 1.0)
 
 
 def docking_angles(x: np.ndarray, platform: np.ndarray, alpha: np.ndarray, beta: np.ndarray, peptide: np.ndarray, least_cos: float = 0.174) -> np.ndarray:
-    """(crossing, incident, polarity) of each frame: the groove plane and its axes by singular vectors of the platform."""
-    g = x[:, platform]
-    c = g.mean(1)
-    _, _, vt = np.linalg.svd(g - c[:, None])
-    normal = vt[:, 2]
-    along = x[:, peptide[-1]] - x[:, peptide[0]]
-    p = np.einsum("fkj,fj->fk", vt[:, :2], along)
-    pick = np.abs(p[:, 0]) >= np.abs(p[:, 1])
-    axis = np.where(pick[:, None], vt[:, 0], vt[:, 1])
-    axis = axis * np.where((axis * along).sum(1) < 0, -1.0, 1.0)[:, None]
-    ca, cb = x[:, alpha].mean(1), x[:, beta].mean(1)
-    v = cb - ca
-    plane = v - (v * normal).sum(1)[:, None] * normal
-    length = np.linalg.norm(plane, axis=1)
-    proj = (plane * axis).sum(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cos = np.where(length < 1e-6, 1.0, np.abs(proj) / length)
-    crossing = np.degrees(np.arccos(np.clip(cos, -1, 1)))
-    polarity = np.where((cos < least_cos) | (length < 1e-6), 0.0, np.where(proj >= 0, 1.0, -1.0))
-    approach = 0.5 * (ca + cb) - 0.5 * (c + x[:, peptide].mean(1))
-    far = np.linalg.norm(approach, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        tilt = np.where(far < 1e-6, 1.0, np.abs((approach * normal).sum(1)) / far)
-    incident = np.degrees(np.arccos(np.clip(tilt, 0, 1)))
-    none = np.linalg.norm(v, axis=1) < 1e-6
-    out = np.stack([crossing, incident, polarity], 1)
-    out[none] = 0.0
-    return out
+    """(crossing, incident, polarity) of each frame.
+
+    Crossing: the angle between the line from the alpha to the beta domain, laid into the platform's plane, and that plane's direction that the
+    peptide follows. Incident: the angle between the plane's normal and the line from groove to receptor. Polarity: which
+    way the first line runs along the peptide; 0 near a right angle."""
+    groove, plane, normal = plane_axes(x[:, platform])
+    run = x[:, peptide[-1]] - x[:, peptide[0]]
+    along = (plane @ run[:, :, None])[:, :, 0]
+    which = np.abs(along).argmax(1)
+    rows = np.arange(len(x))
+    axis = plane[rows, which] * np.where(along[rows, which] < 0, -1.0, 1.0)[:, None]
+    first, second = x[:, alpha].mean(1), x[:, beta].mean(1)
+    between = second - first
+    flat = between - (between * normal).sum(1, keepdims=True) * normal
+    turn = _cosine(flat, axis)
+    rise = _cosine((first + second - groove - x[:, peptide].mean(1)) / 2, normal)
+    crossing, incident = (np.degrees(np.arccos(np.minimum(np.abs(c), 1.0))) for c in (turn, rise))
+    level = np.linalg.norm(flat, axis=1) >= 1e-6
+    polarity = np.where(level & (np.abs(turn) >= least_cos), np.sign(turn), 0.0)
+    return np.stack([crossing, incident, polarity], 1) * (np.linalg.norm(between, axis=1) >= 1e-6)[:, None]
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(v, axis=-1, keepdims=True)
+    return v / np.where(length > 1e-9, length, 1.0)
+
+
+def long_axis(points: np.ndarray) -> np.ndarray:
+    """Directions of the largest spread of point sets (F, K, 3)."""
+    return plane_axes(points)[1][:, 0]
+
+
+def reference_groove_angles(x: np.ndarray, ref: np.ndarray, helix_1: np.ndarray, helix_2: np.ndarray, backbone: np.ndarray, receptor: np.ndarray) -> np.ndarray:
+    """(crossing, incident) of each frame against the groove of the reference frame (N, 3): along the mean of the two helices' axes, and across them to
+    their centres. The receptor's direction runs from the backbone's centre to the receptor's centre in the frame itself. Both angles are acute."""
+    one, two = (long_axis(ref[None, h])[0] for h in (helix_1, helix_2))
+    along = _unit(one + two * (1.0 if one @ two >= 0 else -1.0))
+    across = ref[helix_2].mean(0) - ref[helix_1].mean(0)
+    normal = _unit(np.cross(along, across))
+    aim = x[:, receptor].mean(1) - x[:, backbone].mean(1)
+    flat = aim - (aim @ normal)[:, None] * normal
+    length = np.linalg.norm(flat, axis=1)
+    turn = np.where(length < 1e-8, 0.0, np.abs(flat @ along) / np.where(length < 1e-8, 1.0, length))
+    rise = np.abs(_unit(aim) @ normal)
+    return np.degrees(np.arccos(np.minimum(np.stack([turn, rise], 1), 1.0)))
+
+
+def view_frame(x: np.ndarray, chains: list[np.ndarray]) -> np.ndarray:
+    """Up, view direction, box centre (3 each) and half sizes (2) of each frame, of atoms in four chains or more.
+
+    Roles by size and place: the peptide is the shortest chain, beta-2 microglobulin of the others the one nearest to 100 atoms, the heavy chain of the rest
+    the one nearest to it; what is left is the receptor. Up runs to the receptor, the peptide lies across the view."""
+    sizes = np.array([len(c) for c in chains])
+    pep = int(sizes.argmin())
+    b2m = min((i for i in range(len(chains)) if i != pep), key=lambda i: (abs(sizes[i] - 100), i))
+    rest = [i for i in range(len(chains)) if i not in (pep, b2m)]
+    centres = np.stack([x[:, c].mean(1) for c in chains], 1)
+    heavy = np.linalg.norm(centres[:, rest] - centres[:, b2m, None], axis=2).argmin(1)
+    weights = np.zeros((len(x), len(chains), 2))  # of each chain in the two sides
+    for k, i in enumerate(rest):
+        weights[:, i, 0], weights[:, i, 1] = sizes[i] * (heavy == k), sizes[i] * (heavy != k)
+    weights[:, [pep, b2m], 0] = sizes[[pep, b2m]]
+    sides = np.einsum("fcs,fcj->fsj", weights / weights.sum(1, keepdims=True), centres)
+    up = _unit(sides[:, 1] - sides[:, 0])
+    flat = long_axis(x[:, chains[pep]])
+    flat = flat * np.where(np.einsum("fj,fj->f", flat, x[:, chains[pep][-1]] - x[:, chains[pep][0]]) < 0, -1.0, 1.0)[:, None]
+    right = _unit(flat - (flat * up).sum(1, keepdims=True) * up)
+    axes = np.stack([right, up, _unit(np.cross(right, up))], 1)
+    every = x[:, np.concatenate(chains)]
+    middle = every.mean(1)
+    along = (every - middle[:, None]) @ axes.swapaxes(1, 2)
+    low, high = along.min(1), along.max(1)
+    centre = middle + np.einsum("fk,fkj->fj", (low + high) / 2, axes)
+    return np.concatenate([up, axes[:, 2], centre, (high - low)[:, :2] / 2], 1)
 
 
 def spectrum(values: np.ndarray) -> tuple[int, float]:
@@ -72,31 +168,6 @@ def spectrum(values: np.ndarray) -> tuple[int, float]:
     return int(np.searchsorted(np.cumsum(p), 0.90) + 1), float(np.exp(-(q * np.log(q)).sum()))
 
 
-def cosine_content(projection: np.ndarray) -> float | None:
-    """Likeness of a projection in time to half a cosine period."""
-    n, norm = len(projection), float(projection @ projection)
-    if norm <= 0:
-        return None
-    return float((2.0 / n) * (np.cos(np.pi * np.arange(n) / n) @ projection) ** 2 / norm)
-
-
-def lloyd(x: np.ndarray, k: int, rounds: int = 40) -> np.ndarray:
-    """Labels of k-means from seeds evenly spaced by rank on the first coordinate."""
-    if len(x) < k:
-        return np.zeros(len(x), int)
-    centres = x[np.argsort(x[:, 0], kind="stable")[np.linspace(0, len(x) - 1, k).astype(int)]].copy()
-    labels = np.zeros(len(x), int)
-    for _ in range(rounds):
-        new = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        if (new == labels).all():
-            break
-        labels = new
-        for c in range(k):
-            if (labels == c).any():
-                centres[c] = x[labels == c].mean(0)
-    return labels
-
-
 def average_linkage(d: np.ndarray, cutoff: float) -> np.ndarray:
     """Labels of average-linkage clusters cut at ``cutoff``, by nearest-neighbour chains; numbered by first member."""
     n = len(d)
@@ -136,15 +207,13 @@ def average_linkage(d: np.ndarray, cutoff: float) -> np.ndarray:
     return np.array([number[r] for r in roots])
 
 
-def kde(x: np.ndarray, y: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
-    """Gaussian density of the points on the grid (gy, gx), covariance bandwidth by Scott's rule."""
-    pts = np.stack([x, y])
-    cov = np.cov(pts) * len(x) ** (-1 / 3)
-    inv, norm = np.linalg.inv(cov), 2 * np.pi * np.sqrt(np.linalg.det(cov)) * len(x)
-    out = np.empty((len(gy), len(gx)))
-    for i, v in enumerate(gy):
-        dx, dy = gx[:, None] - x[None], v - y[None]
-        out[i] = np.exp(-0.5 * (inv[0, 0] * dx * dx + 2 * inv[0, 1] * dx * dy + inv[1, 1] * dy * dy)).sum(1) / norm
+def gaussian_sums(x: np.ndarray, y: np.ndarray, gx: np.ndarray, gy: np.ndarray, precision: tuple[float, float, float], step: int = 256) -> np.ndarray:
+    """Sums of unscaled Gaussians around the points on the grid (gx, gy); ``precision``: xx, xy and yy of the inverse covariance."""
+    xx, xy, yy = precision
+    out = np.zeros((len(gx), len(gy)))
+    for i in range(0, len(x), step):
+        dx, dy = gx[None] - x[i : i + step, None], gy[None] - y[i : i + step, None]
+        out += np.exp(-0.5 * (xx * (dx * dx)[:, :, None] + 2 * xy * dx[:, :, None] * dy[:, None] + yy * (dy * dy)[:, None])).sum(0)
     return out
 
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.kernels import linear
+from strandlake.operators import moments
 from strandlake.operators.geometry import stack
+from strandlake.session import materialize
 
 
-def cross_correlation(points: DataFrame) -> DataFrame:
-    """(traj_id, i, j, cov, v): covariance of atom displacements summed over the axes, and the correlation clipped to [-1, 1], i <= j.
-
-    Frames are taken as they lie (superposed before, if wanted). The moments are additive, so tasks send partial sums."""
-    a = points.select("traj_id", "frame", F.col("atom_id").alias("i"), *(F.col(c).alias(f"{c}1") for c in "xyz"))
-    b = points.select("traj_id", "frame", F.col("atom_id").alias("j"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
-    cov = sum((F.covar_pop(f"{c}1", f"{c}2") for c in "xyz"), F.lit(0.0))
-    pairs = a.join(b, ["traj_id", "frame"]).where("i <= j").groupBy("traj_id", "i", "j").agg(cov.alias("cov"))
+def cross_correlation(frames: DataFrame) -> DataFrame:
+    """(traj_id, i, j, cov, v): covariance of atom displacements summed over the axes, and the correlation clipped to [-1, 1], i <= j, of dense
+    frames (traj_id, frame, xyz) as they lie (superposed before, if wanted). Atoms are numbered by their place."""
+    axis = lambda k: F.struct(F.lit(k).alias("axis"), F.filter("xyz", lambda _, i: i % 3 == k).alias("vector"))
+    rows = frames.select("traj_id", F.inline(F.array(*map(axis, range(3))))).select(F.concat_ws("/", F.col("axis").cast("string"), "traj_id").alias("key"), "vector")
+    cov = moments.covariances(moments.second_moments(rows, "key", "vector"), "key").where("a <= b")
+    pairs = cov.groupBy(F.expr("substring(key, 3)").alias("traj_id"), F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("cov").alias("cov"))
     own = pairs.where("i = j")
     out = pairs.join(own.select("traj_id", "i", F.col("cov").alias("vi")), ["traj_id", "i"]).join(own.select("traj_id", F.col("i").alias("j"), F.col("cov").alias("vj")), ["traj_id", "j"])
     norm = F.sqrt(F.col("vi") * F.col("vj"))
@@ -29,20 +31,22 @@ def block_coupling(correlation: DataFrame, blocks: DataFrame) -> DataFrame:
     """Mean absolute correlation between blocks of atoms (atom_id, block), i < j."""
     one = blocks.select(F.col("atom_id").alias("i"), F.col("block").alias("b1"))
     two = blocks.select(F.col("atom_id").alias("j"), F.col("block").alias("b2"))
-    j = correlation.where("i < j").join(F.broadcast(one), "i").join(F.broadcast(two), "j")
+    j = correlation.where("i < j").join(one, "i").join(two, "j")
     return j.groupBy("traj_id", F.least("b1", "b2").alias("block_1"), F.greatest("b1", "b2").alias("block_2")).agg(F.avg(F.abs("v")).alias("coupling"), F.count("*").alias("n_pairs"))
 
 
-def superposed(frames: DataFrame) -> DataFrame:
-    """(traj_id, frame, xyz) with every frame superposed onto its trajectory's first."""
+def superposed(frames: DataFrame, reference: int = 0) -> DataFrame:
+    """(traj_id, frame, xyz) with every frame superposed onto its trajectory's reference frame, where it is read."""
+    ref = frames.where(F.col("frame") == reference).select("traj_id", F.col("xyz").alias("ref"))
 
-    def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by("frame")
-        x = stack(t["xyz"])
-        y = linear.superpose(x, x[0]).reshape(len(x), -1)
-        return pa.table({"traj_id": t["traj_id"], "frame": t["frame"], "xyz": pa.array(list(y), pa.list_(pa.float64()))})
+    def fit(batches):
+        for b in batches:
+            if b.num_rows:
+                x, to = stack(b["xyz"]), stack(b["ref"])
+                y = linear.superpose_each(x, to).reshape(len(x), -1)
+                yield pa.RecordBatch.from_arrays([b["traj_id"], b["frame"], pa.array(list(y), pa.list_(pa.float64()))], ["traj_id", "frame", "xyz"])
 
-    return frames.groupBy("traj_id").applyInArrow(fit, "traj_id string, frame int, xyz array<double>")
+    return frames.join(ref, "traj_id").select("traj_id", "frame", "xyz", "ref").mapInArrow(fit, "traj_id string, frame int, xyz array<double>")
 
 
 def collective_modes(correlation: DataFrame) -> DataFrame:
@@ -61,23 +65,34 @@ def collective_modes(correlation: DataFrame) -> DataFrame:
 
 
 def essential_dynamics(frames: DataFrame, n_modes: int = 10) -> DataFrame:
-    """First component's share and cosine content, and the leading modes as flat arrays. Thin SVD of one trajectory's displacements."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("frame")
-        x = stack(t["xyz"])
-        y = linear.superpose(x, x[0])
-        d = (y - y.mean(0)).reshape(len(y), -1)
-        _, s, vt = np.linalg.svd(d, full_matrices=False)
-        share = float(s[0] ** 2 / (s**2).sum()) if s.any() else 0.0
-        k = min(n_modes, len(vt))
-        return pa.table({"traj_id": t["traj_id"].slice(0, 1), "variance_share": [share], "cosine_content": pa.array([linear.cosine_content(d @ vt[0])], pa.float64()), "n_atoms": pa.array([x.shape[1]], pa.int32()), "modes": pa.array([vt[:k].ravel()], pa.list_(pa.float64()))})
-
-    return frames.groupBy("traj_id").applyInArrow(run, "traj_id string, variance_share double, cosine_content double, n_atoms int, modes array<double>")
-
-
-def subspace_overlap(modes: DataFrame, key: str, n_modes: int = 10) -> DataFrame:
-    """Root mean square inner product of the modes of each pair of replicas of one ``key`` with equal atoms, averaged per replica."""
+    """First component's share and cosine content (likeness of the projection in time to half a cosine period), and the leading modes as flat arrays.
+
+    Frames are superposed where they lie and their covariance is summed by Spark; a trajectory's task decomposes that matrix alone."""
+    fitted = materialize(superposed(frames), "fitted")
+    sums = moments.second_moments(fitted.select("traj_id", "xyz"), "traj_id", "xyz")
+
+    def decompose(t: pa.Table) -> pa.Table:
+        _, mean, cov = moments.matrix_of(t)
+        w, v = np.linalg.eigh(cov)
+        w, v = np.maximum(w[::-1], 0), v[:, ::-1].T
+        k = min(n_modes, int((w > 1e-10 * max(w[0], 1e-300)).sum()))
+        share = float(w[0] / w.sum()) if w.sum() > 0 else 0.0
+        doubles = pa.list_(pa.float64())
+        return pa.table({"traj_id": t["traj_id"].slice(0, 1), "variance_share": [share], "n_atoms": pa.array([len(mean) // 3], pa.int32()), "mean": pa.array([mean], doubles), "lead": pa.array([v[0]], doubles), "modes": pa.array([v[:k].ravel()], doubles)})
+
+    modes = materialize(sums.groupBy("traj_id").applyInArrow(decompose, "traj_id string, variance_share double, n_atoms int, mean array<double>, lead array<double>, modes array<double>"), "modes")
+    move = F.aggregate(F.zip_with(F.zip_with("xyz", "mean", lambda x, m: x - m), "lead", lambda d, v: d * v), F.lit(0.0), lambda a, x: a + x)
+    moves = fitted.join(modes.select("traj_id", "mean", "lead"), "traj_id").select("traj_id", "frame", move.alias("p"))
+    w = W.partitionBy("traj_id")
+    moves = moves.withColumns({"t": F.row_number().over(w.orderBy("frame")) - 1, "n": F.count("*").over(w)})
+    wave = F.sum(F.cos(F.lit(np.pi) * F.col("t") / F.col("n")) * F.col("p"))
+    content = moves.groupBy("traj_id").agg((F.lit(2.0) / F.max("n") * wave * wave / F.nullif(F.sum(F.col("p") * F.col("p")), F.lit(0.0))).alias("cosine_content"))
+    return modes.join(content, "traj_id").select("traj_id", "variance_share", "cosine_content", "n_atoms", "modes")
+
+
+def subspace_overlap(modes: DataFrame, key: str) -> DataFrame:
+    """Root mean square inner product of the modes of each pair of replicas of one ``key`` with equal atoms, averaged per replica. Where one has
+    fewer modes, that many of the other's count."""
     a = modes.select(key, "n_atoms", F.col("traj_id").alias("t1"), F.col("modes").alias("m1"))
     b = modes.select(key, "n_atoms", F.col("traj_id").alias("t2"), F.col("modes").alias("m2"))
     pairs = a.join(b, [key, "n_atoms"]).where("t1 < t2")
@@ -85,12 +100,13 @@ def subspace_overlap(modes: DataFrame, key: str, n_modes: int = 10) -> DataFrame
     def run(batches):
         for r in batches:
             out = []
-            for m1, m2 in zip(r["m1"], r["m2"]):
-                x, y = (np.array(m.as_py()).reshape(n_modes, -1) for m in (m1, m2))
-                out.append(float(np.sqrt(((x @ y.T) ** 2).sum() / n_modes)))
+            for n, m1, m2 in zip(r["n_atoms"].to_pylist(), r["m1"], r["m2"]):
+                x, y = (m.values.to_numpy().reshape(-1, 3 * n) for m in (m1, m2))
+                k = min(len(x), len(y))
+                out.append(float(np.sqrt(((x[:k] @ y[:k].T) ** 2).sum() / k)) if k else 0.0)
             yield pa.RecordBatch.from_arrays([r["t1"], r["t2"], pa.array(out, pa.float64())], ["t1", "t2", "rmsip"])
 
-    both = pairs.select("t1", "t2", "m1", "m2").mapInArrow(run, "t1 string, t2 string, rmsip double")
+    both = pairs.select("t1", "t2", "n_atoms", "m1", "m2").mapInArrow(run, "t1 string, t2 string, rmsip double")
     return both.select(F.explode(F.array("t1", "t2")).alias("traj_id"), "rmsip").groupBy("traj_id").agg(F.avg("rmsip").alias("rmsip"), F.count("*").alias("n_compared"))
 
 
@@ -135,21 +151,25 @@ def pick_medoids(means: DataFrame, group: str) -> DataFrame:
     return means.groupBy(group).agg(best.alias("m"), F.count("*").alias("n_frames")).select(group, F.col("m.traj_id").alias("traj_id"), F.col("m.frame").alias("frame"), F.col("m.mean_rmsd").alias("mean_rmsd"), "n_frames")
 
 
-def frame_clusters(features: DataFrame, weights: tuple[float, float, float] = (0.45, 0.25, 0.30), cutoff: float = 0.35) -> DataFrame:
+def frame_clusters(features: DataFrame, weights: tuple[float, float, float] = (0.45, 0.25, 0.30), cutoff: float = 0.35, most: int = 6000) -> DataFrame:
     """Average-linkage clusters of a trajectory's sampled frames: three feature sets (geometry, side chains: Euclidean; interactions: Manhattan), each distance
-    over its largest, blended. Some two hundred frames a trajectory, one task each.
+    over its largest, blended.
 
-    features: (traj_id, frame, geometry, sidechain, interaction), arrays."""
+    features: (traj_id, frame, geometry, sidechain, interaction), arrays. Linkage needs all distances of a trajectory: the matrix is made
+    in the trajectory's task, 8 bytes a pair of frames and three times that at its peak. A trajectory of more than ``most`` frames is an error: sample it first."""
 
     def run(t: pa.Table) -> pa.Table:
+        n = t.num_rows
+        if n > most:
+            raise ValueError(f"trajectory {t['traj_id'][0]} has {n} frames, {most} at most can be clustered: sample them")
         t = t.sort_by("frame")
-        total = np.zeros((t.num_rows,) * 2)
+        total = np.zeros((n, n))
         for name, weight in zip(("geometry", "sidechain", "interaction"), weights):
-            x = np.array(t[name].to_pylist(), float).reshape(t.num_rows, -1)
-            diff = x[:, None] - x[None]
-            d = np.abs(diff).sum(2) if name == "interaction" else np.sqrt((diff**2).sum(2))
-            total += weight * (d / d.max() if d.size and d.max() > 0 else d)
-        labels = linear.average_linkage(total, cutoff) if t.num_rows > 1 else np.zeros(t.num_rows, int)
+            x = np.array(t[name].to_pylist(), float).reshape(n, -1)
+            d = linear.distances(x, manhattan=name == "interaction")
+            peak = d.max(initial=0.0)
+            total += weight * (d / peak if peak > 0 else d)
+        labels = linear.average_linkage(total, cutoff) if n > 1 else np.zeros(n, int)
         return pa.table({"traj_id": t["traj_id"], "frame": t["frame"], "cluster": pa.array(labels, pa.int32())})
 
     return features.groupBy("traj_id").applyInArrow(run, "traj_id string, frame int, cluster int")

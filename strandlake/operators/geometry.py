@@ -80,6 +80,22 @@ def docking(frames: DataFrame, platform: list[int], alpha: list[int], beta: list
     return per_frame(frames, kernel, "crossing double, incident double, polarity double")
 
 
+def reference_docking(frames: DataFrame, helix_1: list[int], helix_2: list[int], backbone: list[int], receptor: list[int], reference: int = 0) -> DataFrame:
+    """Crossing and incident angles of each frame against the groove frame of the trajectory's reference frame."""
+    sets = [np.array(s) for s in (helix_1, helix_2, backbone, receptor)]
+    kernel = lambda x, ref: dict(zip(("crossing", "incident"), linear.reference_groove_angles(x, ref, *sets).T))
+    return per_frame(frames, kernel, "crossing double, incident double", reference)
+
+
+VIEW = (*(f"{n}_{a}" for n in ("up", "view", "centre") for a in "xyz"), "half_width", "half_height")
+
+
+def view_axes(frames: DataFrame, chains: list[list[int]]) -> DataFrame:
+    """Up and view directions, box centre and half sizes of each frame; the view looks so that the peptide runs to the right."""
+    groups = [np.array(c) for c in chains]
+    return per_frame(frames, lambda x, ref: dict(zip(VIEW, linear.view_frame(x, groups).T)), ", ".join(f"{n} double" for n in VIEW))
+
+
 def rmsf(points: DataFrame) -> DataFrame:
     """Root mean square fluctuation of each atom about its mean position; no fit inside."""
     return points.groupBy("traj_id", "atom_id").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
@@ -140,7 +156,7 @@ def consecutive_geometry(points: DataFrame) -> DataFrame:
 def dihedrals(points: DataFrame, quartets: DataFrame) -> DataFrame:
     """Torsions of named atom quartets (name, a, b, c, d), in degrees. One aggregation per frame and quartet instead of four joins."""
     long = quartets.select("name", F.posexplode(F.array("a", "b", "c", "d")).alias("k", "atom_id"))
-    j = points.join(F.broadcast(long), "atom_id")
+    j = points.join(long, "atom_id")
     at = [[F.max(F.when(F.col("k") == k, F.col(a))).alias(f"{a}{k}") for a in "xyz"] for k in range(4)]
     flat = j.groupBy(*FRAME, "name").agg(*(c for row in at for c in row))
     return flat.select(*FRAME, "name", dihedral_degrees([[F.col(f"{a}{k}") for a in "xyz"] for k in range(4)]).alias("degrees"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.functions import statistics
+from strandlake.operators import moments
+
 KEY, ORDER, TIME, VALUE = "traj_id", "frame", "time_s", "value"
 
 
@@ -132,6 +135,48 @@ def drift_table(series: DataFrame, tail: float = 0.1, slope: float = 0.2) -> Dat
     )
 
 
+def energy_trend(blocks: DataFrame, similar: float = 0.05, drift: float = 0.02, key: str = KEY) -> DataFrame:
+    """From block means (key, block, mean): percent difference of the last two and of the first and last block, slope and r squared of the means against
+    their number, its p-value, and the verdict. A trend needs |r| > 0.7 and p < 0.05; converged: last two alike, no drift, no trend."""
+    k = F.col("block").cast("double")
+    ends = F.array_sort(F.collect_list(F.struct("block", "mean")))
+    g = blocks.groupBy(key).agg(ends.alias("b"), F.count("*").alias("n_blocks"), F.regr_slope("mean", k).alias("slope"), F.corr("mean", k).alias("r")).where("n_blocks >= 2")
+    last, before, first = F.element_at("b", -1)["mean"], F.element_at("b", -2)["mean"], F.element_at("b", 1)["mean"]
+    pct = lambda a, b: 100 * F.abs(a - b) / F.abs(b)
+    df = F.col("n_blocks") - 2
+    # a perfect line has no t, and nothing is left to chance
+    p = F.when(df <= 0, None).when(F.abs("r") > 1 - 1e-12, 0.0).otherwise(statistics.student_p(F.col("r") * F.sqrt(df / (1 - F.col("r") * F.col("r"))), df))
+    g = g.select(key, "n_blocks", pct(before, last).alias("last_two_pct"), pct(last, first).alias("first_last_pct"), "slope", (F.col("r") * F.col("r")).alias("r_squared"), p.alias("p_value"))
+    trend = F.coalesce((F.col("r_squared") > 0.49) & (F.col("p_value") < 0.05), F.lit(False))
+    return g.withColumn("has_trend", trend).withColumn("is_converged", (F.col("last_two_pct") < 100 * similar) & (F.col("first_last_pct") < 100 * drift) & ~F.col("has_trend"))
+
+
+def convergence_time(series: DataFrame, least: int = 100, step: float = 2.0, tolerance: float = 1.2) -> DataFrame:
+    """(traj_id, time): the first sample whose centred moving deviation, and that of the samples behind it, is at most ``tolerance`` times the mean one of the last fifth.
+
+    The window reaches max(least, n // 20) samples to both sides, cut at the ends; the deviation must hold for max(least, n // 10) samples. Without such
+    a sample a fifth of the series counts, series of fewer than ``least`` have no time. ``step``: time between samples. Windows are
+    differences of running sums, centred first, so no sample is joined with its whole window."""
+    c = numbered(series).withColumn("c", F.col(VALUE) - F.avg(VALUE).over(W.partitionBy(KEY)))
+    run = W.partitionBy(KEY).orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = c.where(F.col("n") >= least).select(KEY, "i", "n", F.struct(F.sum("c").over(run).alias("s"), F.sum(F.col("c") * F.col("c")).over(run).alias("q")).alias("run"))
+    w = F.greatest(F.lit(least), F.floor(F.col("n") / 20))
+    at = sums.select(KEY, "i", "n", w.alias("w"), F.greatest(F.col("i") - w, F.lit(0)).alias("lo"), F.least(F.col("i") + w, F.col("n")).alias("hi"))
+    edge = lambda name, tag: sums.select(KEY, (F.col("i") + 1).alias(name), F.col("run").alias(tag))
+    both = at.join(edge("hi", "b"), [KEY, "hi"]).join(edge("lo", "a"), [KEY, "lo"], "left")
+    m = F.col("hi") - F.col("lo")
+    total = lambda f: F.col(f"b.{f}") - F.coalesce(F.col(f"a.{f}"), F.lit(0.0))
+    dev = both.select(KEY, "i", "n", "w", F.sqrt(F.greatest(F.lit(0.0), total("q") / m - (total("s") / m) * (total("s") / m))).alias("std"))
+    late = F.when(F.col("i") >= F.floor(F.col("n") * 0.8), F.col("std"))
+    dev = dev.withColumn("bad", F.col("std") > tolerance * F.avg(late).over(W.partitionBy(KEY)))
+    ahead = W.partitionBy(KEY).orderBy("i").rowsBetween(W.currentRow, W.unboundedFollowing)
+    hold = F.greatest(F.lit(least), F.floor(F.col("n") / 10))
+    calm = dev.withColumn("next_bad", F.min(F.when(F.col("bad"), F.col("i"))).over(ahead)).withColumn("ok", F.col("next_bad").isNull() | (F.col("next_bad") >= F.col("i") + hold))
+    first = F.min(F.when(F.col("ok") & (F.col("i") >= F.col("w")) & (F.col("i") < F.col("n") - F.col("w")), F.col("i")))
+    found = calm.groupBy(KEY, "n").agg(first.alias("first")).select(KEY, (F.coalesce(F.col("first").cast("double"), F.col("n") * 0.2) * step).alias("time"))
+    return series.select(KEY).distinct().join(found, KEY, "left")
+
+
 def stability_grades(series: DataFrame, limits: tuple[float, float, float], key: str = KEY) -> DataFrame:
     """Grade of the relative deviation in percent by three limits, and its points."""
     s = series.groupBy(key).agg((100 * F.stddev_pop(VALUE) / F.abs(F.avg(VALUE))).alias("pct"))
@@ -151,13 +196,16 @@ def angle_summary(frames: DataFrame, angle: str, polarity: str, key: str = KEY)
 def lagged_covariance(features: DataFrame, lag: int) -> DataFrame:
     """(traj_id, i, j, c00, ctt, c0t): covariances of the samples, of those ``lag`` later, and between both, each side centred on its own mean.
 
-    features: (traj_id, frame, j, x). Pairs of features meet by time, and the moments are summed in each task before they move."""
-    now = features.select(KEY, ORDER, F.col("j").alias("i"), F.col("x").alias("a"))
-    w = W.partitionBy(KEY, "j").orderBy(ORDER)
-    later = features.withColumn("b", F.lead("x", lag).over(w)).where("b IS NOT NULL")
-    left = later.select(KEY, ORDER, F.col("j").alias("i"), F.col("x").alias("a0"), F.col("b").alias("at"))
-    right = later.select(KEY, ORDER, "j", F.col("x").alias("b0"), F.col("b").alias("bt"))
-    return left.join(right, [KEY, ORDER]).groupBy(KEY, "i", "j").agg(F.covar_samp("a0", "b0").alias("c00"), F.covar_samp("at", "bt").alias("ctt"), F.covar_samp("a0", "bt").alias("c0t"))
+    features: (traj_id, frame, j, x). A frame's vector and the later one are one vector, whose second moments are partial matrices."""
+    rows, names = moments.vectors_of(features, KEY, ORDER)
+    later = F.lead("vector", lag).over(W.partitionBy(KEY).orderBy(ORDER))
+    both = rows.withColumn("later", later).where("later IS NOT NULL").select(KEY, F.concat("vector", "later").alias("vector"))
+    cov = moments.covariances(moments.second_moments(both, KEY, "vector"), KEY, 1).join(names, KEY)
+    d = F.size("names")
+    name = lambda c: F.col("names")[F.col(c) % d]
+    pick = lambda cond: F.max(F.when(cond, F.col("cov")))
+    early, late = F.col("a") < d, F.col("b") >= d
+    return cov.groupBy(KEY, name("a").alias("i"), name("b").alias("j")).agg(pick(early & ~late).alias("c00"), pick(~early & late).alias("ctt"), pick(early & late).alias("c0t"))
 
 
 def nearest_window(anchors: DataFrame, samples: DataFrame, radius: int, value: str = VALUE) -> DataFrame:

@@ -163,14 +163,14 @@ def _(spark, d):
 @R.add("m08_cross_correlation", "placed", """WITH c AS (SELECT p.traj_id, p.atom_id AS i, q.atom_id AS j, covar_pop(p.x,q.x)+covar_pop(p.y,q.y)+covar_pop(p.z,q.z) cov FROM placed p JOIN placed q ON p.traj_id=q.traj_id AND p.frame=q.frame AND p.atom_id <= q.atom_id GROUP BY ALL)
 SELECT c.traj_id, c.i, c.j, c.cov, greatest(-1.0, least(1.0, c.cov/sqrt(a.cov*b.cov))) v FROM c JOIN c a ON a.traj_id=c.traj_id AND a.i=c.i AND a.j=c.i JOIN c b ON b.traj_id=c.traj_id AND b.i=c.j AND b.j=c.j""", "cov v")
 def correlation(spark, d):
-    return dynamics.cross_correlation(ad.frame_atoms(spark, d))
+    return dynamics.cross_correlation(dense(spark, d))
 
 
 @R.add("m08_block_coupling", "placed chains", """WITH c AS (SELECT p.traj_id, p.atom_id AS i, q.atom_id AS j, covar_pop(p.x,q.x)+covar_pop(p.y,q.y)+covar_pop(p.z,q.z) cov FROM placed p JOIN placed q ON p.traj_id=q.traj_id AND p.frame=q.frame AND p.atom_id <= q.atom_id GROUP BY ALL),
 v AS (SELECT c.traj_id, c.i, c.j, greatest(-1.0, least(1.0, c.cov/sqrt(a.cov*b.cov))) v FROM c JOIN c a ON a.traj_id=c.traj_id AND a.i=c.i AND a.j=c.i JOIN c b ON b.traj_id=c.traj_id AND b.i=c.j AND b.j=c.j WHERE c.i < c.j)
 SELECT traj_id, least(x.role, y.role) block_1, greatest(x.role, y.role) block_2, avg(abs(v)) coupling, count(*) n_pairs FROM v JOIN (SELECT atom_id, role FROM atoms JOIN chains USING (chain_id)) x ON x.atom_id = v.i JOIN (SELECT atom_id, role FROM atoms JOIN chains USING (chain_id)) y ON y.atom_id = v.j GROUP BY ALL""", "coupling")
 def _(spark, d):
-    blocks = ad.atoms(spark).join(F.broadcast(ad.chains(spark)), "chain_id").select("atom_id", F.col("role").alias("block"))
+    blocks = ad.atoms(spark).join(ad.chains(spark), "chain_id").select("atom_id", F.col("role").alias("block"))
     return dynamics.block_coupling(correlation(spark, d), blocks)
 
 
@@ -181,9 +181,11 @@ def _(spark, d):
     return contacts.persistent_network(ad.frame_atoms(spark, d), correlation(spark, d).select("traj_id", "i", "j", "v"))
 
 
-@R.add("a28_bfactor_by_residue", "atoms", "SELECT chain_id, resid, avg(bfactor) AS mean, stddev_samp(bfactor) AS std, min(bfactor) AS \"min\", max(bfactor) AS \"max\", quantile_cont(bfactor, 0.5) median, count(bfactor) n FROM atoms GROUP BY ALL", "mean std median")
+@R.add("a28_bfactor_by_residue", "placed", "WITH b AS (SELECT traj_id, chain_id, resid, x*x + y*y + z*z b FROM placed) SELECT traj_id, chain_id, resid, avg(b) AS mean, stddev_samp(b) AS std, min(b) AS \"min\", max(b) AS \"max\", quantile_cont(b, 0.5) median, count(b) n FROM b GROUP BY ALL", "mean std min max median")
 def _(spark, d):
-    return summaries.describe(points(spark, d).where("traj_id = '0' AND frame = 0"), "bfactor", "chain_id", "resid")
+    """The squared distance to the origin stands for the factor: the views' own is a constant of the topology."""
+    p = points(spark, d).withColumn("b", F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return summaries.describe(p, "b", "traj_id", "chain_id", "resid")
 
 
 @R.add("a28_high_bfactor", "placed", "SELECT traj_id, frame, atom_id, x FROM placed WHERE x > (SELECT quantile_cont(x, 0.9) FROM placed)", "x")

@@ -41,7 +41,7 @@ def _(spark, d):
 @R.add("m10_network_communities")
 def _(spark, d):
     p = ad.frame_atoms(spark, d)
-    v = dynamics.cross_correlation(p).select("traj_id", "i", "j", "v")
+    v = dynamics.cross_correlation(dense(spark, d)).select("traj_id", "i", "j", "v")
     return rings.network_communities(contacts.persistent_network(p, v, share=0.5).where("i < j"))
 
 

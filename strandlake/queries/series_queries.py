@@ -103,11 +103,17 @@ def _(spark, d):
     return persistence.dwell_summary(dwells(spark, d))
 
 
-@R.add("j08_windowed_nearest", "series", """WITH s AS (SELECT * FROM series WHERE frame % 7 = 0), a AS (SELECT traj_id, frame FROM series WHERE frame % 2 = 1), i AS (SELECT a.traj_id, a.frame, avg(value) v FROM a JOIN s ON a.traj_id=s.traj_id AND abs(a.frame - s.frame) <= 2 GROUP BY ALL),
-n AS (SELECT a.traj_id, a.frame, arg_min(value, (abs(a.frame - s.frame), s.frame)) v FROM a JOIN s ON a.traj_id=s.traj_id GROUP BY ALL) SELECT n.traj_id, n.frame, coalesce(i.v, n.v) AS "value", i.v IS NOT NULL in_window FROM n LEFT JOIN i USING (traj_id, frame)""", "value")
+DAYS = "dy AS (SELECT CAST(user_id AS VARCHAR) traj_id, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INTEGER) frame, avg(value) AS \"value\" FROM events GROUP BY ALL)"
+
+
+@R.add("j08_windowed_nearest", "", "WITH " + DAYS + """, r AS (SELECT traj_id, min(frame) a, max(frame) b FROM dy GROUP BY 1), an AS (SELECT traj_id, CAST(unnest(range(a, b + 1)) AS INTEGER) frame FROM r), i AS (SELECT a.traj_id, a.frame, avg(value) v FROM an a JOIN dy s ON a.traj_id=s.traj_id AND abs(a.frame - s.frame) <= 2 GROUP BY ALL),
+n AS (SELECT a.traj_id, a.frame, arg_min(value, (abs(a.frame - s.frame), s.frame)) v FROM an a JOIN dy s ON a.traj_id=s.traj_id GROUP BY ALL) SELECT n.traj_id, n.frame, coalesce(i.v, n.v) AS "value", i.v IS NOT NULL in_window FROM n LEFT JOIN i USING (traj_id, frame)""", "value")
 def _(spark, d):
-    s = ser(spark, d)
-    return series.nearest_window(s.where("frame % 2 = 1"), s.where("frame % 7 = 0"), 2)
+    """Every day between a user's first and last one is an anchor, the days' means are the samples."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("int")
+    s = ad.table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("traj_id"), day.alias("frame")).agg(F.avg("value").alias("value"))
+    anchors = s.groupBy("traj_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select("traj_id", F.explode(F.sequence("a", "b")).alias("frame"))
+    return series.nearest_window(anchors, s, 2)
 
 
 @R.add("j06_align_series", "frames", "SELECT traj_id, round(frame*200.0, 6) AS \"time\", CAST(embedding[1] AS DOUBLE) a, CAST(embedding[2] AS DOUBLE) b FROM frames WHERE frame % 2 = 0", "a b")
@@ -139,10 +145,10 @@ def _(spark, d):
     return replicas.time_envelope(ser(spark, d), "traj_id", "value", (0.05, 0.5, 0.95))
 
 
-@R.add("a62_duplicate_series", "presence", "WITH a AS (SELECT traj_id, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame) v FROM presence WHERE pair_id = 'purchase' AND frame < 4 GROUP BY 1) SELECT count(*) AS n, min(traj_id) AS \"first\" FROM a GROUP BY v HAVING count(*) > 1")
+@R.add("a62_duplicate_series", "replicas", "WITH a AS (SELECT complex_id, string_agg(label, ',' ORDER BY run) v FROM replicas GROUP BY 1) SELECT count(*) AS n, min(complex_id) AS \"first\" FROM a GROUP BY v HAVING count(*) > 1")
 def _(spark, d):
-    p = ad.presence(spark, d).where("pair_id = 'purchase' AND frame < 4").select("traj_id", "frame", F.col("frame").cast("double").alias("value"))
-    return replicas.duplicate_series(p).withColumn("n", F.col("n").cast("long"))
+    """Complexes whose replicas have the same labels in the same order, from the first replica to the last."""
+    return replicas.duplicate_series(ad.replicas(spark, d), "complex_id", "run", "label").withColumn("n", F.col("n").cast("long"))
 
 
 @R.add("a58_spread_vs_band", "replicas", "WITH g AS (SELECT complex_id, max(crossing)-min(crossing) spread, quantile_cont(crossing, 0.95)-quantile_cont(crossing, 0.05) band, stddev_samp(crossing) sd FROM replicas WHERE crossing < 400000 GROUP BY 1 HAVING count(*) >= 2) SELECT complex_id, spread / nullif(band, 0) ratio, sd within_sd FROM g", "ratio within_sd")
@@ -293,7 +299,7 @@ def _(spark, d):
 
 @R.add("m21_kde_basins")
 def _(spark, d):
-    return landscape.kde_basins(cvs(spark, d), "cv1", "cv2")
+    return landscape.kde_basins(cvs(spark, d), "cv1", "cv2", most=4)
 
 
 @R.add("m22_substates")
