@@ -11,8 +11,8 @@ HELICES = (("alpha1_helix", 50, 86), ("alpha2_helix", 140, 176))
 
 def residue_semantics(residues: DataFrame, chains: DataFrame, regions: DataFrame) -> DataFrame:
     """Component, side, and region labels of (chain_id, resid): role by chain, loops and helices by residue interval."""
-    r = residues.join(F.broadcast(chains), "chain_id", "left").withColumnRenamed("role", "component")
-    loop = F.broadcast(regions.withColumnRenamed("chain_id", "_c"))
+    r = residues.join(chains, "chain_id", "left").withColumnRenamed("role", "component")
+    loop = regions.withColumnRenamed("chain_id", "_c")
     r = r.join(loop, (F.col("chain_id") == F.col("_c")) & F.col("resid").between(F.col("resid_start"), F.col("resid_end")), "left").drop("_c", "resid_start", "resid_end")
     tcr, hla = F.col("component").isin("TCR_alpha", "TCR_beta"), F.col("component") == "HLA_alpha"
     phla = F.col("component").isin("HLA_alpha", "beta2m", "peptide")
@@ -45,7 +45,7 @@ def annotate_pairs(pairs: DataFrame, semantics: DataFrame) -> DataFrame:
     out = pairs
     for t in ("1", "2"):
         side = semantics.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("resid").alias(f"resid_{t}"), *(F.col(c).alias(f"{c}_{t}") for c in semantics.columns[2:]))
-        out = out.join(F.broadcast(side), [f"chain_id_{t}", f"resid_{t}"], "left")
+        out = out.join(side, [f"chain_id_{t}", f"resid_{t}"], "left")
     one, two = F.col("complex_side_1") == "tcr", F.col("complex_side_2") == "tcr"
     single = F.coalesce(one, F.lit(False)) != F.coalesce(two, F.lit(False))
     pick = lambda name, receptor: F.when(single & one, F.col(f"{name}_{'1' if receptor else '2'}")).when(single & two, F.col(f"{name}_{'2' if receptor else '1'}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,34 +132,63 @@ def hydrogen_bonds(points: DataFrame, side_1: Column, side_2: Column, bond: floa
 
 
 def rrcs(points: DataFrame, pairs: DataFrame, full: float = 3.23, none: float = 4.63, backbone: tuple[str, ...] = ("N", "CA", "C", "O")) -> DataFrame:
-    """Residue-residue contact score of each specified pair in each frame: over heavy atom pairs, 1 up to ``full``, 0 from ``none``,
-    linear between. Near in sequence (same chain, under 5 apart) backbone atoms don't count, where both sides keep an atom.
-    ``pairs``: (chain_id_1, resid_1, chain_id_2, resid_2). Zero scores are kept."""
+    """Residue-residue contact score of each specified pair in each frame where it is above zero: over heavy atom pairs, 1 up to ``full``, 0 from
+    ``none``, linear between. Near in sequence (same chain, under 5 apart) backbone atoms don't count, where both sides keep an atom.
+    ``pairs``: (chain_id_1, resid_1, chain_id_2, resid_2); only atoms of their residues are searched."""
     res = ["chain_id", "resid"]
     heavy = points.where(F.col("element") != "H")
-    has_side = heavy.where(~F.col("name").isin(*backbone)).select(*res).distinct().withColumn("has", F.lit(True))
     spec = pairs.distinct()
+    of = lambda t: spec.select(F.col(f"chain_id_{t}").alias("chain_id"), F.col(f"resid_{t}").alias("resid")).distinct()
+    has_side = heavy.where(~F.col("name").isin(*backbone)).select(*res).distinct().withColumn("has", F.lit(True))
     for t in ("1", "2"):
-        spec = spec.join(F.broadcast(has_side.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("resid").alias(f"resid_{t}"), F.col("has").alias(f"has_{t}"))), [f"chain_id_{t}", f"resid_{t}"], "left")
+        spec = spec.join(has_side.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("resid").alias(f"resid_{t}"), F.col("has").alias(f"has_{t}")), [f"chain_id_{t}", f"resid_{t}"], "left")
     near = (F.col("chain_id_1") == F.col("chain_id_2")) & (F.abs(F.col("resid_1") - F.col("resid_2")) < 5)
     spec = spec.select(*RESIDUE_PAIR, F.coalesce(near & F.col("has_1") & F.col("has_2"), F.lit(False)).alias("side_only"))
     cols = ["traj_id", "frame", "chain_id", "resid", "name", "x", "y", "z"]
-    found = capped_pairs(heavy.select(cols), heavy.select(cols), none, strict=True).join(F.broadcast(spec), list(RESIDUE_PAIR))
+    one, two = (heavy.select(cols).join(of(t), res, "left_semi") for t in ("1", "2"))
+    found = capped_pairs(one, two, none, strict=True).join(spec, list(RESIDUE_PAIR))
     bb = F.col("name_1").isin(*backbone) | F.col("name_2").isin(*backbone)
     score = F.when(F.col("distance") <= full, 1.0).otherwise((F.lit(none) - F.col("distance")) / (none - full))
     sums = found.where(~(F.col("side_only") & bb)).groupBy("traj_id", "frame", *RESIDUE_PAIR).agg(F.sum(score).alias("score"))
-    frames = points.select("traj_id", "frame").distinct()
-    return frames.crossJoin(F.broadcast(spec.drop("side_only"))).join(sums, ["traj_id", "frame", *RESIDUE_PAIR], "left").na.fill(0.0, ["score"])
+    return sums.where("score > 0")
 
 
-def rrcs_summary(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("traj_id", *RESIDUE_PAIR).agg(
-        F.avg("score").alias("mean_rrcs"),
-        F.median("score").alias("median_rrcs"),
-        F.max("score").alias("max_rrcs"),
-        F.count_if(F.col("score") > 0).alias("nonzero_frames"),
-        F.avg((F.col("score") > 0).cast("double")).alias("nonzero_fraction"),
-    )
+def with_zeros(scores: DataFrame, frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every frame (traj_id, frame) with every specified pair, 0 where there is no score: the full table, for those who want it written out."""
+    every = frames.select("traj_id", "frame", F.lit(1).alias("_all")).join(pairs.distinct().withColumn("_all", F.lit(1)), "_all").drop("_all")
+    return every.join(scores, ["traj_id", "frame", *RESIDUE_PAIR], "left").na.fill(0.0, ["score"])
+
+
+def rrcs_summary(scores: DataFrame, n_frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of each trajectory and specified pair, from scores above zero alone: ``n_frames`` (traj_id, total_frames) says how many zeros there are."""
+    g = scores.groupBy("traj_id", *RESIDUE_PAIR).agg(F.sum("score").alias("s"), F.sort_array(F.collect_list("score")).alias("v"), F.count("*").alias("nonzero_frames"))
+    every = n_frames.withColumn("_all", F.lit(1)).join(pairs.distinct().withColumn("_all", F.lit(1)), "_all").drop("_all").join(g, ["traj_id", *RESIDUE_PAIR], "left")
+    k, n = F.coalesce("nonzero_frames", F.lit(0)), F.col("total_frames")
+    # the scores sorted behind n - k zeros: the two middle places
+    place = lambda i: F.when(i < n - k, 0.0).otherwise(F.get("v", (i - (n - k)).cast("int")))
+    median = (place(F.floor((n - 1) / 2)) + place(F.floor(n / 2))) / 2
+    return every.select(
+        "traj_id", *RESIDUE_PAIR, (F.coalesce("s", F.lit(0.0)) / n).alias("mean_rrcs"), median.alias("median_rrcs"), F.coalesce(F.element_at("v", -1), F.lit(0.0)).alias("max_rrcs"),
+        k.cast("long").alias("nonzero_frames"), (k / n).alias("nonzero_fraction"),
+    )
+
+
+# Radii of the elements, in angstrom.
+RADII = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "H": 1.2}
+
+
+def sphere_burial(points: DataFrame, probe: float = 1.4, other: float = 1.5) -> DataFrame:
+    """Surface of all atoms' spheres, what overlapping pairs bury of it (the smaller sphere's surface times the overlap's share of both radii), and the rest, per frame."""
+    radius = F.coalesce(F.create_map(*(F.lit(x) for kv in RADII.items() for x in kv))[F.col("element")], F.lit(other)) + probe
+    p = points.select(*KEYS, "atom_id", "x", "y", "z", radius.alias("r"))
+    total = p.groupBy(*KEYS).agg((4 * math.pi * F.sum(F.col("r") * F.col("r"))).alias("total_area"), F.count("*").alias("n_atoms"))
+    reach = 2 * (max(*RADII.values(), other) + probe)
+    both = F.col("r_1") + F.col("r_2")
+    smaller = F.least("r_1", "r_2")
+    pairs = capped_pairs(p, p, reach, strict=True).where("atom_id_1 < atom_id_2").where(F.col("distance") < both)
+    buried = pairs.groupBy(*KEYS).agg(F.sum(4 * math.pi * smaller * smaller * (both - F.col("distance")) / both).alias("buried_area"))
+    out = total.join(buried, list(KEYS), "left").withColumn("buried_area", F.coalesce("buried_area", F.lit(0.0)))
+    return out.select(*KEYS, "n_atoms", "total_area", "buried_area", F.greatest(F.lit(0.0), F.col("total_area") - F.col("buried_area")).alias("accessible_area"), (F.col("buried_area") / F.col("total_area")).alias("burial_fraction"))
 
 
 def atom_contact_map(points: DataFrame, cutoff: float = 8.0) -> DataFrame:
@@ -195,7 +226,7 @@ def long_range(contact_map: DataFrame, residues: DataFrame, separation: int = 5)
     index = residues.select("chain_id", "resid").distinct().withColumn("i", F.dense_rank().over(W.orderBy("chain_id", "resid")))
     out = contact_map
     for t in ("1", "2"):
-        out = out.join(F.broadcast(index.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("resid").alias(f"resid_{t}"), F.col("i").alias(f"i_{t}"))), [f"chain_id_{t}", f"resid_{t}"])
+        out = out.join(index.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("resid").alias(f"resid_{t}"), F.col("i").alias(f"i_{t}")), [f"chain_id_{t}", f"resid_{t}"])
     return out.where(F.col("i_2") - F.col("i_1") >= separation)
 
 

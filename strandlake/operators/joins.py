@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def static_features(pairs: DataFrame, regions: DataFrame, hotspot: float) -> DataFrame:
     """Long features of a trajectory: occupancy summed by loop region, and one feature per pair of at least ``hotspot`` frequency."""
-    g = F.broadcast(regions.withColumnRenamed("chain_id", "_c"))
+    g = regions.withColumnRenamed("chain_id", "_c")
     by = pairs.join(g, (F.col("chain_id_2") == F.col("_c")) & F.col("resid_2").between(F.col("resid_start"), F.col("resid_end")), "left")
     sums = by.groupBy("traj_id", F.coalesce("region", F.lit("none")).alias("feature")).agg(F.sum("contact_frequency").alias("value"))
     name = F.concat(F.lit("hot_"), "chain_id_1", F.col("resid_1").cast("string"), F.lit("_"), "chain_id_2", F.col("resid_2").cast("string"))

@@ -48,7 +48,7 @@ def mutation_candidates(spots: DataFrame, suggestions: DataFrame, most: int = 8,
         .when((F.col("side") == "tcr") & (F.col("region") == "cdr3"), "CDR3 affinity / specificity")
         .when(F.col("side") == "hla", "HLA contact / restriction")
     )
-    j = spots.withColumn("candidate_type", kind).where("candidate_type IS NOT NULL").join(F.broadcast(suggestions), "resname", "left")
+    j = spots.withColumn("candidate_type", kind).where("candidate_type IS NOT NULL").join(suggestions, "resname", "left")
     text = F.coalesce("suggestion", F.lit("Ala scan"))
     order = W.partitionBy(key).orderBy(F.desc("score"), "chain_id", "resid")
     return j.withColumns({"suggestion": text, "rank": F.row_number().over(order)}).where(F.col("rank") <= most)
@@ -141,7 +141,7 @@ def grouped_pairs(pairs: DataFrame, roles: DataFrame, most: int = 12, key: str =
     roles: (chain_id, role), a row per chain."""
     j = pairs
     for t in ("1", "2"):
-        j = j.join(F.broadcast(roles.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("role").alias(f"role_{t}"))), f"chain_id_{t}", "left")
+        j = j.join(roles.select(F.col("chain_id").alias(f"chain_id_{t}"), F.col("role").alias(f"role_{t}")), f"chain_id_{t}", "left")
     j = j.withColumn("group", pair_group(F.col("role_1"), F.col("role_2"))).where("group IS NOT NULL AND contact_frequency > 0")
     longest = F.try_divide(F.col("max_consecutive_frames").cast("double"), F.col("total_frames").cast("double"))
     order = W.partitionBy(key, "interaction_family").orderBy(F.round("contact_frequency", 9).desc(), "chain_id_1", "resid_1", "chain_id_2", "resid_2")

@@ -108,7 +108,7 @@ def icc(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
 def tukey_fences(df: DataFrame, value: str, stratum: str, k: float = 1.5, far: float = 3.0, least: int = 8, two_sided: bool = True) -> DataFrame:
     """Rows outside the quartile fences of their stratum, if it has at least ``least`` rows; ``far``: beyond the outer fence."""
     q = distribution(df, value, stratum).where(F.col("n") >= least).select(stratum, "p25", "p75")
-    j = df.join(F.broadcast(q), stratum)
+    j = df.join(q, stratum)
     iqr, v = F.col("p75") - F.col("p25"), F.col(value)
     out = lambda m: (v > F.col("p75") + m * iqr) | ((v < F.col("p25") - m * iqr) if two_sided else F.lit(False))
     return j.where(out(k)).withColumn("far", out(far)).drop("p25", "p75")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions.labels import stability_label
+from strandlake.session import materialize
 
 
 def pair_occupancy(report: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def peptide_positions(contacts: DataFrame, rmsf: DataFrame, hbonds: DataFrame, l
 
     contacts: (key, resid_1, chain_id_2, resid_2, contact_frequency); rmsf: (key, resid, rmsf); hbonds: (key, resid, contact_frequency);
     loops: (chain_id, resid) of the third loops."""
-    in_loop = F.broadcast(loops.select(F.col("chain_id").alias("chain_id_2"), F.col("resid").alias("resid_2"), F.lit(True).alias("_l")).distinct())
+    in_loop = loops.select(F.col("chain_id").alias("chain_id_2"), F.col("resid").alias("resid_2"), F.lit(True).alias("_l")).distinct()
     c = contacts.join(in_loop, ["chain_id_2", "resid_2"], "left").groupBy(key, F.col("resid_1").alias("resid")).agg(
         F.max("contact_frequency").alias("tcr_contact"),
         F.max(F.when(F.col("_l"), F.col("contact_frequency"))).alias("cdr3_contact"),
@@ -221,9 +222,25 @@ def describe(df: DataFrame, value: str, *keys: str, std: str = "samp") -> DataFr
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), f(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("median"), F.count(value).alias("n"))
 
 
+def exact_quantiles(rows: DataFrame, name: str, value: str, qs: tuple[float, ...]) -> DataFrame:
+    """(name, q, value): exact interpolated quantiles of each name's values, however many: rows are sorted into ranges, counted a range, and only the
+    ranges that hold a wanted rank are numbered."""
+    sorted_ = rows.where(F.col(value).isNotNull()).select(F.col(name).alias("name"), F.col(value).cast("double").alias("v")).repartitionByRange("name", "v")
+    placed = materialize(sorted_.withColumn("part", F.spark_partition_id()), "sorted")
+    counts = placed.groupBy("name", "part").agg(F.count("*").alias("n"))
+    w = W.partitionBy("name")
+    ranges = counts.withColumns({"before": F.sum("n").over(w.orderBy("part")) - F.col("n"), "total": F.sum("n").over(w)})
+    wanted = ranges.withColumn("q", F.explode(F.array(*map(F.lit, qs)))).withColumn("rank", F.col("q") * (F.col("total") - 1))
+    wanted = wanted.withColumn("place", F.explode(F.array(F.floor("rank"), F.ceil("rank")))).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
+    wanted = wanted.select("name", "part", "q", "rank", "place", (F.col("place") - F.col("before") + 1).alias("i")).distinct()
+    numbered = placed.join(wanted.select("name", "part").distinct(), ["name", "part"], "left_semi").withColumn("i", F.row_number().over(W.partitionBy("name", "part").orderBy("v")).cast("long"))
+    found = wanted.join(numbered, ["name", "part", "i"]).groupBy("name", "q", "rank").agg(F.min_by("v", "place").alias("lo"), F.max_by("v", "place").alias("hi"))
+    return found.select(F.col("name").alias(name), "q", (F.col("lo") + (F.col("rank") - F.floor("rank")) * (F.col("hi") - F.col("lo"))).alias("value"))
+
+
 def above_percentile(df: DataFrame, value: str, q: float = 0.9) -> DataFrame:
     """Rows above the exact percentile of all rows."""
-    limit = df.agg(F.percentile(value, F.lit(q)).alias("_limit"))  # one row
+    limit = exact_quantiles(df.select(F.lit("all").alias("name"), value), "name", value, (q,)).select(F.col("value").alias("_limit"))  # one row
     return df.crossJoin(F.broadcast(limit)).where(F.col(value) > F.col("_limit")).drop("_limit")
 
 

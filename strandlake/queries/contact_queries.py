@@ -78,8 +78,10 @@ def _(spark, d):
     return annotate.residue_semantics(res, ad.chains(spark), ad.regions(spark))
 
 
-@R.add("j04_capped_distance_join", "placed", """SELECT p.traj_id, p.frame, p.atom_id atom_id_1, q.atom_id atom_id_2, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) distance
-  FROM placed p JOIN placed q USING (traj_id, frame) WHERE p.chain_id IN ('A','B','C') AND q.chain_id IN ('D','E') AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) <= 4.0""", "distance")
+@R.add("j04_capped_distance_join", "placed", """WITH pa AS MATERIALIZED (SELECT traj_id, frame, atom_id, chain_id, x, y, z FROM placed),
+b AS (SELECT traj_id, frame, list({'a': atom_id, 'x': x, 'y': y, 'z': z}) FILTER (WHERE chain_id IN ('D','E')) q, list({'a': atom_id, 'x': x, 'y': y, 'z': z}) FILTER (WHERE chain_id IN ('A','B','C')) p FROM pa GROUP BY ALL),
+u AS (SELECT traj_id, frame, p, unnest(q) q FROM b), v AS (SELECT traj_id, frame, q, unnest(p) p FROM u)
+SELECT traj_id, frame, p.a atom_id_1, q.a atom_id_2, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) distance FROM v WHERE (p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z) <= 16.0""", "distance")
 def _(spark, d):
     p = ad.placed_atoms(spark, d).select("traj_id", "frame", "chain_id", "atom_id", "x", "y", "z")
     return contacts.capped_pairs(p.where(phla()), p.where(tcr()), 4.0).select("traj_id", "frame", "atom_id_1", "atom_id_2", "distance")
@@ -122,27 +124,33 @@ ss AS (SELECT traj_id, frame, chain_id_1, resid_1, chain_id_2, resid_2, sum(CASE
 rr AS (SELECT fr.traj_id, fr.frame, spec.*, coalesce(score, 0.0) score FROM fr CROSS JOIN spec LEFT JOIN ss USING (traj_id, frame, chain_id_1, resid_1, chain_id_2, resid_2))"""
 
 
-def rrcs(spark, d):
+def rrcs_pairs(spark):
     res = ad.residues(spark)
     one = res.where("chain_id = 'C'").select(F.col("chain_id").alias("chain_id_1"), F.col("resid").alias("resid_1"))
     two = res.where("chain_id IN ('D', 'E')").select(F.col("chain_id").alias("chain_id_2"), F.col("resid").alias("resid_2"))
-    return contacts.rrcs(ad.placed_atoms(spark, d), one.crossJoin(F.broadcast(two)))
+    return one.withColumn("_all", F.lit(1)).join(two.withColumn("_all", F.lit(1)), "_all").drop("_all")
+
+
+def rrcs_means(spark, d):
+    p, pairs = ad.placed_atoms(spark, d), rrcs_pairs(spark)
+    return contacts.rrcs_summary(contacts.rrcs(p, pairs), ad.frames(spark, d).groupBy("traj_id").agg(F.count("*").alias("total_frames")), pairs)
 
 
 @R.add("c07_rrcs_per_frame", "placed residues", RRCS_SQL + " SELECT * FROM rr", "score")
 def _(spark, d):
-    return rrcs(spark, d)
+    pairs = rrcs_pairs(spark)
+    return contacts.with_zeros(contacts.rrcs(ad.placed_atoms(spark, d), pairs), ad.frames(spark, d), pairs)
 
 
 @R.add("c08_rrcs_summary", "placed residues", RRCS_SQL + """ SELECT traj_id, chain_id_1, resid_1, chain_id_2, resid_2, avg(score) mean_rrcs, quantile_cont(score, 0.5) median_rrcs, max(score) max_rrcs, count(*) FILTER (WHERE score > 0) nonzero_frames, avg(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END) nonzero_fraction FROM rr GROUP BY ALL""", "mean_rrcs median_rrcs max_rrcs nonzero_fraction")
 def _(spark, d):
-    return contacts.rrcs_summary(rrcs(spark, d))
+    return rrcs_means(spark, d)
 
 
 @R.add("c09_rrcs_regions", "placed residues chains regions", RRCS_SQL + """, m AS (SELECT chain_id_1, resid_1, chain_id_2, resid_2, traj_id, avg(score) s FROM rr GROUP BY ALL)
 SELECT m.traj_id, m.chain_id_2 chain_id, g.region, count(*) n_pairs, sum(s) total_rrcs, max(s) max_rrcs FROM m LEFT JOIN regions g ON m.chain_id_2=g.chain_id AND m.resid_2 BETWEEN g.resid_start AND g.resid_end GROUP BY ALL""", "total_rrcs max_rrcs")
 def _(spark, d):
-    mean = contacts.rrcs_summary(rrcs(spark, d))
+    mean = rrcs_means(spark, d)
     g = ad.regions(spark).withColumnRenamed("chain_id", "_c")
     j = mean.join(F.broadcast(g), (F.col("chain_id_2") == F.col("_c")) & F.col("resid_2").between(F.col("resid_start"), F.col("resid_end")), "left")
     return j.groupBy("traj_id", F.col("chain_id_2").alias("chain_id"), "region").agg(F.count("*").alias("n_pairs"), F.sum("mean_rrcs").alias("total_rrcs"), F.max("mean_rrcs").alias("max_rrcs"))
