@@ -97,15 +97,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three orders of each customer, as replicas of a complex."""
+    """All orders of each customer, as replicas of a complex, numbered in order of time."""
     t = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region")}
-    first = (
-        t["orders"]
-        .withColumn("run", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-        .where("run <= 3")
-    )
+    numbered = t["orders"].withColumn("run", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
     return (
-        first.join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        numbered.join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
@@ -170,9 +166,9 @@ ADAPTER_SQL = {
     ),
     "replicas": (
         (),
-        """SELECT * FROM (SELECT o.o_custkey complex_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) run,
+        """SELECT o.o_custkey complex_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) run,
         o.o_totalprice crossing, o.o_orderpriority label, (o.o_orderstatus='F') reversed_polarity, c.c_mktsegment grp, n.n_name host, r.r_name locus
-        FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey JOIN nation n ON c.c_nationkey=n.n_nationkey JOIN region r ON n.n_regionkey=r.r_regionkey) WHERE run<=3""",
+        FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey JOIN nation n ON c.c_nationkey=n.n_nationkey JOIN region r ON n.n_regionkey=r.r_regionkey""",
     ),
     "contacts": (
         (),

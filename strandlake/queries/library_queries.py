@@ -120,10 +120,10 @@ def _(spark, d):
     return coupling_agreement(reps(spark, d).withColumn("nmi", F.col("crossing") / 400000.0), limit=0.4)
 
 
-@R.add("a57_icc", "replicas", """WITH g AS (SELECT complex_id, avg(crossing) m, var_pop(crossing) v FROM replicas GROUP BY 1 HAVING count(*) = 3), s AS (SELECT count(*) groups, 3*var_samp(m) msb, avg(v)*3/2 msw FROM g)
+@R.add("a57_icc", "replicas", """WITH g AS (SELECT complex_id, avg(crossing) m, var_pop(crossing) v FROM replicas WHERE run <= 3 GROUP BY 1 HAVING count(*) = 3), s AS (SELECT count(*) groups, 3*var_samp(m) msb, avg(v)*3/2 msw FROM g)
 SELECT groups, (msb-msw)/(msb+2*msw) icc1, (msb-msw)/msb icck FROM s""", "icc1 icck")
 def _(spark, d):
-    return replicas.icc(reps(spark, d), "crossing", "complex_id", 3)
+    return replicas.icc(reps(spark, d).where("run <= 3"), "crossing", "complex_id", 3)
 
 
 @R.add("a59_tukey_fences", "replicas", """WITH q AS (SELECT host, quantile_cont(crossing, 0.25) a, quantile_cont(crossing, 0.75) b FROM replicas GROUP BY 1 HAVING count(*) >= 8)
@@ -226,9 +226,9 @@ def _(spark, d):
     return compared(spark, d).where("delta IS NOT NULL").agg(F.max_by(F.struct("metric", "delta"), F.abs("delta")).alias("m")).select("m.metric", "m.delta")
 
 
-@R.add("k05_comparability", "replicas", "WITH s AS (SELECT complex_id, max(crossing)-min(crossing) sp, stddev_pop(crossing) va, count(*) n FROM replicas GROUP BY 1) SELECT a.complex_id, CASE WHEN least(a.sp, b.sp)/greatest(a.sp, b.sp) >= 0.8 AND least(a.va, b.va)/greatest(a.va, b.va) >= 0.7 THEN 'comparable' ELSE 'caution' END label FROM s a JOIN s b ON b.complex_id = a.complex_id + 1 WHERE a.n = 3 AND b.n = 3")
+@R.add("k05_comparability", "replicas", "WITH s AS (SELECT complex_id, max(crossing)-min(crossing) sp, stddev_pop(crossing) va, count(*) n FROM replicas WHERE run <= 3 GROUP BY 1) SELECT a.complex_id, CASE WHEN least(a.sp, b.sp)/greatest(a.sp, b.sp) >= 0.8 AND least(a.va, b.va)/greatest(a.va, b.va) >= 0.7 THEN 'comparable' ELSE 'caution' END label FROM s a JOIN s b ON b.complex_id = a.complex_id + 1 WHERE a.n = 3 AND b.n = 3")
 def _(spark, d):
-    s = reps(spark, d).groupBy("complex_id").agg((F.max("crossing") - F.min("crossing")).alias("sp"), F.stddev_pop("crossing").alias("va"), F.count("*").alias("n")).where("n = 3")
+    s = reps(spark, d).where("run <= 3").groupBy("complex_id").agg((F.max("crossing") - F.min("crossing")).alias("sp"), F.stddev_pop("crossing").alias("va"), F.count("*").alias("n")).where("n = 3")
     b = s.select((F.col("complex_id") - 1).alias("complex_id"), F.col("sp").alias("sp2"), F.col("va").alias("va2"))
     ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
     return s.join(b, "complex_id").select("complex_id", F.when((ratio("sp", "sp2") >= 0.8) & (ratio("va", "va2") >= 0.7), "comparable").otherwise("caution").alias("label"))
