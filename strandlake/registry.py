@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.queries import contact_queries, library_queries, motion_queries, profile_queries, ring_queries, series_queries, source_queries
+from strandlake.queries import contact_queries, library_queries, motion_queries, profile_queries, ring_queries, series_queries, source_queries, structure_queries
 
-ALL = ring_queries.R | profile_queries.R | source_queries.R | contact_queries.R | library_queries.R | series_queries.R | motion_queries.R
+ALL = ring_queries.R | profile_queries.R | source_queries.R | contact_queries.R | library_queries.R | series_queries.R | motion_queries.R | structure_queries.R
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
