@@ -4,45 +4,48 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from strandlake.kernels.neighbours import pairs_within
 
 KEYS = ("traj_id", "frame")
 
 
 def capped_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False, keys: tuple[str, ...] = KEYS, box: tuple[float, float, float] | None = None) -> DataFrame:
-    """Pairs of points of the same ``keys`` at a distance of at most ``cutoff`` (below it if ``strict``).
-
-    Space is binned into cells as wide as the cutoff; the right side, which should be the smaller, is copied into the 27 cells
-    around its own, so the join is on keys and cell alone and no frame is ever crossed with itself. With a periodic
-    ``box``, cells wrap and the nearest image counts. Columns become ``<name>_1`` and ``<name>_2`` beside the keys."""
-    cells = [max(1, int(b // cutoff)) if box else None for b in (box or (0, 0, 0))]
-    width = [b / n if box else cutoff for b, n in zip(box or (0, 0, 0), cells)]
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*keys, *(F.col(c).alias(f"{c}_{tag}") for c in df.columns if c not in keys))
-
-    def cell(axis: str, tag: str, i: int) -> Column:
-        c = F.floor(F.col(f"{axis}_{tag}") / width[i])
-        return F.pmod(c, F.lit(cells[i])) if box else c
-
-    a = side(left, "1").withColumns({f"_c{i}": cell(x, "1", i) for i, x in enumerate("xyz")})
-    around = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(t, "abc"))) for t in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    b = side(right, "2").withColumn("_o", F.explode(around))
-    for i, (x, o) in enumerate(zip("xyz", "abc")):
-        c = cell(x, "2", i) + F.col(f"_o.{o}")
-        b = b.withColumn(f"_c{i}", F.pmod(c, F.lit(cells[i])) if box else c)
-    b = b.drop("_o")
-    if box and min(cells) < 3:  # several shifts then wrap to one cell
-        b = b.dropDuplicates()
-    square = F.lit(0.0)
-    for i, x in enumerate("xyz"):
-        d = F.col(f"{x}_1") - F.col(f"{x}_2")
-        if box:
-            d = d - F.round(d / box[i]) * box[i]
-        square = square + d * d
-    joined = a.join(b, [*keys, "_c0", "_c1", "_c2"]).withColumn("distance", F.sqrt(square)).drop("_c0", "_c1", "_c2")
-    return joined.where(F.col("distance") < cutoff if strict else F.col("distance") <= cutoff)
+    """Pairs of points of the same ``keys`` at a distance of at most ``cutoff`` (below it if ``strict``), with a periodic ``box`` by nearest image.
+
+    A frame is the atoms of one structure: both sides move once, by their keys, no point is copied, and a frame's task sweeps through its points.
+    Columns become ``<name>_1`` and ``<name>_2`` beside the keys."""
+    sides = []
+    for df, tag in ((left, "1"), (right, "2")):
+        own = [c for c in df.columns if c not in keys]
+        sides.append((df.select(*keys, F.struct(*own).alias(f"s{tag}")), [T.StructField(f"{c}_{tag}", df.schema[c].dataType) for c in own]))
+    (a, fields_1), (b, fields_2) = sides
+    schema = T.StructType([*(left.schema[k] for k in keys), *fields_1, *fields_2, T.StructField("distance", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    names = [[f.name for f in fields] for fields in (fields_1, fields_2)]
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        points = []
+        for tag in "12":
+            s = t[f"s{tag}"].combine_chunks().drop_null()
+            points.append((s, np.stack([s.field(x).to_numpy(zero_copy_only=False) for x in "xyz"], 1)))
+        (s1, x1), (s2, x2) = points
+        i, j, d = pairs_within(x1, x2, cutoff, strict, box)
+        columns = [pa.array([t[k][0].as_py()] * len(d), t.schema.field(k).type) for k in keys]
+        for s, at in ((s1, i), (s2, j)):
+            s = s.take(pa.array(at, pa.int64()))
+            columns += [s.field(k) for k in range(s.type.num_fields)]
+        return pa.Table.from_arrays([*columns, pa.array(d)], names=[*keys, *names[0], *names[1], "distance"]).cast(arrow)
+
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.groupBy(*keys).applyInArrow(search, schema)
 
 
 RESIDUE_PAIR = ("chain_id_1", "resid_1", "chain_id_2", "resid_2")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.functions import statistics
+
 
 def receptor_report(pairs: DataFrame) -> DataFrame:
     """Rows with one receptor side, as receptor and partner columns; the longest run as a share of all frames."""
@@ -129,6 +135,52 @@ def two_samples(df: DataFrame, value: str, is_first: Column, *keys: str) -> Data
     )
 
 
+def two_sample_tests(df: DataFrame, value: str, is_first: Column, *keys: str) -> DataFrame:
+    """``two_samples`` with two-sided p-values: of Welch's t, and of the rank sum by its normal limit, corrected for ties and continuity."""
+    v = df.select(*keys, F.col(value).alias("v"), is_first.alias("f")).where("v IS NOT NULL AND f IS NOT NULL")
+    ties = v.groupBy(*keys, "v").agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    s = two_samples(df, value, is_first, *keys).join(ties, list(keys))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n, mu = n1 + n2, n1 * n2 / 2
+    spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.when(spread > 0, F.greatest(F.lit(0.0), F.abs(F.col("u") - mu) - 0.5) / spread)
+    return s.withColumns({"welch_p": statistics.student_p(F.col("welch_t"), F.col("welch_df")), "u_p": statistics.normal_p(z)}).drop("ties")
+
+
+def bootstrap_mean(df: DataFrame, value: str, key: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(key, mean, low, high): the mean and its bootstrap interval.
+
+    Each draw takes a Poisson number of copies of each distinct value, seeded by key and value, so the interval does not depend on how rows are dealt. Tasks send sums of
+    all draws, one row a key."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    seeded = counts.withColumn("s", F.xxhash64(F.lit(seed), "k", "v"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = None
+        for b in batches:
+            kind = b["k"].type
+            for k, v, n, s in zip(*(b[c].to_pylist() for c in ("k", "v", "n", "s"))):
+                copies = np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF).poisson(n, draws)
+                x = sums.setdefault(k, np.zeros((4, draws)))
+                x += (copies * v, copies, np.full(draws, n * v), np.full(draws, n))
+        if sums:
+            lists = [pa.array([x[i] for x in sums.values()], pa.list_(pa.float64())) for i in (0, 1)]
+            totals = [pa.array([x[i, 0] for x in sums.values()]) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), *lists, *totals], ["k", "total", "copies", "sum", "n"])
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def close(t: pa.Table) -> pa.Table:
+        total, copies = (np.stack([x.values.to_numpy() for x in t[c]]).sum(0) for c in ("total", "copies"))
+        means = total[copies > 0] / copies[copies > 0]
+        low, high = np.percentile(means, [50 - 50 * level, 50 + 50 * level])
+        return pa.table({"k": t["k"].slice(0, 1), "mean": [sum(t["sum"].to_pylist()) / sum(t["n"].to_pylist())], "low": [float(low)], "high": [float(high)]})
+
+    sums = seeded.mapInArrow(draw, f"k {kind}, total array<double>, copies array<double>, sum double, n double")
+    return sums.groupBy("k").applyInArrow(close, f"k {kind}, mean double, low double, high double").withColumnRenamed("k", key)
+
+
 def pair_group(role_1: Column, role_2: Column) -> Column:
     """anchor (peptide and heavy chain), specificity (peptide and receptor), restriction (heavy chain and receptor), else null."""
     key = F.array_join(F.array_sort(F.array(role_1, role_2)), "+")

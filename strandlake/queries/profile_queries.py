@@ -100,6 +100,16 @@ def _(spark, d):
     return profiles.two_samples(ad.replicas(spark, d), "crossing", F.col("reversed_polarity"), "grp")
 
 
+@R.add("m28_p_values")
+def _(spark, d):
+    return profiles.two_sample_tests(ad.replicas(spark, d), "crossing", F.col("reversed_polarity"), "grp").select("grp", "n1", "n2", "welch_p", "u_p")
+
+
+@R.add("m28_mean_intervals")
+def _(spark, d):
+    return profiles.bootstrap_mean(ad.replicas(spark, d), "crossing", "grp")
+
+
 @R.add("x05_effect_words", "replicas", "WITH e AS (SELECT complex_id, run, crossing/400000.0 - 0.3 d FROM replicas) SELECT complex_id, run, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END word, CASE WHEN abs(d) < 0.001 THEN '***' WHEN abs(d) < 0.01 THEN '**' WHEN abs(d) < 0.05 THEN '*' ELSE 'ns' END stars FROM e")
 def _(spark, d):
     x = F.col("crossing") / 400000.0 - 0.3

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import statistics
 from strandlake.kernels import linear
-from strandlake.operators import dynamics, geometry, landscape, library, moments, rings, series, summaries
+from strandlake.operators import dynamics, geometry, landscape, library, moments, profiles, rings, series, summaries
 
 RNG = np.random.default_rng(20)
 SHAPES = {"a": (37, 6), "b": (64, 6), "c": (11, 6)}
@@ -424,3 +424,27 @@ def test_alignments_and_best_matches(spark):
     out = library.best_matches(spark.createDataFrame(queries, "query_id long, sequence string"), spark.createDataFrame(refs, "allele string, locus string, sequence string"), top=1)
     best = {r["query_id"]: (r["allele"], round(r["identity"], 3), r["confidence"]) for r in out.collect()}
     assert best == {1: ("R*0", 1.0, "high"), 2: ("R*1", 1.0, "high"), 3: ("R*0", 1.0, "high"), 5: ("R*2", round(8 / 9, 3), "low")}
+
+
+def test_two_sample_tests_and_intervals(spark):
+    a, b = np.round(RNG.normal(size=60), 1), np.round(RNG.normal(size=45) + 0.4, 1)
+    rows = [("g", float(v), True) for v in a] + [("g", float(v), False) for v in b] + [("h", 1.0, True), ("h", 1.0, True), ("h", 1.0, False), ("h", None, False)]
+    df = spark.createDataFrame(rows, "grp string, v double, first boolean").repartition(5)
+    got = {r["grp"]: r for r in profiles.two_sample_tests(df, "v", F.col("first"), "grp").collect()}
+    every = np.concatenate([a, b])
+    rank = np.array([(every < x).sum() + ((every == x).sum() + 1) / 2 for x in every])
+    u = rank[:60].sum() - 60 * 61 / 2
+    ties = sum(c**3 - c for c in np.unique(every, return_counts=True)[1])
+    n = len(every)
+    z = (abs(u - 60 * 45 / 2) - 0.5) / math.sqrt(60 * 45 / 12 * (n + 1 - ties / (n * (n - 1))))
+    assert got["g"]["u"] == u and got["g"]["u_p"] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9)
+    se = a.var(ddof=1) / 60, b.var(ddof=1) / 45
+    t, k = (a.mean() - b.mean()) / math.sqrt(sum(se)), sum(se) ** 2 / (se[0] ** 2 / 59 + se[1] ** 2 / 44)
+    x = np.linspace(math.atan(abs(t) / math.sqrt(k)), math.pi / 2, 200_001)
+    p = 2 * np.trapezoid(np.cos(x) ** (k - 1), x) * math.exp(math.lgamma((k + 1) / 2) - math.lgamma(k / 2)) / math.sqrt(math.pi)
+    assert got["g"]["welch_p"] == pytest.approx(p, rel=1e-5) and got["h"]["u_p"] is None
+    one, two = (sorted(profiles.bootstrap_mean(df.repartition(m), "v", "grp").collect()) for m in (1, 6))
+    assert [(r["grp"], r["mean"]) for r in one] == [("g", pytest.approx(every.mean())), ("h", 1.0)]
+    assert [tuple(r) for r in one] == [(r["grp"], pytest.approx(r["mean"]), pytest.approx(r["low"]), pytest.approx(r["high"])) for r in two]
+    spread = 1.96 * every.std() / math.sqrt(n)
+    assert (one[0]["low"], one[0]["high"]) == (pytest.approx(every.mean() - spread, abs=0.25 * spread), pytest.approx(every.mean() + spread, abs=0.25 * spread))
