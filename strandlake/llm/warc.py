@@ -225,11 +225,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         found = materialize(found, "records")
     target = found.where("type <> 'revisit'").groupBy(F.col("name").alias("refers")).agg(F.min(F.struct("bytes", "digest")).alias("t"))
     plain = lambda c: F.url_decode(F.substring_index(c, ":", 1))
+    own = found.where("type <> 'revisit'").select(plain("name").alias("name"), "type", F.when(F.col("refers") != "", plain("refers")).alias("refers_name"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
     # one response may be referred to by a third of all records: only the response's few columns are looked up
-    return found.join(target, "refers", "left").select(
-        plain("name").alias("name"),
-        "type",
-        F.when(F.col("refers") != "", plain("refers")).alias("refers_name"),
-        F.when(F.col("type") == "revisit", F.col("t.bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(F.col("type") == "revisit", F.col("t.digest")).otherwise(F.col("digest")).alias("payload_digest"),
-    )
+    again = found.where("type = 'revisit'").join(target, "refers", "left")
+    return own.union(again.select(plain("name"), "type", F.when(F.col("refers") != "", plain("refers")), "t.bytes", "t.digest"))
