@@ -94,17 +94,22 @@ class Forest:
 def divide_skip(sets: list[np.ndarray], percent: int, known: list | None = None, sides: list[bool] | None = None) -> list[tuple[int, int]]:
     """Edges that, with those implied by equal ``known`` labels, span the links among ``sets``, which ascend in size.
 
-    With ``sides`` only pairs of different sides are tested."""
-    lists: dict[int, list[int]] = {}
+    With ``sides`` only pairs of different sides are looked for, and the true side is one component already."""
+    index: tuple[dict[int, list[int]], ...] = ({}, {}) if sides else ({},)
     forest, edges = Forest(len(sets)), []
     first: dict = {}
     for x, label in enumerate(known or ()):
         forest.join(x, first.setdefault(label, x))
+    whole = sides.index(True) if sides and True in sides else None
     roots: set[int] = set()  # of the sets up to this one
     for x, tokens in enumerate(sets):
+        roots.add(forest.root(x))
+        single = whole is not None and not sides[x]
+        if single and forest.root(x) == forest.root(whole):
+            continue  # nothing of the other side is new to it, nor it to them
+        lists, own = (index[not sides[x]], index[sides[x]]) if sides else (index[0], index[0])
         tokens = tokens.tolist()
         size = len(tokens)
-        roots.add(forest.root(x))
         t = needed(size, percent)  # partners are no larger, so the overlap is at least this
         mine = sorted((lists[k] for k in tokens if k in lists), key=len) if len(roots) > 1 else ()
         if len(mine) >= t and size:
@@ -114,7 +119,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, known: list | None = None,
                 if len(roots) == 1:
                     break
                 n = sum(1 for _ in same)
-                if n < t - skip or 100 * len(sets[y]) < percent * size or sides and sides[x] == sides[y] or forest.root(x) == forest.root(y):
+                if n < t - skip or 100 * len(sets[y]) < percent * size or forest.root(x) == forest.root(y):
                     continue
                 for k in long_:
                     i = bisect_left(k, y)
@@ -123,8 +128,10 @@ def divide_skip(sets: list[np.ndarray], percent: int, known: list | None = None,
                     roots.discard(max(forest.root(x), forest.root(y)))
                     forest.join(x, y)
                     edges.append((x, y))
+                    if single:
+                        break
         for k in tokens:
-            lists.setdefault(k, []).append(x)
+            own.setdefault(k, []).append(x)
     return edges
 
 
@@ -202,7 +209,8 @@ def link_components(
     labels = components(edges)
     if not sizes.where("cuts > 1").isEmpty():
         more = links(_across(dealt.where("cuts > 1").select("pivot", "id"), labels, group))
-        labels = components(edges.union(more))
+        if not more.isEmpty():
+            labels = _merged(materialize(labels, "labels"), more)
     by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("n_shingles", "high", "low", F.coalesce("label", "rep").alias("component"))
     # classes of copies differ in size: the class side has one row each, and AQE splits the other
     return (
@@ -212,6 +220,17 @@ def link_components(
     )
 
 
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of the components that further edges make of (node, label): the components of a graph of labels."""
+    for end in ("src", "dst"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        edges = edges.join(known, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    edges = materialize(edges, "merges")
+    alone = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    whole = components(edges.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))).withColumnsRenamed({"node": "label", "label": "whole"})
+    return labels.union(alone).join(whole, "label", "left").select("node", F.coalesce("whole", "label").alias("label"))
+
+
 def _key(x):
     return tuple(x.values()) if isinstance(x, dict) else x
 

@@ -130,6 +130,35 @@ def test_divide_skip_finds_every_component():
         assert [up.root(i) for i in range(len(sets))] == [found.root(i) for i in range(len(sets))]
 
 
+def test_divide_skip_across_two_sides():
+    """One side is one component; what links to it, or is linked through it, is found with the fewest tests."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 60, 40, dtype=np.uint64)
+        sets = []
+        for _ in range(30):
+            s = base.copy()
+            k = rng.integers(0, 14)
+            s[rng.integers(0, 40, k)] = rng.integers(0, 1 << 60, k, dtype=np.uint64)
+            sets.append(np.unique(s)[rng.integers(0, 3) :])
+        sets.sort(key=len)
+        sides = [bool(x) for x in rng.integers(0, 2, 30)]
+        known = ["whole" if s else str(rng.integers(0, 8)) for s in sides]
+        linked = lambda i, j: 100 * len(o := np.intersect1d(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]) - len(o))
+        up, found = ngram_join.Forest(30), ngram_join.Forest(30)
+        for f in (up, found):
+            for i in range(30):
+                f.join(i, known.index(known[i]))
+        for i in range(30):
+            for j in range(i):
+                if sides[i] != sides[j] and linked(i, j):
+                    up.join(i, j)
+        for i, j in ngram_join.divide_skip(sets, 85, known, sides):
+            assert linked(i, j)
+            found.join(i, j)
+        assert [up.root(i) for i in range(30)] == [found.root(i) for i in range(30)]
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201)]
     got = rows(components.components(spark.createDataFrame(edges, "src long, dst long")), "node", "label")

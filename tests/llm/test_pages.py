@@ -134,6 +134,8 @@ def test_extract(spark, pages):
     assert set(got) == {p[0] for p in PAGES}
     assert got[2]["text"] == "" and got[2]["url"] is None and got[0]["text"] == "one" and got[0]["n_chars"] == 3
     assert html_text.extract(pages.where("page_id < 0")).collect() == []
+    twice = html_text.extract(pages.union(pages)).collect()
+    assert len(twice) == 2 * len(PAGES) and len({tuple(r) for r in twice}) == len({tuple(r) for r in got.values()})
 
 
 def test_pipeline(spark, corpus, docs, vocabulary, tmp_path):
