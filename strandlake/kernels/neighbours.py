@@ -1,4 +1,4 @@
-"""Pairs of near points."""
+"""Pairs of near points, in one frame or in many at once."""
 
 from __future__ import annotations
 
@@ -28,3 +28,37 @@ def pairs_within(a: np.ndarray, b: np.ndarray, cutoff: float, strict: bool = Fal
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def pairs_in_frames(
+    a: np.ndarray, b: np.ndarray, frame_a: np.ndarray, frame_b: np.ndarray, cutoff: float, strict: bool = False, box: tuple[float, float, float] | None = None, large: int = 1_000_000
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pairs_within`` for the points of many frames, numbered from 0 in ascending order. Small frames are searched together, some million pairs at a time; one
+    with more than ``large`` pairs is searched by itself."""
+    n = int(max(frame_a.max(initial=-1), frame_b.max(initial=-1))) + 1
+    n_a, n_b = np.bincount(frame_a, minlength=n), np.bincount(frame_b, minlength=n)
+    at_a, at_b = (np.append(0, np.cumsum(c)) for c in (n_a, n_b))
+    alone = n_a * n_b > large
+    out = []
+    for f in np.flatnonzero(alone):
+        i, j, d = pairs_within(a[at_a[f] : at_a[f + 1]], b[at_b[f] : at_b[f + 1]], cutoff, strict, box)
+        out.append((i + at_a[f], j + at_b[f], d))
+    partners = np.where(alone[frame_a], 0, n_b[frame_a])
+    ends = np.append(0, np.cumsum(partners))
+    start = 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 2 * large, side="right")) - 1)
+        k = partners[start:stop]
+        i = np.repeat(np.arange(start, stop), k)
+        j = np.arange(len(i)) - np.repeat(ends[start:stop] - ends[start], k) + np.repeat(at_b[frame_a[start:stop]], k)
+        gap = a[i] - b[j]
+        if box:
+            gap -= np.round(gap / box) * box
+        gap *= gap
+        d = np.sqrt(gap[:, 0] + gap[:, 1] + gap[:, 2])
+        near = np.flatnonzero(d < cutoff if strict else d <= cutoff)
+        out.append((i[near], j[near], d[near]))
+        start = stop
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out))

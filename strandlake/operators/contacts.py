@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandlake.kernels.neighbours import pairs_within
+from strandlake.kernels.neighbours import pairs_in_frames
 
 KEYS = ("traj_id", "frame")
 
@@ -19,7 +21,7 @@ KEYS = ("traj_id", "frame")
 def capped_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False, keys: tuple[str, ...] = KEYS, box: tuple[float, float, float] | None = None) -> DataFrame:
     """Pairs of points of the same ``keys`` at a distance of at most ``cutoff`` (below it if ``strict``), with a periodic ``box`` by nearest image.
 
-    A frame is the atoms of one structure: both sides move once, by their keys, no point is copied, and a frame's task sweeps through its points.
+    A frame is the atoms of one structure: both sides move once, by their keys, no point is copied, and a task goes through its frames one after the other.
     Columns become ``<name>_1`` and ``<name>_2`` beside the keys."""
     sides = []
     for df, tag in ((left, "1"), (right, "2")):
@@ -30,22 +32,43 @@ def capped_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool
     arrow = to_arrow_schema(schema)
     names = [[f.name for f in fields] for fields in (fields_1, fields_2)]
 
-    def search(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        points = []
-        for tag in "12":
-            s = t[f"s{tag}"].combine_chunks().drop_null()
-            points.append((s, np.stack([s.field(x).to_numpy(zero_copy_only=False) for x in "xyz"], 1)))
-        (s1, x1), (s2, x2) = points
-        i, j, d = pairs_within(x1, x2, cutoff, strict, box)
-        columns = [pa.array([t[k][0].as_py()] * len(d), t.schema.field(k).type) for k in keys]
+    def frame_numbers(t: pa.Table) -> np.ndarray:
+        """Rows with equal keys stand together: which of these runs each row is in."""
+        change = np.zeros(t.num_rows, bool)
+        for k in keys:
+            code = pc.fill_null(t[k].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            change[1:] |= code[1:] != code[:-1]
+        return np.cumsum(change)
+
+    def search(t: pa.Table, number: np.ndarray) -> pa.RecordBatch:
+        first = t["s1"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        rows = [np.flatnonzero(first), np.flatnonzero(~first)]
+        s1, s2 = (t[f"s{i + 1}"].combine_chunks().take(pa.array(r)) for i, r in enumerate(rows))
+        x1, x2 = (np.stack([s.field(x).to_numpy(zero_copy_only=False) for x in "xyz"], 1) for s in (s1, s2))
+        i, j, d = pairs_in_frames(x1, x2, number[rows[0]], number[rows[1]], cutoff, strict, box)
+        columns = [t[k].combine_chunks().take(pa.array(rows[0][i])) for k in keys]
         for s, at in ((s1, i), (s2, j)):
             s = s.take(pa.array(at, pa.int64()))
             columns += [s.field(k) for k in range(s.type.num_fields)]
-        return pa.Table.from_arrays([*columns, pa.array(d)], names=[*keys, *names[0], *names[1], "distance"]).cast(arrow)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(d)], names=[*keys, *names[0], *names[1], "distance"]).cast(arrow)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last frame, which may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not t.num_rows:
+                continue
+            number = frame_numbers(t)
+            whole = int(np.searchsorted(number, number[-1]))
+            if whole:
+                yield search(t.slice(0, whole), number[:whole])
+            held = t.slice(whole)
+        if held is not None:
+            yield search(held, np.zeros(held.num_rows, np.int64))
 
     both = a.unionByName(b, allowMissingColumns=True)
-    return both.groupBy(*keys).applyInArrow(search, schema)
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(sweep, schema)
 
 
 RESIDUE_PAIR = ("chain_id_1", "resid_1", "chain_id_2", "resid_2")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandlake.kernels import graph
+from strandlake.kernels import graph, neighbours
 
 
 def test_two_cliques_are_two_communities():
@@ -30,3 +30,26 @@ def test_area_of_one_and_of_two_spheres():
     assert one[0] == pytest.approx(4 * np.pi * 9)
     two = graph.accessible_area(np.array([[0.0, 0, 0], [3.0, 0, 0]]), np.array([1.6, 1.6]), points=2000)
     assert two == pytest.approx([2 * np.pi * 3 * (3 + 1.5)] * 2, rel=0.01)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("box", [None, (4.0, 5.0, 6.0)])
+def test_near_pairs_in_frames(strict, box):
+    rng = np.random.default_rng(4)
+    a, b = np.round(rng.normal(size=(90, 3)) * 3, 1), np.round(rng.normal(size=(70, 3)) * 3, 1)
+    fa, fb = np.sort(rng.integers(0, 6, 90)), np.sort(np.append(rng.integers(1, 9, 69), 3))
+    want = []
+    for i in range(90):
+        for j in range(70):
+            d = a[i] - b[j]
+            d = d - np.round(d / box) * box if box else d
+            d = np.sqrt((d * d).sum())
+            if fa[i] == fb[j] and (d < 2.5 if strict else d <= 2.5):
+                want.append((i, j))
+    for large in (1, 40, 10**6):
+        i, j, _ = neighbours.pairs_in_frames(a, b, fa, fb, 2.5, strict, box, large)
+        assert sorted(zip(i.tolist(), j.tolist())) == want
+    i, j, _ = neighbours.pairs_within(a, b, 2.5, strict, box, step=7)
+    assert {(x, y) for x, y in zip(i.tolist(), j.tolist()) if fa[x] == fb[y]} == set(want)
+    none = np.empty((0, 3)), np.empty(0, np.int64)
+    assert all(len(x) == 0 for x in neighbours.pairs_in_frames(none[0], b, none[1], fb, 2.5))
