@@ -189,6 +189,11 @@ def link_components(
         pick = lambda x: [_key(x[i]) for i in order]
         known = pick(label) if label[0] is not None else None
         edges = divide_skip([sets[i] for i in order], percent, known, pick(side) if side[0] is not None else None)
+        # a star for each tree: components over many tasks then need few rounds
+        forest = Forest(len(order))
+        for i, j in edges:
+            forest.join(i, j)
+        edges = [(i, r) for i in sorted({i for e in edges for i in e}) if (r := forest.root(i)) != i]
         ends = (pa.array([order[e[j]] for e in edges], pa.int64()) for j in (0, 1))
         return pa.table({k: t["id"].take(x) for k, x in zip(("src", "dst"), ends)}).cast(arrow)
 
