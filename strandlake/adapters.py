@@ -65,12 +65,17 @@ def residues(spark: SparkSession) -> DataFrame:
     return atoms(spark).select("chain_id", "resid").distinct()
 
 
+def _fixed(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """A table of literals: Spark knows its size before it plans a join."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(repr, rows))} AS t({columns})")
+
+
 def chains(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROLES.items()), "chain_id string, role string")
+    return _fixed(spark, ROLES.items(), "chain_id, role")
 
 
 def regions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(REGIONS), "chain_id string, region string, resid_start int, resid_end int")
+    return _fixed(spark, REGIONS, "chain_id, region, resid_start, resid_end")
 
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
