@@ -203,6 +203,8 @@ def link_components(
     def links(placed: DataFrame) -> DataFrame:
         """Edges found in the tasks (pivot, a, b) of (pivot, a, b, id, label, side)."""
         tasks = placed.join(texts, "id").select("pivot", "a", "b", "id", "text", "label", "side")
+        # a given number: few bytes are much work here, and must not be put together by their size
+        tasks = tasks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pivot", "a", "b")
         return materialize(tasks.groupBy("pivot", "a", "b").applyInArrow(search, edge).distinct(), "edges")
 
     cut = F.expr("cast(pmod(xxhash64(id), cuts) as int)")
