@@ -234,7 +234,7 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
         edges = edges.join(known, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
     edges = materialize(edges, "merges")
     alone = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-    whole = components(edges.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))).withColumnsRenamed({"node": "label", "label": "whole"})
+    whole = components(edges.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))).select(F.col("node").alias("label"), F.col("label").alias("whole"))
     return labels.union(alone).join(whole, "label", "left").select("node", F.coalesce("whole", "label").alias("label"))
 
 

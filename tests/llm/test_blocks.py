@@ -55,3 +55,22 @@ def test_ngram_join_over_many_blocks(cut, spread, n, percent):
     want = brute_components(spread, n, percent)
     assert sum(i != c for i, (_, c) in want.items()) >= 15
     assert got == want
+
+
+def test_a_chain_of_links_in_large_groups(spark):
+    """Each text links with the next two only: most links lie between blocks, and join components that the first round left apart."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(260)]
+    texts = [" ".join(words[3 * k : 3 * k + 100]) for k in range(40)] + [" ".join(words[k : k + 60]) for k in (150, 190)]
+    corpus = list(enumerate(texts))
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = rows(ngram_join.link_components(docs, group=3), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(corpus, 4, 85)
+    assert len({c for _, c in got.values()}) == 3
+
+
+def test_labels_merge(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 4), (4, 4), (9, 8), (8, 8)], "node long, label long")
+    edges = spark.createDataFrame([(2, 5), (5, 20), (30, 31), (4, 4)], "src long, dst long")
+    got = rows(ngram_join._merged(labels, edges), "node", "label")
+    assert got == {k: (1,) for k in (1, 2, 4, 5, 20)} | {8: (8,), 9: (8,), 30: (30,), 31: (30,)}
