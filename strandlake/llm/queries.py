@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chunk_reuse, exact_dedup, html_text, licenses, ngram_join, packing, quality_rules, substring_dedup, token_counts, warc
+from strandlake.llm import chunk_reuse, exact_dedup, html_text, licenses, mask_search, ngram_join, packing, periodic_runs, piece_spans, quality_rules, substring_dedup, token_counts, warc
 from strandlake.llm.sql import ORACLES
 from strandlake.llm.tables import read
 from strandlake.session import shared_dir
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary() -> str:
@@ -66,9 +67,28 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(periodic_runs.with_planted_tail(read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    length, start, period = longest.length, -longest.start, -longest.period
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_spans.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), digest=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_warc, op3_chunk_reuse, op4_ngram_join, op5_quality_rules, op6_best_fit_packing, op7_license_scan, op8_exact_dedup, op9_substring_dedup, op10_html_text)
+    for f in (op1_token_counts, op2_warc, op3_chunk_reuse, op4_ngram_join, op5_quality_rules, op6_best_fit_packing, op7_license_scan, op8_exact_dedup, op9_substring_dedup, op10_html_text, op11_mask_search, op12_periodic_runs, op13_piece_spans)
 }
 
 

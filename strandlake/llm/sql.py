@@ -58,4 +58,16 @@ o AS (SELECT doc_id, i, ws[i] x, max(i) FILTER (WHERE n > 1) OVER (PARTITION BY
 k AS (SELECT doc_id, count(*) FILTER (WHERE i - last < 35) n_removed, string_agg(x, ' ' ORDER BY i) FILTER (WHERE last IS NULL OR i - last >= 35) t FROM o GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
-ORACLES = {"op4_ngram_join": OP4, "op5_quality_rules": OP5, "op7_license_scan": OP7, "op8_exact_dedup": OP8, "op9_substring_dedup": OP9}
+_TERMS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} ts FROM documents),
+n AS (SELECT doc_id, CAST(len(ts) AS BIGINT) n FROM d WHERE len(ts) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) nd, CAST(sum(n) AS BIGINT) l FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) t FROM benchmark),
+p AS (SELECT doc_id, t, count(*) tf FROM (SELECT doc_id, unnest(ts) t FROM d) GROUP BY ALL),
+v AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) w FROM (SELECT t, count(*) df FROM p GROUP BY 1), c),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * nd) // l) m FROM n, c),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) score FROM q JOIN v USING (t) JOIN p USING (t) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+ORACLES = {"op4_ngram_join": OP4, "op5_quality_rules": OP5, "op7_license_scan": OP7, "op8_exact_dedup": OP8, "op9_substring_dedup": OP9, "op11_mask_search": OP11}
