@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from strandlake.kernels.neighbours import pairs_in_frames
+
 
 def modularity(edges: list[tuple[int, int, float]], label: dict[int, int]) -> float:
     total = sum(w for _, _, w in edges)
@@ -144,13 +146,17 @@ def sphere(n: int) -> np.ndarray:
 
 
 def accessible_area(xyz: np.ndarray, radius: np.ndarray, probe: float = 1.4, points: int = 96) -> np.ndarray:
-    """Surface of each atom that a probe sphere can reach (Shrake-Rupley), atom by atom against its neighbours."""
+    """Surface of each atom that a probe sphere can reach (Shrake-Rupley), atom by atom against its neighbours from a cell list."""
     unit, reach = sphere(points), radius + probe
-    out = np.empty(len(xyz))
-    for i in range(len(xyz)):
-        d2 = ((xyz - xyz[i]) ** 2).sum(1)
-        near = np.flatnonzero((d2 < (reach + reach[i]) ** 2) & (np.arange(len(xyz)) != i))
-        p = xyz[i] + reach[i] * unit
-        covered = (((p[:, None] - xyz[near][None]) ** 2).sum(2) < reach[near] ** 2).any(1) if len(near) else np.zeros(points, bool)
-        out[i] = 4 * np.pi * reach[i] ** 2 * (1 - covered.mean())
+    out = 4 * np.pi * reach**2
+    number = np.zeros(len(xyz), np.int64)
+    i, j, d = pairs_in_frames(xyz, None, number, None, 2 * float(reach.max(initial=0.0)), strict=True)
+    touch = d < reach[i] + reach[j]
+    i, j = np.concatenate([i[touch], j[touch]]), np.concatenate([j[touch], i[touch]])
+    order = np.argsort(i, kind="stable")
+    at = np.searchsorted(i[order], np.arange(len(xyz) + 1))
+    for k in np.flatnonzero(np.diff(at)):
+        near = j[order[at[k] : at[k + 1]]]
+        p = xyz[k] + reach[k] * unit
+        out[k] *= 1 - (((p[:, None] - xyz[near][None]) ** 2).sum(2) < reach[near] ** 2).any(1).mean()
     return out

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,59 +19,114 @@ from strandlake.kernels.neighbours import pairs_in_frames
 KEYS = ("traj_id", "frame")
 
 
-def capped_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False, keys: tuple[str, ...] = KEYS, box: tuple[float, float, float] | None = None) -> DataFrame:
-    """Pairs of points of the same ``keys`` at a distance of at most ``cutoff`` (below it if ``strict``), with a periodic ``box`` by nearest image.
+def _packed(points: DataFrame, keys: tuple[str, ...], *fields: Column) -> DataFrame:
+    """A row per frame with the list ``p`` of its points. Nothing moves where the points are stored in buckets of ``keys`` (``sources.tables.save_frames``)."""
+    return points.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("p"))
+
+
+def _search(
+    packed: DataFrame, keys: tuple[str, ...], sides: list[tuple[tuple[str, str], tuple[str, str]]], kinds: tuple[T.StructType, T.StructType], cutoff: float, strict: bool,
+    box: tuple[float, float, float] | None, least_by: tuple[str, ...] = (), once_by: str | None = None,
+) -> DataFrame:
+    """Pairs within each row's points. ``sides``: for both, the flag that says who belongs to it and where in ``p`` its columns are; several are searched one after the other.
 
-    A frame is the atoms of one structure: both sides move once, by their keys, no point is copied, and a task goes through its frames one after the other.
-    Columns become ``<name>_1`` and ``<name>_2`` beside the keys."""
-    sides = []
-    for df, tag in ((left, "1"), (right, "2")):
-        own = [c for c in df.columns if c not in keys]
-        sides.append((df.select(*keys, F.struct(*own).alias(f"s{tag}")), [T.StructField(f"{c}_{tag}", df.schema[c].dataType) for c in own]))
-    (a, fields_1), (b, fields_2) = sides
-    schema = T.StructType([*(left.schema[k] for k in keys), *fields_1, *fields_2, T.StructField("distance", T.DoubleType())])
+    ``least_by``: only the least distance per frame and these columns of both sides, found where the pairs are. ``once_by``: both sides are one, and each pair comes
+    once, the lesser of this column first; pairs of equal ones are left out."""
+    shown = [[f for f in kind if not least_by or f.name in least_by] for kind in kinds]
+    fields = [T.StructField(f"{f.name}_{k + 1}", f.dataType) for k, fs in enumerate(shown) for f in fs]
+    schema = T.StructType([*(packed.schema[k] for k in keys), *fields, T.StructField("distance", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-    names = [[f.name for f in fields] for fields in (fields_1, fields_2)]
-
-    def frame_numbers(t: pa.Table) -> np.ndarray:
-        """Rows with equal keys stand together: which of these runs each row is in."""
-        change = np.zeros(t.num_rows, bool)
-        for k in keys:
-            code = pc.fill_null(t[k].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-            change[1:] |= code[1:] != code[:-1]
-        return np.cumsum(change)
-
-    def search(t: pa.Table, number: np.ndarray) -> pa.RecordBatch:
-        first = t["s1"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-        rows = [np.flatnonzero(first), np.flatnonzero(~first)]
-        s1, s2 = (t[f"s{i + 1}"].combine_chunks().take(pa.array(r)) for i, r in enumerate(rows))
-        x1, x2 = (np.stack([s.field(x).to_numpy(zero_copy_only=False) for x in "xyz"], 1) for s in (s1, s2))
-        i, j, d = pairs_in_frames(x1, x2, number[rows[0]], number[rows[1]], cutoff, strict, box)
-        columns = [t[k].combine_chunks().take(pa.array(rows[0][i])) for k in keys]
-        for s, at in ((s1, i), (s2, j)):
-            s = s.take(pa.array(at, pa.int64()))
-            columns += [s.field(k) for k in range(s.type.num_fields)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(d)], names=[*keys, *names[0], *names[1], "distance"]).cast(arrow)
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last frame, which may go on in the next batch
+
+    def codes(s: pa.StructArray) -> np.ndarray:
+        """Equal numbers for rows that are equal in ``least_by``."""
+        out = np.zeros(len(s), np.int64)
+        for c in least_by:
+            code = pc.fill_null(s.field(c).dictionary_encode(null_encoding="encode").indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            out = np.unique(out * (len(s) + 2) + code + 1, return_inverse=True)[1]
+        return out
+
+    def near(points: pa.StructArray, number: np.ndarray, pair: tuple[tuple[str, str], tuple[str, str]]) -> tuple:
+        """(row of ``packed``, columns of the first, of the second, distance) of the pairs of two sides."""
+        at, data, xyz = [], [], []
+        for flag, place in pair if once_by is None else pair[:1]:
+            rows = np.flatnonzero(points.field(flag).to_numpy(zero_copy_only=False))
+            at.append(number[rows])
+            data.append(points.field(place).take(pa.array(rows)))
+            xyz.append(np.stack([data[-1].field(x).to_numpy(zero_copy_only=False) for x in "xyz"], 1))
+        if once_by is None:
+            i, j, d = pairs_in_frames(xyz[0], xyz[1], at[0], at[1], cutoff, strict, box)
+        else:
+            data.append(data[0])
+            i, j, d = pairs_in_frames(xyz[0], None, at[0], None, cutoff, strict, box)
+            value = data[0].field(once_by).to_numpy(zero_copy_only=False)
+            i, j = np.where(value[i] <= value[j], i, j), np.where(value[i] <= value[j], j, i)
+            differ = value[i] != value[j]
+            i, j, d = i[differ], j[differ], d[differ]
+        if least_by and len(i):
+            one, two, frame = codes(data[0])[i], codes(data[1])[j], at[0][i]
+            order = np.lexsort((d, two, one, frame))
+            i, j, d, one, two, frame = (x[order] for x in (i, j, d, one, two, frame))
+            first = np.append(True, (frame[1:] != frame[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+            i, j, d = i[first], j[first], d[first]
+        return at[0][i], data[0].take(pa.array(i, pa.int64())), data[1].take(pa.array(j, pa.int64())), d
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            if not t.num_rows:
-                continue
-            number = frame_numbers(t)
-            whole = int(np.searchsorted(number, number[-1]))
-            if whole:
-                yield search(t.slice(0, whole), number[:whole])
-            held = t.slice(whole)
-        if held is not None:
-            yield search(held, np.zeros(held.num_rows, np.int64))
-
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(sweep, schema)
+            lists = b["p"]
+            points, number = lists.flatten(), np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            for pair in sides:
+                row, *both, d = near(points, number, pair)
+                columns = [b[k].take(pa.array(row)) for k in keys]
+                columns += [s.field(f.name) for s, fs in zip(both, shown) for f in fs]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(d)], names=schema.names).cast(arrow)
+
+    return packed.mapInArrow(run, schema)
+
+
+def _own(df: DataFrame, keys: tuple[str, ...]) -> T.StructType:
+    return T.StructType([f for f in df.schema if f.name not in keys])
 
 
+def capped_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False, keys: tuple[str, ...] = KEYS, box: tuple[float, float, float] | None = None) -> DataFrame:
+    """Pairs of points of the same ``keys`` at a distance of at most ``cutoff`` (below it if ``strict``), with a periodic ``box`` by nearest image.
+
+    A frame is the atoms of one structure: both tables move once, by their keys, no point is copied, and a task goes through its frames one after the other, large ones by cells.
+    Columns become ``<name>_1`` and ``<name>_2`` beside the keys. Sides of one table are found by ``pairs_between`` in one pass."""
+    kinds = [_own(df, keys) for df in (left, right)]
+    tagged = [
+        df.select(*keys, F.lit(k == 0).alias("one"), F.lit(k == 1).alias("two"), F.struct(*kinds[k].names).alias(f"r{k + 1}")) for k, df in enumerate((left, right))
+    ]
+    packed = _packed(tagged[0].unionByName(tagged[1], allowMissingColumns=True), keys, *(F.col(c) for c in ("one", "two", "r1", "r2")))
+    return _search(packed, keys, [(("one", "r1"), ("two", "r2"))], tuple(kinds), cutoff, strict, box)
+
+
+def pairs_between(
+    points: DataFrame, side_1: Column, side_2: Column, cutoff: float, columns: tuple[str, ...], strict: bool = False, keys: tuple[str, ...] = KEYS,
+    box: tuple[float, float, float] | None = None, least_by: tuple[str, ...] = (), also: tuple[Column, Column] | None = None,
+) -> DataFrame:
+    """``capped_pairs`` of two selections of one table, read and moved once; a point may be in both. ``columns``: those of the result, x, y and z included.
+
+    ``least_by``: only the least distance per frame and these columns of both sides. ``also``: a second kind of pair, searched in the same pass; its first and second selection."""
+    flags = [F.coalesce(c, F.lit(False)) for c in (side_1, side_2, *(also or ()))]
+    names = ["one", "two", "three", "four"][: len(flags)]
+    chosen = points.select(*keys, F.struct(*columns).alias("r"), *(f.alias(n) for f, n in zip(flags, names))).where(" OR ".join(names))
+    kind = _own(points.select(*columns), ())
+    packed = _packed(chosen, keys, *(F.col(c) for c in (*names, "r")))
+    sides = [(("one", "r"), ("two", "r")), (("three", "r"), ("four", "r"))]
+    return _search(packed, keys, sides[: len(names) // 2], (kind, kind), cutoff, strict, box, least_by)
+
+
+def pairs_once(
+    points: DataFrame, cutoff: float, columns: tuple[str, ...], once_by: str = "atom_id", strict: bool = False, keys: tuple[str, ...] = KEYS, box: tuple[float, float, float] | None = None, least_by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Pairs of different points of one table, each searched and returned once: the lesser ``once_by`` first, equal ones left out."""
+    kind = _own(points.select(*columns), ())
+    packed = _packed(points.select(*keys, F.struct(*columns).alias("r")), keys, F.lit(True).alias("one"), F.col("r"))
+    return _search(packed, keys, [(("one", "r"), ("one", "r"))], (kind, kind), cutoff, strict, box, least_by, once_by)
+
+
+POSITION = ("chain_id", "resid", "x", "y", "z")
+RESIDUE = ("chain_id", "resid")
 RESIDUE_PAIR = ("chain_id_1", "resid_1", "chain_id_2", "resid_2")
 
 
@@ -97,9 +153,7 @@ def contact_frequencies(points: DataFrame, side_1: Column, side_2: Column, cutof
     totals = sampled.groupBy("traj_id").agg(F.countDistinct("frame").alias("total_frames"))
     if heavy_only:
         sampled = sampled.where(~F.col("name").startswith("H"))
-    cols = ["traj_id", "frame", "chain_id", "resid", "x", "y", "z"]
-    pairs = capped_pairs(sampled.where(side_1).select(cols), sampled.where(side_2).select(cols), cutoff, strict=True)
-    return pair_table(residue_minima(pairs), totals, "contact", min_frequency)
+    return pair_table(pairs_between(sampled, side_1, side_2, cutoff, POSITION, strict=True, least_by=RESIDUE), totals, "contact", min_frequency)
 
 
 def salt_bridges(points: DataFrame, side_1: Column, side_2: Column, cutoff: float = 4.0) -> DataFrame:
@@ -110,10 +164,8 @@ def salt_bridges(points: DataFrame, side_1: Column, side_2: Column, cutoff: floa
 
 
 def _two_way(points: DataFrame, side_1: Column, side_2: Column, kind_a: Column, kind_b: Column, cutoff: float, family: str) -> DataFrame:
-    cols = ["traj_id", "frame", "chain_id", "resid", "x", "y", "z"]
     totals = points.groupBy("traj_id").agg(F.countDistinct("frame").alias("total_frames"))
-    pick = lambda side, kind: points.where(side & kind).select(cols)
-    events = capped_pairs(pick(side_1, kind_a), pick(side_2, kind_b), cutoff).unionByName(capped_pairs(pick(side_1, kind_b), pick(side_2, kind_a), cutoff))
+    events = pairs_between(points, side_1 & kind_a, side_2 & kind_b, cutoff, POSITION, least_by=RESIDUE, also=(side_1 & kind_b, side_2 & kind_a))
     return pair_table(residue_minima(events), totals, family)
 
 
@@ -123,11 +175,8 @@ HYDROPHOBIC = ("ALA", "VAL", "LEU", "ILE", "MET", "PHE", "TRP", "PRO", "TYR")
 def hydrophobic_contacts(points: DataFrame, side_1: Column, side_2: Column, cutoff: float = 4.5, backbone: tuple[str, ...] = ("N", "CA", "C", "O")) -> DataFrame:
     """Side-chain heavy atoms of hydrophobic residues on both sides."""
     kind = F.col("resname").isin(*HYDROPHOBIC) & ~F.col("name").isin(*backbone)
-    cols = ["traj_id", "frame", "chain_id", "resid", "x", "y", "z"]
     totals = points.groupBy("traj_id").agg(F.countDistinct("frame").alias("total_frames"))
-    heavy = points.where(kind)
-    events = capped_pairs(heavy.where(side_1).select(cols), heavy.where(side_2).select(cols), cutoff)
-    return pair_table(residue_minima(events), totals, "hydrophobic")
+    return pair_table(pairs_between(points, side_1 & kind, side_2 & kind, cutoff, POSITION, least_by=RESIDUE), totals, "hydrophobic")
 
 
 def hydrogen_bonds(points: DataFrame, side_1: Column, side_2: Column, bond: float = 1.2, reach: float = 3.5, angle: float = 150.0) -> DataFrame:
@@ -211,7 +260,7 @@ def sphere_burial(points: DataFrame, probe: float = 1.4, other: float = 1.5) ->
     reach = 2 * (max(*RADII.values(), other) + probe)
     both = F.col("r_1") + F.col("r_2")
     smaller = F.least("r_1", "r_2")
-    pairs = capped_pairs(p, p, reach, strict=True).where("atom_id_1 < atom_id_2").where(F.col("distance") < both)
+    pairs = pairs_once(p, reach, ("atom_id", "x", "y", "z", "r"), strict=True).where(F.col("distance") < both)
     buried = pairs.groupBy(*KEYS).agg(F.sum(4 * math.pi * smaller * smaller * (both - F.col("distance")) / both).alias("buried_area"))
     out = total.join(buried, list(KEYS), "left").withColumn("buried_area", F.coalesce("buried_area", F.lit(0.0)))
     return out.select(*KEYS, "n_atoms", "total_area", "buried_area", F.greatest(F.lit(0.0), F.col("total_area") - F.col("buried_area")).alias("accessible_area"), (F.col("buried_area") / F.col("total_area")).alias("burial_fraction"))
@@ -219,17 +268,13 @@ def sphere_burial(points: DataFrame, probe: float = 1.4, other: float = 1.5) ->
 
 def atom_contact_map(points: DataFrame, cutoff: float = 8.0) -> DataFrame:
     """Atom pairs i < j of one structure per key, closer than ``cutoff``."""
-    cols = ["traj_id", "frame", "atom_id", "chain_id", "resid", "x", "y", "z"]
-    p = points.select(cols)
-    return capped_pairs(p, p, cutoff, strict=True).where("atom_id_1 < atom_id_2")
+    return pairs_once(points, cutoff, ("atom_id", *POSITION), strict=True)
 
 
 def residue_contact_map(points: DataFrame, cutoff: float = 8.0) -> DataFrame:
     """Residue pairs, the first before the second in (chain, residue) order, by least atom distance below ``cutoff``."""
-    cols = ["traj_id", "frame", "chain_id", "resid", "x", "y", "z"]
-    p = points.select(cols)
-    pairs = capped_pairs(p, p, cutoff, strict=True).where("struct(chain_id_1, resid_1) < struct(chain_id_2, resid_2)")
-    return residue_minima(pairs)
+    order = F.dense_rank().over(W.partitionBy(*KEYS).orderBy("chain_id", "resid"))  # of a structure's residues
+    return pairs_once(points.withColumn("_residue", order), cutoff, (*POSITION, "_residue"), "_residue", strict=True, least_by=RESIDUE)
 
 
 def contact_counts(residues: DataFrame, contact_map: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -246,8 +291,6 @@ def contact_counts(residues: DataFrame, contact_map: DataFrame, keys: tuple[str,
 
 def long_range(contact_map: DataFrame, residues: DataFrame, separation: int = 5) -> DataFrame:
     """Residue contacts at least ``separation`` apart in the order of all residues."""
-    from pyspark.sql import Window as W
-
     # the residue table of one topology: a few hundred rows, ordered once
     index = residues.select("chain_id", "resid").distinct().withColumn("i", F.dense_rank().over(W.orderBy("chain_id", "resid")))
     out = contact_map
@@ -258,8 +301,7 @@ def long_range(contact_map: DataFrame, residues: DataFrame, separation: int = 5)
 
 def contact_number(points: DataFrame, side_1: Column, side_2: Column, cutoff: float = 4.5) -> DataFrame:
     """Atom pairs between the sides below ``cutoff``, in every frame."""
-    cols = ["traj_id", "frame", "x", "y", "z"]
-    n = capped_pairs(points.where(side_1).select(cols), points.where(side_2).select(cols), cutoff, strict=True).groupBy(*KEYS).agg(F.count("*").alias("n"))
+    n = pairs_between(points, side_1, side_2, cutoff, ("x", "y", "z"), strict=True).groupBy(*KEYS).agg(F.count("*").alias("n"))
     return points.select(*KEYS).distinct().join(n, list(KEYS), "left").select(*KEYS, F.coalesce("n", F.lit(0)).alias("contact_number"))
 
 
@@ -270,7 +312,7 @@ def native_contacts(points: DataFrame, side_1: Column, side_2: Column, cutoff: f
     join is on the pairs of frame 0, not on space."""
     cols = ["traj_id", "frame", "chain_id", "resid", "x", "y", "z"]
     a, b = points.where(side_1).select(cols), points.where(side_2).select(cols)
-    native = residue_minima(capped_pairs(a.where("frame = 0"), b.where("frame = 0"), cutoff, strict=True)).select("traj_id", *RESIDUE_PAIR, F.col("distance").alias("d0"))
+    native = pairs_between(points.where("frame = 0"), side_1, side_2, cutoff, POSITION, strict=True, least_by=RESIDUE).select("traj_id", *RESIDUE_PAIR, F.col("distance").alias("d0"))
     enough = native.groupBy("traj_id").agg(F.count("*").alias("n_native")).where(F.col("n_native") >= least)
     native = native.join(enough, "traj_id")
     one = native.join(a.select("traj_id", "frame", F.col("chain_id").alias("chain_id_1"), F.col("resid").alias("resid_1"), *(F.col(c).alias(f"{c}1") for c in "xyz")), ["traj_id", "chain_id_1", "resid_1"])
@@ -286,8 +328,7 @@ def persistent_network(points: DataFrame, correlation: DataFrame, cutoff: float
     """Edges between atoms within ``cutoff`` in at least ``share`` of the frames, weighted by their absolute correlation (i, j, v), with
     length -ln of it."""
     frames = points.groupBy("traj_id").agg(F.countDistinct("frame").alias("n"))
-    p = points.select("traj_id", "frame", "atom_id", "x", "y", "z")
-    near = capped_pairs(p, p, cutoff).where("atom_id_1 < atom_id_2").groupBy("traj_id", F.col("atom_id_1").alias("i"), F.col("atom_id_2").alias("j")).agg(F.count("*").alias("m"))
+    near = pairs_once(points, cutoff, ("atom_id", "x", "y", "z")).groupBy("traj_id", F.col("atom_id_1").alias("i"), F.col("atom_id_2").alias("j")).agg(F.count("*").alias("m"))
     kept = near.join(frames, "traj_id").where(F.col("m") / F.col("n") >= share)
     w = F.abs(F.col("v"))
     return kept.join(correlation, ["traj_id", "i", "j"]).where(w >= floor).select("traj_id", "i", "j", (F.col("m") / F.col("n")).alias("occupancy"), w.alias("weight"), (-F.log(w)).alias("length"))

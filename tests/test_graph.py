@@ -46,10 +46,28 @@ def test_near_pairs_in_frames(strict, box):
             d = np.sqrt((d * d).sum())
             if fa[i] == fb[j] and (d < 2.5 if strict else d <= 2.5):
                 want.append((i, j))
-    for large in (1, 40, 10**6):
-        i, j, _ = neighbours.pairs_in_frames(a, b, fa, fb, 2.5, strict, box, large)
+    for small in (0, 100, 10**6):
+        i, j, _ = neighbours.pairs_in_frames(a, b, fa, fb, 2.5, strict, box, small)
         assert sorted(zip(i.tolist(), j.tolist())) == want
-    i, j, _ = neighbours.pairs_within(a, b, 2.5, strict, box, step=7)
-    assert {(x, y) for x, y in zip(i.tolist(), j.tolist()) if fa[x] == fb[y]} == set(want)
+        i, j, _ = neighbours.pairs_in_frames(a, None, fa, None, 2.5, strict, box, small)
+        x, y, _ = neighbours.pairs_in_frames(a, a, fa, fa, 2.5, strict, box, 10**6)
+        assert sorted((min(p), max(p)) for p in zip(i.tolist(), j.tolist())) == sorted((p, q) for p, q in zip(x.tolist(), y.tolist()) if p < q)
     none = np.empty((0, 3)), np.empty(0, np.int64)
     assert all(len(x) == 0 for x in neighbours.pairs_in_frames(none[0], b, none[1], fb, 2.5))
+
+
+def test_cells_meet_only_what_is_near():
+    """At equal density the distances computed grow with the atoms, not with their square; a far outlier and a box of few cells lose nothing."""
+    rng = np.random.default_rng(2)
+    met = []
+    for n in (800, 6500):
+        p = rng.uniform(0, (n / 0.05) ** (1 / 3), (n, 3))
+        frame = np.zeros(n, np.int64)
+        met.append(sum(len(i) for i, _ in neighbours.cell_candidates(p, p, frame, frame, 4.5)))
+        once = sum(len(i) for i, _ in neighbours.cell_candidates(p, p, frame, frame, 4.5, once=True))
+        assert met[-1] / 2 == pytest.approx(once, abs=n)
+    assert met[1] / met[0] < 1.4 * 6500 / 800 < 6500**2 / met[1]
+    p[0] = 1e7
+    i, j, _ = neighbours.pairs_in_frames(p, p, frame, frame, 4.5)
+    x, y, _ = neighbours.pairs_in_frames(p, p, frame, frame, 4.5, small=10**9)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(x.tolist(), y.tolist()))

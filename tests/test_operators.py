@@ -1,5 +1,7 @@
 """Small cases with known answers, invariants of the numeric kernels, and empty inputs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,32 @@ def test_capped_pairs_equal_brute_force_also_in_a_box(spark):
         want = {(i, j) for i, j in np.argwhere(np.sqrt((d**2).sum(2)) <= 3.0)}
         got = [(r["atom_id_1"], r["atom_id_2"]) for r in contacts.capped_pairs(df, df, 3.0, box=box).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        once = [(r["atom_id_1"], r["atom_id_2"]) for r in contacts.pairs_once(df, 3.0, ("atom_id", "x", "y", "z"), box=box).collect()]
+        assert sorted(once) == sorted((i, j) for i, j in want if i < j)
+        even, low = F.col("atom_id") % 2 == 0, F.col("atom_id") < 30  # both at once: some points are on both sides
+        two = contacts.pairs_between(df, even, low, 3.0, ("atom_id", "x", "y", "z"), box=box, also=(low, ~even)).collect()
+        assert sorted((r["atom_id_1"], r["atom_id_2"]) for r in two) == sorted([(i, j) for i, j in want if i % 2 == 0 and j < 30] + [(i, j) for i, j in want if i < 30 and j % 2])
+        least = contacts.pairs_between(df.withColumn("g", F.col("atom_id") % 5), even, low, 3.0, ("g", "x", "y", "z"), box=box, least_by=("g",)).collect()
+        every = contacts.capped_pairs(df.where(even), df.where(low), 3.0, box=box).groupBy((F.col("atom_id_1") % 5).alias("a"), (F.col("atom_id_2") % 5).alias("b")).agg(F.min("distance").alias("d")).collect()
+        assert sorted((r["g_1"], r["g_2"], r["distance"]) for r in least) == sorted(map(tuple, every))
+
+
+def test_stored_frames_are_not_moved(spark):
+    """Contacts of a table in buckets: no exchange by frame, and the same rows."""
+    from strandlake.sources.tables import save_frames
+
+    rng = np.random.default_rng(9)
+    rows = [(t, f, "AB"[a % 2], a // 4, "CA", *map(float, rng.uniform(0, 9, 3))) for t in "pq" for f in range(6) for a in range(40)]
+    points = spark.createDataFrame(rows, "traj_id string, frame int, chain_id string, resid int, name string, x double, y double, z double")
+    spark.sql("DROP TABLE IF EXISTS stored_frames")
+    stored = save_frames(points, "stored_frames", 3)
+    tables = [contacts.contact_frequencies(p, F.col("chain_id") == "A", F.col("chain_id") == "B") for p in (points, stored)]
+    plans = [t._jdf.queryExecution().toString() for t in tables]
+    moved = [re.findall(r"Exchange hashpartitioning\(traj_id#\d+, frame#\d+", p) for p in plans]
+    assert moved[0] and not moved[1]
+    a, b = (sorted(map(str, t.collect())) for t in tables)
+    assert a == b and a
+    spark.sql("DROP TABLE stored_frames")
 
 
 def test_quartiles_are_interpolated(spark):
