@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,12 +15,17 @@ from strandlake.operators.geometry import stack
 from strandlake.session import materialize
 
 
+def _axis_moments(frames: DataFrame) -> DataFrame:
+    """``second_moments`` of the coordinates along each axis; keys are the axis, a slash, the trajectory."""
+    axis = lambda k: F.struct(F.lit(k).alias("axis"), F.filter("xyz", lambda _, i: i % 3 == k).alias("vector"))
+    rows = frames.select("traj_id", F.inline(F.array(*map(axis, range(3))))).select(F.concat_ws("/", F.col("axis").cast("string"), "traj_id").alias("key"), "vector")
+    return moments.second_moments(rows, "key", "vector")
+
+
 def cross_correlation(frames: DataFrame) -> DataFrame:
     """(traj_id, i, j, cov, v): covariance of atom displacements summed over the axes, and the correlation clipped to [-1, 1], i <= j, of dense
     frames (traj_id, frame, xyz) as they lie (superposed before, if wanted). Atoms are numbered by their place."""
-    axis = lambda k: F.struct(F.lit(k).alias("axis"), F.filter("xyz", lambda _, i: i % 3 == k).alias("vector"))
-    rows = frames.select("traj_id", F.inline(F.array(*map(axis, range(3))))).select(F.concat_ws("/", F.col("axis").cast("string"), "traj_id").alias("key"), "vector")
-    cov = moments.covariances(moments.second_moments(rows, "key", "vector"), "key").where("a <= b")
+    cov = moments.covariances(_axis_moments(frames), "key").where("a <= b")
     pairs = cov.groupBy(F.expr("substring(key, 3)").alias("traj_id"), F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("cov").alias("cov"))
     own = pairs.where("i = j")
     out = pairs.join(own.select("traj_id", "i", F.col("cov").alias("vi")), ["traj_id", "i"]).join(own.select("traj_id", F.col("i").alias("j"), F.col("cov").alias("vj")), ["traj_id", "j"])
@@ -41,44 +47,128 @@ def superposed(frames: DataFrame, reference: int = 0) -> DataFrame:
 
     def fit(batches):
         for b in batches:
-            if b.num_rows:
-                x, to = stack(b["xyz"]), stack(b["ref"])
-                y = linear.superpose_each(x, to).reshape(len(x), -1)
-                yield pa.RecordBatch.from_arrays([b["traj_id"], b["frame"], pa.array(list(y), pa.list_(pa.float64()))], ["traj_id", "frame", "xyz"])
+            sizes = pc.list_value_length(b["xyz"]).to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes):  # trajectories may differ in atoms
+                part = b.filter(pa.array(sizes == n))
+                y = linear.superpose_each(stack(part["xyz"]), stack(part["ref"])).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([part["traj_id"], part["frame"], pa.array(list(y), pa.list_(pa.float64()))], ["traj_id", "frame", "xyz"])
 
     return frames.join(ref, "traj_id").select("traj_id", "frame", "xyz", "ref").mapInArrow(fit, "traj_id string, frame int, xyz array<double>")
 
 
-def collective_modes(correlation: DataFrame) -> DataFrame:
-    """Modes that hold nine tenths of the variance, and collectivity, of each trajectory's atom covariance."""
+def collective_modes(frames: DataFrame) -> DataFrame:
+    """Modes that hold nine tenths of the variance, and collectivity, of the atom covariance (summed over the axes) of each trajectory's dense frames as they lie.
+
+    The sums of partial matrices meet in the trajectory's task; no row per pair of atoms is made."""
+    sums = _axis_moments(frames).withColumn("traj_id", F.expr("substring(key, 3)"))
 
     def modes(t: pa.Table) -> pa.Table:
-        i, j = t["i"].to_numpy(), t["j"].to_numpy()
-        names = np.unique(i)
-        m = np.zeros((len(names),) * 2)
-        a, b = np.searchsorted(names, i), np.searchsorted(names, j)
-        m[a, b] = m[b, a] = t["cov"].to_numpy()
-        n, spread = linear.spectrum(np.linalg.eigvalsh(m))
-        return pa.table({"traj_id": t["traj_id"].slice(0, 1), "n_modes_90": pa.array([n], pa.int32()), "collectivity": [spread / len(names)], "trace": [float(np.trace(m))]})
+        keys = np.array(t["key"].to_pylist(), object)
+        cov = sum(moments.matrix_of(t.filter(pa.array(keys == k)))[2] for k in dict.fromkeys(keys))
+        n, spread = linear.spectrum(np.linalg.eigvalsh(cov))
+        return pa.table({"traj_id": t["traj_id"].slice(0, 1), "n_modes_90": pa.array([n], pa.int32()), "collectivity": [spread / len(cov)], "trace": [float(np.trace(cov))]})
 
-    return correlation.select("traj_id", "i", "j", "cov").groupBy("traj_id").applyInArrow(modes, "traj_id string, n_modes_90 int, collectivity double, trace double")
+    return sums.groupBy("traj_id").applyInArrow(modes, "traj_id string, n_modes_90 int, collectivity double, trace double")
 
 
-def essential_dynamics(frames: DataFrame, n_modes: int = 10) -> DataFrame:
-    """First component's share and cosine content (likeness of the projection in time to half a cosine period), and the leading modes as flat arrays.
+_MODES = "traj_id string, variance_share double, cosine_content double, n_atoms int, modes array<double>"
 
-    Frames are superposed where they lie and their covariance is summed by Spark; a trajectory's task decomposes that matrix alone."""
-    fitted = materialize(superposed(frames), "fitted")
+
+def _content(p: np.ndarray) -> float | None:
+    """Likeness of a projection, in order of time, to half a cosine period."""
+    wave = np.cos(np.pi * np.arange(len(p)) / len(p)) @ p
+    return float(2 / len(p) * wave * wave / (p @ p)) if p.any() else None
+
+
+def _spectrum_of(gram: np.ndarray, n_modes: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(share of the first, eigenvalues, eigenvectors) of the leading modes of a matrix of inner products."""
+    w, u = np.linalg.eigh(gram)
+    w, u = np.maximum(w[::-1], 0), u[:, ::-1]
+    k = min(n_modes, int((w > 1e-10 * max(w[0], 1e-300)).sum()))
+    return (float(w[0] / w.sum()) if w.sum() > 0 else 0.0), w[: max(k, 1)], u[:, : max(k, 1)] if k else np.zeros((len(w), 1))
+
+
+def _modes_row(traj: pa.ChunkedArray, share: float, content: float | None, n_atoms: int, modes: np.ndarray) -> pa.Table:
+    return pa.table(
+        {"traj_id": traj.slice(0, 1), "variance_share": [share], "cosine_content": pa.array([content], pa.float64()), "n_atoms": pa.array([n_atoms], pa.int32()), "modes": pa.array([modes.ravel()], pa.list_(pa.float64()))}
+    )
+
+
+def _modes_from_frames(fitted: DataFrame, n_modes: int) -> DataFrame:
+    """Modes of trajectories that fit a task, from the inner products of their frames: each frame moves once, no matrix does."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("frame")
+        x = stack(t["xyz"]).reshape(t.num_rows, -1)
+        x = x - x.mean(0)
+        share, w, u = _spectrum_of(x @ x.T, n_modes)
+        keep = u.any(0)
+        return _modes_row(t["traj_id"], share, _content(u[:, 0] * np.sqrt(w[0])), x.shape[1] // 3, (u[:, keep].T @ x) / np.sqrt(w[keep])[:, None])
+
+    return fitted.groupBy("traj_id").applyInArrow(run, _MODES)
+
+
+def _modes_from_tiles(placed: DataFrame, fitted: DataFrame, n_modes: int, rows: int = 400) -> DataFrame:
+    """The same from tiles of frames (``tiles`` of them): each pair of tiles is a task that sends its inner products, the trajectory's task decomposes these, and
+    a second pass adds the frames up with the weights that it gives them."""
+    dealt = placed.withColumn("a", F.expr("cast(pmod(xxhash64(frame), tiles) as int)")).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
+    pairs = dealt.select("traj_id", F.col("a").alias("own"), F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"), "frame", "xyz")
+    ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
+
+    def products(t: pa.Table) -> pa.Table:
+        own, frame, x = t["own"].to_numpy(), t["frame"].to_numpy(), stack(t["xyz"]).reshape(t.num_rows, -1)
+        one, two = np.flatnonzero(own == t["a"][0].as_py()), np.flatnonzero(own == t["b"][0].as_py())
+        out = [(frame[one[i : i + rows]], frame[two], (x[one[i : i + rows]] @ x[two].T).ravel()) for i in range(0, len(one), rows) if len(two)]
+        head = pa.chunked_array([t["traj_id"].slice(0, 1).combine_chunks().take(pa.array([0] * len(out), pa.int64()))])
+        return pa.table({"traj_id": head, "rows": pa.array([r[0] for r in out], ints), "columns": pa.array([r[1] for r in out], ints), "g": pa.array([r[2] for r in out], doubles)})
+
+    def weigh(t: pa.Table) -> pa.Table:
+        parts = [tuple(t[c][i].values.to_numpy() for c in ("rows", "columns", "g")) for i in range(t.num_rows)]
+        frame = np.unique(np.concatenate([p[0] for p in parts] + [p[1] for p in parts]))
+        gram = np.zeros((len(frame),) * 2)
+        for r, c, g in parts:
+            i, j, g = np.searchsorted(frame, r), np.searchsorted(frame, c), g.reshape(len(r), -1)
+            gram[np.ix_(i, j)] = g
+            gram[np.ix_(j, i)] = g.T
+        mean = gram.mean(0)
+        share, w, u = _spectrum_of(gram - mean - mean[:, None] + mean.mean(), n_modes)
+        keep = u.any(0)
+        weights = u[:, keep] / np.sqrt(w[keep])  # they sum to zero over the frames, so these need not be centred
+        n = len(frame)
+        return pa.table(
+            {"traj_id": t["traj_id"].slice(0, 1).combine_chunks().take(pa.array([0] * n, pa.int64())), "frame": pa.array(frame, pa.int32()), "share": [share] * n, "content": pa.array([_content(u[:, 0] * np.sqrt(w[0]))] * n, pa.float64()), "w": pa.array(list(weights), doubles)}
+        )
+
+    blocks = pairs.groupBy("traj_id", "a", "b").applyInArrow(products, "traj_id string, rows array<int>, columns array<int>, g array<double>")
+    weights = materialize(blocks.groupBy("traj_id").applyInArrow(weigh, "traj_id string, frame int, share double, content double, w array<double>"), "weights")
+
+    def partial(batches):
+        for b in batches:
+            ids = np.array(b["traj_id"].to_pylist(), object)
+            for t in dict.fromkeys(ids):
+                part = b.filter(pa.array(ids == t))
+                w, x = np.array(part["w"].to_pylist(), float).reshape(part.num_rows, -1), stack(part["xyz"]).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*(part[c].slice(0, 1) for c in ("traj_id", "share", "content")), pa.array([x.shape[1] // 3], pa.int32()), pa.array([(w.T @ x).ravel()], doubles)], ["traj_id", "share", "content", "n_atoms", "modes"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([m.values.to_numpy() for m in t["modes"]], axis=0)
+        return _modes_row(t["traj_id"], t["share"][0].as_py(), t["content"][0].as_py(), t["n_atoms"][0].as_py(), total)
+
+    sums = fitted.join(weights, ["traj_id", "frame"]).select("traj_id", "share", "content", "w", "xyz").mapInArrow(partial, "traj_id string, share double, content double, n_atoms int, modes array<double>")
+    return sums.groupBy("traj_id").applyInArrow(add, _MODES)
+
+
+def _modes_from_covariance(fitted: DataFrame, n_modes: int) -> DataFrame:
+    """Modes of trajectories of more frames than coordinates: their covariance is summed by Spark and a trajectory's task decomposes that matrix alone."""
     sums = moments.second_moments(fitted.select("traj_id", "xyz"), "traj_id", "xyz")
 
     def decompose(t: pa.Table) -> pa.Table:
         _, mean, cov = moments.matrix_of(t)
-        w, v = np.linalg.eigh(cov)
-        w, v = np.maximum(w[::-1], 0), v[:, ::-1].T
-        k = min(n_modes, int((w > 1e-10 * max(w[0], 1e-300)).sum()))
-        share = float(w[0] / w.sum()) if w.sum() > 0 else 0.0
+        share, w, v = _spectrum_of(cov, n_modes)
         doubles = pa.list_(pa.float64())
-        return pa.table({"traj_id": t["traj_id"].slice(0, 1), "variance_share": [share], "n_atoms": pa.array([len(mean) // 3], pa.int32()), "mean": pa.array([mean], doubles), "lead": pa.array([v[0]], doubles), "modes": pa.array([v[:k].ravel()], doubles)})
+        return pa.table(
+            {"traj_id": t["traj_id"].slice(0, 1), "variance_share": [share], "n_atoms": pa.array([len(mean) // 3], pa.int32()), "mean": pa.array([mean], doubles), "lead": pa.array([v[:, 0]], doubles), "modes": pa.array([v[:, v.any(0)].T.ravel()], doubles)}
+        )
 
     modes = materialize(sums.groupBy("traj_id").applyInArrow(decompose, "traj_id string, variance_share double, n_atoms int, mean array<double>, lead array<double>, modes array<double>"), "modes")
     move = F.aggregate(F.zip_with(F.zip_with("xyz", "mean", lambda x, m: x - m), "lead", lambda d, v: d * v), F.lit(0.0), lambda a, x: a + x)
@@ -90,6 +180,31 @@ def essential_dynamics(frames: DataFrame, n_modes: int = 10) -> DataFrame:
     return modes.join(content, "traj_id").select("traj_id", "variance_share", "cosine_content", "n_atoms", "modes")
 
 
+def essential_dynamics(frames: DataFrame, n_modes: int = 10, tile_bytes: int = 64 << 20, most: int = 8000) -> DataFrame:
+    """First component's share and cosine content (likeness of the projection in time to half a cosine period), and the leading modes as flat arrays.
+
+    Frames are superposed where they lie. A trajectory of fewer frames than coordinates is decomposed by the inner products of its frames: in one task if its frames take
+    at most ``tile_bytes``, else by pairs of tiles of that size; the matrix of inner products of more than ``most`` frames is an error. One of more frames than coordinates is decomposed by its covariance."""
+    fitted = materialize(superposed(frames), "fitted")
+    shape = fitted.groupBy("traj_id").agg(F.count("*").alias("n"), F.max(F.size("xyz")).alias("d"))
+    tiles = F.ceil(F.col("n") * F.col("d") * 8 / tile_bytes).cast("int")
+    form = F.when(F.col("n") >= F.col("d"), 0).when(tiles <= 1, 1).when(F.col("n") <= most, 2).otherwise(F.raise_error(F.concat(F.lit("too many frames for their inner products: "), "traj_id")).cast("int"))
+    shape = materialize(shape.select("traj_id", tiles.alias("tiles"), form.alias("form")), "shapes")
+    of = lambda k: fitted.join(shape.where(F.col("form") == k).select("traj_id", "tiles"), "traj_id")
+    present = {r.form for r in shape.select("form").distinct().collect()}
+    parts = []
+    if 0 in present or not present:
+        parts.append(_modes_from_covariance(of(0).drop("tiles"), n_modes))
+    if 1 in present:
+        parts.append(_modes_from_frames(of(1).drop("tiles"), n_modes))
+    if 2 in present:
+        parts.append(_modes_from_tiles(of(2), fitted, n_modes))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def subspace_overlap(modes: DataFrame, key: str) -> DataFrame:
     """Root mean square inner product of the modes of each pair of replicas of one ``key`` with equal atoms, averaged per replica. Where one has
     fewer modes, that many of the other's count."""

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -36,13 +37,15 @@ def second_moments(rows: DataFrame, key: str, vector: str) -> DataFrame:
                 continue
             arrow, names = b[key].type, b[key].to_pylist()
             order = np.array(sorted(range(len(names)), key=lambda i: (names[i] is None, names[i])))
-            x = b[vector].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            size_of = pc.list_value_length(b[vector]).to_numpy(zero_copy_only=False)
+            x, at = b[vector].flatten().to_numpy(zero_copy_only=False), np.cumsum(size_of) - size_of
             start = 0
             for end in range(1, len(order) + 1):
                 k = names[order[start]]
                 if end < len(order) and names[order[end]] == k:
                     continue
-                part, start = x[order[start:end]], end
+                rows_of = order[start:end]
+                part, start = x[at[rows_of][:, None] + np.arange(size_of[rows_of[0]])], end
                 n, s, m = held.get(k, (0, 0.0, 0.0))
                 size += 0 if n else part.shape[1] ** 2
                 held[k] = n + len(part), s + part.sum(0), m + part.T @ part

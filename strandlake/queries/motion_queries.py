@@ -265,7 +265,7 @@ def _(spark, d):
 
 @R.add("m09_collective_modes")
 def _(spark, d):
-    return dynamics.collective_modes(correlation(spark, d))
+    return dynamics.collective_modes(dense(spark, d))
 
 
 def modes(spark, d):

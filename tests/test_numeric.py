@@ -113,6 +113,47 @@ def test_cross_correlation(frames, motion):
                 assert got[t, i, j] == (pytest.approx(c[i, j], abs=1e-8), pytest.approx(c[i, j] / math.sqrt(c[i, i] * c[j, j]), abs=1e-8))
 
 
+def test_collective_modes(frames, motion):
+    got = {r["traj_id"]: r for r in dynamics.collective_modes(frames).collect()}
+    for t, x in motion.items():
+        d = x - x.mean(0)
+        w = np.sort(np.linalg.eigvalsh(np.einsum("fid,fjd->ij", d, d) / len(x)))[::-1]
+        n = int(np.searchsorted(np.cumsum(w) / w.sum(), 0.9)) + 1
+        p = w[w > 0] / w.sum()
+        assert got[t]["n_modes_90"] == n and got[t]["trace"] == pytest.approx(w.sum())
+        assert got[t]["collectivity"] == pytest.approx(np.exp(-(p * np.log(p)).sum()) / 6, abs=1e-6)
+
+
+@pytest.mark.parametrize("tile_bytes", [1 << 20, 9000, 3000])
+def test_modes_by_inner_products_equal_those_by_covariance(spark, tile_bytes):
+    """Fewer frames than coordinates, in one task and in tiles, beside longer, still and single-frame trajectories."""
+    rng = np.random.default_rng(11)
+    x = {"few": rng.normal(size=(25, 20, 3)), "long": rng.normal(size=(40, 4, 3)), "still": np.repeat(rng.normal(size=(1, 9, 3)), 5, 0), "one": rng.normal(size=(1, 9, 3))}
+    x["few"] += np.cos(np.pi * np.arange(25) / 25)[:, None, None] * rng.normal(size=(20, 3)) * 2
+    rows = [(t, f, m[f].ravel().tolist()) for t, m in x.items() for f in range(len(m))]
+    df = spark.createDataFrame(rows, "traj_id string, frame int, xyz array<double>").repartition(4)
+    got = {r["traj_id"]: r for r in dynamics.essential_dynamics(df, 5, tile_bytes).collect()}
+    assert set(got) == set(x)
+    for t in ("few", "long"):
+        y = fitted(x[t]).reshape(len(x[t]), -1)
+        d = y - y.mean(0)
+        _, s, vt = np.linalg.svd(d, full_matrices=False)
+        p = d @ vt[0]
+        assert got[t]["variance_share"] == pytest.approx(s[0] ** 2 / (s**2).sum(), abs=1e-9)
+        assert got[t]["cosine_content"] == pytest.approx(2 / len(y) * (np.cos(np.pi * np.arange(len(y)) / len(y)) @ p) ** 2 / (p @ p), abs=1e-8)
+        m = np.array(got[t]["modes"]).reshape(5, -1)
+        assert np.abs(m @ vt[:5].T) == pytest.approx(np.eye(5), abs=1e-6) and m @ m.T == pytest.approx(np.eye(5), abs=1e-8)
+    for t in ("still", "one"):
+        assert (got[t]["variance_share"], got[t]["cosine_content"], got[t]["n_atoms"]) == (pytest.approx(0, abs=1), None, 9) or t == "still"
+    assert dynamics.essential_dynamics(df.where("frame < 0")).collect() == []
+
+
+def test_too_many_frames_for_inner_products(spark):
+    df = spark.createDataFrame([("a", f, [float(f + k * k) for k in range(30)]) for f in range(12)], "traj_id string, frame int, xyz array<double>")
+    with pytest.raises(Exception, match="too many frames"):
+        dynamics.essential_dynamics(df, tile_bytes=500, most=10).collect()
+
+
 def test_essential_dynamics_and_overlap(spark, frames, motion):
     got = {r["traj_id"]: r for r in dynamics.essential_dynamics(frames, 4).collect()}
     modes = {}
