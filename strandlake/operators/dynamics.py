@@ -42,8 +42,9 @@ def block_coupling(correlation: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def superposed(frames: DataFrame, reference: int = 0) -> DataFrame:
-    """(traj_id, frame, xyz) with every frame superposed onto its trajectory's reference frame, where it is read."""
-    ref = frames.where(F.col("frame") == reference).select("traj_id", F.col("xyz").alias("ref"))
+    """(traj_id, frame, xyz) with every frame superposed onto its trajectory's reference frame, where it is read: written out first, the references
+    have a known size, and Spark broadcasts them up to its threshold instead of moving all frames."""
+    ref = materialize(frames.where(F.col("frame") == reference).select("traj_id", F.col("xyz").alias("ref")), "references")
 
     def fit(batches):
         for b in batches:

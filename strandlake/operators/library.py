@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.kernels import linear
+from strandlake.kernels.alignment import align_pairs
 from strandlake.operators import moments
 from strandlake.operators.geometry import stack
 from strandlake.operators.summaries import exact_quantiles
@@ -150,69 +151,56 @@ def library_map(rows: DataFrame, key: str, blocks: dict[str, list[str]]) -> tupl
     return points, rows.sparkSession.createDataFrame(out, ", ".join(fields))
 
 
-def _aligned(queries: list[str], targets: list[str], match: float, mismatch: float, open_: float, extend: float) -> np.ndarray:
-    """(score, equal places, places without a gap) of global alignments with affine gaps, for all pairs at once. Of equal scores the one with more equal places counts.
-
-    States: both letters, a gap in the target, a gap in the query. Cells hold score, equal places and pairs packed into one number, so the best is one maximum."""
-    m, n = max(map(len, queries)), max(map(len, targets))
-    grid = lambda xs, k: np.array([list(x.encode("utf-32-le")[::4].ljust(k, b"\0")) for x in xs], np.int16).reshape(len(xs), k)
-    q, t = grid(queries, m), grid(targets, n)
-    lq, lt = np.array(list(map(len, queries))), np.array(list(map(len, targets)))
-    unit = 1 << 24  # one point of score, in packed numbers; below it equal places (12 bits) and pairs (12 bits)
-    pack = lambda x: int(round(x * unit))
-    none = -(1 << 60)
-    pairs = len(queries)
-    both = np.full((n + 1, pairs), none, np.int64)
-    gap_t, gap_q = both.copy(), both.copy()
-    both[0] = 0
-    for j in range(1, n + 1):
-        gap_q[j] = pack(open_ + (j - 1) * extend)
-    out = np.zeros(pairs, np.int64)
-    done = np.zeros(pairs, bool)
-    best = lambda: np.maximum(np.maximum(both, gap_t), gap_q)
-
-    def close(i: int) -> None:
-        ends = lq == i
-        out[ends] = best()[lt[ends], np.flatnonzero(ends)]
-        done[ends] = True
-
-    close(0)
-    for i in range(1, m + 1):
-        before = best()
-        new_t = np.maximum(before + pack(open_), gap_t + pack(extend))
-        new_both = np.full_like(both, none)
-        equal = t == q[:, i - 1 : i]
-        new_both[1:] = before[:-1] + np.where(equal, pack(match) + (1 << 12) + 1, pack(mismatch) + 1).T
-        new_q = np.full_like(both, none)
-        for j in range(1, n + 1):
-            new_q[j] = np.maximum(np.maximum(new_both[j - 1], new_t[j - 1]) + pack(open_), new_q[j - 1] + pack(extend))
-        both, gap_t, gap_q = new_both, new_t, new_q
-        close(i)
-    low = out & (unit - 1)
-    return np.stack([(out - low) / unit, low >> 12, low & 4095], 1)
-
-
-def best_matches(queries: DataFrame, references: DataFrame, top: int = 3, k: int = 4, scores: tuple[float, float, float, float] = (2.0, -1.0, -6.0, -1.0), key: str = "query_id") -> DataFrame:
+def best_matches(
+    queries: DataFrame, references: DataFrame, top: int = 3, scores: tuple[float, float, float, float] = (2.0, -1.0, -6.0, -1.0), key: str = "query_id",
+    block_letters: int = 500_000, most_broadcast: int = 32_000_000,
+) -> DataFrame:
     """The ``top`` references of each query sequence by identity, coverage and score of their global alignment, with a confidence label.
 
-    queries: (key, sequence); references: (allele, locus, sequence). Candidates share a k-mer with the query: a join on k-mers, each of a sequence once; only
-    distinct pairs of sequences are aligned, in batches. Identity: equal places over places without a gap. Queries without candidates have no rows. Sequences of up
-    to 4000 letters."""
-    kmers = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("sequence") - (k - 1), F.lit(1))), lambda i: F.substring("sequence", i, F.lit(k))))
-    side = lambda df, name: df.select(F.col("sequence").alias(name), F.explode(kmers).alias("kmer"))
-    q, r = queries.select("sequence").distinct(), references.select("sequence").distinct()
-    pairs = side(q, "q").join(side(r, "t"), "kmer").select("q", "t").distinct()
+    queries: (key, sequence); references: (allele, locus, sequence), the typing library. Every distinct query sequence is aligned to every distinct reference: an alignment that
+    scores best may leave most letters in gaps, so neither shared k-mers nor lengths bound its identity. References are packed into blocks of some ``block_letters``; a
+    task meets a query with a block, aligns the lot and sends the block's best alone. Blocks are broadcast if the library has at most ``most_broadcast`` letters, else joined by a
+    shuffle over which queries are dealt evenly.
+
+    Identity: equal places over places without a gap, 0 without such. Of equal identity, coverage and score the lesser allele comes first. A null sequence has no rows and is no reference;
+    an empty one covers nothing. Sequences of a million letters or more are an error."""
+    library = materialize(references.where("sequence IS NOT NULL").groupBy("sequence").agg(F.array_sort(F.collect_set(F.struct("allele", "locus"))).alias("names")), "library")
+    letters = library.agg(F.coalesce(F.sum(F.length("sequence") + 1), F.lit(0)).alias("n")).first()["n"]
+    n_blocks = max(1, -(-letters // block_letters))
+    packed = library.groupBy(F.pmod(F.xxhash64("sequence"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("sequence", "names")).alias("references"))
+    asked = queries.where("sequence IS NOT NULL").select(F.col("sequence").alias("q")).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    if letters <= most_broadcast:
+        met = asked.join(F.broadcast(packed), "block")
+    else:
+        salts = 1000
+        dealt = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = asked.withColumn("_salt", F.pmod(F.xxhash64("q"), F.lit(salts)).cast("int")).join(dealt.hint("shuffle_merge"), ["block", "_salt"])
+    kind = "q string, allele string, locus string, identity double, coverage double, score double"
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list] = {}
         for b in batches:
-            if b.num_rows:
-                got = _aligned(b["q"].to_pylist(), b["t"].to_pylist(), *scores)
-                yield pa.RecordBatch.from_arrays([b["q"], b["t"], *(pa.array(c) for c in got.T)], ["q", "t", "score", "equal", "compared"])
-
-    done = pairs.mapInArrow(align, "q string, t string, score double, equal double, compared double")
-    found = queries.join(done, queries["sequence"] == done["q"]).join(references.withColumnRenamed("sequence", "_s"), F.col("t") == F.col("_s"))
-    identity, coverage = F.when(F.col("compared") > 0, F.col("equal") / F.col("compared")).otherwise(0.0), F.lit(1.0)  # a global alignment covers the query
-    rows = found.select(key, "allele", "locus", identity.alias("identity"), coverage.alias("coverage"), "score")
+            out = []
+            for i in range(b.num_rows):
+                q, block = b["q"][i].as_py(), b["block"][i].as_py()
+                if block not in known:
+                    known[block] = [(r["sequence"], [(x["allele"], x["locus"]) for x in r["names"]]) for r in b["references"][i].as_py()]
+                got = align_pairs([q] * len(known[block]), [t for t, _ in known[block]], *scores)
+                identity = np.where(got[:, 2] > 0, got[:, 1] / np.maximum(got[:, 2], 1), 0.0)
+                best = np.lexsort((-got[:, 0], -identity))  # the coverage is the query's
+                kept, names = 0, []
+                for k in best.tolist():  # all alleles of equal rank, until there are enough
+                    if kept >= top and (identity[k], got[k, 0]) != (identity[last], got[last, 0]):
+                        break
+                    last, kept = k, kept + len(known[block][k][1])
+                    names += [(q, a, locus, identity[k], float(bool(q)), got[k, 0]) for a, locus in known[block][k][1]]
+                names.sort(key=lambda r: (-r[3], -r[5], r[1] is not None, r[1]))
+                out += names[:top]
+            fields = [pa.string()] * 3 + [pa.float64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(fields)], [f.split()[0] for f in kind.split(", ")])
+
+    done = met.select("q", "block", "references").mapInArrow(align, kind)
+    rows = queries.select(key, "sequence").join(done, F.col("sequence") == F.col("q")).drop("sequence", "q")
     order = W.partitionBy(key).orderBy(F.desc("identity"), F.desc("coverage"), F.desc("score"), "allele")
     level = F.when((F.col("identity") >= 0.98) & (F.col("coverage") >= 0.95), "high").when((F.col("identity") >= 0.94) & (F.col("coverage") >= 0.90), "medium").otherwise("low")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("confidence", level)

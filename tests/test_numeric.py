@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import statistics
-from strandlake.kernels import linear
+from strandlake.kernels import alignment, linear
 from strandlake.operators import dynamics, geometry, landscape, library, moments, profiles, rings, series, summaries
 
 RNG = np.random.default_rng(20)
@@ -458,13 +458,34 @@ def test_alignments_and_best_matches(spark):
     base = [word(n) for n in (12, 20, 9)]
     seqs = base + [b[:k] + b[k + 2 :] for b in base for k in (2, 5)] + [b[:4] + "WW" + b[4:] for b in base] + ["A", word(30)]
     pairs = [(a, b) for a in seqs for b in seqs]
-    got = library._aligned([a for a, _ in pairs], [b for _, b in pairs], 2.0, -1.0, -6.0, -1.0)
-    assert got.tolist() == [list(map(float, plain_alignment(a, b))) for a, b in pairs]
-    refs = [(f"R*{i}", "R", s) for i, s in enumerate(base)]
-    queries = [(1, base[0]), (2, base[1][:6] + base[1][8:]), (3, base[0]), (4, "YYYYYY"), (5, base[2][:-1] + "Y")]
-    out = library.best_matches(spark.createDataFrame(queries, "query_id long, sequence string"), spark.createDataFrame(refs, "allele string, locus string, sequence string"), top=1)
-    best = {r["query_id"]: (r["allele"], round(r["identity"], 3), r["confidence"]) for r in out.collect()}
-    assert best == {1: ("R*0", 1.0, "high"), 2: ("R*1", 1.0, "high"), 3: ("R*0", 1.0, "high"), 5: ("R*2", round(8 / 9, 3), "low")}
+    pairs += [("", ""), ("", "ACD"), ("ACD", ""), ("AĀ", "ĀA")]
+    for cells in (1, 100_000):
+        got = alignment.align_pairs([a for a, _ in pairs], [b for _, b in pairs], 2.0, -1.0, -6.0, -1.0, cells)
+        assert got.tolist() == [list(map(float, plain_alignment(a, b))) for a, b in pairs]
+    refs = [(f"R*{i % 17}", "R", s) for i, s in enumerate([*seqs, *base, "ACDEF"])] + [("N*1", "N", None), ("R*0", "R", base[0])]
+    queries = [(1, base[0]), (2, base[1][:6] + base[1][8:]), (3, base[0]), (4, "YYYYYY"), (5, base[2][:-1] + "Y"), (6, None), (7, ""), (1, base[0])]
+    want = []
+    for key, q in queries:
+        if q is not None:
+            rows = []
+            for allele, _, t in set(refs):
+                if t is not None:
+                    s, e, c = plain_alignment(q, t)
+                    rows.append((-(e / c if c else 0.0), -float(bool(q)), -float(s), allele))
+            want += [(key, a, i, c, s) for i, c, s, a in sorted(rows)[:3]]
+    refs_df = spark.createDataFrame(refs, "allele string, locus string, sequence string")
+    for options in ({}, {"block_letters": 60}, {"block_letters": 60, "most_broadcast": 0}):
+        out = library.best_matches(spark.createDataFrame([q for q in queries[:7]], "query_id long, sequence string"), refs_df, **options)
+        got = sorted((r["query_id"], r["rank"], r["allele"], -r["identity"], -r["coverage"], -r["score"]) for r in out.collect())
+        assert [(k, a, *map(pytest.approx, (i, c, s))) for k, _, a, i, c, s in got] == sorted(want[:-3], key=lambda r: r[0])
+
+
+def test_long_sequences_align():
+    """More than 4095 places, in a second or so a pair; the counts don't run into each other."""
+    rng = np.random.default_rng(8)
+    a = "".join(rng.choice(list("ACDEFGHIKL"), 5000))
+    b = a[:1000] + a[1010:3000] + "W" + a[3001:]
+    assert alignment.align_pairs([a], [b], 2.0, -1.0, -6.0, -1.0).tolist() == [[2 * 4989 - 1 - 15, 4989, 4990]]
 
 
 def test_two_sample_tests_and_intervals(spark):
