@@ -1,13 +1,13 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a DOM in one forward pass over its bytes, in time linear in its length whatever it holds. Elements that are never article text by their meaning (scripts, navigation)
-are left out. Forms, and blocks that class, id or role name as adverts, notices, comments and the like, are left out
-unless they wrap the text: they hold an article, main or h1 element that no such name marks, or most of the body's characters outside links (named blocks
+are left out. Forms, and elements whose role, class or id names nothing but an advert, a notice, a menu, comments and the like, are left out
+unless they wrap the text: they hold an article, main or h1 element that no such name marks, or most of the body's characters outside links (named elements
 only where no such article or main stands outside). Every other
-node's density is its characters per tag, adjusted by the share of link characters and tags against the body's; the
-sum of its children's densities tells an article's node from both its parts and its frame (of equal sums, an article or main
-element's counts). The least density on the path from that node to the body is the threshold that a part beside the path must reach to belong to
-the text. Short parts count too if they lie between two such parts, or beside the path inside an article or main element, and are not mostly links.
+node's density is its characters per tag, adjusted by the share of link characters and tags against the body's; the subtree with the largest
+sum of its children's densities is the text (of equal sums, an article or main element's counts). The least density on the path from that node to the body is the threshold: a part beside the path
+belongs to the text if it holds a node as dense as that, or lies between two such parts and is not mostly links. Inside an article or main element the short parts before the first and
+behind the last count too, once the dense ones hold half of its characters. Inside the text, elements with weaker names (related, toc) stay if they are half as dense as the threshold and not mostly links.
 
 A null, empty or text-less page gives an empty text. Unclosed and misnested tags are closed as a browser would; a tag or comment that
 the page's end cuts off is no text. The work is
@@ -45,27 +45,37 @@ MAIN = frozenset(("article", "main"))
 #: an opening tag ends these open elements, up to the nearest of its scope
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|nav\w*|menus?|breadcrumbs?|pagination|pager|widgets?|related|recommend\w*|sharing|social|footer\w*|masthead|topbar|toolbar"
-    r"|comments?\w*|disqus|replies|respond|search\w*|skip|copyright|toc)(?:$|[\s_-])"
-    # compound names with these are of layouts and headings too
-    r"|(?:^|\s)(?:sidebar|side|share|header|tags)(?:$|\s)",
-    re.I,
+# Words of class and id names. A name is a role if all words between its hyphens are of these lists and one is a role's.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar sidebar share sharing comment comments disqus replies respond skip copyright".split()
 )
+WEAK = frozenset("widget widgets related recommended recommendations search social toc".split())
+LAYOUT = frozenset("area bar block bottom box btn button buttons center container desktop form global header holder icon icons inner item items left link links list local mobile module outer panel post posts right row section site slot sticky sub top unit wrap wrapper".split())
+#: of layouts and headings too when compound
+WHOLE = frozenset("side header tags".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "named", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "named", "marks", "chars", "tags", "link_chars", "link_tags", "density", "peak", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: int = 0):
         self.tag, self.parent, self.noise, self.named = tag, parent, noise, named
         self.parts: list = []
 
 
-def _is_named(attrs: dict[str, str]) -> bool:
-    return attrs.get("role", "").lower() in _NOISE_ROLE or any(_NOISE.search(attrs[k]) for k in ("class", "id") if k in attrs)
+def _role_of(attrs: dict[str, str]) -> int:
+    """2: the names tell a part that is no text; 1: they may; 0: they don't."""
+    if attrs.get("role", "").lower() in _NOISE_ROLE:
+        return 2
+    found = 0
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = [w for w in re.split("[-_]+", name) if w]
+        if name in WHOLE:
+            found = max(found, 1)
+        elif words and all(w in STRONG or w in WEAK or w in LAYOUT for w in words):
+            found = max(found, 2 if any(w in STRONG for w in words) else 1 if any(w in WEAK for w in words) else 0)
+    return found
 
 
 def _drop_named(root: Node) -> None:
@@ -77,7 +87,7 @@ def _drop_named(root: Node) -> None:
             order.append(n)
             todo += [x for x in n.parts if isinstance(x, Node)]
     for n in reversed(order):  # chars: outside links; marks: articles and mains, and headings, that no name makes noise
-        own = not n.named
+        own = n.named < 2
         frames, heads = int(own and n.tag in ("article", "main")), int(own and n.tag == "h1")
         n.chars = 0
         for x in n.parts:
@@ -89,7 +99,9 @@ def _drop_named(root: Node) -> None:
         n.chars *= n.tag != "a"
         n.marks = frames, heads
     for n in order:
-        if (n.named or n.tag == "form") and n.tag not in ("article", "main", "h1") and not any(n.marks):
+        if n.tag in ("article", "main") or any(n.marks):
+            n.named = 0  # it wraps the text
+        elif n.named == 2 or n.tag == "form":
             n.noise = 2 * n.chars <= root.chars or n.tag != "form" and root.marks[0] > 0
 
 
@@ -200,7 +212,7 @@ def parse(page: str) -> Node:
                 stack.cut(k)
         above = stack.nodes[-1]
         noise = above.noise or tag in DROPPED or tag == "header" and not stack.nearest(MAIN)
-        node = Node(tag, above, noise, _is_named(attrs))
+        node = Node(tag, above, noise, 0 if tag in HEADINGS or not attrs else _role_of(attrs))
         if not above.noise:
             above.parts.append(node)
         if tag in VOID or ended and tag not in BLOCK:
@@ -245,8 +257,10 @@ def _measure(root: Node) -> list[Node]:
     share = root.link_chars / root.chars if root.chars else 0.0
     for n in order:
         n.density = _density(n, share)
-    for n in order:
-        n.total = sum(x.density for x in n.parts if isinstance(x, Node) and not x.noise)
+    for n in reversed(order):
+        kept = [x for x in n.parts if isinstance(x, Node) and not x.noise]
+        n.total = sum(x.density for x in kept)
+        n.peak = max([n.density, *(x.peak for x in kept)])
     return order
 
 
@@ -260,8 +274,8 @@ def _density(n: Node, share: float) -> float:
     return n.chars / tags * (math.log(x) / math.log(base) if base > 1 and x > 0 else math.log(max(x, 1.0)))
 
 
-def _blocks(nodes: list) -> list[str]:
-    """Texts of the blocks below ``nodes``, in page order."""
+def _blocks(nodes: list, least: float) -> list[str]:
+    """Texts of the blocks below ``nodes``, in page order, without weakly named elements below half the density ``least`` or mostly of links."""
     out, line = [], []
 
     def close() -> None:
@@ -278,7 +292,7 @@ def _blocks(nodes: list) -> list[str]:
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif x.noise:
+        elif x.noise or x.named and (2 * x.density < least or 2 * x.link_chars >= x.chars):
             line.append(" ")
         elif x.tag == "br":
             line.append(" ")
@@ -305,25 +319,27 @@ def main_text(page: str) -> str:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    outermost = max((k for k, n in enumerate(path) if n.tag in MAIN), default=0)
     before, behind = [], []
+    held = best.chars  # by the parts that density has chosen
     for k in range(1, len(path)):
-        left, right = _beside(path[k], path[k - 1], threshold, k <= outermost)
+        left, right, held = _beside(path[k], path[k - 1], threshold, held)
         before.append(left)
         behind.append(right)
-    return "\n".join(_blocks([*(x for xs in reversed(before) for x in xs), best, *(x for xs in behind for x in xs)]))
+    return "\n".join(_blocks([*(x for xs in reversed(before) for x in xs), best, *(x for xs in behind for x in xs)], threshold))
 
 
-def _beside(frame: Node, middle: Node, threshold: float, inside: bool) -> tuple[list, list]:
-    """The parts of ``frame`` that belong to the text, on both sides of ``middle``. ``inside``: of an article or main element."""
+def _beside(frame: Node, middle: Node, threshold: float, held: int) -> tuple[list, list, int]:
+    """The parts of ``frame`` that belong to the text, on both sides of ``middle``; ``held``: characters that density chose up to ``middle``, and here."""
     parts = [x for x in frame.parts if isinstance(x, str) or not x.noise]
     here = next(i for i, x in enumerate(parts) if x is middle)
-    dense = [i for i, x in enumerate(parts) if isinstance(x, Node) and (i == here or x.chars and x.density >= threshold or x.tag in HEADINGS)]
-    first, last = (0, len(parts)) if inside else (dense[0], dense[-1])
+    dense = [i for i, x in enumerate(parts) if isinstance(x, Node) and (i == here or x.chars and x.peak >= threshold or x.tag in HEADINGS)]
+    held += sum(parts[i].chars for i in dense if i != here)
+    whole = frame.tag in MAIN and 2 * held >= frame.chars
+    first, last = (0, len(parts)) if whole else (dense[0], dense[-1])
     taken = set(dense)
     fits = lambda i, x: i in taken or first <= i <= last and (isinstance(x, str) or 2 * x.link_chars < x.chars or not x.chars)
     sides = [(i, x) for i, x in enumerate(parts) if i != here and fits(i, x)]
-    return [x for i, x in sides if i < here], [x for i, x in sides if i > here]
+    return [x for i, x in sides if i < here], [x for i, x in sides if i > here], held
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -62,6 +62,72 @@ def test_densities_and_sums(seed):
     assert [n.total for n in order] == pytest.approx(sums)
 
 
+def extracted(tree):
+    """The text of a tree by recursion: every density, sum and rule computed anew for each node."""
+    c, _, lc, _ = counts(tree)
+    share = lc / c if c else 0.0
+    if not c:
+        return ""
+    where = {}  # node -> path from the body
+
+    def walk(node, path):
+        where[id(node)] = path = [*path, node]
+        for x in node[1]:
+            if not isinstance(x, str):
+                walk(x, path)
+
+    walk(tree, [])
+    nodes = list(flat(tree))
+    total = lambda n: sum(density(x, share) for x in n[1] if not isinstance(x, str))
+    top = max((total(n), n[0] in ("article", "main")) for n in nodes)
+    best = next(n for n in nodes if (total(n), n[0] in ("article", "main")) == top) if top[0] > 0 else tree
+    path = where[id(best)]
+    least = min(density(n, share) for n in path)
+    peak = lambda n: max(density(x, share) for x in flat(n))
+    kept, held = [best], counts(best)[0]
+    for frame, middle in zip(path[-2::-1], path[:0:-1]):
+        here = next(i for i, x in enumerate(frame[1]) if x is middle)
+        dense = [i for i, x in enumerate(frame[1]) if not isinstance(x, str) and (i == here or counts(x)[0] and peak(x) >= least or x[0] in ("h1", "h2"))]
+        held += sum(counts(frame[1][i])[0] for i in dense if i != here)
+        whole = frame[0] in ("article", "main") and 2 * held >= counts(frame)[0]
+
+        def fits(i, x):
+            if i in dense:
+                return True
+            between = whole or dense[0] <= i <= dense[-1]
+            return between and (isinstance(x, str) or 2 * counts(x)[2] < counts(x)[0] or not counts(x)[0])
+
+        kept = [x for i, x in enumerate(frame[1][:here]) if fits(i, x)] + kept + [x for i, x in enumerate(frame[1]) if i > here and fits(i, x)]
+
+    def text(node):
+        if isinstance(node, str):
+            return node
+        inner = "".join(map(text, node[1]))
+        return inner if node[0] in ("span", "a", "b", "i") else f"\n{inner}\n"
+
+    return "\n".join(" ".join(line.split()) for line in "".join(map(text, kept)).split("\n") if line.strip())
+
+
+def page(rng, depth=0):
+    """A random tree that looks like a page: paragraphs, link lists, sections, articles and headings."""
+    words = lambda a, b: " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(a, b)))
+    kind = rng.random()
+    if depth > 3 or kind < 0.45:
+        return rng.choice([("p", [words(1, 60)]), ("p", [words(3, 30), ("b", [words(1, 4)]), words(1, 20)]), ("h2", [words(1, 5)]), ("div", [("a", [words(1, 3)]) for _ in range(rng.randint(1, 9))]), words(1, 12)])
+    return rng.choice(["div", "div", "section", "article"]), [page(rng, depth + 1) for _ in range(rng.randint(1, 6))]
+
+
+def test_extraction_equals_brute_force(monkeypatch):
+    rng = random.Random(12)
+    trees = [("body", [page(rng) for _ in range(rng.randint(1, 5))]) for _ in range(400)]
+    pages = ["<body>" + "".join(map(write, t[1])) + "</body>" for t in trees]
+    got = [html_text.main_text(p) for p in pages]
+    assert got == [extracted(t) for t in trees]
+    # the densities decide: other ones give other texts
+    monkeypatch.setattr(html_text, "_density", lambda n, share: rng.random())
+    assert sum(html_text.main_text(p) != g for p, g in zip(pages, got)) > 150
+
+
 LONG = "<p>" + "A sentence of the text that says a good deal about rivers and stones. " * 4 + "</p>"
 LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Topic {k}</a></li>" for k in range(12)) + "</ul>"
 

@@ -25,6 +25,12 @@ LONG = "<p>I disagree with all of this, and I will say so at length.</p>" * 9
         (f'<article>{BODY}</article><div class="comments">{LONG}</div>', WANT),
         (f'<article>{BODY}</article><div class="comments"><article class="comment">{LONG}</article></div>', WANT),
         (f'<article>{BODY}<div class="share">Share this</div></article>', WANT),
+        # compounds name topics, unless all their words are roles and layout
+        *((f"<article>{BODY}<{tag}>{TEXT}</{tag.split()[0]}></article>", f"{WANT}\n{TEXT}") for tag in (
+            'h2 class="search-engines"', 'section class="menu-planning"', 'div id="social-history"', 'div class="notice-board"', 'p class="toc"', 'div class="related"', 'h3 class="menu"')),
+        *((f'<article>{BODY}<div class="{name}">Gone</div></article>', WANT) for name in ("site-footer", "comment-list", "cookie_banner", "ad", "left-ad-slot", "toc", "nav-links", "related")),
+        # a main element around junk does not make it text
+        (f'<main><div>{BODY * 3}</div><div><a href="/">All</a> <a href="/">more</a></div></main>', "\n".join([WANT] * 3)),
     ],
 )
 def test_wrappers(page, text):
