@@ -170,7 +170,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group of equal texts, with all its columns. A null text comes back as null only if it leads its group."""
     others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    payload = F.struct(*others, F.col(text_col).isNull().alias("_null"))
+    payload = F.struct(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(text_col).isNull().alias("null"))
     schema = StructType(
         [
             StructField("row", docs.select(payload.alias("row")).schema["row"].dataType),
@@ -184,5 +184,5 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earliest = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("part").alias("lead_part"))
     doubtful = rows.where("digest IS NOT NULL AND NOT mark").join(earliest, "digest").where("part = lead_part")
     kept = rows.where("digest IS NULL").select("row", "text").union(doubtful.select("row", "text"))
-    back = {c: F.when(~F.col("row._null"), F.col("text")) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns}
+    back = {c: F.when(~F.col("row.null"), F.col("text")) if c == text_col else F.col(f"row.row.`{c}`") for c in docs.columns}
     return kept.select(*(c.alias(name) for name, c in back.items()))

@@ -262,7 +262,8 @@ def _across(big: DataFrame, labels: DataFrame, group: int) -> DataFrame:
 
 def drop_near(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row that stands for each component (its smallest identifier), with all its columns."""
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("content")))
-    found = link_components(keyed.select("_key", F.col(text_col).alias("_content")), n, percent, "_key", "_content")
-    stay = found.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
-    return keyed.join(stay, "_key").dropDuplicates(["_key"]).drop("_key")
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(f"`{text_col}`", F.lit(""))).alias("content"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), F.col(f"`{text_col}`").alias("content"))
+    found = link_components(keyed.select("key", "content"), n, percent, "key", "content")
+    stay = found.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    return keyed.join(stay, "key").dropDuplicates(["key"]).select("row.*")

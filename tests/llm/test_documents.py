@@ -220,24 +220,62 @@ def test_packing(docs, nothing, corpus, encoded, vocabulary):
     assert packing.pack(packing.pieces(nothing, vocabulary)).collect() == []
 
 
+def one_by_one(lengths, capacity):
+    """Bins of best fit decreasing, piece after piece, by trying all open bins."""
+    left = []
+    for n in sorted(lengths, reverse=True):
+        fits = [x for x in left if x >= n]
+        if fits:
+            left.remove(min(fits))
+            left.append(min(fits) - n)
+        else:
+            left.append(capacity - n)
+    return sorted(left)
+
+
 def test_best_fit_takes_the_tightest_bin():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        capacity = int(rng.integers(1, 60))
-        lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 120)))
-        left, want = [], {}
-        for i in np.argsort(-lengths, kind="stable").tolist():
-            fits = [(r, b) for b, r in enumerate(left) if r >= lengths[i]]
-            if fits:
-                r = min(fits)[0]
-                want[i] = r
-                left[next(b for b, x in enumerate(left) if x == r)] -= lengths[i]
-            else:
-                want[i] = capacity
-                left.append(capacity - lengths[i])
-        bins, offset = packing.best_fit_decreasing(lengths, capacity)
-        assert {i: capacity - o for i, o in enumerate(offset.tolist())} == want
-        assert bins.max() + 1 == len(left)
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        capacity = int(rng.integers(5, 80))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(0, 300)))
+        if trial % 3 == 0:
+            lengths = np.repeat(lengths[:6], 30)
+        counts = Counter(lengths.tolist())
+        plan = packing.best_fit_decreasing(counts, capacity)
+        length = np.array(sorted(counts.elements()), np.int64)
+        rank = np.array([k for n in sorted(counts) for k in range(counts[n])], np.int64)
+        if not len(length):
+            assert not len(plan)
+            continue
+        bins, offset = packing.place(plan, length, rank)
+        used = [0] * (int(bins.max()) + 1)
+        for b, o, n in sorted(zip(bins.tolist(), offset.tolist(), length.tolist())):
+            assert o == used[b]  # gapless
+            used[b] += n
+        assert sorted(capacity - u for u in used) == one_by_one(lengths.tolist(), capacity)
+
+
+def test_packing_is_global(spark):
+    """A quarter of a million pieces over many buckets, one length with a third of them: as many sequences as one best fit over all gives."""
+    rng = np.random.default_rng(3)
+    n = 240_000
+    lengths = np.where(rng.random(n) < 1 / 3, 1500, rng.integers(1, 4096, n))
+    path = [(int(k), 0, 0, int(v), 7) for k, v in enumerate(lengths)]
+    df = spark.createDataFrame(__import__("pandas").DataFrame(path, columns=["id", "piece", "start", "length", "ids_crc32"])).repartition(40)
+    got = packing.pack(df).toPandas()
+    assert len(got) == n and sorted(got["id"]) == list(range(n)) and (lengths[got["id"]] == got["length"]).all()
+    got = got.sort_values(["sequence_id", "offset"])
+    ends = got.groupby("sequence_id")["length"].cumsum()
+    assert ((ends - got["length"]) == got["offset"]).all() and ends.max() <= 4096
+    opened = packing.OpenBins(4096)
+    bins = 0
+    for v in np.sort(lengths)[::-1].tolist():  # piece after piece
+        found = opened.tightest(v)
+        bins += found is None
+        left = (found[0] if found else 4096) - v
+        if left:
+            opened.put(left, 0, 1)
+    assert got["sequence_id"].nunique() == bins
 
 
 def brute_license(t):

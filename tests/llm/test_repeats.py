@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_documents import brute_removals
 
 from strandlake.llm import exact_dedup, ngram_join, quality_rules, substring_dedup
@@ -84,3 +85,22 @@ def test_passages_keep_every_row(spark, rows):
     want = brute_removals(list(enumerate(t for _, t in ROWS)), 35)
     assert Counter((i, " ".join(t.split())) for i, t in got.elements()) == Counter((ROWS[k][0], v[3]) for k, v in want.items())
     assert substring_dedup.removals(rows).count() == len(ROWS)
+
+
+#: names that operators use inside
+INSIDE = "_key key _content content _row row _null null _hash hash text_ digest part mark id n n_shingles component_id component label node src dst kept keep_id group_size block fail_bits n_words kept_text spans _n _bucket length piece".split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Each stage of the pipeline over a table whose other columns have the names used inside."""
+    import corpus_pipeline
+
+    ship(spark)
+    rows = [(i, t, *range(len(INSIDE))) for i, t in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in INSIDE)).withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert kept and all([r[c] for c in INSIDE] == list(range(len(INSIDE))) for r in kept), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
