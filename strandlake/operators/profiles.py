@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import statistics
+from strandlake.operators.summaries import tie_ranks
 
 
 def receptor_report(pairs: DataFrame) -> DataFrame:
@@ -114,32 +117,41 @@ def cluster_signatures(presence: DataFrame, labels: DataFrame, most: int = 15) -
     return g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def _joined(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of both sides with equal keys, nulls being equal."""
+    right = b.select(*(F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in b.columns))
+    return a.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*(f"_{k}" for k in keys)) if keys else a.join(right)
+
+
 def two_samples(df: DataFrame, value: str, is_first: Column, *keys: str) -> DataFrame:
     """Means, deviations, medians, Welch's t with its degrees of freedom, Cohen's d, and the rank-sum statistic with average ranks."""
+    return _two_samples(df, value, is_first, *keys).drop("ties")
+
+
+def _two_samples(df: DataFrame, value: str, is_first: Column, *keys: str) -> DataFrame:
     v = df.select(*keys, F.col(value).alias("v"), is_first.alias("f")).where("v IS NOT NULL")
-    w = W.partitionBy(*keys)
-    r = v.withColumns({"_lo": F.rank().over(w.orderBy("v")), "_n": F.count("*").over(W.partitionBy(*keys, "v"))}).withColumn("r", F.col("_lo") + (F.col("_n") - 1) / 2.0)
+    ranks = tie_ranks(v, "v", list(keys), {"m": F.when(F.col("f"), 1).otherwise(0)})
+    n = F.col("n").cast("double")
+    ranked = ranks.groupBy(*keys).agg(F.sum(F.col("m") * (F.col("before") + (n + 1) / 2)).alias("rs"), F.sum(n * n * n - n).alias("ties"))
     one, two = F.when(F.col("f"), F.col("v")), F.when(~F.col("f"), F.col("v"))
-    g = r.groupBy(*keys).agg(
+    g = v.groupBy(*keys).agg(
         F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("mean1"), F.avg(two).alias("mean2"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v2"),
-        F.median(one).alias("median1"), F.median(two).alias("median2"), F.sum(F.when(F.col("f"), F.col("r"))).alias("rs"),
+        F.median(one).alias("median1"), F.median(two).alias("median2"),
     )
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2))
-    return g.select(
+    return _joined(g, ranked, keys).select(
         *keys, "n1", "n2", "mean1", "mean2", F.sqrt("v1").alias("sd1"), F.sqrt("v2").alias("sd2"), "median1", "median2",
         ((F.col("mean1") - F.col("mean2")) / F.sqrt(a + b)).alias("welch_t"),
         ((a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))).alias("welch_df"),
         ((F.col("mean1") - F.col("mean2")) / pooled).alias("cohen_d"),
-        (F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"),
+        F.when(F.col("n1") > 0, F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"), "ties",
     )
 
 
 def two_sample_tests(df: DataFrame, value: str, is_first: Column, *keys: str) -> DataFrame:
     """``two_samples`` with two-sided p-values: of Welch's t, and of the rank sum by its normal limit, corrected for ties and continuity."""
-    v = df.select(*keys, F.col(value).alias("v"), is_first.alias("f")).where("v IS NOT NULL AND f IS NOT NULL")
-    ties = v.groupBy(*keys, "v").agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    s = two_samples(df, value, is_first, *keys).join(ties, list(keys))
+    s = _two_samples(df.where(is_first.isNotNull()), value, is_first, *keys)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, mu = n1 + n2, n1 * n2 / 2
     spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
@@ -147,6 +159,81 @@ def two_sample_tests(df: DataFrame, value: str, is_first: Column, *keys: str) ->
     return s.withColumns({"welch_p": statistics.student_p(F.col("welch_t"), F.col("welch_df")), "u_p": statistics.normal_p(z)}).drop("ties")
 
 
+# Royston's polynomials (1995) of the two outermost weights in 1 / sqrt(n), and of mean and log deviation of log(1 - W) in log(n), from the constant on.
+_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+_SPREAD = (-0.4803, -0.082676, 0.0030302)
+
+
+def normality(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, n, w, p): Shapiro and Wilk's W of each group with 12 values or more that are not all equal, and its p-value.
+
+    W's weights are expected normal order statistics, approximated from ranks. A distinct value's weight is the sum over the ranks of its rows, so
+    tasks send a few sums per group; nothing is ordered in one task."""
+    v = df.select(*keys, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    ranks = tie_ranks(v, "v", list(keys)).where("total >= 12")
+    inverse = NormalDist().inv_cdf
+    quantile = lambda at, n: np.array([inverse((i - 0.375) / (n + 0.25)) for i in at])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums, squares = [], []
+            for n, before, total in zip(*(b[c].to_pylist() for c in ("n", "before", "total"))):
+                s = q = 0.0
+                for k in range(before + 1, before + n + 1, 100_000):
+                    m = quantile(range(k, min(k + 100_000, before + n + 1)), total)
+                    s, q = s + m.sum(), q + (m * m).sum()
+                sums.append(s)
+                squares.append(q)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.float64()), pa.array(squares, pa.float64())], [*b.schema.names, "s", "q"])
+
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranks.schema)
+    scored = ranks.mapInArrow(score, declared + ", s double, q double")
+    place = lambda k: F.max(F.when((F.col("before") < k) & (k <= F.col("before") + F.col("n")), F.col("v")))
+    total = F.col("total")
+    g = scored.groupBy(*keys, "total").agg(
+        F.sum(F.col("s") * F.col("v")).alias("sv"), F.sum("q").alias("ssq"),
+        *(place(p).alias(name) for name, p in (("x1", F.lit(1)), ("x2", F.lit(2)), ("y2", total - 1), ("y1", total))),
+    )
+    means = scored.groupBy(*keys).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean"))
+    around = _joined(scored, means, keys).groupBy(*keys).agg(F.sum(F.col("n") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("ss"))
+    found = _joined(g, around, keys).where("ss > 0")
+    names = [*keys, "total", "sv", "ssq", "x1", "x2", "y2", "y1", "ss"]
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poly = np.polynomial.polynomial.polyval
+        for b in batches:
+            n, sv, ssq, x1, x2, y2, y1, ss = (b[c].to_numpy(zero_copy_only=False).astype(float) for c in names[len(keys) :])
+            m1, m2 = (np.array([inverse((t - back - 0.375) / (t + 0.25)) for t in n]) for back in (0, 1))
+            u = 1 / np.sqrt(n)
+            a1, a2 = poly(u, _LAST) + m1 / np.sqrt(ssq), poly(u, _SECOND) + m2 / np.sqrt(ssq)
+            scale = np.sqrt((ssq - 2 * m1**2 - 2 * m2**2) / (1 - 2 * a1**2 - 2 * a2**2))
+            inner = sv - m1 * (y1 - x1) - m2 * (y2 - x2)
+            w = np.minimum((inner / scale + a1 * (y1 - x1) + a2 * (y2 - x2)) ** 2 / ss, 1 - 1e-15)
+            y = np.log(n)
+            z = (np.log1p(-w) - poly(y, _MEAN)) / np.exp(poly(y, _SPREAD))
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), b["total"], pa.array(w), pa.array([0.5 * math.erfc(t / math.sqrt(2)) for t in z], pa.float64())], [*keys, "n", "w", "p"])
+
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return found.select(*names).mapInArrow(close, kinds + "n long, w double, p double")
+
+
+def compare_samples(df: DataFrame, value: str, is_first: Column, *keys: str, least: int = 50, alpha: float = 0.05) -> DataFrame:
+    """``two_sample_tests`` with the test that fits: Welch's t if both samples have ``least`` values or more and neither departs from normality (p above ``alpha``), else the
+    rank sum; its p-value, and whether that is below ``alpha``."""
+    tests = two_sample_tests(df, value, is_first, *keys)
+    both = normality(df.where(is_first.isNotNull()).select(*keys, value, is_first.alias("_first")), value, *keys, "_first")
+    of = lambda name, side: F.max(F.when(F.col("_first") == side, F.col(name)))
+    wide = both.groupBy(*keys).agg(of("w", True).alias("w1"), of("p", True).alias("normal_p1"), of("w", False).alias("w2"), of("p", False).alias("normal_p2"))
+    right = wide.select(*(F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in wide.columns))
+    met = tests.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or F.lit(True), "left").drop(*(f"_{k}" for k in keys))
+    normal = (F.col("n1") >= least) & (F.col("n2") >= least) & (F.col("normal_p1") > alpha) & (F.col("normal_p2") > alpha)
+    chosen = met.withColumn("test", F.when(normal, "ttest").otherwise("wilcoxon"))
+    p = F.when(F.col("test") == "ttest", F.col("welch_p")).otherwise(F.col("u_p"))
+    return chosen.withColumns({"p_value": p, "significant": p < alpha})
+
+
 def bootstrap_mean(df: DataFrame, value: str, key: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """(key, mean, low, high): the mean and its bootstrap interval.
 

@@ -278,3 +278,19 @@ def validation(facts: DataFrame, most_missing: float = 0.1) -> DataFrame:
 def top_k(df: DataFrame, k: int, order: list[Column], *keys: str, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group; the ranking limit lets Spark cut every partition first."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
+
+
+def tie_ranks(rows: DataFrame, value: str, keys: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, value, n, extra sums, before, total): each distinct value once, how many rows have it, how many of its keys' rows are below it, and how many there are.
+
+    Equal values meet before anything is sorted, so a hot value is one row. Distinct values are sorted by range; how many rows lie in the ranges before
+    comes from one number per range. No group is ordered in one task."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), *(F.sum(c).alias(name) for name, c in (extra or {}).items()))
+    placed = materialize(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()), "ranked")
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = placed.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
+    ranges = ranges.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*keys)).alias("total"))
+    inside = F.sum("n").over(W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    met = placed.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    on = [met["_range"] == ranges["_r"], *(met[k].eqNullSafe(ranges[f"_{k}"]) for k in keys)]
+    return met.join(ranges, on).select(*keys, value, "n", *(extra or {}), (F.col("_before") + F.col("_inside")).alias("before"), "total")

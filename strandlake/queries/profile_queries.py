@@ -105,6 +105,12 @@ def _(spark, d):
     return profiles.two_sample_tests(ad.replicas(spark, d), "crossing", F.col("reversed_polarity"), "grp").select("grp", "n1", "n2", "welch_p", "u_p")
 
 
+@R.add("m28_chosen_tests")
+def _(spark, d):
+    keep = ["grp", "n1", "n2", "w1", "normal_p1", "w2", "normal_p2", "test", "p_value", "significant"]
+    return profiles.compare_samples(ad.replicas(spark, d), "crossing", F.col("reversed_polarity"), "grp").select(keep)
+
+
 @R.add("m28_mean_intervals")
 def _(spark, d):
     return profiles.bootstrap_mean(ad.replicas(spark, d), "crossing", "grp")

@@ -226,6 +226,14 @@ def _(spark, d):
     return energy(spark, d)
 
 
+@R.add("m16_smoothed", "frames", "WITH " + FULL + """, w AS (SELECT o, exp(-0.5*o*o) / sum(exp(-0.5*o*o)) OVER () w FROM (SELECT unnest(range(-4, 5)) o)),
+sx AS (SELECT a.traj_id, a.ix, a.iy, sum(w*b.g) g FROM fe a JOIN nb USING (traj_id) CROSS JOIN w JOIN fe b ON b.traj_id=a.traj_id AND b.iy=a.iy AND b.ix = CASE WHEN a.ix+o < 0 THEN -1-a.ix-o WHEN a.ix+o >= nx THEN 2*nx-1-a.ix-o ELSE a.ix+o END GROUP BY ALL),
+sy AS (SELECT a.traj_id, a.ix, a.iy, sum(w*b.g) g FROM sx a JOIN nb USING (traj_id) CROSS JOIN w JOIN sx b ON b.traj_id=a.traj_id AND b.ix=a.ix AND b.iy = CASE WHEN a.iy+o < 0 THEN -1-a.iy-o WHEN a.iy+o >= ny THEN 2*ny-1-a.iy-o ELSE a.iy+o END GROUP BY ALL)
+SELECT traj_id, ix, iy, g - min(g) OVER (PARTITION BY traj_id) g FROM sy""", "g")
+def _(spark, d):
+    return landscape.smoothed(energy(spark, d))
+
+
 @R.add("m17_free_energy_sparse", "frames", "WITH " + GRID + ", q AS (SELECT traj_id, ix, iy, n, n / sum(n) OVER (PARTITION BY traj_id) p FROM hs), e AS (SELECT *, -0.0019872041*300.0*ln(p) g0 FROM q) SELECT traj_id, ix, iy, n, p, g0 - min(g0) OVER (PARTITION BY traj_id) g FROM e", "p g")
 def _(spark, d):
     return landscape.free_energy(landscape.histogram(cvs(spark, d), "cv1", "cv2"), kt=landscape.KT_KCAL, fill=False)

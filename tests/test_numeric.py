@@ -510,3 +510,74 @@ def test_two_sample_tests_and_intervals(spark):
     assert [tuple(r) for r in one] == [(r["grp"], pytest.approx(r["mean"]), pytest.approx(r["low"]), pytest.approx(r["high"])) for r in two]
     spread = 1.96 * every.std() / math.sqrt(n)
     assert (one[0]["low"], one[0]["high"]) == (pytest.approx(every.mean() - spread, abs=0.25 * spread), pytest.approx(every.mean() + spread, abs=0.25 * spread))
+
+
+def shapiro(x):
+    """W and p from the ordered sample itself."""
+    from statistics import NormalDist
+
+    x, n = np.sort(np.asarray(x, float)), len(x)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u, c = n**-0.5, m / math.sqrt((m * m).sum())
+    a = m.copy()
+    a[-1] = c[-1] + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
+    a[-2] = c[-2] + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+    phi = ((m * m).sum() - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a[-1] ** 2 - 2 * a[-2] ** 2)
+    a[2:-2] = m[2:-2] / math.sqrt(phi)
+    a[0], a[1] = -a[-1], -a[-2]
+    w = (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+    y = math.log(n)
+    z = (math.log(1 - w) - (0.0038915 * y**3 - 0.083751 * y**2 - 0.31082 * y - 1.5861)) / math.exp(0.0030302 * y**2 - 0.082676 * y - 0.4803)
+    return w, 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def test_tie_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if k == 2 else str(k), float(v), int(v) % 2) for k in range(3) for v in np.append(rng.integers(0, 40, 150), np.full(100, 17))]
+    df = spark.createDataFrame(rows, "k string, v double, odd int").repartition(7)
+    got = {(r["k"], r["v"]): (r["n"], r["before"], r["total"], r["odd"]) for r in summaries.tie_ranks(df, "v", ["k"], {"odd": F.col("odd")}).collect()}
+    want = {}
+    for k in (None, "0", "1"):
+        x = np.array([v for a, v, _ in rows if a == k])
+        want |= {(k, v): (int((x == v).sum()), int((x < v).sum()), len(x), int((x == v).sum() * (v % 2))) for v in x.tolist()}
+    assert got == want
+
+
+def test_normality_and_choice_of_test(spark):
+    rng = np.random.default_rng(17)
+    groups = {f"n{k}": rng.normal(3, 2, 60) for k in range(200)} | {"ties": np.round(rng.normal(size=400), 1), "skew": rng.exponential(size=80), "small": rng.normal(size=11), "flat": np.full(30, 2.0), "big": rng.normal(size=3000)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("n0", None)], "k string, v double").repartition(6)
+    got = {r["k"]: (r["n"], r["w"], r["p"]) for r in profiles.normality(df, "v", "k").collect()}
+    assert set(groups) - set(got) == {"small", "flat"}
+    for k in got:
+        w, p = shapiro(groups[k])
+        assert got[k] == (len(groups[k]), pytest.approx(w, abs=1e-10), pytest.approx(p, abs=1e-7)), k
+    below = np.mean([got[f"n{k}"][2] < 0.25 for k in range(200)])  # p-values of normal samples are even
+    assert 0.15 < below < 0.35 and got["skew"][2] < 1e-6
+
+    pairs = {"both": (rng.normal(size=70), rng.normal(1, 2, 55)), "skewed": (rng.normal(size=70), rng.exponential(size=90)), "few": (rng.normal(size=49), rng.normal(size=60)), None: (rng.normal(size=50), rng.normal(size=50))}
+    rows = [(k, float(v), side) for k, xs in pairs.items() for side, x in zip((True, False), xs) for v in x] + [("both", 1.0, None)]
+    chosen = {r["k"]: r for r in profiles.compare_samples(spark.createDataFrame(rows, "k string, v double, f boolean"), "v", F.col("f"), "k").collect()}
+    for k, (a, b) in pairs.items():
+        normal = len(a) >= 50 and len(b) >= 50 and shapiro(a)[1] > 0.05 and shapiro(b)[1] > 0.05
+        assert chosen[k]["test"] == ("ttest" if normal else "wilcoxon"), k
+        assert chosen[k]["p_value"] == chosen[k]["welch_p" if normal else "u_p"] and chosen[k]["significant"] == (chosen[k]["p_value"] < 0.05)
+    assert chosen["both"]["test"] == "ttest" and chosen["skewed"]["test"] == chosen["few"]["test"] == "wilcoxon"
+
+
+def test_smoothed_grid(spark):
+    rng = np.random.default_rng(6)
+    grids = {"a": rng.normal(size=(10, 13)), "b": rng.normal(size=(3, 5))}
+    df = spark.createDataFrame([(k, i, j, float(g[i, j])) for k, g in grids.items() for i in range(g.shape[0]) for j in range(g.shape[1])], "traj_id string, ix int, iy int, g double")
+    for sigma in (0.7, 2.0):
+        half = int(4 * sigma + 0.5)
+        w = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+        w /= w.sum()
+        got = {(r["traj_id"], r["ix"], r["iy"]): r["g"] for r in landscape.smoothed(df, sigma).collect()}
+        for k, g in grids.items():
+            for axis in (0, 1):
+                tiled = np.concatenate([np.flip(g, axis), g] * (half + 2), axis)  # mirrored again and again
+                n, at = g.shape[axis], g.shape[axis] * (2 * ((half + 2) // 2) + 1)
+                g = sum(w[o + half] * np.take(tiled, range(at + o, at + o + n), axis) for o in range(-half, half + 1))
+            g = g - g.min()
+            assert all(got[k, i, j] == pytest.approx(g[i, j], abs=1e-9) for i in range(g.shape[0]) for j in range(g.shape[1]))
