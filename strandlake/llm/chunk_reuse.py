@@ -2,9 +2,9 @@
 
 A rolling hash over the bytes cuts every text where the content says so, so copies share most of their chunks wherever they
 differ. Texts are dealt by their smallest chunk hash, which brings texts with shared chunks into one task; AQE splits a
-key that many texts share. There each distinct chunk is encoded once and its ids are reused. A chunk may end inside a
-word: at each join the text from the last blank before it to the first blank after it is encoded anew, and where that
-differs from the two chunks' own ids it replaces them. Blanks always part pieces, so beyond them both encodings agree.
+key that many texts share. There each distinct chunk is encoded once, as long as it stays among the latest few thousand, and its ids are reused. A chunk may end inside a
+word: at each join the text from the last blank before it to the first blank after it is encoded anew and takes the place of the two chunks' own ids there. Blanks always
+part pieces, so that is as far as the two encodings can differ: no wider repair is ever needed, and none is tried.
 
 Null and empty texts have no ids. Repeated rows are encoded row by row, their chunks once.
 """

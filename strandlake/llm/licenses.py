@@ -2,7 +2,8 @@
 
 A block is a run of words, whatever lines they stand in: a template of n words is held against blocks of 2c words, a block each
 c words, where c is the power of two not below n, so a whole copy lies in one block. A block matches a template if it holds at
-least the threshold's share of the template's distinct words (all of them for short statements). The join is exact: template words are
+least the threshold's share of the template's distinct words, and ``ORDER`` of its pairs of neighbouring words side by side; a short statement must stand in it
+word by word. The join is exact: template words are
 ordered by their frequency over all blocks, rarest first; a match must hold at least one word of a template's prefix
 (length filter: as many distinct words as the threshold asks for; positional filter: enough template words left behind the
 first one found). Before a text is cut into blocks it must hold enough words of some template. Beside that, phrases are
@@ -68,18 +69,22 @@ TEMPLATES = {
     ],
 }
 
-#: Statements of fewer distinct words must be there whole: four of "released under the mit license" are any license.
+#: Statements of fewer distinct words must be there whole, one word after the other: the words of "released under the mit license" in any order are no license.
 SHORT = 10
+#: The share of a longer template's pairs of neighbouring words that must stand side by side: a fifth of its words changed breaks two fifths, the same words in another order hold next to none.
+ORDER = 0.3
 
 
-def _templates(templates: dict[str, list[str]], threshold: float) -> list[tuple[str, list[str], int, int]]:
-    """(label, distinct words, words a match must hold, half a block's words)."""
+def _templates(templates: dict[str, list[str]], threshold: float) -> list[tuple[str, list[str], int, int, list[str], int]]:
+    """(label, distinct words, words a match must hold, half a block's words, passages between blanks, how many of them a match must hold)."""
     out = []
     for label, texts in templates.items():
         for t in texts:
-            words = list(dict.fromkeys(t.split()))
-            need = len(words) if len(words) < SHORT else max(1, ceil(round(threshold * len(words), 9)))
-            out.append((label, words, need, 1 << max(3, (len(t.split()) - 1).bit_length())))
+            every = t.split()
+            words, short = list(dict.fromkeys(every)), len(set(every)) < SHORT
+            need = len(words) if short else max(1, ceil(round(threshold * len(words), 9)))
+            passages = [f" {' '.join(every)} "] if short else list(dict.fromkeys(f" {a} {b} " for a, b in zip(every, every[1:])))
+            out.append((label, words, need, 1 << max(3, (len(every) - 1).bit_length()), passages, ceil(ORDER * len(passages))))
     return out
 
 
@@ -102,18 +107,20 @@ def _opens_with(phrase: str):
 
 
 def _blocks(half: int, templates: list[tuple[list[str], int]]) -> Column:
-    """(half, block, hits) of a text's blocks of 2 * half words with enough words of one of these templates."""
+    """(half, block, hits, text) of a text's blocks of 2 * half words with enough words of one of these templates."""
     own = _strings(sorted({w for ws, _ in templates for w in ws}))
     least = min(need for _, need in templates)
     numbers = F.sequence(F.lit(0), F.ceil(F.size("_words") / half).cast("int") - 1)
     cut = lambda i: F.struct(F.lit(half).alias("half"), i.alias("block"), F.array_intersect(F.slice("_words", i * half + 1, F.lit(2 * half)), own).alias("hits"))
-    return F.filter(F.transform(numbers, cut), lambda b: F.size(b["hits"]) >= least)
+    text = lambda i: F.concat(F.lit(" "), F.array_join(F.slice("_words", i * half + 1, F.lit(2 * half)), " "), F.lit(" "))
+    found = F.filter(F.transform(numbers, cut), lambda b: F.size(b["hits"]) >= least)
+    return F.transform(found, lambda b: F.struct(b["half"].alias("half"), b["block"].alias("block"), b["hits"].alias("hits"), text(b["block"]).alias("text")))
 
 
 def _scanned(docs: DataFrame, known: list, id_col: str, text_col: str) -> DataFrame:
     """The one pass over the texts: (row, id, n_words, places of phrases, blocks) of each row.
 
-    ``blocks``: (half, block, hits) of the blocks with enough words of some template; null in nearly all rows."""
+    ``blocks``: (half, block, hits, text) of the blocks with enough words of some template; null in nearly all rows."""
     one = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), GAP + "+", " "))
     # two blanks in front: a place at the first word is then not at the very beginning, where split leaves out the empty part
     joined = docs.select(F.col(id_col).alias("id"), F.concat(F.lit("  "), one, F.lit(" ")).alias("_s")).withColumn(
@@ -123,12 +130,12 @@ def _scanned(docs: DataFrame, known: list, id_col: str, text_col: str) -> DataFr
     # what stands before each place, by word count: split keeps the text between places
     between = F.when(F.col("_s").rlike(any_phrase), F.split("_s", "(?i)(?= (?:" + "|".join(PHRASES) + ") )"))
     # a match lacks at most size - need words of its template, so it holds one of so many and one longest ones
-    longest = sorted({w for _, ws, need, _ in known for w in sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - need + 1]})
-    vocabulary = sorted({w for _, ws, _, _ in known for w in ws})
+    longest = sorted({w for _, ws, need, *_ in known for w in sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - need + 1]})
+    vocabulary = sorted({w for _, ws, *_ in known for w in ws})
     words = F.when(F.col("_s").rlike(f"(?i) (?:{_any_of(longest)})(?= )"), F.split(F.trim(F.translate("_s", UPPER, LOWER)), " ")) if known else F.lit(None).cast("array<string>")
-    enough = [F.size(F.array_intersect("_hits", _strings(ws))) >= need for _, ws, need, _ in known]
+    enough = [F.size(F.array_intersect("_hits", _strings(ws))) >= need for _, ws, need, *_ in known]
     able = F.array_contains(F.array(*enough), True) if known else F.lit(False)
-    blocks = [_blocks(half, [(ws, need) for _, ws, need, h in known if h == half]) for half in sorted({h for *_, h in known})]
+    blocks = [_blocks(half, [(ws, need) for _, ws, need, h, *_ in known if h == half]) for half in sorted({h for _, _, _, h, *_ in known})]
     rows = joined.withColumns({"_parts": between, "_words": words}).withColumn("_hits", F.array_intersect("_words", _strings(vocabulary)))
     return materialize(
         rows.select(
@@ -153,16 +160,17 @@ def _matches(spark: SparkSession, scanned: DataFrame, known: list) -> DataFrame:
     # bounded by the templates' vocabulary
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode("hits").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     rows = []
-    for t, (label, ws, need, half) in enumerate(known):
+    for t, (label, ws, need, half, passages, most) in enumerate(known):
         ordered = sorted(ws, key=lambda w: (counts.get(w, 0), w))
-        rows += [(t, label, half, need, len(ws), ordered, i, w) for i, w in enumerate(ordered[: len(ws) - need + 1])]
-    index = spark.createDataFrame(rows, "t int, label string, half int, need int, size int, tokens array<string>, place int, w string")
+        rows += [(t, label, half, need, len(ws), ordered, passages, most, i, w) for i, w in enumerate(ordered[: len(ws) - need + 1])]
+    index = spark.createDataFrame(rows, "t int, label string, half int, need int, size int, tokens array<string>, passages array<string>, must int, place int, w string")
     pairs = (
-        blocks.select("row", "half", "block", "hits", F.explode("hits").alias("w"))
+        blocks.select("row", "half", "block", "hits", "text", F.explode("hits").alias("w"))
         .join(F.broadcast(index), ["half", "w"])
         .where((F.size("hits") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
     )
     verified = pairs.withColumn("n", F.size(F.array_intersect("hits", "tokens"))).where("n >= need")
+    verified = verified.where(F.size(F.filter("passages", lambda p: F.contains(F.col("text"), p))) >= F.col("must"))
     return verified.groupBy("row", "half", "block", "t").agg(F.first("label").alias("label"), F.max(F.col("n") / F.col("size")).alias("containment")).drop("t")
 
 

@@ -31,15 +31,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 _LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
-_TEMPLATES = ", ".join(f"('{label}', {words!r}, {need}, {half})" for label, words, need, half in licenses._templates(licenses.TEMPLATES, 0.8))
+_TEMPLATES = ", ".join(f"('{label}', {words!r}, {need}, {half}, {passages!r}, {must})" for label, words, need, half, passages, must in licenses._templates(licenses.TEMPLATES, 0.8))
 OP7 = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{_LICENSE_WORD}') ws FROM documents),
-ph(p, label) AS (VALUES {_PHRASES}), tp(label, ts, need, half) AS (VALUES {_TEMPLATES}),
+ph(p, label) AS (VALUES {_PHRASES}), tp(label, ts, need, half, ps, must) AS (VALUES {_TEMPLATES}),
 h AS (SELECT doc_id, i - 1 place, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) i FROM w WHERE len(ws) > 0), ph WHERE ws[i:i+len(p)-1] = p),
 b AS (SELECT doc_id, count(*) n_base, min(place) first_word, max(place) last_word, list(DISTINCT label) ls FROM h GROUP BY 1),
 hs AS (SELECT DISTINCT half FROM tp),
-bl AS (SELECT doc_id, half, list_distinct(ws[k * half + 1 : k * half + 2 * half]) xs FROM (SELECT doc_id, ws, half, unnest(range(0, CAST(ceil(len(ws) / half) AS BIGINT))) k FROM w, hs)),
-mt AS (SELECT doc_id, list(DISTINCT label) ls, max(len(list_intersect(xs, ts)) / len(ts)) score FROM bl JOIN tp USING (half) WHERE len(list_intersect(xs, ts)) >= need GROUP BY 1)
+bl AS (SELECT doc_id, half, list_distinct(ws[k * half + 1 : k * half + 2 * half]) xs, ' ' || array_to_string(ws[k * half + 1 : k * half + 2 * half], ' ') || ' ' tx FROM (SELECT doc_id, ws, half, unnest(range(0, CAST(ceil(len(ws) / half) AS BIGINT))) k FROM w, hs)),
+mt AS (SELECT doc_id, list(DISTINCT label) ls, max(len(list_intersect(xs, ts)) / len(ts)) score FROM bl JOIN tp USING (half) WHERE len(list_intersect(xs, ts)) >= need AND len(list_filter(ps, lambda p: contains(tx, p))) >= must GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) n_words, coalesce(n_base, 0) n_base, first_word, last_word, array_to_string(list_sort(coalesce(b.ls, [])), ',') base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(mt.ls, [])))), ',') labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END score
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN mt USING (doc_id)"""

@@ -70,7 +70,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\\r\\n]", "").alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     ).withColumns({"digest": base32_sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")})
-    # payloads do not move: only identifiers and digests are compared
+    # identifiers and digests alone are compared; a payload moves only where the marks of repeated ones outgrow a broadcast
     keys = rows.groupBy("id", "digest").agg(F.max("bytes").alias("bytes"), F.count("*").alias("n"), F.min("url").alias("first_url"))
     keys = materialize(keys, "keys")
     shared = keys.where(F.col("bytes") >= min_bytes)
@@ -185,6 +185,9 @@ def _spans(placed: DataFrame, odd: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(name, type, refers_name, payload_bytes, payload_digest) of every record on the chains of the files below ``path``.
 
+    The chain is followed by contraction: candidates whose successor is the next candidate form runs that are on the chain if their first one is. Only where a
+    successor is another one (a magic inside a payload, a damaged header) are pointers jumped over from run to run; an archive without such a place is one run from offset 0 on.
+
     Names are identifiers as ``write_warc`` had them. A revisit's payload fields are those of the record it refers to, null if that
     is missing."""
     cuts = _cuts(spark, path)

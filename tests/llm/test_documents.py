@@ -287,10 +287,16 @@ def brute_license(t):
 def brute_templates(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     more, best = set(), 0.0
-    for label, words, need, half in licenses._templates(licenses.TEMPLATES, 0.8):
+    for (label, words, need, half, _, _), every in zip(licenses._templates(licenses.TEMPLATES, 0.8), [t.split() for ts in licenses.TEMPLATES.values() for t in ts]):
         for k in range(0, len(w), half):
-            n = len(set(w[k : k + 2 * half]) & set(words))
-            if n >= need:
+            block = w[k : k + 2 * half]
+            n = len(set(block) & set(words))
+            if len(words) < 10:
+                ordered = any(block[i : i + len(every)] == every for i in range(len(block)))
+            else:
+                own = set(zip(every, every[1:]))
+                ordered = len(own & set(zip(block, block[1:]))) >= 0.3 * len(own)
+            if n >= need and ordered:
                 more.add(label)
                 best = max(best, n / len(words))
     return more, best
@@ -319,6 +325,19 @@ def test_wrapped_licenses_in_long_texts(spark, before):
     assert all(at <= before + 66 and at + n >= before for at, n in where.values()) and where
 
 
+def test_words_in_another_order_are_no_license(spark):
+    rng = np.random.default_rng(4)
+    cc0 = licenses.TEMPLATES["cc0"][0].split()
+    edited = MIT.split()
+    for k in rng.choice(len(edited), 9, replace=False):
+        edited[k] = "changed"
+    texts = ["the mit license was released under pressure in 1988 they say", " ".join(rng.permutation(cc0)), " ".join(rng.permutation(MIT.split())), " ".join(edited), "was released under the MIT License."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(licenses.scan(df), "doc_id", "labels", "score")
+    assert [got[i][0] for i in range(5)] == ["", "", "", "mit", "mit"] and got[1][1] == 0 and 0.8 <= got[3][1] < 1
+    assert [brute_templates(t)[0] for t in texts] == [set(), set(), set(), {"mit"}, {"mit"}]
+
+
 def test_license_scan(docs, nothing, corpus):
     got = rows(licenses.scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert {i: v[:5] for i, v in got.items()} == {i: brute_license(t) for i, t in corpus}
