@@ -229,3 +229,9 @@ def align_series(series: DataFrame, metrics: list[str], digits: int = 6, key: st
     at = series.withColumn("time", F.round(time, digits))
     wide = at.groupBy(key, "time").pivot(metric, metrics).agg(F.first(VALUE))
     return wide.where(" AND ".join(f"`{m}` IS NOT NULL" for m in metrics))
+
+
+def common_times(series: DataFrame, group: str, time: str = "frame", key: str = "traj_id") -> DataFrame:
+    """(group, first, second, time) of the times that two trajectories of a group both have, for all pairs."""
+    t = series.select(group, key, time).distinct()
+    return t.withColumnRenamed(key, "first").join(t.withColumnRenamed(key, "second"), [group, time]).where("first < second").select(group, "first", "second", time)

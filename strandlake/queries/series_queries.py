@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandlake import adapters as ad
 from strandlake.operators import annotate, landscape, persistence, replicas, series
 from strandlake.queries.base import Registry
+from strandlake.session import materialize
 
 R = Registry()
 ser = ad.series
@@ -124,10 +125,15 @@ def _(spark, d):
     return series.align_series(a.unionByName(b), ["a", "b"])
 
 
-@R.add("u02_common_times", "series", "SELECT frame FROM series WHERE traj_id = '1' INTERSECT SELECT frame FROM series WHERE traj_id = '2'")
+def complex_id(traj):
+    return (traj.cast("int") % 3).cast("string").alias("complex_id")
+
+
+@R.add("u02_common_times", "series", "WITH s AS (SELECT DISTINCT CAST(CAST(traj_id AS INTEGER) // 3 AS VARCHAR) complex_id, traj_id, frame FROM series) SELECT a.complex_id, a.traj_id \"first\", b.traj_id \"second\", a.frame FROM s a JOIN s b ON a.complex_id=b.complex_id AND a.frame=b.frame AND a.traj_id < b.traj_id")
 def _(spark, d):
-    s = ser(spark, d)
-    return s.where("traj_id = '1'").select("frame").intersect(s.where("traj_id = '2'").select("frame"))
+    """Three users with adjoining numbers are replicas."""
+    replica_of = F.floor(F.col("traj_id").cast("int") / 3).cast("string").alias("complex_id")
+    return series.common_times(ser(spark, d).select(replica_of, "traj_id", "frame"), "complex_id")
 
 
 @R.add("f03_downsample", "series", "WITH " + NUM + " SELECT traj_id, frame, value FROM num WHERE i % greatest(1, n // 20) = 0")
@@ -286,23 +292,27 @@ def _(spark, d):
     return landscape.state_coupling(two_states(spark, d))
 
 
-def grid_of(spark, d, traj):
-    one = cvs(spark, d).where(F.col("traj_id") == traj).select(F.floor(F.col("cv1") * 5).cast("int").alias("ix"), F.floor(F.col("cv2") * 5).cast("int").alias("iy"), F.lit("x").alias("traj_id"), F.lit(1).alias("nx"), F.lit(1).alias("ny"))
-    return landscape.free_energy(one.groupBy("traj_id", "nx", "ny", "ix", "iy").agg(F.count("*").alias("n")), fill=False)
+def grids_of(spark, d):
+    """Grids of all trajectories over one set of cells, with the complex that each is a replica of."""
+    cells = cvs(spark, d).select("traj_id", F.floor(F.col("cv1") * 5).cast("int").alias("ix"), F.floor(F.col("cv2") * 5).cast("int").alias("iy"), F.lit(1).alias("nx"), F.lit(1).alias("ny"))
+    g = landscape.free_energy(cells.groupBy("traj_id", "nx", "ny", "ix", "iy").agg(F.count("*").alias("n")), fill=False)
+    return materialize(g.select(complex_id(F.col("traj_id")), "*"), "grids")
 
 
-TWO = """h AS (SELECT traj_id, CAST(floor(CAST(embedding[1] AS DOUBLE)*5) AS INTEGER) ix, CAST(floor(CAST(embedding[2] AS DOUBLE)*5) AS INTEGER) iy, count(*) n FROM frames WHERE traj_id IN ('0','1') GROUP BY ALL), q AS (SELECT *, n/sum(n) OVER (PARTITION BY traj_id) p FROM h), e AS (SELECT *, -2.4942*ln(p) + 2.4942*ln(max(p) OVER (PARTITION BY traj_id)) g FROM q)"""
+PAIRS = """h AS (SELECT traj_id, CAST(floor(CAST(embedding[1] AS DOUBLE)*5) AS INTEGER) ix, CAST(floor(CAST(embedding[2] AS DOUBLE)*5) AS INTEGER) iy, count(*) n FROM frames GROUP BY ALL), q AS (SELECT *, n/sum(n) OVER (PARTITION BY traj_id) p FROM h), e AS (SELECT *, CAST(CAST(traj_id AS INTEGER) % 3 AS VARCHAR) complex_id, -2.4942*ln(p) + 2.4942*ln(max(p) OVER (PARTITION BY traj_id)) g FROM q),
+t AS (SELECT DISTINCT complex_id, traj_id FROM e), rp AS (SELECT a.complex_id, a.traj_id "first", b.traj_id "second" FROM t a JOIN t b ON a.complex_id=b.complex_id AND a.traj_id < b.traj_id)"""
 
 
-@R.add("u04_region_jaccard", "frames", "WITH " + TWO + " SELECT count(*) FILTER (WHERE a.ix IS NOT NULL AND b.ix IS NOT NULL)/count(*) jaccard, count(*) n_union FROM (SELECT * FROM e WHERE traj_id='0' AND g <= 4) a FULL JOIN (SELECT * FROM e WHERE traj_id='1' AND g <= 4) b ON a.ix=b.ix AND a.iy=b.iy", "jaccard")
+@R.add("u04_region_jaccard", "frames", "WITH " + PAIRS + """, lo AS (SELECT * FROM e WHERE g <= 4)
+SELECT complex_id, "first", "second", count(*) FILTER (WHERE c = 2)/count(*) jaccard, count(*) n_union FROM (SELECT rp.complex_id, rp."first", rp."second", ix, iy, count(*) c FROM rp JOIN lo ON lo.traj_id IN (rp."first", rp."second") GROUP BY ALL) GROUP BY ALL""", "jaccard")
 def _(spark, d):
-    return landscape.region_jaccard(grid_of(spark, d, "0"), grid_of(spark, d, "1"), 4.0)
+    return landscape.region_jaccard(grids_of(spark, d), 4.0, "complex_id")
 
 
-@R.add("m27_compare_grids", "frames", "WITH " + TWO + ", j AS (SELECT coalesce(a.p, 0.0) p, coalesce(b.p, 0.0) q FROM (SELECT * FROM e WHERE traj_id='0') a FULL JOIN (SELECT * FROM e WHERE traj_id='1') b ON a.ix=b.ix AND a.iy=b.iy), f AS (SELECT p, q, greatest(p, 1e-10) a, greatest(q, 1e-10) b FROM j) SELECT round(sum(least(p,q)), 9) AS overlap, sum(a*ln(a/b)) kl_ab, sum(b*ln(b/a)) kl_ba FROM f", "kl_ab kl_ba")
+@R.add("m27_compare_grids", "frames", "WITH " + PAIRS + """, u AS (SELECT rp.complex_id, rp."first", rp."second", ix, iy, max(CASE WHEN e.traj_id = rp."first" THEN p ELSE 0.0 END) p, max(CASE WHEN e.traj_id = rp."second" THEN p ELSE 0.0 END) q FROM rp JOIN e ON e.traj_id IN (rp."first", rp."second") GROUP BY ALL),
+f AS (SELECT *, greatest(p, 1e-10) a, greatest(q, 1e-10) b FROM u) SELECT complex_id, "first", "second", round(sum(least(p,q)), 9) AS overlap, sum(a*ln(a/b)) kl_ab, sum(b*ln(b/a)) kl_ba FROM f GROUP BY ALL""", "kl_ab kl_ba")
 def _(spark, d):
-    c = landscape.compare_grids(grid_of(spark, d, "0"), grid_of(spark, d, "1"))
-    return c.withColumn("overlap", F.round("overlap", 9))
+    return landscape.compare_grids(grids_of(spark, d), "complex_id").withColumn("overlap", F.round("overlap", 9))
 
 
 @R.add("m21_kde_basins")

@@ -581,3 +581,84 @@ def test_smoothed_grid(spark):
                 g = sum(w[o + half] * np.take(tiled, range(at + o, at + o + n), axis) for o in range(-half, half + 1))
             g = g - g.min()
             assert all(got[k, i, j] == pytest.approx(g[i, j], abs=1e-9) for i in range(g.shape[0]) for j in range(g.shape[1]))
+
+
+def test_grids_of_all_replica_pairs(spark):
+    rng = np.random.default_rng(3)
+    p = {t: rng.random((4, 5)) * (rng.random((4, 5)) < 0.5) for t in "abcd"}
+    p["d"][:] = 0
+    p["d"][3, 4] = 1.0
+    p = {t: x / x.sum() for t, x in p.items()}
+    rows = [("x" if t in "abd" else "y", t, i, j, float(x[i, j]), float(-math.log(x[i, j]))) for t, x in p.items() for i in range(4) for j in range(5) if x[i, j] > 0]
+    df = spark.createDataFrame(rows, "complex_id string, traj_id string, ix int, iy int, p double, g double").repartition(3)
+    got = {(r["first"], r["second"]): (r["overlap"], r["kl_ab"], r["kl_ba"]) for r in landscape.compare_grids(df, "complex_id").collect()}
+    near = {(r["first"], r["second"]): (r["jaccard"], r["n_union"]) for r in landscape.region_jaccard(df, 2.5, "complex_id").collect()}
+    assert set(got) == set(near) == {("a", "b"), ("a", "d"), ("b", "d")}
+    for a, b in got:
+        x, y = np.maximum(p[a], 1e-10), np.maximum(p[b], 1e-10)
+        held = (p[a] > 0) | (p[b] > 0)
+        kl = lambda u, v: float((u * np.log(u / v))[held].sum())
+        assert got[a, b] == pytest.approx((np.minimum(p[a], p[b]).sum(), kl(x, y), kl(y, x)), abs=1e-9)
+        with np.errstate(divide="ignore"):
+            low = [-np.log(p[t]) <= 2.5 for t in (a, b)]
+        assert near[a, b] == (pytest.approx((low[0] & low[1]).sum() / (low[0] | low[1]).sum()), (low[0] | low[1]).sum())
+
+
+def test_stacked_rings_and_cations_by_brute_force(spark):
+    """Pairs by loops over rings: planes by singular values, angles and distances one by one."""
+    rng = np.random.default_rng(13)
+    points, rings, cations = [], {}, {}
+    for f in range(12):
+        for res in range(7):
+            centre, (u, v) = rng.uniform(0, 9, 3), np.linalg.qr(rng.normal(size=(3, 2)))[0].T
+            n = 4 if res == 6 else 6  # too few for a ring
+            atoms = [centre + 1.4 * (math.cos(k) * u + math.sin(k) * v) + rng.normal(size=3) * 0.01 for k in np.arange(n) * 2 * math.pi / n]
+            chain = "AB"[res % 2]
+            points += [("t", f, chain, res, *map(float, a)) for a in atoms]
+            if n >= 5:
+                m = np.mean(atoms, axis=0)
+                rings[f, chain, res] = m, np.linalg.svd(np.array(atoms) - m)[2][2]
+        for res in (1, 20, 21, 22):
+            cations[f, "B", res] = rng.uniform(0, 9, 3)
+    pts = spark.createDataFrame(points, "traj_id string, frame int, chain_id string, resid int, x double, y double, z double").repartition(4)
+    cat = spark.createDataFrame([("t", f, c, r, *map(float, x)) for (f, c, r), x in cations.items()], "traj_id string, frame int, chain_id string, resid int, x double, y double, z double")
+    totals = spark.createDataFrame([("t", 12)], "traj_id string, total_frames long")
+    planes = rings_of(pts)
+
+    def events(first, second, hit):
+        out = {}
+        for (f, c, r), one in first.items():
+            for (g, e, s), two in second.items():
+                if f == g and hit((c, r), one, (e, s), two) is not None:
+                    d = hit((c, r), one, (e, s), two)
+                    n, least = out.get((c, r, e, s), (0, 1e9))
+                    out[c, r, e, s] = n + 1, min(least, d)
+        return out
+
+    def stacked(a, one, b, two):
+        d = np.linalg.norm(one[0] - two[0])
+        angle = math.degrees(math.acos(min(1.0, abs(one[1] @ two[1]))))
+        return d if a[0] == "A" and b[0] == "B" and d <= 6.5 and (angle <= 30 or 60 <= angle <= 120) else None
+
+    def near_cation(a, one, b, two):
+        v = one - two[0]
+        d = np.linalg.norm(v)
+        return d if a != b and d <= 6 and math.degrees(math.acos(min(1.0, abs(v @ two[1]) / d))) <= 60 else None
+
+    shown = lambda df: {(r["chain_id_1"], r["resid_1"], r["chain_id_2"], r["resid_2"]): (r["contact_frames"], pytest.approx(r["min_distance"])) for r in df.collect()}
+    want = events(rings, rings, stacked)
+    assert len(want) > 5 and shown(stacked_of(planes, totals)) == want
+    want = events(cations, rings, near_cation)
+    assert len(want) > 5 and shown(cations_of(cat, planes, totals)) == want
+
+
+def rings_of(points):
+    return rings.ring_planes(points)
+
+
+def stacked_of(planes, totals):
+    return rings.stacked_rings(planes, F.col("chain_id") == "A", F.col("chain_id") == "B", totals)
+
+
+def cations_of(cations, planes, totals):
+    return rings.cation_rings(cations, planes, totals)
