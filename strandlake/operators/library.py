@@ -99,18 +99,78 @@ def robust_scaled(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.select(key, F.array(*z).alias("vector"))
 
 
-def noise_rank(cov: np.ndarray, n: int, draws: int = 200, percentile: float = 95, seed: int = 7) -> int:
-    """Components whose variance exceeds that of unrelated columns of the same variances, by parallel analysis.
+def places(i: np.ndarray, n: int, keys: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Where each of the numbers ``i`` below ``n`` goes under the pseudo-random permutation of each of the 64-bit ``keys``: shape keys + i. Halves of the bits are mixed
+    into each other by turns, and what leaves the range is sent on until it is back."""
+    half = max(1, -(-max(n - 1, 1).bit_length() // 2))
+    mask = np.uint64((1 << half) - 1)
+    out = np.broadcast_to(i.astype(np.uint64), (*keys.shape, len(i))).copy()
+    key = np.broadcast_to(keys[..., None].astype(np.uint64), out.shape)
+    todo = np.ones(out.shape, bool)
+    while todo.any():
+        left, right, k = out[todo] >> np.uint64(half), out[todo] & mask, key[todo]
+        for r in range(rounds):
+            x = (right + k + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & mask)
+        out[todo] = left << np.uint64(half) | right
+        todo &= out >= n
+    return out.astype(np.int64)
 
-    Of n rows of unrelated columns the covariances scatter with deviation s_i s_j / sqrt(n - 1), so the null is drawn as matrices, whatever the number of rows."""
-    rng = np.random.default_rng(seed)
-    s = np.sqrt(np.diag(cov))
-    real = np.linalg.eigvalsh(cov)[::-1]
-    noise = rng.normal(size=(draws, *cov.shape)) / np.sqrt(max(n - 1, 1))
-    upper = np.triu(noise, 1)
-    null = (upper + upper.swapaxes(1, 2) + np.eye(len(cov))) * np.outer(s, s)
-    limit = np.percentile(np.linalg.eigvalsh(null)[:, ::-1], percentile, axis=0)
-    return max(1, int((real > limit).sum()))
+
+def permuted_spectra(rows: DataFrame, vector: str, spans: list[slice], draws: int = 200, seed: int = 7, range_bytes: int = 64 << 20) -> np.ndarray:
+    """Eigenvalues (draws, columns of the spans, falling) of each span's covariance after every column is permuted by itself.
+
+    Rows are numbered once. A task sends each value of its rows to the places that the draws give it, by ranges of places; a range's task adds up the outer products
+    of all draws, so all are done in one pass, and neither a column nor a draw is held whole."""
+    numbered = materialize(rows.select(F.col(vector).alias("x"), F.monotonically_increasing_id().alias("i")), "numbered")
+    part = F.shiftright("i", 33)
+    counts = {r.p: r.n for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a number per written partition
+    n, p = sum(counts.values()), max(s.stop for s in spans)
+    if not n:
+        return np.zeros((draws, p))
+    first = dict(zip(sorted(counts), np.cumsum([0, *(counts[k] for k in sorted(counts))]).tolist()))
+    keys = np.random.default_rng(seed).integers(0, 1 << 63, (draws, p))
+    size = max(1, range_bytes // (8 * draws * p))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b["i"].to_numpy()
+            i = np.array([first[k] for k in (raw >> 33).tolist()], np.int64) + (raw & ((1 << 33) - 1))
+            x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, :p]
+            for a in range(0, len(i), 500):
+                to = places(i[a : a + 500], n, keys)  # draw, column, row
+                value = np.broadcast_to(x[a : a + 500].T, to.shape).ravel()
+                cell = (np.arange(draws)[:, None, None] * p + np.arange(p)[:, None] + np.zeros(to.shape, np.int64)).ravel()
+                to = to.ravel()
+                by = np.argsort(to // size, kind="stable")
+                number = (to // size)[by]
+                cut = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
+                lists = [[v[by][s:e] for s, e in zip(cut[:-1], cut[1:])] for v in (cell, to % size, value)]
+                yield pa.RecordBatch.from_arrays([pa.array(number[cut[:-1]]), *(pa.array(v, pa.list_(t)) for v, t in zip(lists, (pa.int64(), pa.int64(), pa.float64())))], ["range", "cell", "place", "value"])
+
+    def products(t: pa.Table) -> pa.Table:
+        x = np.zeros((draws * p, min(size, n)))
+        for k in range(t.num_rows):
+            x[t["cell"][k].values.to_numpy(), t["place"][k].values.to_numpy()] = t["value"][k].values.to_numpy()
+        x = x.reshape(draws, p, -1)
+        return pa.table({"draw": np.arange(draws), "m": pa.array(list((x @ x.swapaxes(1, 2)).reshape(draws, -1)), pa.list_(pa.float64())), "s": pa.array(list(x.sum(2)), pa.list_(pa.float64()))})
+
+    def spectra(t: pa.Table) -> pa.Table:
+        m, s = (np.sum([v.values.to_numpy() for v in t[c]], axis=0) for c in ("m", "s"))
+        cov = m.reshape(p, p) / n - np.outer(s, s) / n**2
+        out = np.concatenate([np.linalg.eigvalsh(cov[span, span])[::-1] for span in spans])
+        return pa.table({"draw": t["draw"][:1], "w": pa.array([out], pa.list_(pa.float64()))})
+
+    sent = numbered.mapInArrow(send, "range long, cell array<long>, place array<long>, value array<double>")
+    sums = sent.groupBy("range").applyInArrow(products, "draw long, m array<double>, s array<double>")
+    found = sums.groupBy("draw").applyInArrow(spectra, "draw long, w array<double>").collect()  # draws times columns
+    return np.array([r.w for r in sorted(found, key=lambda r: r.draw)])
+
+
+def noise_rank(cov: np.ndarray, null: np.ndarray, percentile: float = 95) -> int:
+    """Components whose variance exceeds that of the same columns permuted (eigenvalues of the draws), by parallel analysis; one at least."""
+    return max(1, int((np.linalg.eigvalsh(cov)[::-1] > np.percentile(null, percentile, axis=0)).sum()))
 
 
 def library_map(rows: DataFrame, key: str, blocks: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
@@ -123,16 +183,17 @@ def library_map(rows: DataFrame, key: str, blocks: dict[str, list[str]]) -> tupl
     z = materialize(robust_scaled(rows, key, columns), "scaled").withColumn("_all", F.lit("all"))
     table = moments.second_moments(z, "_all", "vector").toArrow()  # one matrix over the columns
     n, mean, cov = moments.matrix_of(table)
-    parts, owner, at = [], [], 0
-    for name, cs in blocks.items():
-        span = slice(at, at + len(cs))
+    ends = np.cumsum([len(cs) for cs in blocks.values()]).tolist()
+    spans = [slice(a, b) for a, b in zip([0, *ends], ends)]
+    null = permuted_spectra(z, "vector", spans)
+    parts, owner = [], []
+    for (name, _), span in zip(blocks.items(), spans):
         w, v = np.linalg.eigh(cov[span, span])
-        k = noise_rank(cov[span, span], n)
+        k = noise_rank(cov[span, span], null[:, span])
         part = np.zeros((len(columns), k))
         part[span] = v[:, ::-1][:, :k] / np.sqrt(max(w[-1], 1e-300) * n)
         parts.append(part)
         owner += [name] * k
-        at += len(cs)
     to = np.concatenate(parts, 1)
     w, v = np.linalg.eigh(to.T @ cov @ to)
     v = v[:, ::-1][:, :2]

@@ -402,7 +402,28 @@ def test_library_map(spark):
         sign = np.sign(corr[np.abs(corr).argmax()])
         assert got[:, k] == pytest.approx(want[:, k] * sign, abs=1e-6)
         assert [r[f"pc{k + 1}"] for r in sorted(load.collect(), key=lambda r: names.index(r["feature"]))] == pytest.approx(corr * sign, abs=1e-6)
-    assert library.noise_rank(np.cov(RNG.normal(size=(500, 6)).T), 500) <= 2
+
+
+def test_permuted_spectra(spark):
+    """The permutations are ones, and the spectra are those of the permuted columns."""
+    keys = np.random.default_rng(7).integers(0, 1 << 63, (9, 5))
+    for n in (1, 2, 3, 7, 64, 230):
+        to = library.places(np.arange(n), n, keys)
+        assert (np.sort(to, axis=2) == np.arange(n)).all()
+    assert abs(np.corrcoef(to[0, 0], np.arange(230))[0, 1]) < 0.25 and (to[0] != to[1]).any()
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(230, 5)) + rng.normal(size=(230, 1)) * [3, 3, 3, 0, 0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k int, v array<double>").repartition(4)
+    spans = [slice(0, 3), slice(3, 5)]
+    null = library.permuted_spectra(df, "v", spans, draws=400, range_bytes=400 * 5 * 8 * 50)
+    assert null.shape == (400, 5)
+    free = np.array([np.concatenate([np.linalg.eigvalsh(np.cov(np.stack([rng.permutation(c) for c in x.T[s]]), bias=True))[::-1] for s in spans]) for _ in range(400)])
+    assert null.mean(0) == pytest.approx(free.mean(0), rel=0.04) and null.std(0) == pytest.approx(free.std(0), rel=0.25)
+    for s in spans:  # permuting a column leaves its variance
+        assert null[:, s].sum(1) == pytest.approx(np.full(400, x[:, s].var(0).sum()), rel=1e-9)
+    cov = np.cov(x.T, bias=True)
+    assert library.noise_rank(cov[:3, :3], null[:, :3]) == 1 and library.noise_rank(cov[3:, 3:], null[:, 3:]) == 1
+    assert library.permuted_spectra(df.where("k < 0"), "v", spans, draws=3).tolist() == [[0.0] * 5] * 3
 
 
 def test_basin_distances(spark):
