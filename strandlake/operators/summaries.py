@@ -223,18 +223,20 @@ def describe(df: DataFrame, value: str, *keys: str, std: str = "samp") -> DataFr
 
 
 def exact_quantiles(rows: DataFrame, name: str, value: str, qs: tuple[float, ...]) -> DataFrame:
-    """(name, q, value): exact interpolated quantiles of each name's values, however many: rows are sorted into ranges, counted a range, and only the
-    ranges that hold a wanted rank are numbered."""
-    sorted_ = rows.where(F.col(value).isNotNull()).select(F.col(name).alias("name"), F.col(value).cast("double").alias("v")).repartitionByRange("name", "v")
-    placed = materialize(sorted_.withColumn("part", F.spark_partition_id()), "sorted")
-    counts = placed.groupBy("name", "part").agg(F.count("*").alias("n"))
+    """(name, q, value): exact interpolated quantiles of each name's values, however many. Equal values become one row with their number, so a hot value gathers
+    nowhere; distinct ones are sorted into ranges, counted a range, and only the ranges that hold a wanted rank are looked into."""
+    distinct = rows.where(F.col(value).isNotNull()).groupBy(F.col(name).alias("name"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = materialize(distinct.repartitionByRange("name", "v").withColumn("part", F.spark_partition_id()), "sorted")
+    counts = placed.groupBy("name", "part").agg(F.sum("n").alias("n"))
     w = W.partitionBy("name")
     ranges = counts.withColumns({"before": F.sum("n").over(w.orderBy("part")) - F.col("n"), "total": F.sum("n").over(w)})
     wanted = ranges.withColumn("q", F.explode(F.array(*map(F.lit, qs)))).withColumn("rank", F.col("q") * (F.col("total") - 1))
     wanted = wanted.withColumn("place", F.explode(F.array(F.floor("rank"), F.ceil("rank")))).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
-    wanted = wanted.select("name", "part", "q", "rank", "place", (F.col("place") - F.col("before") + 1).alias("i")).distinct()
-    numbered = placed.join(wanted.select("name", "part").distinct(), ["name", "part"], "left_semi").withColumn("i", F.row_number().over(W.partitionBy("name", "part").orderBy("v")).cast("long"))
-    found = wanted.join(numbered, ["name", "part", "i"]).groupBy("name", "q", "rank").agg(F.min_by("v", "place").alias("lo"), F.max_by("v", "place").alias("hi"))
+    wanted = wanted.select("name", "part", "q", "rank", "place", (F.col("place") - F.col("before")).alias("i")).distinct()
+    below = F.sum("n").over(W.partitionBy("name", "part").orderBy("v")) - F.col("n")
+    numbered = placed.join(wanted.select("name", "part").distinct(), ["name", "part"], "left_semi").withColumn("below", below)
+    held = (F.col("i") >= F.col("below")) & (F.col("i") < F.col("below") + F.col("n"))
+    found = wanted.join(numbered, ["name", "part"]).where(held).groupBy("name", "q", "rank").agg(F.min_by("v", "place").alias("lo"), F.max_by("v", "place").alias("hi"))
     return found.select(F.col("name").alias(name), "q", (F.col("lo") + (F.col("rank") - F.floor("rank")) * (F.col("hi") - F.col("lo"))).alias("value"))
 
 

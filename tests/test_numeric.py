@@ -326,7 +326,7 @@ def test_bulge(spark):
 
 
 def test_exact_quantiles(spark):
-    x = {"a": RNG.normal(size=501), "b": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "c": np.array([4.0])}
+    x = {"a": RNG.normal(size=501), "b": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "c": np.array([4.0]), "hot": np.append(np.full(3000, 5.0), np.arange(0, 10, 0.01))}
     df = spark.createDataFrame([(k, float(v)) for k, m in x.items() for v in m] + [("a", None)], "name string, v double").repartition(7)
     got = {(r["name"], r["q"]): r["value"] for r in summaries.exact_quantiles(df, "name", "v", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
     assert got == {(k, q): pytest.approx(np.quantile(m, q)) for k, m in x.items() for q in (0.0, 0.25, 0.5, 0.9, 1.0)}
