@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators import chunks
+
 # Helix residue ranges of the groove, inclusive.
 HELICES = (("alpha1_helix", 50, 86), ("alpha2_helix", 140, 176))
 
@@ -96,13 +98,10 @@ def filter_pairs(pairs: DataFrame, **equal: str | None) -> DataFrame:
     return pairs
 
 
-def downsample(series: DataFrame, k: int, key: str = "traj_id", order: str = "frame") -> DataFrame:
+def downsample(series: DataFrame, k: int, key: str = "traj_id", order: str = "frame", span: int = chunks.SPAN) -> DataFrame:
     """Every (n // k)-th sample of each series, at least every one."""
-    from pyspark.sql import Window as W
-
-    part = W.partitionBy(key)
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(part) / k))
-    return series.withColumn("_i", F.row_number().over(part.orderBy(order)) - 1).withColumn("_s", step).where("_i % _s = 0").drop("_i", "_s")
+    places = chunks.numbered(series.select(key, order, F.struct("*").alias("_row")), key, order, span=span)
+    return places.where(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / k)) == 0).select("_row.*")
 
 
 def locate(chains: DataFrame, loops: DataFrame) -> DataFrame:

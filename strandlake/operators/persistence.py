@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators import chunks
+from strandlake.session import materialize
+
 
 def segments_of(df: DataFrame, frames: str) -> DataFrame:
     """Add frame_segments, n_segments, max_consecutive_frames, first_frame, last_frame from an ascending array of distinct frames.
@@ -46,14 +49,19 @@ def integer_ranges(values: DataFrame, value: str, keys: tuple[str, ...]) -> Data
     return island.groupBy(*keys, "_g").agg(F.min(value).alias("range_start"), F.max(value).alias("range_end")).drop("_g")
 
 
-def dwell_segments(states: DataFrame, key: str = "traj_id", order: str = "frame", state: str = "state", time: str = "time_ps") -> DataFrame:
-    """Runs of one state in time order: first and last frame, samples, and duration (its span and one median interval)."""
-    w = W.partitionBy(key).orderBy(order)
-    step = states.withColumn("_d", F.col(time) - F.lag(time).over(w)).groupBy(key).agg(F.coalesce(F.median("_d"), F.lit(0.0)).alias("_interval"))
-    changed = F.coalesce((F.col(state) != F.lag(state).over(w)).cast("int"), F.lit(0))
-    runs = states.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w))
+def dwell_segments(states: DataFrame, key: str = "traj_id", order: str = "frame", state: str = "state", time: str = "time_ps", span: int = chunks.SPAN) -> DataFrame:
+    """Runs of one state in time order: first and last frame, samples, and duration (its span and one median interval).
+
+    A sample is compared with the one before it, in its chunk of the series or the last of an earlier one; changes are a running sum over chunks."""
+    sample = F.struct(F.col(order).alias("at"), F.col(time).alias("time"), F.col(state).alias("state"))
+    rows = chunks.carry(chunks.cut(states, order, span), key, {"_last": sample}, F.max)
+    before = F.coalesce(F.lag(sample).over(W.partitionBy(key, "chunk").orderBy(order)), F.col("_last_before"))
+    changed = F.coalesce((F.col(state) != before["state"]).cast("int"), F.lit(0))
+    rows = materialize(rows.select(key, "chunk", order, state, time, (F.col(time) - before["time"]).alias("_d"), changed.alias("_c")), "dwells")
+    step = rows.groupBy(key).agg(F.coalesce(F.median("_d"), F.lit(0.0)).alias("_interval"))
     return (
-        runs.groupBy(key, "run", state)
+        chunks.running(rows, key, order, {"run": F.col("_c")})
+        .groupBy(key, "run", state)
         .agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("_span"))
         .join(step, key)
         .withColumn("duration", F.col("_span") + F.col("_interval"))

@@ -1,6 +1,7 @@
 """Time series of a trajectory: blocks, moving averages, drift, equilibration grades, lagged moments.
 
-Series are long tables (traj_id, frame, time, value); every trajectory is one window partition of about a thousand samples."""
+Series are long tables (traj_id, frame, time, value). Windows and running sums go by chunks of frames (``operators/chunks.py``): no task meets a
+whole series, however long."""
 
 from __future__ import annotations
 
@@ -9,15 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import statistics
-from strandlake.operators import moments
+from strandlake.operators import chunks, moments
+from strandlake.session import materialize
 
 KEY, ORDER, TIME, VALUE = "traj_id", "frame", "time_s", "value"
 
 
-def numbered(series: DataFrame) -> DataFrame:
+def numbered(series: DataFrame, span: int = chunks.SPAN) -> DataFrame:
     """Add i, the place from 0, and n, the samples of the series."""
-    part = W.partitionBy(KEY)
-    return series.withColumns({"i": (F.row_number().over(part.orderBy(ORDER)) - 1).cast("long"), "n": F.count("*").over(part)})
+    return chunks.numbered(series, KEY, ORDER, span=span).drop("chunk")
 
 
 def block_means(series: DataFrame, n_blocks: int = 5, least: int = 10) -> DataFrame:
@@ -43,10 +44,11 @@ def block_stability(blocks: DataFrame) -> DataFrame:
     )
 
 
-def moving_average(series: DataFrame, width: int = 10) -> DataFrame:
-    """Means of full trailing windows."""
-    w = W.partitionBy(KEY).orderBy(ORDER).rowsBetween(-(width - 1), 0)
-    return numbered(series).withColumn("moving", F.avg(VALUE).over(w)).where(F.col("i") >= width - 1)
+def moving_average(series: DataFrame, width: int = 10, span: int = chunks.SPAN) -> DataFrame:
+    """Means of full trailing windows. Blocks of samples get the width - 1 samples before them."""
+    w = W.partitionBy(KEY, "block").orderBy("i").rowsBetween(-(width - 1), 0)
+    blocks = chunks.haloed(numbered(series, span), before=width - 1, size=span)
+    return blocks.withColumn("moving", F.avg(VALUE).over(w)).where(F.col("own") & (F.col("i") >= width - 1)).drop("block", "own")
 
 
 def trend(series: DataFrame, width: int = 10, threshold: float = 0.05) -> DataFrame:
@@ -57,24 +59,31 @@ def trend(series: DataFrame, width: int = 10, threshold: float = 0.05) -> DataFr
     return m.select(KEY, slope.alias("slope"), (F.abs(slope) > threshold / F.col("span")).alias("has_drift"))
 
 
-def convergence_point(series: DataFrame, width: int = 10, threshold: float = 0.05) -> DataFrame:
+def convergence_point(series: DataFrame, width: int = 10, threshold: float = 0.05, span: int = chunks.SPAN) -> DataFrame:
     """First place of the moving average whose trailing deviation is below ``threshold``, with more than a fifth left and over four fifths of
-    it stable; null if there is none or under 20 values."""
-    part = W.partitionBy(KEY)
-    m = moving_average(series, width).withColumns({"j": F.row_number().over(part.orderBy(ORDER)) - 1, "m": F.count("*").over(part)})
-    # the window grows with the series, so positions are compared rather than a fixed frame of rows taken
-    wide = F.greatest(F.lit(10), F.floor(F.col("m") / 10))
-    pairs = m.groupBy(KEY).agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("j", TIME, "moving"))).alias("a")).withColumn("w", wide)
-    std = F.expr(
-        """transform(a, s -> aggregate(slice(a, cast(greatest(0, s.j - w) as int) + 1, cast(s.j - greatest(0, s.j - w) as int) + 1),
-             named_struct('n', 0L, 's', 0D, 'q', 0D), (x, e) -> named_struct('n', x.n + 1, 's', x.s + e.moving, 'q', x.q + e.moving * e.moving),
-             x -> sqrt(greatest(0D, x.q / x.n - (x.s / x.n) * (x.s / x.n)))))"""
-    )
-    flat = pairs.withColumn("d", std).select(KEY, "m", F.posexplode(F.arrays_zip("a", "d")).alias("j", "z")).select(KEY, "m", "j", F.col(f"z.a.{TIME}").alias("t"), F.col("z.d").alias("std"))
-    ahead = part.orderBy(F.desc("j")).rowsBetween(W.unboundedPreceding, 0)
-    ok = (F.col("std") < threshold).cast("double")
-    found = flat.withColumn("rest", F.avg(ok).over(ahead)).where((F.col("m") >= 20) & (F.col("std") < threshold) & (F.col("m") - F.col("j") > F.col("m") * 0.2) & (F.col("rest") > 0.8))
-    return series.select(KEY).distinct().join(found.groupBy(KEY).agg(F.min("j").alias("index"), F.min_by("t", "j").alias("time")), KEY, "left")
+    it stable; null if there is none or under 20 values. A deviation's window, a tenth of the series, is a difference of running sums."""
+    moving = materialize(moving_average(series, width, span), "moving")
+    m = chunks.numbered(moving.drop("i", "n"), KEY, ORDER, mean="moving", span=span).select(KEY, ORDER, TIME, "chunk", "i", "n", (F.col("moving") - F.col("mean")).alias("c"))
+    std = _deviations(m, lambda i, n: (F.greatest(i - F.greatest(F.lit(10), F.floor(n / 10)), F.lit(0)), i + 1), span).withColumn("ok", (F.col("std") < threshold).cast("double"))
+    after = chunks.running(std, KEY, "i", {"stable": F.col("ok")}, ahead=True)
+    left = F.col("n") - F.col("i")
+    found = after.where((F.col("n") >= 20) & (F.col("ok") == 1) & (left > F.col("n") * 0.2) & (F.col("stable") / left > 0.8))
+    return series.select(KEY).distinct().join(found.groupBy(KEY).agg(F.min("i").cast("int").alias("index"), F.min_by(TIME, "i").alias("time")), KEY, "left")
+
+
+def _deviations(centred: DataFrame, window, span: int) -> DataFrame:
+    """Population deviation of ``c`` over places lo <= i < hi, (lo, hi) = window(i, n), from running sums of c and its square looked up at both ends.
+
+    centred: (traj_id, frame, time, chunk, i, n, c), c less the mean of its series. The result is written: what follows reads it twice."""
+    sums = chunks.running(centred, KEY, "i", {"s": F.col("c"), "q": F.col("c") * F.col("c")})
+    sums = materialize(sums.select(KEY, *(c for c in (ORDER, TIME) if c in centred.columns), "i", "n", F.struct("s", "q").alias("run")), "running")
+    lo, hi = window(F.col("i"), F.col("n"))
+    edge = lambda name, tag: sums.select(KEY, (F.col("i") + 1).alias(name), F.col("run").alias(tag))
+    both = sums.drop("run").withColumns({"lo": lo, "hi": hi}).join(edge("hi", "b"), [KEY, "hi"]).join(edge("lo", "a"), [KEY, "lo"], "left")
+    m = F.col("hi") - F.col("lo")
+    total = lambda f: F.col(f"b.{f}") - F.coalesce(F.col(f"a.{f}"), F.lit(0.0))
+    std = F.sqrt(F.greatest(F.lit(0.0), total("q") / m - (total("s") / m) * (total("s") / m)))
+    return materialize(chunks.cut(both.withColumn("std", std), "i", span).drop("lo", "hi", "a", "b"), "deviations")
 
 
 def grade(mean: Column, std: Column, converged: Column, fraction: Column) -> Column:
@@ -151,28 +160,22 @@ def energy_trend(blocks: DataFrame, similar: float = 0.05, drift: float = 0.02,
     return g.withColumn("has_trend", trend).withColumn("is_converged", (F.col("last_two_pct") < 100 * similar) & (F.col("first_last_pct") < 100 * drift) & ~F.col("has_trend"))
 
 
-def convergence_time(series: DataFrame, least: int = 100, step: float = 2.0, tolerance: float = 1.2) -> DataFrame:
+def convergence_time(series: DataFrame, least: int = 100, step: float = 2.0, tolerance: float = 1.2, span: int = chunks.SPAN) -> DataFrame:
     """(traj_id, time): the first sample whose centred moving deviation, and that of the samples behind it, is at most ``tolerance`` times the mean one of the last fifth.
 
     The window reaches max(least, n // 20) samples to both sides, cut at the ends; the deviation must hold for max(least, n // 10) samples. Without such
     a sample a fifth of the series counts, series of fewer than ``least`` have no time. ``step``: time between samples. Windows are
     differences of running sums, centred first, so no sample is joined with its whole window."""
-    c = numbered(series).withColumn("c", F.col(VALUE) - F.avg(VALUE).over(W.partitionBy(KEY)))
-    run = W.partitionBy(KEY).orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = c.where(F.col("n") >= least).select(KEY, "i", "n", F.struct(F.sum("c").over(run).alias("s"), F.sum(F.col("c") * F.col("c")).over(run).alias("q")).alias("run"))
-    w = F.greatest(F.lit(least), F.floor(F.col("n") / 20))
-    at = sums.select(KEY, "i", "n", w.alias("w"), F.greatest(F.col("i") - w, F.lit(0)).alias("lo"), F.least(F.col("i") + w, F.col("n")).alias("hi"))
-    edge = lambda name, tag: sums.select(KEY, (F.col("i") + 1).alias(name), F.col("run").alias(tag))
-    both = at.join(edge("hi", "b"), [KEY, "hi"]).join(edge("lo", "a"), [KEY, "lo"], "left")
-    m = F.col("hi") - F.col("lo")
-    total = lambda f: F.col(f"b.{f}") - F.coalesce(F.col(f"a.{f}"), F.lit(0.0))
-    dev = both.select(KEY, "i", "n", "w", F.sqrt(F.greatest(F.lit(0.0), total("q") / m - (total("s") / m) * (total("s") / m))).alias("std"))
+    c = chunks.numbered(series, KEY, ORDER, mean=VALUE, span=span).where(F.col("n") >= least).select(KEY, "chunk", "i", "n", (F.col(VALUE) - F.col("mean")).alias("c"))
+    reach = lambda n: F.greatest(F.lit(least), F.floor(n / 20))
+    dev = _deviations(c, lambda i, n: (F.greatest(i - reach(n), F.lit(0)), F.least(i + reach(n), n)), span)
     late = F.when(F.col("i") >= F.floor(F.col("n") * 0.8), F.col("std"))
-    dev = dev.withColumn("bad", F.col("std") > tolerance * F.avg(late).over(W.partitionBy(KEY)))
-    ahead = W.partitionBy(KEY).orderBy("i").rowsBetween(W.currentRow, W.unboundedFollowing)
+    dev = chunks.carry(dev, KEY, {"late": late, "k": late.isNotNull().cast("long")})
+    bad = F.when(F.col("std") > tolerance * F.try_divide("late_all", "k_all"), F.col("i"))
     hold = F.greatest(F.lit(least), F.floor(F.col("n") / 10))
-    calm = dev.withColumn("next_bad", F.min(F.when(F.col("bad"), F.col("i"))).over(ahead)).withColumn("ok", F.col("next_bad").isNull() | (F.col("next_bad") >= F.col("i") + hold))
-    first = F.min(F.when(F.col("ok") & (F.col("i") >= F.col("w")) & (F.col("i") < F.col("n") - F.col("w")), F.col("i")))
+    calm = chunks.running(dev.select(KEY, "chunk", "i", "n", bad.alias("bad")), KEY, "i", {"next_bad": F.col("bad")}, F.min, ahead=True)
+    ok = F.col("next_bad").isNull() | (F.col("next_bad") >= F.col("i") + hold)
+    first = F.min(F.when(ok & (F.col("i") >= reach(F.col("n"))) & (F.col("i") < F.col("n") - reach(F.col("n"))), F.col("i")))
     found = calm.groupBy(KEY, "n").agg(first.alias("first")).select(KEY, (F.coalesce(F.col("first").cast("double"), F.col("n") * 0.2) * step).alias("time"))
     return series.select(KEY).distinct().join(found, KEY, "left")
 
@@ -193,13 +196,14 @@ def angle_summary(frames: DataFrame, angle: str, polarity: str, key: str = KEY)
     return frames.groupBy(key).agg(F.avg(angle).alias("mean"), F.stddev_pop(angle).alias("std"), F.min(angle).alias("min"), F.max(angle).alias("max"), F.avg(folded).alias("directed_mean"), F.avg(vote).alias("reversed_fraction"))
 
 
-def lagged_covariance(features: DataFrame, lag: int) -> DataFrame:
+def lagged_covariance(features: DataFrame, lag: int, span: int = 4096) -> DataFrame:
     """(traj_id, i, j, c00, ctt, c0t): covariances of the samples, of those ``lag`` later, and between both, each side centred on its own mean.
 
     features: (traj_id, frame, j, x). A frame's vector and the later one are one vector, whose second moments are partial matrices."""
     rows, names = moments.vectors_of(features, KEY, ORDER)
-    later = F.lead("vector", lag).over(W.partitionBy(KEY).orderBy(ORDER))
-    both = rows.withColumn("later", later).where("later IS NOT NULL").select(KEY, F.concat("vector", "later").alias("vector"))
+    later = F.lead("vector", lag).over(W.partitionBy(KEY, "block").orderBy("i"))
+    blocks = chunks.haloed(chunks.numbered(rows, KEY, ORDER, span=span), after=lag, size=span)
+    both = blocks.withColumn("later", later).where("own AND later IS NOT NULL").select(KEY, F.concat("vector", "later").alias("vector"))
     cov = moments.covariances(moments.second_moments(both, KEY, "vector"), KEY, 1).join(names, KEY)
     d = F.size("names")
     name = lambda c: F.col("names")[F.col(c) % d]
@@ -208,18 +212,19 @@ def lagged_covariance(features: DataFrame, lag: int) -> DataFrame:
     return cov.groupBy(KEY, name("a").alias("i"), name("b").alias("j")).agg(pick(early & ~late).alias("c00"), pick(~early & late).alias("ctt"), pick(early & late).alias("c0t"))
 
 
-def nearest_window(anchors: DataFrame, samples: DataFrame, radius: int, value: str = VALUE) -> DataFrame:
+def nearest_window(anchors: DataFrame, samples: DataFrame, radius: int, value: str = VALUE, span: int = chunks.SPAN) -> DataFrame:
     """Per anchor frame: the mean of the samples at most ``radius`` frames away, else the nearest sample's value (ties: the earlier).
 
     Frames are dealt into buckets as wide as the radius and samples copied to the next ones, so the range join is an equi-join; anchors
-    without a sample in reach look up their neighbours by two window passes."""
+    without a sample in reach look up their neighbours by two running passes over chunks."""
     b = max(1, radius)
     near = samples.select(KEY, F.col(ORDER).alias("_s"), F.col(value).alias("_v"), F.explode(F.array(*(F.floor(F.col(ORDER) / b) + d for d in (-1, 0, 1)))).alias("_b"))
     a = anchors.select(KEY, ORDER).distinct().withColumn("_b", F.floor(F.col(ORDER) / b))
     inside = a.join(near, [KEY, "_b"]).where(F.abs(F.col("_s") - F.col(ORDER)) <= radius).groupBy(KEY, ORDER).agg(F.avg("_v").alias("inside"))
     marks = samples.select(KEY, F.col(ORDER), F.struct(F.col(ORDER).alias("f"), F.col(value).alias("v")).alias("s"), F.lit(0).alias("k")).unionByName(a.select(KEY, ORDER, F.lit(None).cast(f"struct<f:{samples.schema[ORDER].dataType.simpleString()},v:double>").alias("s"), F.lit(1).alias("k")))
-    w = W.partitionBy(KEY).orderBy(ORDER, "k")
-    both = marks.withColumns({"back": F.last("s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "fore": F.first("s", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))}).where("k = 1")
+    cut = chunks.cut(marks, ORDER, span)
+    both = chunks.running(cut, KEY, ORDER, {"back": F.col("s")}, F.max)
+    both = chunks.running(both, KEY, ORDER, {"fore": F.col("s")}, F.min, ahead=True).where("k = 1")
     nearest = F.when(F.col("fore").isNull() | (F.col(ORDER) - F.col("back.f") <= F.col("fore.f") - F.col(ORDER)), F.col("back.v")).otherwise(F.col("fore.v"))
     return both.select(KEY, ORDER, nearest.alias("nearest")).join(inside, [KEY, ORDER], "left").select(KEY, ORDER, F.coalesce("inside", "nearest").alias("value"), F.col("inside").isNotNull().alias("in_window"))
 
