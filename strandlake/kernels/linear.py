@@ -24,11 +24,12 @@ def superpose_each(mobile: np.ndarray, targets: np.ndarray) -> np.ndarray:
     return (mobile - mc) @ (u @ vt) + tc
 
 
-def distances(x: np.ndarray, manhattan: bool = False, step: int = 64) -> np.ndarray:
-    """All distances between rows, made some rows at a time."""
-    out = np.empty((len(x), len(x)))
-    for i in range(0, len(x), step):
-        diff = x[i : i + step, None] - x[None]
+def distances(x: np.ndarray, manhattan: bool = False, step: int = 64, of: np.ndarray | None = None) -> np.ndarray:
+    """Distances of the rows ``of`` (all by default) to all rows, made some rows at a time."""
+    some = x if of is None else x[of]
+    out = np.empty((len(some), len(x)))
+    for i in range(0, len(some), step):
+        diff = some[i : i + step, None] - x[None]
         out[i : i + step] = np.abs(diff).sum(2) if manhattan else np.sqrt((diff * diff).sum(2))
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.kernels import linear
-from strandlake.operators import moments
+from strandlake.operators import linkage, moments
 from strandlake.operators.geometry import stack
 from strandlake.session import materialize
 
@@ -267,20 +267,19 @@ def pick_medoids(means: DataFrame, group: str) -> DataFrame:
     return means.groupBy(group).agg(best.alias("m"), F.count("*").alias("n_frames")).select(group, F.col("m.traj_id").alias("traj_id"), F.col("m.frame").alias("frame"), F.col("m.mean_rmsd").alias("mean_rmsd"), "n_frames")
 
 
-def frame_clusters(features: DataFrame, weights: tuple[float, float, float] = (0.45, 0.25, 0.30), cutoff: float = 0.35, most: int = 6000) -> DataFrame:
+def frame_clusters(features: DataFrame, weights: tuple[float, float, float] = (0.45, 0.25, 0.30), cutoff: float = 0.35, most: int = 3000) -> DataFrame:
     """Average-linkage clusters of a trajectory's sampled frames: three feature sets (geometry, side chains: Euclidean; interactions: Manhattan), each distance
     over its largest, blended.
 
-    features: (traj_id, frame, geometry, sidechain, interaction), arrays. Linkage needs all distances of a trajectory: the matrix is made
-    in the trajectory's task, 8 bytes a pair of frames and three times that at its peak. A trajectory of more than ``most`` frames is an error: sample it first."""
+    features: (traj_id, frame, geometry, sidechain, interaction), arrays. Up to ``most`` frames are linked in the trajectory's task, whose matrix takes 8 bytes a
+    pair of frames and three times that at its peak; longer trajectories go through the rounds of ``linkage``, with the same clusters."""
+    blend = dict(zip(("geometry", "sidechain", "interaction"), weights))
 
     def run(t: pa.Table) -> pa.Table:
         n = t.num_rows
-        if n > most:
-            raise ValueError(f"trajectory {t['traj_id'][0]} has {n} frames, {most} at most can be clustered: sample them")
         t = t.sort_by("frame")
         total = np.zeros((n, n))
-        for name, weight in zip(("geometry", "sidechain", "interaction"), weights):
+        for name, weight in blend.items():
             x = np.array(t[name].to_pylist(), float).reshape(n, -1)
             d = linear.distances(x, manhattan=name == "interaction")
             peak = d.max(initial=0.0)
@@ -288,4 +287,9 @@ def frame_clusters(features: DataFrame, weights: tuple[float, float, float] = (0
         labels = linear.average_linkage(total, cutoff) if n > 1 else np.zeros(n, int)
         return pa.table({"traj_id": t["traj_id"], "frame": t["frame"], "cluster": pa.array(labels, pa.int32())})
 
-    return features.groupBy("traj_id").applyInArrow(run, "traj_id string, frame int, cluster int")
+    long = features.groupBy("traj_id").count().where(F.col("count") > most).select("traj_id")
+    linked = lambda f: f.groupBy("traj_id").applyInArrow(run, "traj_id string, frame int, cluster int")
+    if long.isEmpty():
+        return linked(features)
+    rows = linkage.distance_rows(features.join(long, "traj_id", "left_semi"), blend, ("interaction",))
+    return linked(features.join(long, "traj_id", "left_anti")).unionByName(linkage.average_linkage(rows, cutoff))
