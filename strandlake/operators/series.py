@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import statistics
-from strandlake.operators import chunks, moments
+from strandlake.operators import chunks, moments, summaries
 from strandlake.session import materialize
 
 KEY, ORDER, TIME, VALUE = "traj_id", "frame", "time_s", "value"
@@ -132,16 +132,17 @@ def tail_variation(series: DataFrame, trim: float = 0.1) -> DataFrame:
     )
 
 
-def drift_table(series: DataFrame, tail: float = 0.1, slope: float = 0.2) -> DataFrame:
-    """Tail mean and p95 - p5 band from round(tail (n - 1)), slope from round((1 - slope)(n - 1)), halves to even."""
-    s = numbered(series)
+def drift_table(series: DataFrame, tail: float = 0.1, slope: float = 0.2, span: int = chunks.SPAN) -> DataFrame:
+    """Tail mean and p95 - p5 band from round(tail (n - 1)), slope from round((1 - slope)(n - 1)), halves to even. The band's percentiles are exact, by ranges of values."""
+    s = numbered(series, span)
     at = lambda x: F.bround(F.lit(x) * (F.col("n") - 1))
-    t = F.when(F.col("i") >= at(tail), F.col(VALUE))
+    in_tail = F.col("i") >= at(tail)
     last = F.col("i") >= at(1.0 - slope)
-    q = F.percentile(t, F.array(F.lit(0.05), F.lit(0.95)))
-    return s.groupBy(KEY).agg(F.avg(t).alias("tail_mean"), q.alias("_q"), F.regr_slope(F.when(last, F.col(VALUE)), F.when(last, F.col(TIME))).alias("slope")).select(
-        KEY, "tail_mean", (F.col("_q")[1] - F.col("_q")[0]).alias("tail_band"), "slope"
-    )
+    q = summaries.exact_quantiles(s.where(in_tail), KEY, VALUE, (0.05, 0.95))
+    pick = lambda x: F.max(F.when(F.col("q") == x, F.col("value")))
+    band = q.groupBy(KEY).agg((pick(0.95) - pick(0.05)).alias("tail_band"))
+    ends = s.groupBy(KEY).agg(F.avg(F.when(in_tail, F.col(VALUE))).alias("tail_mean"), F.regr_slope(F.when(last, F.col(VALUE)), F.when(last, F.col(TIME))).alias("slope"))
+    return ends.join(band, KEY, "left").select(KEY, "tail_mean", "tail_band", "slope")
 
 
 def energy_trend(blocks: DataFrame, similar: float = 0.05, drift: float = 0.02, key: str = KEY) -> DataFrame:

@@ -108,6 +108,17 @@ def test_lagged_and_downsampled(table, span):
                 np.testing.assert_allclose(got[t, i, j], (c[i, j], c[2 + i, 2 + j], c[i, 2 + j]), rtol=1e-7)
 
 
+@pytest.mark.parametrize("span", [100])
+def test_drift_table(table, span):
+    got = {r["traj_id"]: r for r in series.drift_table(table, span=span).collect()}
+    for t, v in VALUES.items():
+        n = len(v)
+        tail, last = v[round(0.1 * (n - 1)) :], slice(round(0.8 * (n - 1)), None)
+        assert got[t]["tail_mean"] == pytest.approx(tail.mean())
+        assert got[t]["tail_band"] == pytest.approx(np.percentile(tail, 95) - np.percentile(tail, 5))
+        assert n == 1 or got[t]["slope"] == pytest.approx(np.polyfit(FRAMES[t][last] * 2.0, v[last], 1)[0], abs=1e-9)
+
+
 @pytest.mark.parametrize("span", SPANS)
 def test_nearest(spark, table, span):
     anchors = spark.createDataFrame([(t, x) for t in FRAMES for x in range(0, 5200, 97)], "traj_id string, frame int")
