@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -34,6 +36,18 @@ def distances(x: np.ndarray, manhattan: bool = False, step: int = 64, of: np.nda
     return out
 
 
+def distance_blocks(x: np.ndarray, y: np.ndarray, manhattan: bool = False, step: int = 32) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all rows of ``y``) of some rows of ``x`` at a time, a coordinate after the other."""
+    columns = np.ascontiguousarray(y.T)
+    for i in range(0, len(x), step):
+        some = x[i : i + step]
+        out = np.zeros((len(some), len(y)))
+        for k, c in enumerate(columns):
+            diff = some[:, k, None] - c
+            out += np.abs(diff, out=diff) if manhattan else np.multiply(diff, diff, out=diff)
+        yield i, out if manhattan else np.sqrt(out, out=out)
+
+
 def rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Root mean square distance of frames (F, N, 3) to (N, 3) as they lie."""
     return np.sqrt(((a - b) ** 2).sum(-1).mean(-1))
@@ -169,12 +183,12 @@ def spectrum(values: np.ndarray) -> tuple[int, float]:
     return int(np.searchsorted(np.cumsum(p), 0.90) + 1), float(np.exp(-(q * np.log(q)).sum()))
 
 
-def average_linkage(d: np.ndarray, cutoff: float) -> np.ndarray:
-    """Labels of average-linkage clusters cut at ``cutoff``, by nearest-neighbour chains; numbered by first member."""
+def average_linkage(d: np.ndarray, cutoff: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of average-linkage clusters cut at ``cutoff``, by nearest-neighbour chains; numbered by first member. ``sizes``: of clusters that are linked further."""
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
+    size, alive = np.ones(n) if sizes is None else sizes.astype(float), np.ones(n, bool)
     up = list(range(n))
     chain: list[int] = []
     while alive.sum() > 1:

@@ -272,7 +272,7 @@ def frame_clusters(features: DataFrame, weights: tuple[float, float, float] = (0
     over its largest, blended.
 
     features: (traj_id, frame, geometry, sidechain, interaction), arrays. Up to ``most`` frames are linked in the trajectory's task, whose matrix takes 8 bytes a
-    pair of frames and three times that at its peak; longer trajectories go through the rounds of ``linkage``, with the same clusters."""
+    pair of frames and three times that at its peak; longer trajectories go through the rounds of ``linkage.linked_frames``, which keeps no distances, with the same clusters."""
     blend = dict(zip(("geometry", "sidechain", "interaction"), weights))
 
     def run(t: pa.Table) -> pa.Table:
@@ -291,5 +291,5 @@ def frame_clusters(features: DataFrame, weights: tuple[float, float, float] = (0
     linked = lambda f: f.groupBy("traj_id").applyInArrow(run, "traj_id string, frame int, cluster int")
     if long.isEmpty():
         return linked(features)
-    rows = linkage.distance_rows(features.join(long, "traj_id", "left_semi"), blend, ("interaction",))
-    return linked(features.join(long, "traj_id", "left_anti")).unionByName(linkage.average_linkage(rows, cutoff))
+    rest = linkage.linked_frames(features.join(long, "traj_id", "left_semi"), blend, cutoff, ("interaction",))
+    return linked(features.join(long, "traj_id", "left_anti")).unionByName(rest)

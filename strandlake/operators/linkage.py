@@ -1,13 +1,18 @@
-"""Average linkage of frames whose distances no task could hold: rounds over a table of matrix rows.
+"""Average linkage of frames whose distances no task could hold, in rounds: from the frames themselves (``linked_frames``, which keeps no distances), or over a
+table of matrix rows (``average_linkage``).
 
 Each cluster is a row of its mean distances to all clusters of its trajectory. In a round every row names its nearest, all pairs that name each other merge at
 once (in average linkage a merger brings no two clusters closer than their nearest were, so the order does not matter), and rows and columns of a pair
-become their mean weighted by size. A task holds a tile of some ``TILE_BYTES`` of rows; one number per cluster goes through the trajectory's task."""
+become their mean weighted by size. A task holds a tile of some ``TILE_BYTES`` of rows; one number per cluster goes through the trajectory's task.
+
+``linked_frames`` makes the same mergers and measures anew what a round needs: the mean distances of the clusters whose nearest is not known any more, because
+they or it merged. Tiles of clusters meet in pairs; a task sends each cluster's nearest. Some numbers per frame go through the trajectory's task."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +123,197 @@ def merged(state: DataFrame, into: DataFrame, tile_bytes: int = TILE_BYTES) -> D
     return parts.groupBy("traj_id", "tile").applyInArrow(gather, ROW)
 
 
+#: Frames of a tile of clusters, and clusters whose matrix is one task's.
+TILE_FRAMES, FEW = 2048, 4000
+_PLAN = "traj_id string, label array<int>, tile array<int>, tiles int, stale int, last boolean, nearest array<int>, distance array<double>"
+
+
+def _set(t: pa.Table, name: str) -> np.ndarray:
+    return t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+
+def _by_cluster(t: pa.Table, tile: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The frames of one side of a pair of tiles by cluster and place, the clusters, where each begins, and their sizes."""
+    side = t.filter(pc.equal(t["tile"], t[tile])).sort_by([("label", "ascending"), ("i", "ascending")])
+    ids, starts, sizes = np.unique(side["label"].to_numpy(), return_index=True, return_counts=True)
+    return side, ids, starts, sizes
+
+
+def linked_frames(
+    features: DataFrame, weights: dict[str, float], cutoff: float, manhattan: tuple[str, ...] = (), tile_frames: int = TILE_FRAMES, few: int = FEW
+) -> DataFrame:
+    """(traj_id, frame, cluster) of average linkage cut at ``cutoff``, clusters numbered from 0 by their first frame. features: (traj_id, frame, an array per set); a
+    distance is each set's over the trajectory's largest, blended by ``weights``.
+
+    A cluster farther than ``cutoff`` from all others takes no further part: mergers bring nothing nearer to it. A trajectory of at most ``few`` clusters that may still merge
+    ends in one task. What a round writes are some numbers a frame."""
+    frames = materialize(chunks.numbered(features, "traj_id", "frame").select("traj_id", "frame", F.col("i").cast("int").alias("i"), "n", *weights), "frames")
+
+    def pairs(placed: DataFrame) -> DataFrame:
+        """Frames dealt to the pairs of tiles a <= b with a below ``stale``."""
+        other = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, "tile") < F.col("stale"))
+        met = placed.where("tile >= 0").withColumn("_o", F.explode(other))
+        return met.withColumns({"a": F.least("_o", "tile"), "b": F.greatest("_o", "tile")}).drop("_o")
+
+    start = frames.withColumns({"label": F.col("i"), "tile": F.floor(F.col("i") / tile_frames).cast("int"), "tiles": F.ceil(F.col("n") / tile_frames).cast("int"), "last": F.lit(False)})
+    start = start.withColumn("stale", F.col("tiles"))
+
+    def blocks(one: pa.Table, two: pa.Table):
+        return ((name, linear.distance_blocks(_set(one, name), _set(two, name), name in manhattan)) for name in weights)
+
+    def largest(t: pa.Table) -> pa.Table:
+        one, two = (_by_cluster(t, side)[0] for side in "ab")
+        return pa.table({"traj_id": t["traj_id"].slice(0, 1)} | {f"{name}_peak": [max((float(d.max(initial=0.0)) for _, d in found), default=0.0)] for name, found in blocks(one, two)})
+
+    peaks = pairs(start).groupBy("traj_id", "a", "b").applyInArrow(largest, "traj_id string, " + ", ".join(f"{name}_peak double" for name in weights))
+    peaks = materialize(peaks.groupBy("traj_id").agg(*(F.max(f"{name}_peak").alias(f"{name}_peak") for name in weights)), "peaks")
+
+    def means(t: pa.Table):
+        """The clusters of both sides and their mean distances; a cluster's own has no bound."""
+        (one, rows, starts, sizes), (two, columns, begins, counts) = (_by_cluster(t, side) for side in "ab")
+        total = np.zeros((len(rows), len(columns)))
+        if not total.size:
+            return rows, columns, total
+        at = np.repeat(np.arange(len(rows)), sizes)
+        peak = [t[f"{name}_peak"][0].as_py() for name in weights]
+        for parts in zip(*(found for _, found in blocks(one, two))):
+            first = parts[0][0]
+            d = sum(w * (p / m if m > 0 else p) for (_, p), w, m in zip(parts, weights.values(), peak))
+            which = at[first : first + len(d)]
+            cut = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            d = d if len(columns) == two.num_rows else np.add.reduceat(d, begins, axis=1)
+            total[which[cut]] += d if len(cut) == len(d) else np.add.reduceat(d, cut, axis=0)
+        total /= sizes[:, None]
+        total /= counts
+        if t["a"][0].as_py() == t["b"][0].as_py():
+            np.fill_diagonal(total, np.inf)
+        return rows, columns, total
+
+    def nearest(t: pa.Table) -> pa.Table:
+        rows, columns, d = means(t)
+        out = []
+        if d.size:
+            at, value = nearest_row(d)
+            out.append((rows, columns[at], value))
+            if t["a"][0].as_py() < t["b"][0].as_py() < t["stale"][0].as_py():
+                at, value = nearest_row(d.T)
+                out.append((columns, rows[at], value))
+        ids, other, value = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
+        known = np.isfinite(value)
+        head = pa.array([t["traj_id"][0].as_py()] * int(known.sum()), pa.string())
+        return pa.table({"traj_id": head, "id": pa.array(ids[known].astype(np.int32)), "nearest": pa.array(other[known].astype(np.int32)), "distance": pa.array(value[known].astype(float))})
+
+    def plan(label: np.ndarray, near: np.ndarray, distance: np.ndarray) -> tuple:
+        """One round: mergers, and what is to be measured for the next."""
+        into = mutual(near, distance, cutoff)
+        kept, to = np.unique(into, return_inverse=True)
+        label, grown = to[label], np.bincount(to) > 1
+        near, distance = to[near[kept]], distance[kept]
+        size = np.bincount(label)
+        lost = grown | (grown[near] & (distance <= cutoff))
+        alive = lost | (distance <= cutoff)
+        last = bool(lost.any()) and alive.sum() <= few
+        if last:
+            lost = alive.copy()
+        elif not lost.any():
+            alive[:] = False
+        tile, done = np.full(len(size), -1), 0
+        for part in (lost, alive & ~lost):
+            ids = np.flatnonzero(part)
+            if len(ids):
+                number = np.unique((np.cumsum(size[ids]) - size[ids]) // tile_frames, return_inverse=True)[1]
+                tile[ids] = done + number
+                done += int(number[-1]) + 1
+            if part is lost:
+                stale = done
+        distance = np.where(lost, np.inf, distance)
+        return label, tile[label], done, stale, last, near, distance
+
+    def row(traj: str, label, tile, tiles, stale, last, near, distance) -> pa.Table:
+        ints = pa.list_(pa.int32())
+        return pa.table(
+            {
+                "traj_id": pa.array([traj], pa.string()),
+                "label": pa.array([label.astype(np.int32)], ints),
+                "tile": pa.array([tile.astype(np.int32)], ints),
+                "tiles": pa.array([tiles], pa.int32()),
+                "stale": pa.array([stale], pa.int32()),
+                "last": pa.array([last], pa.bool_()),
+                "nearest": pa.array([near.astype(np.int32)], ints),
+                "distance": pa.array([distance], pa.list_(pa.float64())),
+            }
+        )
+
+    def found_nearest(found: pa.Table, near: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, other, value = (found[c].to_numpy() for c in ("id", "nearest", "distance"))
+        order = np.lexsort((other, value, ids))
+        ids, first = np.unique(ids[order], return_index=True)
+        near, distance = near.copy(), distance.copy()
+        near[ids], distance[ids] = other[order][first], value[order][first]
+        return near, distance
+
+    def begin(sizes: pa.Table, found: pa.Table) -> pa.Table:
+        n = sizes["n"][0].as_py()
+        return row(sizes["traj_id"][0].as_py(), *plan(np.arange(n), *found_nearest(found, np.arange(n), np.full(n, np.inf))))
+
+    def go_on(state: pa.Table, found: pa.Table) -> pa.Table:
+        label, near, distance = (state[c][0].values.to_numpy() for c in ("label", "nearest", "distance"))
+        return row(state["traj_id"][0].as_py(), *plan(label, *found_nearest(found, near, distance)))
+
+    def blocks_of(t: pa.Table) -> pa.Table:
+        rows, columns, d = means(t)
+        return pa.table({"traj_id": t["traj_id"].slice(0, 1), "rows": pa.array([rows], pa.list_(pa.int32())), "columns": pa.array([columns], pa.list_(pa.int32())), "d": pa.array([d.tobytes()], pa.binary())})
+
+    def finish(state: pa.Table, found: pa.Table) -> pa.Table:
+        """Link the clusters that may still merge by their matrix."""
+        label = state["label"][0].values.to_numpy()
+        size = np.bincount(label)
+        parts = [(r["rows"], r["columns"], np.frombuffer(r["d"], float).reshape(len(r["rows"]), -1)) for r in found.to_pylist()]
+        ids = np.unique(np.concatenate([np.asarray(p[0], int) for p in parts] + [np.zeros(0, int)]))
+        d = np.full((len(ids),) * 2, np.inf)
+        for r, c, m in parts:
+            r, c = np.searchsorted(ids, r), np.searchsorted(ids, c)
+            d[np.ix_(r, c)] = m
+            d[np.ix_(c, r)] = m.T
+        to = np.arange(len(size))
+        if len(ids) > 1:
+            linked = linear.average_linkage(d, cutoff, size[ids])
+            to[ids] = ids[np.unique(linked, return_index=True)[1]][linked]
+        nothing = np.zeros(0, int)
+        return row(state["traj_id"][0].as_py(), to[label], np.full(len(label), -1), 0, 0, False, nothing, nothing.astype(float))
+
+    def measured(placed: DataFrame, how, schema: str) -> DataFrame:
+        return pairs(placed).join(F.broadcast(peaks), "traj_id").groupBy("traj_id", "a", "b").applyInArrow(how, schema)
+
+    near_kind = "traj_id string, id int, nearest int, distance double"
+    sizes = frames.groupBy("traj_id").agg(F.count("*").alias("n"))
+    state = sizes.groupBy("traj_id").cogroup(measured(start, nearest, near_kind).groupBy("traj_id")).applyInArrow(begin, _PLAN)
+    done = []
+    while True:
+        state = materialize(state, "linkage")
+        done.append(state.where("stale = 0").select("traj_id", "label"))
+        left = {r["last"] for r in state.where("stale > 0").select("last").distinct().collect()}  # two rows at most
+        if not left:
+            break
+        placed = state.select("traj_id", F.inline(F.arrays_zip(F.expr("sequence(0, size(label) - 1)").alias("i"), "label", "tile")), "tiles", "stale", "last")
+        placed = frames.join(placed, ["traj_id", "i"])
+        rounds = []
+        if False in left:
+            found = measured(placed.where("NOT last"), nearest, near_kind)
+            rounds.append(state.where("stale > 0 AND NOT last").groupBy("traj_id").cogroup(found.groupBy("traj_id")).applyInArrow(go_on, _PLAN))
+        if True in left:
+            found = measured(placed.where("last"), blocks_of, "traj_id string, rows array<int>, columns array<int>, d binary")
+            rounds.append(state.where("stale > 0 AND last").groupBy("traj_id").cogroup(found.groupBy("traj_id")).applyInArrow(finish, _PLAN))
+        state = rounds[0] if len(rounds) == 1 else rounds[0].unionByName(rounds[1])
+    labels = done[0]
+    for more in done[1:]:
+        labels = labels.unionByName(more)
+    numbers = labels.select("traj_id", F.posexplode("label").alias("i", "label"))
+    first = numbers.groupBy("traj_id", "label").agg(F.min("i").alias("first"))
+    first = chunks.numbered(first, "traj_id", "first").select("traj_id", "label", F.col("i").cast("int").alias("cluster"))
+    return frames.select("traj_id", "frame", "i").join(numbers, ["traj_id", "i"]).join(first, ["traj_id", "label"]).select("traj_id", "frame", "cluster")
+
+
 _parts = pa.schema([("traj_id", pa.string()), ("tile", pa.int32()), ("id", pa.int32()), ("size", pa.int64()), ("row", pa.binary()), ("members", pa.list_(pa.int32()))])
 
 

@@ -1,10 +1,13 @@
 """Average linkage by rounds against merging the closest pair again and again, and against the kernel of one task."""
 
+import pathlib
+
 import numpy as np
 import pytest
 
 from strandlake.kernels import linear
 from strandlake.operators import dynamics, linkage
+from strandlake.session import shared_dir
 
 RNG = np.random.default_rng(11)
 SETS = ("geometry", "sidechain", "interaction")
@@ -80,3 +83,20 @@ def test_mutual_pairs():
 
 def test_none(spark):
     assert dynamics.frame_clusters(table(spark, {"few": features(5, 1)}).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("cutoff, few", [(0.02, 0), (0.35, 0), (0.35, 20), (2.0, 6)])
+def test_rounds_from_frames_equal_closest_pairs(spark, cutoff, few):
+    data = {"few": features(45, 4), "spread": features(30, 30), "one": features(1, 1), "same": tuple(np.ones((12, 3)) for _ in range(3))}
+    got = clusters(linkage.linked_frames(table(spark, data), dict(zip(SETS, (0.45, 0.25, 0.30))), cutoff, ("interaction",), tile_frames=7, few=few))
+    assert got == {t: by_hand(blended(x), cutoff) for t, x in data.items()}
+
+
+def test_long_trajectories_keep_no_distances(spark):
+    """All that is written for a long trajectory grows with its frames, not with their pairs."""
+    folder = pathlib.Path(shared_dir(spark))
+    written = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    rows, before = table(spark, {"long": features(1500, 60, 1.0)}), written()
+    got = clusters(dynamics.frame_clusters(rows, most=100))
+    assert written() - before < 1500 * 1500 * 8 / 8
+    assert got == clusters(dynamics.frame_clusters(rows, most=2000))
