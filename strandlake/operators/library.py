@@ -118,11 +118,12 @@ def places(i: np.ndarray, n: int, keys: np.ndarray, rounds: int = 4) -> np.ndarr
     return out.astype(np.int64)
 
 
-def permuted_spectra(rows: DataFrame, vector: str, spans: list[slice], draws: int = 200, seed: int = 7, range_bytes: int = 64 << 20) -> np.ndarray:
+def permuted_spectra(rows: DataFrame, vector: str, spans: list[slice], draws: int = 200, seed: int = 7, range_bytes: int = 256 << 20) -> np.ndarray:
     """Eigenvalues (draws, columns of the spans, falling) of each span's covariance after every column is permuted by itself.
 
-    Rows are numbered once. A task sends each value of its rows to the places that the draws give it, by ranges of places; a range's task adds up the outer products
-    of all draws, so all are done in one pass, and neither a column nor a draw is held whole."""
+    Rows are numbered once. Each value moves once, to its place under one permutation of its column over all rows, by ranges of places; a range's task then permutes
+    its part of every column anew for each draw and adds up the outer products. So each draw permutes whole columns, draws differ by all that ranges hold (of their
+    own means, one part in a range's rows, they share the order), and what moves and what a task holds does not grow with the draws."""
     numbered = materialize(rows.select(F.col(vector).alias("x"), F.monotonically_increasing_id().alias("i")), "numbered")
     part = F.shiftright("i", 33)
     counts = {r.p: r.n for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a number per written partition
@@ -130,7 +131,7 @@ def permuted_spectra(rows: DataFrame, vector: str, spans: list[slice], draws: in
     if not n:
         return np.zeros((draws, p))
     first = dict(zip(sorted(counts), np.cumsum([0, *(counts[k] for k in sorted(counts))]).tolist()))
-    keys = np.random.default_rng(seed).integers(0, 1 << 63, (draws, p))
+    keys = np.random.default_rng(seed).integers(0, 1 << 63, p)
     size = max(1, range_bytes // (8 * draws * p))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,23 +139,25 @@ def permuted_spectra(rows: DataFrame, vector: str, spans: list[slice], draws: in
             raw = b["i"].to_numpy()
             i = np.array([first[k] for k in (raw >> 33).tolist()], np.int64) + (raw & ((1 << 33) - 1))
             x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, :p]
-            for a in range(0, len(i), 500):
-                to = places(i[a : a + 500], n, keys)  # draw, column, row
-                value = np.broadcast_to(x[a : a + 500].T, to.shape).ravel()
-                cell = (np.arange(draws)[:, None, None] * p + np.arange(p)[:, None] + np.zeros(to.shape, np.int64)).ravel()
-                to = to.ravel()
-                by = np.argsort(to // size, kind="stable")
-                number = (to // size)[by]
-                cut = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
-                lists = [[v[by][s:e] for s, e in zip(cut[:-1], cut[1:])] for v in (cell, to % size, value)]
-                yield pa.RecordBatch.from_arrays([pa.array(number[cut[:-1]]), *(pa.array(v, pa.list_(t)) for v, t in zip(lists, (pa.int64(), pa.int64(), pa.float64())))], ["range", "cell", "place", "value"])
+            to = places(i, n, keys)  # column, row
+            column = np.repeat(np.arange(p), len(i))
+            to, value = to.ravel(), x.T.ravel()
+            by = np.argsort(to // size, kind="stable")
+            number = (to // size)[by]
+            cut = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number)) if len(number) else np.zeros(1, int)
+            lists = [[v[by][s:e] for s, e in zip(cut[:-1], cut[1:])] for v in (column, to % size, value)]
+            yield pa.RecordBatch.from_arrays([pa.array(number[cut[:-1]]), *(pa.array(v, pa.list_(t)) for v, t in zip(lists, (pa.int32(), pa.int64(), pa.float64())))], ["range", "cell", "place", "value"])
 
     def products(t: pa.Table) -> pa.Table:
-        x = np.zeros((draws * p, min(size, n)))
+        number = t["range"][0].as_py()
+        x = np.zeros((p, min(size, n - number * size)))
         for k in range(t.num_rows):
             x[t["cell"][k].values.to_numpy(), t["place"][k].values.to_numpy()] = t["value"][k].values.to_numpy()
-        x = x.reshape(draws, p, -1)
-        return pa.table({"draw": np.arange(draws), "m": pa.array(list((x @ x.swapaxes(1, 2)).reshape(draws, -1)), pa.list_(pa.float64())), "s": pa.array(list(x.sum(2)), pa.list_(pa.float64()))})
+        rng, sums, m = np.random.default_rng([seed, number]), x.sum(1), np.empty((draws, p * p))
+        for draw in range(draws):
+            y = rng.permuted(x, axis=1)
+            m[draw] = (y @ y.T).ravel()
+        return pa.table({"draw": np.arange(draws), "m": pa.array(list(m), pa.list_(pa.float64())), "s": pa.array([sums] * draws, pa.list_(pa.float64()))})
 
     def spectra(t: pa.Table) -> pa.Table:
         m, s = (np.sum([v.values.to_numpy() for v in t[c]], axis=0) for c in ("m", "s"))
@@ -162,7 +165,7 @@ def permuted_spectra(rows: DataFrame, vector: str, spans: list[slice], draws: in
         out = np.concatenate([np.linalg.eigvalsh(cov[span, span])[::-1] for span in spans])
         return pa.table({"draw": t["draw"][:1], "w": pa.array([out], pa.list_(pa.float64()))})
 
-    sent = numbered.mapInArrow(send, "range long, cell array<long>, place array<long>, value array<double>")
+    sent = numbered.mapInArrow(send, "range long, cell array<int>, place array<long>, value array<double>")
     sums = sent.groupBy("range").applyInArrow(products, "draw long, m array<double>, s array<double>")
     found = sums.groupBy("draw").applyInArrow(spectra, "draw long, w array<double>").collect()  # draws times columns
     return np.array([r.w for r in sorted(found, key=lambda r: r.draw)])

@@ -426,6 +426,26 @@ def test_permuted_spectra(spark):
     assert library.permuted_spectra(df.where("k < 0"), "v", spans, draws=3).tolist() == [[0.0] * 5] * 3
 
 
+def test_permuted_spectra_move_each_value_once(spark, monkeypatch):
+    """However many draws, a value goes to one place."""
+    asked = []
+    monkeypatch.setattr(library, "places", lambda i, n, keys, f=library.places: asked.append(np.shape(keys)) or f(i, n, keys))
+    df = spark.createDataFrame([(RNG.normal(size=4).tolist(),) for _ in range(300)], "v array<double>").repartition(3)
+
+    def here(self, f, schema):  # the same function, in this process
+        t = self.toArrow()
+        out = [r for b in t.to_batches() for r in f(iter([b]))]
+        rows = [r for b in out for r in b.to_pylist()]
+        sent.append(sum(len(r["value"]) for r in rows))
+        return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+
+    sent = []
+    monkeypatch.setattr(type(df), "mapInArrow", here)
+    null = library.permuted_spectra(df, "v", [slice(0, 4)], draws=20, range_bytes=20 * 4 * 8 * 60)
+    assert null.shape == (20, 4) and sent == [300 * 4] and set(asked) == {(4,)}
+    assert len(np.unique(null[:, 0])) == 20
+
+
 def test_basin_distances(spark):
     rows, x = [], {}
     for c, runs in (("p", (2, 3, 1)), ("single", (2,)), ("odd", (1, 1))):
