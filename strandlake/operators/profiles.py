@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators import chunks
 from strandlake.functions import statistics
 from strandlake.operators.summaries import tie_ranks
 
@@ -102,6 +103,28 @@ def cluster_medoids(distances: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def cluster_medoids_on_line(values: DataFrame, value: str = "x", per_chunk: int = chunks.SPAN) -> DataFrame:
+    """``cluster_medoids`` of distances that are differences of one value, without a row per pair: values (traj_id, frame, cluster, value).
+
+    With its values in order, a frame's sum of distances follows from how many are up to it and their sum, in its cluster and in its trajectory: running sums over
+    chunks of the value, in decimals of 15 places, so that frames of equal sums stay equal. Values reach up to 1e10; frames without one are left out."""
+    x = F.col(value).cast("double")
+    rows = values.where(x.isNotNull()).select("traj_id", "frame", "cluster", x.alias("x"), F.struct("traj_id", "cluster").alias("_g"))
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()  # one row
+    span = (ends["hi"] - ends["lo"]) / max(1, -(-ends["n"] // per_chunk)) if ends["n"] else 0.0
+    exact = {"_c": F.lit(1), "_p": F.col("x").cast("decimal(25,15)")}
+    known = rows
+    for key, side in (("traj_id", "all"), ("_g", "own")):
+        cut = chunks.running(chunks.cut(known, "x", span or 1.0), key, "x", exact).drop("chunk")
+        total = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias(f"n_{side}"), F.sum(exact["_p"]).alias(f"t_{side}"))
+        place = (2 * F.col("_c") - F.col(f"n_{side}")).cast("decimal(12,0)")
+        known = cut.join(total, F.col(key).eqNullSafe(F.col("_k"))).withColumn(f"s_{side}", exact["_p"] * place + F.col(f"t_{side}") - 2 * F.col("_p")).drop("_c", "_p", "_k", f"t_{side}")
+    n, total = F.max("n_own"), F.max("n_all")
+    out = F.sum(F.col("s_all") - F.col("s_own")).cast("double")
+    medoid = F.min_by("frame", F.struct(F.round("s_own", 9), "frame"))
+    return known.groupBy("traj_id", "cluster").agg(n.alias("n"), (n / total).alias("population"), medoid.alias("medoid"), F.try_divide(out, (n * (total - n)).cast("double")).alias("mean_to_others"))
+
+
 def cluster_signatures(presence: DataFrame, labels: DataFrame, most: int = 15) -> DataFrame:
     """Features (traj_id, frame, feature) that mark a cluster: occupancy there, difference to the frames outside, score = occupancy * max(difference, 0)."""
     size = labels.groupBy("traj_id", "cluster").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import labels
 from strandlake.kernels import linear
-from strandlake.operators import contacts, geometry, persistence, replicas, rules, series, summaries
+from strandlake.operators import contacts, geometry, persistence, profiles, replicas, rules, series, summaries
 from strandlake.sources import tables, text_formats
 
 
@@ -199,3 +199,16 @@ def test_partitions_do_not_matter(spark):
     p = spark.createDataFrame(rows, "traj_id string, frame int, atom_id int, name string, chain_id string, resid int, x double, y double, z double")
     runs = [sorted(map(str, contacts.contact_frequencies(p.repartition(k), F.col("chain_id") == "A", F.col("chain_id") == "B").collect())) for k in (1, 7)]
     assert runs[0] == runs[1] and runs[0]
+
+
+def test_medoids_on_a_line(spark):
+    """Against all pairs, with ties, a cluster alone, and no row per pair."""
+    rng = np.random.default_rng(3)
+    rows = [(t, f, int(rng.integers(0, 3)) if t != "alone" else 1, float(np.float32(x))) for t in ("p", "q", "alone") for f, x in enumerate(np.round(rng.normal(size=120), 1 if t == "q" else 6))]
+    df = spark.createDataFrame(rows, "traj_id string, frame int, cluster int, x double").repartition(3)
+    a, b = (df.select("traj_id", F.col("frame").alias(n), F.col("x").alias(f"x{n}")) for n in "ab")
+    dist = a.join(b, "traj_id").select("traj_id", "a", "b", F.abs(F.col("xa") - F.col("xb")).alias("d"))
+    show = lambda d: {(r["traj_id"], r["cluster"]): (r["n"], r["population"], r["medoid"], r["mean_to_others"] and round(r["mean_to_others"], 9)) for r in d.collect()}
+    want = show(profiles.cluster_medoids(dist, df.drop("x")))
+    assert show(profiles.cluster_medoids_on_line(df)) == want == show(profiles.cluster_medoids_on_line(df, per_chunk=7)) and len(want) == 7
+    assert profiles.cluster_medoids_on_line(df.where("frame < 0")).count() == 0
