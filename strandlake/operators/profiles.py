@@ -33,16 +33,19 @@ def receptor_report(pairs: DataFrame) -> DataFrame:
 
 
 def parse_pair_scope(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(chain_id_1, resid_1, chain_id_2, resid_2) from lines ``CHAIN:START-END $ CHAIN:START-END``; a single residue may stand for a range."""
+    """(chain_id_1, resid_1, chain_id_2, resid_2) from lines ``CHAIN:START-END $ CHAIN:START-END``; a single residue may stand for a range.
+
+    Equal lines are parsed once: what is left after a shuffle, so the work does not depend on how the lines lie."""
     part = lambda i: F.trim(F.get(F.split(F.col(value), "\\$"), F.lit(i)))
-    out = lines
+    out = lines.select(value).distinct()
     for t in (1, 2):
         p = part(t - 1)
         first = F.regexp_extract(p, "^(\\w+):(\\d+)", 2).try_cast("int")
         last = F.coalesce(F.regexp_extract(p, "^\\w+:\\d+-(\\d+)$", 1).try_cast("int"), first)
         out = out.withColumns({f"chain_id_{t}": F.regexp_extract(p, "^(\\w+):", 1), f"_r{t}": F.when(first <= last, F.sequence(first, last))})
-    out = out.where("_r1 IS NOT NULL AND _r2 IS NOT NULL")
-    return out.select("chain_id_1", F.explode("_r1").alias("resid_1"), "chain_id_2", "_r2").select("chain_id_1", "resid_1", "chain_id_2", F.explode("_r2").alias("resid_2")).distinct()
+    # outer: a filter of the arrays would be parsed again before the lines are made distinct
+    pairs = out.select("chain_id_1", F.explode_outer("_r1").alias("resid_1"), "chain_id_2", "_r2").select("chain_id_1", "resid_1", "chain_id_2", F.explode_outer("_r2").alias("resid_2"))
+    return pairs.where("resid_1 IS NOT NULL AND resid_2 IS NOT NULL").distinct()
 
 
 def anchors(positions: DataFrame, structure: DataFrame, keys: list[str], sasa: float = 0.20, contact: float = 0.20) -> DataFrame:

@@ -212,3 +212,10 @@ def test_medoids_on_a_line(spark):
     want = show(profiles.cluster_medoids(dist, df.drop("x")))
     assert show(profiles.cluster_medoids_on_line(df)) == want == show(profiles.cluster_medoids_on_line(df, per_chunk=7)) and len(want) == 7
     assert profiles.cluster_medoids_on_line(df.where("frame < 0")).count() == 0
+
+
+def test_equal_scopes_are_parsed_once(spark):
+    plan = profiles.parse_pair_scope(spark.createDataFrame([("A:1-2 $ D:5",)] * 3, "value string"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(plan) if "regexp_extract" in line)
+    last = max(i for i, line in enumerate(plan) if "Aggregate [value" in line)
+    assert first <= last and not any("regexp_extract" in line for line in plan[last + 1 :])
