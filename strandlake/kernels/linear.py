@@ -53,34 +53,50 @@ def rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(-1).mean(-1))
 
 
-def fitted_rmsd(mobile: np.ndarray, targets: np.ndarray, steps: int = 40) -> np.ndarray:
+def _overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of centred frames, for all pairs: the 3 x 3 correlations H (3, 3, F, G), half the frames' summed squares, p = |H|^2, the squared length e of H's cofactors, and det(H)."""
+    h = np.stack([np.stack([np.ascontiguousarray(a[:, :, i]) @ np.ascontiguousarray(b[:, :, j]).T for j in range(3)]) for i in range(3)])
+    half = ((a**2).sum((1, 2))[:, None] + (b**2).sum((1, 2))[None, :]) / 2
+    p, e, det = np.zeros(half.shape), np.zeros(half.shape), np.zeros(half.shape)
+    for i in range(3):
+        for j in range(3):
+            p += h[i, j] * h[i, j]
+            minor = h[i - 2, j - 2] * h[i - 1, j - 1] - h[i - 2, j - 1] * h[i - 1, j - 2]
+            e += minor * minor
+            if i == 0:
+                det += h[0, j] * minor
+    return h, half, p, e, det
+
+
+def fitted_rmsd(mobile: np.ndarray, targets: np.ndarray, steps: int = 40, rows: int = 32) -> np.ndarray:
     """RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3).
 
-    The best overlap of two frames is the largest root of l^4 - 2 p l^2 - 8 det(H) l + 2 |H'H|^2 - p^2 with H their 3 x 3 correlation and p = |H|^2:
-    its roots are the signed sums of H's singular values. Newton steps from above reach it for all pairs at once; the few that
+    The best overlap of two frames is the largest root, at most the root of p + 2 sqrt(3 e), of l^4 - 2 p l^2 - 8 det(H) l + p^2 - 4 e with H their 3 x 3 correlation, p = |H|^2 and e the squared length of
+    its cofactors: its roots are the signed sums of H's singular values. Newton steps from above reach it for all pairs of some rows at once; the few that
     are slow to settle (equal singular values) are solved by themselves."""
-    a = mobile - mobile.mean(1, keepdims=True)
-    b = targets - targets.mean(1, keepdims=True)
-    h = np.stack([np.stack([a[:, :, i] @ b[:, :, j].T for j in range(3)], -1) for i in range(3)], -2)
-    sizes = (a**2).sum((1, 2))[:, None] + (b**2).sum((1, 2))[None, :]
-    p = (h**2).sum((2, 3))
-    gram = h.swapaxes(2, 3) @ h
-    c1, c0 = -8 * np.linalg.det(h), 2 * (gram**2).sum((2, 3)) - p * p
-    root = sizes / 2
-    moving = np.ones(root.shape, bool)
-    for _ in range(steps):
-        slope = 4 * root * (root * root - p) + c1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            step = np.where(moving & (slope != 0), (root * root * (root * root - 2 * p) + c1 * root + c0) / slope, 0.0)
-        root = root - step
-        moving &= np.abs(step) > 1e-13 * sizes
-        if not moving.any():
-            break
-    if moving.any():
-        s = np.linalg.svd(h[moving], compute_uv=False)
-        s[:, -1] *= np.sign(np.linalg.det(h[moving]))
-        root[moving] = s.sum(-1)
-    return np.sqrt(np.maximum(sizes - 2 * root, 0) / a.shape[1])
+    a, b = (x - x.mean(1, keepdims=True) for x in (mobile, targets))
+    out = np.empty((len(a), len(b)))
+    for i in range(0, len(a), rows):
+        h, half, p, e, det = _overlaps(a[i : i + rows], b)
+        c1, c0 = -8 * det, p * p - 4 * e
+        root = np.minimum(half, np.sqrt(p + np.sqrt(12 * e)) * (1 + 1e-9))
+        moving = np.ones(root.shape, bool)
+        for _ in range(steps):
+            square = root * root
+            slope = 4 * root * (square - p) + c1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.where(moving & (slope != 0), (square * (square - 2 * p) + c1 * root + c0) / slope, 0.0)
+            root -= step
+            moving &= np.abs(step) > 2e-13 * half
+            if not moving.any():
+                break
+        if moving.any():
+            m = h[:, :, moving].transpose(2, 0, 1)
+            s = np.linalg.svd(m, compute_uv=False)
+            s[:, -1] *= np.sign(np.linalg.det(m))
+            root[moving] = s.sum(-1)
+        out[i : i + rows] = np.sqrt(np.maximum(2 * half - 2 * root, 0) / a.shape[1])
+    return out
 
 
 def plane_axes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
