@@ -401,8 +401,11 @@ def _(spark, d):
 @R.add("x08_segments_json", "presence", "SELECT traj_id, pair_id, len(list(frame)) n FROM presence GROUP BY ALL")
 def _(spark, d):
     from strandlake.operators.persistence import pair_persistence
+    from strandlake.session import materialize
 
     p = pair_persistence(ad.presence(spark, d)).withColumn("text", rules.segments_json(F.col("frame_segments")))
+    # written: else the check below is pushed into the segments' own expressions, which are then found anew for every frame
+    p = materialize(p.select("traj_id", "pair_id", "contact_frames", "n_segments", "text"), "segments")
     back = p.withColumn("seg", rules.parse_segments(F.col("text"))).where(F.size("seg") == F.col("n_segments"))
     return back.select("traj_id", "pair_id", F.col("contact_frames").alias("n"))
 

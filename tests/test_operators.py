@@ -219,3 +219,11 @@ def test_equal_scopes_are_parsed_once(spark):
     first = next(i for i, line in enumerate(plan) if "regexp_extract" in line)
     last = max(i for i, line in enumerate(plan) if "Aggregate [value" in line)
     assert first <= last and not any("regexp_extract" in line for line in plan[last + 1 :])
+
+
+def test_segments_are_found_once(spark):
+    """The check of the parsed segments is not pushed into the expressions that find them."""
+    from strandlake import registry
+
+    plan = registry.ALL["x08_segments_json"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan and "array_distinct" not in plan
