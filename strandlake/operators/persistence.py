@@ -14,26 +14,25 @@ def segments_of(df: DataFrame, frames: str) -> DataFrame:
     """Add frame_segments, n_segments, max_consecutive_frames, first_frame, last_frame from an ascending array of distinct frames.
 
     The step is the greatest common divisor of the row's own gaps (1 for one frame), so a pair seen at 0 and 20 is one segment of
-    two samples. Array functions only: no second shuffle."""
-    gcd = """aggregate(array_distinct(_gaps), 0, (g, d) -> aggregate(sequence(1, 46), named_struct('a', g, 'b', d),
+    two samples. Array functions only: no second shuffle. Lambdas name nothing but their own variables: Spark writes a column that is used once
+    into its user, and one written into a lambda is found anew for every frame. ``let`` binds a value by a list of one."""
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    gaps = "if(size(f) < 2, array(1), transform(sequence(1, size(f) - 1), i -> f[i] - f[i-1]))"
+    gcd = f"""aggregate(array_distinct({gaps}), 0, (g, d) -> aggregate(sequence(1, 46), named_struct('a', g, 'b', d),
                (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', cast(s.a % s.b as int))), s -> s.a))"""
-    out = df.withColumn("_gaps", F.expr(f"if(size({frames}) < 2, array(1), transform(sequence(1, size({frames}) - 1), i -> {frames}[i] - {frames}[i-1]))"))
-    out = out.withColumn("_step", F.expr(gcd))
-    out = out.withColumns(
-        {
-            "_from": F.expr(f"filter({frames}, (x, i) -> i = 0 or x - {frames}[i-1] <> _step)"),
-            "_to": F.expr(f"filter({frames}, (x, i) -> i = size({frames}) - 1 or {frames}[i+1] - x <> _step)"),
-        }
-    )
+    first = "filter(f, (x, i) -> i = 0 or x - f[i-1] <> step)"
+    last = "filter(f, (x, i) -> i = size(f) - 1 or f[i+1] - x <> step)"
+    runs = f"named_struct('step', step, 'segments', zip_with({first}, {last}, (s, e) -> named_struct('start', s, 'end', e)))"
+    out = df.withColumn("_runs", F.expr(let(frames, "f", let(gcd, "step", runs))))
     return out.withColumns(
         {
-            "frame_segments": F.expr("transform(_from, (s, i) -> named_struct('start', s, 'end', _to[i]))"),
-            "n_segments": F.size("_from").cast("long"),
-            "max_consecutive_frames": F.expr("cast(array_max(transform(_from, (s, i) -> (_to[i] - s) div _step + 1)) as long)"),
+            "frame_segments": F.col("_runs.segments"),
+            "n_segments": F.size("_runs.segments").cast("long"),
+            "max_consecutive_frames": F.expr("cast(array_max(transform(_runs.segments, s -> s.end - s.start)) div _runs.step + 1 as long)"),
             "first_frame": F.expr(f"cast({frames}[0] as long)"),
             "last_frame": F.expr(f"cast(element_at({frames}, -1) as long)"),
         }
-    ).drop("_gaps", "_step", "_from", "_to")
+    ).drop("_runs")
 
 
 def pair_persistence(presence: DataFrame, keys: tuple[str, ...] = ("traj_id", "pair_id")) -> DataFrame:

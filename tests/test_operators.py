@@ -227,3 +227,12 @@ def test_segments_are_found_once(spark):
 
     plan = registry.ALL["x08_segments_json"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" in plan and "array_distinct" not in plan
+
+
+def test_the_longest_run_alone_is_found_in_one_pass(spark):
+    """With all other columns dropped, the ends of the segments are not looked for anew in each segment."""
+    p = spark.range(20000).select(F.lit("t").alias("traj_id"), F.lit("a").alias("pair_id"), (F.col("id").cast("int") + F.floor(F.col("id") / 2).cast("int")).alias("frame"))
+    runs = persistence.pair_persistence(p).select("max_consecutive_frames")
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(lambda" in plan and "filter(frames" not in plan
+    assert runs.first()[0] == 2
