@@ -162,6 +162,6 @@ def _(spark, d):
     meta = F.struct(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation")).alias("meta")
     record = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), meta))
     path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
-    ad.table(spark, d, "supplier").select(F.concat(F.lit("traj_"), F.col("s_suppkey").cast("string")).alias("dir"), record.alias("value")).repartition("dir").write.partitionBy("dir").text(path)
-    found = tables.read_records(spark, f"{path}/*/*", "id bigint, name string, meta struct<balance:double,nation:bigint>", "dir=traj_([^/]+)/[^/]+$")
+    tables.write_records(ad.table(spark, d, "supplier").select(F.concat(F.lit("traj_"), F.col("s_suppkey").cast("string")).alias("dir"), record.alias("value")), path)
+    found = tables.read_records(spark, path, "id bigint, name string, meta struct<balance:double,nation:bigint>", "dir=traj_([^/]+)/[^/]+$")
     return found.select("traj_id", "id", "name", "meta.balance", "meta.nation")

@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def write_records(records: DataFrame, path: str, per_task: int = 250) -> None:
+    """A file for each record (dir, value), below ``part=<task>/dir=<dir>``; ``dir`` is unique and not null.
+
+    A task writes some ``per_task`` files, below a folder of its own. In a folder of the machine (or mounted there) it writes them itself, each moved into
+    place whole: Hadoop starts several processes for every file it makes there. Elsewhere Spark's writer does; a task's folder is then moved as one."""
+    tasks = records.count() // per_task + 1
+    dealt = records.select("dir", "value").repartition(tasks, "dir").withColumn("part", F.spark_partition_id())
+    scheme, root = re.fullmatch("(?:([\\w+.-]+):(?://(?=/))?)?(.*)", path).groups()
+    scheme = scheme or urlsplit(records.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")).scheme
+    if scheme != "file":
+        dealt.write.partitionBy("part", "dir").text(path)
+        return
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, name, value in zip(*(b[c].to_pylist() for c in ("part", "dir", "value"))):
+                home = f"{root}/part={part}/dir={quote(name, safe='')}"
+                os.makedirs(home, exist_ok=True)
+                made = f"{home}/.{uuid.uuid4().hex}"
+                with open(made, "w", encoding="utf-8") as f:
+                    f.write(f"{value}\n")
+                os.replace(made, f"{home}/record.json")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    os.makedirs(root)
+    dealt.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
 def read_records(spark: SparkSession, glob: str, schema: T.StructType | str, id_pattern: str = "([^/]+)/[^/]+$") -> DataFrame:
-    """One row per JSON file with its declared schema; ``traj_id`` from the path."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(glob)
+    """One row per JSON file with its declared schema; ``traj_id`` from the path.
+
+    ``glob``: files, or folders that hold them at any depth. The driver expands a pattern alone, folder by folder; what lies below a folder is listed by tasks."""
+    raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(glob)
     return raw.withColumn("traj_id", F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1))
 
 

@@ -236,3 +236,34 @@ def test_the_longest_run_alone_is_found_in_one_pass(spark):
     plan = runs._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(lambda" in plan and "filter(frames" not in plan
     assert runs.first()[0] == 2
+
+
+def records_and_back(spark, path, **sizes):
+    rows = [(f"traj_{i}", '{"id": %d, "name": "né"}' % i) for i in range(40)] + [("traj_a=b c", '{"id": 40, "name": "x"}')]
+    tables.write_records(spark.createDataFrame(rows, "dir string, value string"), path, **sizes)
+    found = tables.read_records(spark, path, "id bigint, name string", "dir=traj_([^/]+)/[^/]+$")
+    return sorted((r["id"], r["name"], r["traj_id"]) for r in found.collect())
+
+
+def test_record_files_are_written_and_listed_by_tasks(spark, tmp_path):
+    """Every record in a file of its own, below a folder for each task; nothing is left beside them."""
+    want = [(i, "né", str(i)) for i in range(40)]
+    for k, root in enumerate((f"{tmp_path}/a", f"file://{tmp_path}/b")):
+        got = records_and_back(spark, root, per_task=10)
+        assert got[:40] == want and len(got) == 41 and got[40][:2] == (40, "x")
+        made = list((tmp_path / "ab"[k]).rglob("*.json"))
+        assert len(made) == 41 and len({p.parent.parent for p in made}) > 1
+        assert len([p for p in (tmp_path / "ab"[k]).rglob("*") if p.is_file()]) == 41
+
+
+def test_record_files_in_a_store_of_spark_s_own(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.records.link./data", f"file://{tmp_path}")
+    got = records_and_back(spark, "viewfs://records/data/r", per_task=10)
+    assert got[:40] == [(i, "né", str(i)) for i in range(40)] and len(got) == 41
+
+
+def test_records_below_a_folder_at_any_depth(spark, tmp_path):
+    for name in ("t1/meta.json", "t2/deep/t3/meta.json"):
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_text('{\n "id": 1\n}')
+    assert sorted(r["traj_id"] for r in tables.read_records(spark, str(tmp_path), "id bigint").collect()) == ["t1", "t3"]
