@@ -53,49 +53,120 @@ def rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(-1).mean(-1))
 
 
-def _overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of centred frames, for all pairs: the 3 x 3 correlations H (3, 3, F, G), half the frames' summed squares, p = |H|^2, the squared length e of H's cofactors, and det(H)."""
-    h = np.stack([np.stack([np.ascontiguousarray(a[:, :, i]) @ np.ascontiguousarray(b[:, :, j]).T for j in range(3)]) for i in range(3)])
-    half = ((a**2).sum((1, 2))[:, None] + (b**2).sum((1, 2))[None, :]) / 2
-    p, e, det = np.zeros(half.shape), np.zeros(half.shape), np.zeros(half.shape)
-    for i in range(3):
-        for j in range(3):
-            p += h[i, j] * h[i, j]
-            minor = h[i - 2, j - 2] * h[i - 1, j - 1] - h[i - 2, j - 1] * h[i - 1, j - 2]
-            e += minor * minor
-            if i == 0:
-                det += h[0, j] * minor
-    return h, half, p, e, det
-
-
-def fitted_rmsd(mobile: np.ndarray, targets: np.ndarray, steps: int = 40, rows: int = 32) -> np.ndarray:
-    """RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3).
+def _laguerre(root: np.ndarray, p: np.ndarray, e: np.ndarray, c: np.ndarray, step: np.ndarray, t: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """Laguerre's step for (l^2 - p)^2 + c l - e, whose roots are real; leaves the slope at ``root``. step, t, slope: room to work in."""
+    np.multiply(root, root, out=t)
+    np.subtract(t, p, out=step)
+    np.multiply(root, step, out=slope)
+    slope *= 4
+    slope += c
+    step *= step
+    step -= e
+    v = c * root
+    step += v
+    t *= 3
+    t -= p
+    t *= step
+    t *= -48
+    np.multiply(slope, slope, out=v)
+    v *= 9
+    v += t
+    np.sqrt(np.maximum(v, 0, out=v), out=v)
+    v += slope
+    step *= 4
+    return np.divide(step, v, out=step)
+
+
+def _settled(step: np.ndarray, root: np.ndarray, p: np.ndarray, slope: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Where what a step leaves, about its square times f'' / 2 f', is nothing."""
+    return step * step * np.abs(3 * root * root - p) * 2e13 <= np.abs(slope) * half
+
+
+def fitted_rmsd_blocks(mobile: np.ndarray, targets: np.ndarray, rows: int = 32, cols: int = 512) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, block) of the RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3), in blocks that a core's cache holds.
 
     The best overlap of two frames is the largest root, at most the root of p + 2 sqrt(3 e), of l^4 - 2 p l^2 - 8 det(H) l + p^2 - 4 e with H their 3 x 3 correlation, p = |H|^2 and e the squared length of
-    its cofactors: its roots are the signed sums of H's singular values. Newton steps from above reach it for all pairs of some rows at once; the few that
-    are slow to settle (equal singular values) are solved by themselves."""
-    a, b = (x - x.mean(1, keepdims=True) for x in (mobile, targets))
-    out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), rows):
-        h, half, p, e, det = _overlaps(a[i : i + rows], b)
-        c1, c0 = -8 * det, p * p - 4 * e
-        root = np.minimum(half, np.sqrt(p + np.sqrt(12 * e)) * (1 + 1e-9))
-        moving = np.ones(root.shape, bool)
-        for _ in range(steps):
-            square = root * root
-            slope = 4 * root * (square - p) + c1
+    its cofactors: its roots are the signed sums of H's singular values. Two steps of Laguerre's and one of Newton's settle most pairs of a block; the others go on by themselves, equal singular values to an SVD."""
+    n = mobile.shape[1]
+    a, b = ((x - x.mean(1, keepdims=True)).transpose(2, 0, 1) for x in (mobile, targets))
+    own, other = ((x**2).sum((0, 2)) / 2 for x in (a, b))
+    room, planes = np.empty(9 * rows * cols), np.empty((7, rows * cols))
+    for j in range(0, b.shape[1], cols):
+        y = np.ascontiguousarray(b[:, j : j + cols].transpose(0, 2, 1))
+        for i in range(0, a.shape[1], rows):
+            x = np.ascontiguousarray(a[:, i : i + rows])
+            f, g = x.shape[1], y.shape[2]
+            h = room[: 9 * f * g].reshape(3, 3 * f, g)
+            for k in range(3):
+                np.matmul(x.reshape(-1, n), y[k], out=h[k])
+            h = h.reshape(3, 3, f, g)
+            p, e, c, root, step, t, slope = (v[: f * g].reshape(f, g) for v in planes)
+            half = own[i : i + f, None] + other[None, j : j + g]
+            for v in (p, e, c):
+                v.fill(0)
+            for r in range(3):
+                for k in range(3):
+                    np.multiply(h[r, k], h[r, k], out=t)
+                    p += t
+                    np.multiply(h[r - 2, k - 2], h[r - 1, k - 1], out=t)
+                    t -= np.multiply(h[r - 2, k - 1], h[r - 1, k - 2], out=step)
+                    if r == 0:
+                        c += np.multiply(h[0, k], t, out=step)
+                    t *= t
+                    e += t
+            e *= 4
+            c *= -8
             with np.errstate(divide="ignore", invalid="ignore"):
-                step = np.where(moving & (slope != 0), (square * (square - 2 * p) + c1 * root + c0) / slope, 0.0)
-            root -= step
-            moving &= np.abs(step) > 2e-13 * half
-            if not moving.any():
-                break
-        if moving.any():
-            m = h[:, :, moving].transpose(2, 0, 1)
-            s = np.linalg.svd(m, compute_uv=False)
-            s[:, -1] *= np.sign(np.linalg.det(m))
-            root[moving] = s.sum(-1)
-        out[i : i + rows] = np.sqrt(np.maximum(2 * half - 2 * root, 0) / a.shape[1])
+                np.sqrt(np.multiply(e, 3, out=t), out=t)
+                t += p
+                np.sqrt(t, out=root)
+                root *= 1 + 1e-9
+                np.minimum(root, half, out=root)
+                for _ in range(2):
+                    root -= _laguerre(root, p, e, c, step, t, slope)
+                np.multiply(root, root, out=t)
+                t -= p
+                np.multiply(root, t, out=slope)
+                slope *= 4
+                slope += c
+                t *= t
+                t -= e
+                t += np.multiply(c, root, out=step)
+                root -= np.divide(t, slope, out=step)
+                left = np.flatnonzero(~_settled(step, root, p, slope, half))
+                if len(left):
+                    root.ravel()[left] = _settle(h.reshape(9, -1), left, *(v.ravel()[left] for v in (root, p, e, c, half)))
+            half -= root
+            half *= 2 / n
+            yield i, j, np.sqrt(np.maximum(half, 0, out=half), out=half)
+
+
+def _settle(h: np.ndarray, which: np.ndarray, root: np.ndarray, p: np.ndarray, e: np.ndarray, c: np.ndarray, half: np.ndarray, steps: int = 12) -> np.ndarray:
+    """The roots of the pairs ``which`` of a block, of correlations ``h``."""
+    start = np.minimum(half, np.sqrt(p + np.sqrt(3 * e)) * (1 + 1e-9))
+    root = np.where(np.isfinite(root), root, start)
+    moving = np.arange(len(root))
+    for _ in range(steps):
+        z, q, m = root[moving], p[moving], half[moving]
+        step, t, slope = np.empty((3, len(moving)))
+        z -= _laguerre(z, q, e[moving], c[moving], step, t, slope)
+        known = np.isfinite(z)
+        root[moving[known]] = z[known]
+        moving = moving[~(known & _settled(step, z, q, slope, m))]
+        if not len(moving):
+            return root
+    m = h[:, which[moving]].T.reshape(-1, 3, 3)
+    s = np.linalg.svd(m, compute_uv=False)
+    s[:, -1] *= np.sign(np.linalg.det(m))
+    root[moving] = s.sum(-1)
+    return root
+
+
+def fitted_rmsd(mobile: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3)."""
+    out = np.empty((len(mobile), len(targets)))
+    for i, j, d in fitted_rmsd_blocks(mobile, targets):
+        out[i : i + d.shape[0], j : j + d.shape[1]] = d
     return out
 
 

@@ -226,39 +226,56 @@ def subspace_overlap(modes: DataFrame, key: str) -> DataFrame:
     return both.select(F.explode(F.array("t1", "t2")).alias("traj_id"), "rmsip").groupBy("traj_id").agg(F.avg("rmsip").alias("rmsip"), F.count("*").alias("n_compared"))
 
 
-def medoids(frames: DataFrame, group: str, tile: int = 256) -> DataFrame:
-    """Mean RMSD of every frame to all frames of its group and of its own trajectory. Frames are dealt into tiles; each unordered pair
+def _meetings(reps: DataFrame, group: str, tile: int, tiles: int, most: int) -> DataFrame:
+    """Frames dealt to the pairs of tiles that they meet in: (group, own, a, b, traj_id, frame, xyz, w). Tiles hold ``tile`` frames at least; there are ``tiles`` of them at most
+    while one does not hold more than ``most``, so a frame is sent that many times, however many frames there are."""
+    sizes = reps.groupBy(group).agg(F.greatest(F.least(F.ceil(F.count("*") / tile), F.lit(tiles)), F.ceil(F.count("*") / most)).cast("int").alias("tiles"))
+    placed = reps.join(sizes, group).withColumn("own", F.expr("cast(pmod(xxhash64(traj_id, frame), tiles) as int)"))
+    met = placed.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).select(group, "own", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "traj_id", "frame", "xyz", "w")
+    tasks = sizes.agg(F.sum(F.expr("tiles * (tiles + 1) / 2"))).first()[0] or 1
+    return met.repartition(int(min(tasks, 2000)), group, "a", "b")
+
+
+def medoids(frames: DataFrame, group: str, tile: int = 256, tiles: int = 16, most: int = 32768) -> DataFrame:
+    """Mean RMSD of every frame to all frames of its group and of its own trajectory. Equal frames of a trajectory are fitted once and weighted. Frames are dealt into tiles; each unordered pair
     of tiles is a task's work, which sends two sums per frame, never the distances.
 
     frames: (group, traj_id, frame, xyz). Groups whose atom numbers differ keep their first trajectory only."""
     shape = frames.withColumn("_n", F.size("xyz"))
     bad = shape.groupBy(group).agg(F.countDistinct("_n").alias("k"), F.min("traj_id").alias("first"))
     kept = shape.join(bad, group).where((F.col("k") == 1) | (F.col("traj_id") == F.col("first"))).drop("_n", "k", "first")
-    sizes = kept.groupBy(group).agg(F.count("*").alias("total"), F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = kept.join(sizes, group).withColumn("a", F.expr("cast(pmod(xxhash64(traj_id, frame), tiles) as int)"))
-    tasks = placed.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).select(group, "total", F.col("a").alias("own"), F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"), "traj_id", "frame", "xyz")
+    reps = kept.groupBy(group, "traj_id", "xyz").agg(F.min("frame").alias("frame"), F.count("*").alias("w"), F.collect_list("frame").alias("equal"))
+    reps = materialize(reps, "frames")
     kind = frames.schema[group].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("traj_id")
         own, a, b = t["own"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
-        x, traj = stack(t["xyz"]), np.array(t["traj_id"].to_pylist(), object)
+        x, w = stack(t["xyz"]), t["w"].to_numpy().astype(float)
+        traj = np.unique(np.array(t["traj_id"].to_pylist(), object), return_inverse=True)[1] if t.num_rows else np.zeros(0, int)
         first, second = np.flatnonzero(own == a), np.flatnonzero(own == b)
         all_, same = np.zeros(len(own)), np.zeros(len(own))
+
+        def add(d: np.ndarray, to: np.ndarray, of: np.ndarray) -> None:
+            of_traj = np.unique(traj[of])  # a few: frames are in order of trajectories
+            sums = d @ (w[of][:, None] * (traj[of][:, None] == of_traj))
+            all_[to] += sums.sum(1)
+            same[to] += (sums * (traj[to][:, None] == of_traj)).sum(1)
+
         if len(first) and len(second):
-            d = linear.fitted_rmsd(x[first], x[second])
-            one = traj[first][:, None] == traj[second][None]
-            all_[first] += d.sum(1)
-            same[first] += (d * one).sum(1)
-            if a != b:
-                all_[second] += d.sum(0)
-                same[second] += (d * one).sum(0)
-        return pa.table({group: t[group], "total": t["total"], "traj_id": t["traj_id"], "frame": t["frame"], "s_all": all_, "s_own": same})
-
-    sums = tasks.groupBy(group, "a", "b").applyInArrow(run, f"{group} {kind}, total long, traj_id string, frame int, s_all double, s_own double")
-    own_n = kept.groupBy(group, "traj_id").agg(F.count("*").alias("own_total"))
-    return sums.groupBy(group, "traj_id", "frame", "total").agg(F.sum("s_all").alias("a"), F.sum("s_own").alias("o")).join(own_n, [group, "traj_id"]).select(
-        group, "traj_id", "frame", (F.col("a") / F.col("total")).alias("mean_rmsd"), (F.col("o") / F.col("own_total")).alias("own_mean_rmsd")
-    )
+            for i, j, d in linear.fitted_rmsd_blocks(x[first], x[second]):
+                one, two = first[i : i + d.shape[0]], second[j : j + d.shape[1]]
+                add(d, one, two)
+                if a != b:
+                    add(d.T, two, one)
+        return pa.table({group: t[group], "traj_id": t["traj_id"], "frame": t["frame"], "s_all": all_, "s_own": same})
+
+    sums = _meetings(reps, group, tile, tiles, most).groupBy(group, "a", "b").applyInArrow(run, f"{group} {kind}, traj_id string, frame int, s_all double, s_own double")
+    sums = sums.groupBy(group, "traj_id", "frame").agg(F.sum("s_all").alias("a"), F.sum("s_own").alias("o"))
+    total = reps.groupBy(group).agg(F.sum("w").alias("total"))
+    own_total = reps.groupBy(group, "traj_id").agg(F.sum("w").alias("own_total"))
+    means = sums.join(total, group).join(own_total, [group, "traj_id"]).select(group, "traj_id", "frame", (F.col("a") / F.col("total")).alias("mean_rmsd"), (F.col("o") / F.col("own_total")).alias("own_mean_rmsd"))
+    return means.join(reps.select(group, "traj_id", "frame", "equal"), [group, "traj_id", "frame"]).select(group, "traj_id", F.explode("equal").alias("frame"), "mean_rmsd", "own_mean_rmsd")
 
 
 def pick_medoids(means: DataFrame, group: str) -> DataFrame:

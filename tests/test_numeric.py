@@ -88,6 +88,20 @@ def test_medoids_against_all_pairs(frames, motion):
         assert got[t, f] == (pytest.approx(sum(v for v, _ in d) / len(flat), abs=1e-6), pytest.approx(sum(own) / len(own), abs=1e-6))
 
 
+def test_medoids_of_many_tiles_send_frames_a_bounded_number_of_times(spark):
+    """300 frames in tiles of 2: not 150 copies of a frame, and not one task for the whole group."""
+    x = RNG.normal(size=(300, 4, 3))
+    x[200:220] = x[7]  # equal frames
+    frames = spark.createDataFrame([("all", "ab"[f % 2], f, x[f].ravel().tolist()) for f in range(300)], "complex_id string, traj_id string, frame int, xyz array<double>")
+    met = dynamics._meetings(frames.withColumn("w", F.lit(1)), "complex_id", tile=2, tiles=5, most=1000)
+    assert met.count() == 5 * 300
+    assert met.select(F.spark_partition_id().alias("k"), "a", "b").distinct().groupBy("k").count().count() > 4
+    assert dynamics._meetings(frames.withColumn("w", F.lit(1)), "complex_id", tile=2, tiles=5, most=30).count() == 10 * 300
+    d = linear.fitted_rmsd(x, x)
+    got = {r["frame"]: (r["mean_rmsd"], r["own_mean_rmsd"]) for r in dynamics.medoids(frames, "complex_id", tile=2, tiles=5).collect()}
+    assert got == {f: (pytest.approx(d[f].mean(), abs=1e-7), pytest.approx(d[f, f % 2 :: 2].mean(), abs=1e-7)) for f in range(300)}
+
+
 def test_second_moments_whatever_the_partitions(spark, monkeypatch):
     x = {k: RNG.normal(size=(n, 7)) + 100 for k, n in (("a", 90), ("b", 1), ("c", 40))}
     rows = [(k, v.tolist()) for k, m in x.items() for v in m]
