@@ -273,7 +273,7 @@ def spectrum(values: np.ndarray) -> tuple[int, float]:
 def average_linkage(d: np.ndarray, cutoff: float, sizes: np.ndarray | None = None) -> np.ndarray:
     """Labels of average-linkage clusters cut at ``cutoff``, by nearest-neighbour chains; numbered by first member. ``sizes``: of clusters that are linked further."""
     n = len(d)
-    d = d.astype(float).copy()
+    d = np.array(d, float)
     np.fill_diagonal(d, np.inf)
     size, alive = np.ones(n) if sizes is None else sizes.astype(float), np.ones(n, bool)
     up = list(range(n))

@@ -6,7 +6,7 @@ once (in average linkage a merger brings no two clusters closer than their neare
 become their mean weighted by size. A task holds a tile of some ``TILE_BYTES`` of rows; one number per cluster goes through the trajectory's task.
 
 ``linked_frames`` makes the same mergers and measures anew what a round needs: the mean distances of the clusters whose nearest is not known any more, because
-they or it merged. Tiles of clusters meet in pairs; a task sends each cluster's nearest. Some numbers per frame go through the trajectory's task."""
+they or it merged, to those that bounds from moments of the clusters leave (``kernels.clusters``). Tiles of clusters meet in pairs; a task sends each cluster's nearest. Some numbers per frame go through the trajectory's task."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.kernels import linear
+from strandlake.kernels import clusters, linear
 from strandlake.operators import chunks
 from strandlake.session import materialize
 
@@ -123,8 +123,8 @@ def merged(state: DataFrame, into: DataFrame, tile_bytes: int = TILE_BYTES) -> D
     return parts.groupBy("traj_id", "tile").applyInArrow(gather, ROW)
 
 
-#: Frames of a tile of clusters, and clusters whose matrix is one task's.
-TILE_FRAMES, FEW = 2048, 4000
+#: Frames of a tile of clusters at least, tiles of a trajectory while they hold no more than the third, and clusters whose matrix is one task's.
+TILE_FRAMES, TILES, MOST, FEW = 2048, 8, 65536, 6000
 _PLAN = "traj_id string, label array<int>, tile array<int>, tiles int, stale int, last boolean, nearest array<int>, distance array<double>"
 
 
@@ -132,11 +132,11 @@ def _set(t: pa.Table, name: str) -> np.ndarray:
     return t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
 
 
-def _by_cluster(t: pa.Table, tile: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """The frames of one side of a pair of tiles by cluster and place, the clusters, where each begins, and their sizes."""
+def _by_cluster(t: pa.Table, tile: str, sets: list[str]) -> tuple[np.ndarray, clusters.Side]:
+    """The clusters of one side of a pair of tiles, and their frames."""
     side = t.filter(pc.equal(t["tile"], t[tile])).sort_by([("label", "ascending"), ("i", "ascending")])
     ids, starts, sizes = np.unique(side["label"].to_numpy(), return_index=True, return_counts=True)
-    return side, ids, starts, sizes
+    return ids, clusters.Side(np.concatenate([_set(side, name) for name in sets], axis=1), starts, sizes)
 
 
 def linked_frames(
@@ -145,63 +145,81 @@ def linked_frames(
     """(traj_id, frame, cluster) of average linkage cut at ``cutoff``, clusters numbered from 0 by their first frame. features: (traj_id, frame, an array per set); a
     distance is each set's over the trajectory's largest, blended by ``weights``.
 
-    A cluster farther than ``cutoff`` from all others takes no further part: mergers bring nothing nearer to it. A trajectory of at most ``few`` clusters that may still merge
-    ends in one task. What a round writes are some numbers a frame."""
+    Equal frames are one cluster from the start. A cluster farther than ``cutoff`` from all others takes no further part: mergers bring nothing nearer to it. A trajectory of at most ``few``
+    clusters that may still merge ends in one task. What a round writes are some numbers a frame; it sends a frame to some ``TILES`` tasks, which measure the pairs of clusters that bounds leave."""
     frames = materialize(chunks.numbered(features, "traj_id", "frame").select("traj_id", "frame", F.col("i").cast("int").alias("i"), "n", *weights), "frames")
 
-    def pairs(placed: DataFrame) -> DataFrame:
-        """Frames dealt to the pairs of tiles a <= b with a below ``stale``."""
+    def per_tile(n: int) -> int:
+        return max(tile_frames, min(-(-n // TILES), MOST))
+
+    def pairs(placed: DataFrame, number: int) -> DataFrame:
+        """Frames dealt to the pairs of tiles a <= b with a below ``stale``, in ``number`` partitions or some for each core."""
         other = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, "tile") < F.col("stale"))
         met = placed.where("tile >= 0").withColumn("_o", F.explode(other))
-        return met.withColumns({"a": F.least("_o", "tile"), "b": F.greatest("_o", "tile")}).drop("_o")
-
-    start = frames.withColumns({"label": F.col("i"), "tile": F.floor(F.col("i") / tile_frames).cast("int"), "tiles": F.ceil(F.col("n") / tile_frames).cast("int"), "last": F.lit(False)})
-    start = start.withColumn("stale", F.col("tiles"))
+        met = met.withColumns({"a": F.least("_o", "tile"), "b": F.greatest("_o", "tile")}).drop("_o")
+        return met.repartition(max(1, min(number, 6 * features.sparkSession.sparkContext.defaultParallelism)), "traj_id", "a", "b")
 
-    def blocks(one: pa.Table, two: pa.Table):
-        return ((name, linear.distance_blocks(_set(one, name), _set(two, name), name in manhattan)) for name in weights)
+    count = F.sum(F.expr("stale * (2 * tiles - stale + 1) div 2"))
+    per = F.greatest(F.lit(tile_frames), F.least(F.ceil(F.col("n") / TILES), F.lit(MOST)))
+    start = frames.withColumns({"label": F.col("i"), "tile": F.floor(F.col("i") / per).cast("int"), "tiles": F.ceil(F.col("n") / per).cast("int"), "stale": F.ceil(F.col("n") / per).cast("int")})
 
     def largest(t: pa.Table) -> pa.Table:
-        one, two = (_by_cluster(t, side)[0] for side in "ab")
-        return pa.table({"traj_id": t["traj_id"].slice(0, 1)} | {f"{name}_peak": [max((float(d.max(initial=0.0)) for _, d in found), default=0.0)] for name, found in blocks(one, two)})
+        one, two = (t.filter(pc.equal(t["tile"], t[side])) for side in "ab")
+        return pa.table({"traj_id": t["traj_id"].slice(0, 1)} | {f"{name}_peak": [clusters.largest(_set(one, name), _set(two, name), name in manhattan)] for name in weights})
 
-    peaks = pairs(start).groupBy("traj_id", "a", "b").applyInArrow(largest, "traj_id string, " + ", ".join(f"{name}_peak double" for name in weights))
+    number = start.where("i = 0").agg(count).first()[0] or 0
+    peaks = pairs(start, number).groupBy("traj_id", "a", "b").applyInArrow(largest, "traj_id string, " + ", ".join(f"{name}_peak double" for name in weights))
     peaks = materialize(peaks.groupBy("traj_id").agg(*(F.max(f"{name}_peak").alias(f"{name}_peak") for name in weights)), "peaks")
 
+    def sides(t: pa.Table) -> tuple:
+        """Both sides of a pair of tiles, and their feature sets."""
+        (rows, one), (columns, two) = (_by_cluster(t, side, list(weights)) for side in "ab")
+        sets, at = [], 0
+        for name, weight in weights.items():
+            width = len(t[name][0])
+            sets.append(clusters.Set(slice(at, at + width), weight, t[f"{name}_peak"][0].as_py(), name in manhattan))
+            at += width
+        return rows, one, columns, two, sets
+
     def means(t: pa.Table):
         """The clusters of both sides and their mean distances; a cluster's own has no bound."""
-        (one, rows, starts, sizes), (two, columns, begins, counts) = (_by_cluster(t, side) for side in "ab")
+        rows, one, columns, two, sets = sides(t)
         total = np.zeros((len(rows), len(columns)))
         if not total.size:
             return rows, columns, total
-        at = np.repeat(np.arange(len(rows)), sizes)
-        peak = [t[f"{name}_peak"][0].as_py() for name in weights]
-        for parts in zip(*(found for _, found in blocks(one, two))):
-            first = parts[0][0]
-            d = sum(w * (p / m if m > 0 else p) for (_, p), w, m in zip(parts, weights.values(), peak))
+        at = np.repeat(np.arange(len(rows)), one.sizes)
+        for first, d in clusters.distance_blocks(one.x, two.x, sets):
             which = at[first : first + len(d)]
             cut = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-            d = d if len(columns) == two.num_rows else np.add.reduceat(d, begins, axis=1)
+            d = d if len(columns) == len(two.x) else np.add.reduceat(d, two.starts, axis=1)
             total[which[cut]] += d if len(cut) == len(d) else np.add.reduceat(d, cut, axis=0)
-        total /= sizes[:, None]
-        total /= counts
+        total /= one.sizes[:, None]
+        total /= two.sizes
         if t["a"][0].as_py() == t["b"][0].as_py():
             np.fill_diagonal(total, np.inf)
         return rows, columns, total
 
     def nearest(t: pa.Table) -> pa.Table:
-        rows, columns, d = means(t)
-        out = []
-        if d.size:
-            at, value = nearest_row(d)
-            out.append((rows, columns[at], value))
-            if t["a"][0].as_py() < t["b"][0].as_py() < t["stale"][0].as_py():
-                at, value = nearest_row(d.T)
-                out.append((columns, rows[at], value))
-        ids, other, value = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
-        known = np.isfinite(value)
-        head = pa.array([t["traj_id"][0].as_py()] * int(known.sum()), pa.string())
-        return pa.table({"traj_id": head, "id": pa.array(ids[known].astype(np.int32)), "nearest": pa.array(other[known].astype(np.int32)), "distance": pa.array(value[known].astype(float))})
+        rows, one, columns, two, sets = sides(t)
+        a, b, stale = (t[c][0].as_py() for c in ("a", "b", "stale"))
+        found = clusters.nearest(one, two, sets, cutoff, a == b, a < b < stale)
+        known = [(i[of], k[other], value) for (i, k), (of, other, value) in zip(((rows, columns), (columns, rows)), found)]
+        of, other, value = (np.concatenate([np.zeros(0), *(x[k] for x in known)]) for k in range(3))
+        head = pa.array([t["traj_id"][0].as_py()] * len(of), pa.string())
+        return pa.table({"traj_id": head, "id": pa.array(of.astype(np.int32)), "nearest": pa.array(other.astype(np.int32)), "distance": pa.array(value)})
+
+    def deal(size: np.ndarray, lost: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """The tile of each cluster, -1 where it takes no part, those of the ``lost`` first; all tiles, and theirs."""
+        tile, done, stale, per = np.full(len(size), -1), 0, 0, per_tile(int(size[alive].sum()))
+        for part in (lost, alive & ~lost):
+            ids = np.flatnonzero(part)
+            if len(ids):
+                number = np.unique((np.cumsum(size[ids]) - size[ids]) // per, return_inverse=True)[1]
+                tile[ids] = done + number
+                done += int(number[-1]) + 1
+            if part is lost:
+                stale = done
+        return tile, done, stale
 
     def plan(label: np.ndarray, near: np.ndarray, distance: np.ndarray) -> tuple:
         """One round: mergers, and what is to be measured for the next."""
@@ -209,7 +227,6 @@ def linked_frames(
         kept, to = np.unique(into, return_inverse=True)
         label, grown = to[label], np.bincount(to) > 1
         near, distance = to[near[kept]], distance[kept]
-        size = np.bincount(label)
         lost = grown | (grown[near] & (distance <= cutoff))
         alive = lost | (distance <= cutoff)
         last = bool(lost.any()) and alive.sum() <= few
@@ -217,17 +234,8 @@ def linked_frames(
             lost = alive.copy()
         elif not lost.any():
             alive[:] = False
-        tile, done = np.full(len(size), -1), 0
-        for part in (lost, alive & ~lost):
-            ids = np.flatnonzero(part)
-            if len(ids):
-                number = np.unique((np.cumsum(size[ids]) - size[ids]) // tile_frames, return_inverse=True)[1]
-                tile[ids] = done + number
-                done += int(number[-1]) + 1
-            if part is lost:
-                stale = done
-        distance = np.where(lost, np.inf, distance)
-        return label, tile[label], done, stale, last, near, distance
+        tile, tiles, stale = deal(np.bincount(label), lost, alive)
+        return label, tile[label], tiles, stale, last, near, np.where(lost, np.inf, distance)
 
     def row(traj: str, label, tile, tiles, stale, last, near, distance) -> pa.Table:
         ints = pa.list_(pa.int32())
@@ -252,9 +260,13 @@ def linked_frames(
         near[ids], distance[ids] = other[order][first], value[order][first]
         return near, distance
 
-    def begin(sizes: pa.Table, found: pa.Table) -> pa.Table:
-        n = sizes["n"][0].as_py()
-        return row(sizes["traj_id"][0].as_py(), *plan(np.arange(n), *found_nearest(found, np.arange(n), np.full(n, np.inf))))
+    def begin(t: pa.Table) -> pa.Table:
+        """Every frame a cluster, or the equal ones; all are to be measured."""
+        label = np.unique(t.sort_by("i")["first"].to_numpy(), return_inverse=True)[1]
+        size = np.bincount(label)
+        every = np.full(len(size), len(size) > 1)
+        tile, tiles, stale = deal(size, every, every)
+        return row(t["traj_id"][0].as_py(), label, tile[label], tiles, stale, bool(every.any()) and len(size) <= few, np.arange(len(size)), np.full(len(size), np.inf))
 
     def go_on(state: pa.Table, found: pa.Table) -> pa.Table:
         label, near, distance = (state[c][0].values.to_numpy() for c in ("label", "nearest", "distance"))
@@ -268,11 +280,11 @@ def linked_frames(
         """Link the clusters that may still merge by their matrix."""
         label = state["label"][0].values.to_numpy()
         size = np.bincount(label)
-        parts = [(r["rows"], r["columns"], np.frombuffer(r["d"], float).reshape(len(r["rows"]), -1)) for r in found.to_pylist()]
-        ids = np.unique(np.concatenate([np.asarray(p[0], int) for p in parts] + [np.zeros(0, int)]))
+        ids = np.unique(np.concatenate([r.values.to_numpy() for r in found["rows"]] + [np.zeros(0, np.int32)]))
         d = np.full((len(ids),) * 2, np.inf)
-        for r, c, m in parts:
-            r, c = np.searchsorted(ids, r), np.searchsorted(ids, c)
+        for r, c, m in zip(found["rows"], found["columns"], found["d"]):
+            r, c = (np.searchsorted(ids, v.values.to_numpy()) for v in (r, c))
+            m = np.frombuffer(m.as_buffer(), float).reshape(len(r), -1)
             d[np.ix_(r, c)] = m
             d[np.ix_(c, r)] = m.T
         to = np.arange(len(size))
@@ -282,27 +294,28 @@ def linked_frames(
         nothing = np.zeros(0, int)
         return row(state["traj_id"][0].as_py(), to[label], np.full(len(label), -1), 0, 0, False, nothing, nothing.astype(float))
 
-    def measured(placed: DataFrame, how, schema: str) -> DataFrame:
-        return pairs(placed).join(F.broadcast(peaks), "traj_id").groupBy("traj_id", "a", "b").applyInArrow(how, schema)
+    def measured(placed: DataFrame, number: int, how, schema: str) -> DataFrame:
+        return pairs(placed.join(F.broadcast(peaks), "traj_id"), number).groupBy("traj_id", "a", "b").applyInArrow(how, schema)
 
     near_kind = "traj_id string, id int, nearest int, distance double"
-    sizes = frames.groupBy("traj_id").agg(F.count("*").alias("n"))
-    state = sizes.groupBy("traj_id").cogroup(measured(start, nearest, near_kind).groupBy("traj_id")).applyInArrow(begin, _PLAN)
+    equal = frames.groupBy("traj_id", *weights).agg(F.min("i").alias("_first"), F.count("*").alias("_k")).where(F.col("_k") > 1).where(F.lit(cutoff >= 0))
+    firsts = frames.join(equal, ["traj_id", *weights], "left").select("traj_id", "i", F.coalesce("_first", "i").alias("first"))
+    state = firsts.groupBy("traj_id").applyInArrow(begin, _PLAN)
     done = []
     while True:
         state = materialize(state, "linkage")
         done.append(state.where("stale = 0").select("traj_id", "label"))
-        left = {r["last"] for r in state.where("stale > 0").select("last").distinct().collect()}  # two rows at most
+        left = dict(state.where("stale > 0").groupBy("last").agg(count).collect())  # two rows at most
         if not left:
             break
         placed = state.select("traj_id", F.inline(F.arrays_zip(F.expr("sequence(0, size(label) - 1)").alias("i"), "label", "tile")), "tiles", "stale", "last")
         placed = frames.join(placed, ["traj_id", "i"])
         rounds = []
         if False in left:
-            found = measured(placed.where("NOT last"), nearest, near_kind)
+            found = measured(placed.where("NOT last"), left[False], nearest, near_kind)
             rounds.append(state.where("stale > 0 AND NOT last").groupBy("traj_id").cogroup(found.groupBy("traj_id")).applyInArrow(go_on, _PLAN))
         if True in left:
-            found = measured(placed.where("last"), blocks_of, "traj_id string, rows array<int>, columns array<int>, d binary")
+            found = measured(placed.where("last"), left[True], blocks_of, "traj_id string, rows array<int>, columns array<int>, d binary")
             rounds.append(state.where("stale > 0 AND last").groupBy("traj_id").cogroup(found.groupBy("traj_id")).applyInArrow(finish, _PLAN))
         state = rounds[0] if len(rounds) == 1 else rounds[0].unionByName(rounds[1])
     labels = done[0]
@@ -340,8 +353,8 @@ def average_linkage(rows: DataFrame, cutoff: float, tile_bytes: int = TILE_BYTES
             break
         tiles = state.select("traj_id", "tile").distinct()
         state = materialize(merged(state, tiles.join(rest, "traj_id").drop("n_old"), tile_bytes), "linkage")
-    clusters = done[0]
+    linked = done[0]
     for more in done[1:]:
-        clusters = clusters.unionByName(more)
-    first = chunks.numbered(clusters.withColumn("first", F.array_min("members")), "traj_id", "first")
+        linked = linked.unionByName(more)
+    first = chunks.numbered(linked.withColumn("first", F.array_min("members")), "traj_id", "first")
     return first.select("traj_id", F.explode("members").alias("frame"), F.col("i").cast("int").alias("cluster"))
