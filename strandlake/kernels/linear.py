@@ -82,15 +82,12 @@ def _settled(step: np.ndarray, root: np.ndarray, p: np.ndarray, slope: np.ndarra
     return step * step * np.abs(3 * root * root - p) * 2e13 <= np.abs(slope) * half
 
 
-def fitted_rmsd_blocks(mobile: np.ndarray, targets: np.ndarray, rows: int = 32, cols: int = 512) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, first column, block) of the RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3), in blocks that a core's cache holds.
-
-    The best overlap of two frames is the largest root, at most the root of p + 2 sqrt(3 e), of l^4 - 2 p l^2 - 8 det(H) l + p^2 - 4 e with H their 3 x 3 correlation, p = |H|^2 and e the squared length of
-    its cofactors: its roots are the signed sums of H's singular values. Two steps of Laguerre's and one of Newton's settle most pairs of a block; the others go on by themselves, equal singular values to an SVD."""
-    n = mobile.shape[1]
-    a, b = ((x - x.mean(1, keepdims=True)).transpose(2, 0, 1) for x in (mobile, targets))
+def _invariants(a: np.ndarray, b: np.ndarray, rows: int, cols: int) -> Iterator[tuple]:
+    """Of centred frames (3, F, N) and (3, G, N), for a block of pairs at a time: first row and column, the 3 x 3 correlations H (3, 3, rows, columns), half the frames' summed squares, and in
+    planes p = |H|^2, four times the squared length of H's cofactors, -8 det(H), the largest the best overlap can be, and room for three more. All but the half is written over by the next block."""
+    n = a.shape[2]
     own, other = ((x**2).sum((0, 2)) / 2 for x in (a, b))
-    room, planes = np.empty(9 * rows * cols), np.empty((7, rows * cols))
+    room, planes = np.empty(9 * rows * cols, a.dtype), np.empty((7, rows * cols), a.dtype)
     for j in range(0, b.shape[1], cols):
         y = np.ascontiguousarray(b[:, j : j + cols].transpose(0, 2, 1))
         for i in range(0, a.shape[1], rows):
@@ -116,29 +113,56 @@ def fitted_rmsd_blocks(mobile: np.ndarray, targets: np.ndarray, rows: int = 32,
                     e += t
             e *= 4
             c *= -8
-            with np.errstate(divide="ignore", invalid="ignore"):
-                np.sqrt(np.multiply(e, 3, out=t), out=t)
-                t += p
-                np.sqrt(t, out=root)
-                root *= 1 + 1e-9
-                np.minimum(root, half, out=root)
-                for _ in range(2):
-                    root -= _laguerre(root, p, e, c, step, t, slope)
-                np.multiply(root, root, out=t)
-                t -= p
-                np.multiply(root, t, out=slope)
-                slope *= 4
-                slope += c
-                t *= t
-                t -= e
-                t += np.multiply(c, root, out=step)
-                root -= np.divide(t, slope, out=step)
-                left = np.flatnonzero(~_settled(step, root, p, slope, half))
-                if len(left):
-                    root.ravel()[left] = _settle(h.reshape(9, -1), left, *(v.ravel()[left] for v in (root, p, e, c, half)))
-            half -= root
-            half *= 2 / n
-            yield i, j, np.sqrt(np.maximum(half, 0, out=half), out=half)
+            np.sqrt(np.multiply(e, 3, out=t), out=t)
+            t += p
+            np.sqrt(t, out=root)
+            root *= 1 + (1e-9 if root.itemsize == 8 else 1e-6)
+            np.minimum(root, half, out=root)
+            yield i, j, h, half, p, e, c, root, step, t, slope
+
+
+def fitted_rmsd_blocks(mobile: np.ndarray, targets: np.ndarray, rows: int = 32, cols: int = 512) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, block) of the RMSD after optimal superposition of every frame of ``mobile`` (F, N, 3) onto every one of ``targets`` (G, N, 3), in blocks that a core's cache holds.
+
+    The best overlap of two frames is the largest root, at most the root of p + 2 sqrt(3 e), of l^4 - 2 p l^2 - 8 det(H) l + p^2 - 4 e with H their 3 x 3 correlation, p = |H|^2 and e the squared length of
+    its cofactors: its roots are the signed sums of H's singular values. Two steps of Laguerre's and one of Newton's settle most pairs of a block; the others go on by themselves, equal singular values to an SVD."""
+    a, b = ((x - x.mean(1, keepdims=True)).transpose(2, 0, 1) for x in (mobile, targets))
+    for i, j, h, half, p, e, c, root, step, t, slope in _invariants(a, b, rows, cols):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for _ in range(2):
+                root -= _laguerre(root, p, e, c, step, t, slope)
+            np.multiply(root, root, out=t)
+            t -= p
+            np.multiply(root, t, out=slope)
+            slope *= 4
+            slope += c
+            t *= t
+            t -= e
+            t += np.multiply(c, root, out=step)
+            root -= np.divide(t, slope, out=step)
+            left = np.flatnonzero(~_settled(step, root, p, slope, half))
+            if len(left):
+                root.ravel()[left] = _settle(h.reshape(9, -1), left, *(v.ravel()[left] for v in (root, p, e, c, half)))
+        half -= root
+        half *= 2 / mobile.shape[1]
+        yield i, j, np.sqrt(np.maximum(half, 0, out=half), out=half)
+
+
+def least_rmsd_blocks(mobile: np.ndarray, targets: np.ndarray, rows: int = 32, cols: int = 1024) -> Iterator[tuple[int, int, np.ndarray]]:
+    """As ``fitted_rmsd_blocks``, what the RMSD is at least, in single precision and a fraction of the time: Laguerre's step from above does not pass the
+    largest root, so after one the overlap is still bounded. A ten-thousandth of the frames' squares is taken off for rounding."""
+    a, b = ((x - x.mean(1, keepdims=True)).transpose(2, 0, 1) for x in (mobile, targets))
+    scale = np.sqrt(max([(v**2).sum((0, 2)).max(initial=0.0) for v in (a, b)])) or 1.0
+    a, b = ((v / scale).astype(np.float32) for v in (a, b))
+    for i, j, _, half, p, e, c, root, step, t, slope in _invariants(a, b, rows, cols):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            np.subtract(root, _laguerre(root, p, e, c, step, t, slope), out=step)
+        if not np.isfinite(step).all():
+            np.copyto(step, root, where=~np.isfinite(step))
+        half *= 1 - 1e-4
+        half -= step
+        half *= 2 * scale**2 / mobile.shape[1]
+        yield i, j, np.sqrt(np.maximum(half, 0, out=half), out=half)
 
 
 def _settle(h: np.ndarray, which: np.ndarray, root: np.ndarray, p: np.ndarray, e: np.ndarray, c: np.ndarray, half: np.ndarray, steps: int = 12) -> np.ndarray:

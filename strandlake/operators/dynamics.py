@@ -227,34 +227,41 @@ def subspace_overlap(modes: DataFrame, key: str) -> DataFrame:
 
 
 def _meetings(reps: DataFrame, group: str, tile: int, tiles: int, most: int) -> DataFrame:
-    """Frames dealt to the pairs of tiles that they meet in: (group, own, a, b, traj_id, frame, xyz, w). Tiles hold ``tile`` frames at least; there are ``tiles`` of them at most
-    while one does not hold more than ``most``, so a frame is sent that many times, however many frames there are."""
-    sizes = reps.groupBy(group).agg(F.greatest(F.least(F.ceil(F.count("*") / tile), F.lit(tiles)), F.ceil(F.count("*") / most)).cast("int").alias("tiles"))
-    placed = reps.join(sizes, group).withColumn("own", F.expr("cast(pmod(xxhash64(traj_id, frame), tiles) as int)"))
-    met = placed.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).select(group, "own", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "traj_id", "frame", "xyz", "w")
-    tasks = sizes.agg(F.sum(F.expr("tiles * (tiles + 1) / 2"))).first()[0] or 1
-    return met.repartition(int(min(tasks, 2000)), group, "a", "b")
-
-
-def medoids(frames: DataFrame, group: str, tile: int = 256, tiles: int = 16, most: int = 32768) -> DataFrame:
-    """Mean RMSD of every frame to all frames of its group and of its own trajectory. Equal frames of a trajectory are fitted once and weighted. Frames are dealt into tiles; each unordered pair
-    of tiles is a task's work, which sends two sums per frame, never the distances.
-
-    frames: (group, traj_id, frame, xyz). Groups whose atom numbers differ keep their first trajectory only."""
+    """Frames (group, traj_id, frame, xyz, w, wanted) dealt to the pairs of tiles that they meet in, those of the wanted frames with all: own, a <= b, wanted tiles first. Tiles hold ``tile`` frames at least; there are ``tiles`` of
+    them at most, of either kind, while one does not hold more than ``most``, so a frame is sent that many times, however many frames there are."""
+    cut = lambda n: F.greatest(F.least(F.ceil(n / tile), F.lit(tiles)), F.ceil(n / most)).cast("int")
+    n = F.count_if("wanted")
+    sizes = materialize(reps.groupBy(group).agg(cut(n).alias("k"), cut(F.count("*") - n).alias("rest")), "tiles")  # of a known size, so frames need not move by group
+    placed = reps.join(sizes, group).withColumn("own", F.expr("cast(if(wanted, pmod(xxhash64(traj_id, frame), k), k + pmod(xxhash64(traj_id, frame), rest)) as int)"))
+    met = placed.withColumn("o", F.explode(F.expr("filter(sequence(0, k + rest - 1), o -> least(o, own) < k)")))
+    tasks = sizes.agg(F.sum(F.expr("k * (k + 1) / 2 + k * rest"))).first()[0] or 1
+    return met.select(group, "own", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "traj_id", "frame", "xyz", "w", "wanted").repartition(max(1, int(min(tasks, 2000))), group, "a", "b")
+
+
+def _distinct(frames: DataFrame, group: str) -> DataFrame:
+    """(group, traj_id, xyz, frame, w, equal): equal frames of a trajectory once, by their first, with their number and all of them. Groups whose atom numbers differ keep their first trajectory only."""
     shape = frames.withColumn("_n", F.size("xyz"))
     bad = shape.groupBy(group).agg(F.countDistinct("_n").alias("k"), F.min("traj_id").alias("first"))
     kept = shape.join(bad, group).where((F.col("k") == 1) | (F.col("traj_id") == F.col("first"))).drop("_n", "k", "first")
-    reps = kept.groupBy(group, "traj_id", "xyz").agg(F.min("frame").alias("frame"), F.count("*").alias("w"), F.collect_list("frame").alias("equal"))
-    reps = materialize(reps, "frames")
-    kind = frames.schema[group].dataType.simpleString()
+    return materialize(kept.groupBy(group, "traj_id", "xyz").agg(F.min("frame").alias("frame"), F.count("*").alias("w"), F.collect_list("frame").alias("equal")), "frames")
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Coordinates of a pair of tiles, the places of each tile's frames, and whether they are two."""
+    own, a, b = t["own"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
+    return stack(t["xyz"]), np.flatnonzero(own == a), np.flatnonzero(own == b), a != b
+
+
+def _mean_rmsd(reps: DataFrame, group: str, tile: int, tiles: int, most: int) -> DataFrame:
+    """(group, traj_id, frame, mean_rmsd, own_mean_rmsd) of the frames (group, traj_id, xyz, frame, w, wanted) that are wanted, to all of their group."""
+    kind = reps.schema[group].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("traj_id")
-        own, a, b = t["own"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
-        x, w = stack(t["xyz"]), t["w"].to_numpy().astype(float)
+        (x, first, second, two), w = _sides(t), t["w"].to_numpy().astype(float)
+        wanted = t["wanted"].to_numpy(zero_copy_only=False)
         traj = np.unique(np.array(t["traj_id"].to_pylist(), object), return_inverse=True)[1] if t.num_rows else np.zeros(0, int)
-        first, second = np.flatnonzero(own == a), np.flatnonzero(own == b)
-        all_, same = np.zeros(len(own)), np.zeros(len(own))
+        all_, same = np.zeros(len(w)), np.zeros(len(w))
 
         def add(d: np.ndarray, to: np.ndarray, of: np.ndarray) -> None:
             of_traj = np.unique(traj[of])  # a few: frames are in order of trajectories
@@ -264,20 +271,70 @@ def medoids(frames: DataFrame, group: str, tile: int = 256, tiles: int = 16, mos
 
         if len(first) and len(second):
             for i, j, d in linear.fitted_rmsd_blocks(x[first], x[second]):
-                one, two = first[i : i + d.shape[0]], second[j : j + d.shape[1]]
-                add(d, one, two)
-                if a != b:
-                    add(d.T, two, one)
-        return pa.table({group: t[group], "traj_id": t["traj_id"], "frame": t["frame"], "s_all": all_, "s_own": same})
+                one, other = first[i : i + d.shape[0]], second[j : j + d.shape[1]]
+                add(d, one, other)
+                if two and wanted[other[0]]:
+                    add(d.T, other, one)
+        t = t.append_column("s_all", pa.array(all_)).append_column("s_own", pa.array(same)).filter(pa.array(wanted))
+        return t.select([group, "traj_id", "frame", "s_all", "s_own"])
 
     sums = _meetings(reps, group, tile, tiles, most).groupBy(group, "a", "b").applyInArrow(run, f"{group} {kind}, traj_id string, frame int, s_all double, s_own double")
     sums = sums.groupBy(group, "traj_id", "frame").agg(F.sum("s_all").alias("a"), F.sum("s_own").alias("o"))
     total = reps.groupBy(group).agg(F.sum("w").alias("total"))
     own_total = reps.groupBy(group, "traj_id").agg(F.sum("w").alias("own_total"))
-    means = sums.join(total, group).join(own_total, [group, "traj_id"]).select(group, "traj_id", "frame", (F.col("a") / F.col("total")).alias("mean_rmsd"), (F.col("o") / F.col("own_total")).alias("own_mean_rmsd"))
+    return sums.join(total, group).join(own_total, [group, "traj_id"]).select(group, "traj_id", "frame", (F.col("a") / F.col("total")).alias("mean_rmsd"), (F.col("o") / F.col("own_total")).alias("own_mean_rmsd"))
+
+
+def medoids(frames: DataFrame, group: str, tile: int = 256, tiles: int = 16, most: int = 32768) -> DataFrame:
+    """Mean RMSD of every frame to all frames of its group and of its own trajectory. Equal frames of a trajectory are fitted once and weighted. Frames are dealt into tiles; each unordered pair
+    of tiles is a task's work, which sends two sums per frame, never the distances.
+
+    frames: (group, traj_id, frame, xyz). Groups whose atom numbers differ keep their first trajectory only."""
+    reps = _distinct(frames, group)
+    means = _mean_rmsd(reps.withColumn("wanted", F.lit(True)), group, tile, tiles, most)
     return means.join(reps.select(group, "traj_id", "frame", "equal"), [group, "traj_id", "frame"]).select(group, "traj_id", F.explode("equal").alias("frame"), "mean_rmsd", "own_mean_rmsd")
 
 
+def ensemble_medoids(frames: DataFrame, group: str, tile: int = 256, tiles: int = 16, most: int = 32768) -> DataFrame:
+    """``pick_medoids`` of ``medoids``, whose exact means are made only for frames that can be the medoid: what each frame's mean is at least follows from bounds of all
+    pairs, and none is the medoid whose least is above the exact mean of the frame with the lowest."""
+    reps = _distinct(frames, group)
+    kind = reps.schema[group].dataType.simpleString()
+
+    def least(t: pa.Table) -> pa.Table:
+        (x, first, second, two), w = _sides(t), t["w"].to_numpy().astype(float)
+        low, weight = np.zeros(len(w)), w.astype(np.float32)
+        if len(first) and len(second):
+            for i, j, d in linear.least_rmsd_blocks(x[first], x[second]):
+                r, c = first[i : i + d.shape[0]], second[j : j + d.shape[1]]
+                low[r] += d @ weight[c]
+                if two:
+                    low[c] += weight[r] @ d
+        return t.select([group, "traj_id", "frame"]).append_column("low", pa.array(low * (1 - 1e-4)))  # for the sums' single precision
+
+    total = reps.groupBy(group).agg(F.sum("w").alias("total"))
+    lows = _meetings(reps.withColumn("wanted", F.lit(True)), group, tile, tiles, most).groupBy(group, "a", "b").applyInArrow(least, f"{group} {kind}, traj_id string, frame int, low double")
+    lows = lows.groupBy(group, "traj_id", "frame").agg(F.sum("low").alias("low")).join(total, group)
+    lows = materialize(lows.select(group, "traj_id", "frame", (F.col("low") / F.col("total")).alias("low"), "total"), "bounds")
+    lowest = lows.groupBy(group).agg(F.min(F.struct("low", "traj_id", "frame")).alias("m")).select(group, "m.traj_id", "m.frame")
+    lowest = materialize(reps.join(lowest, [group, "traj_id", "frame"]).select(group, F.col("xyz").alias("ref")), "references")  # one a group
+
+    def fit(batches):
+        for b in batches:
+            for n in np.unique(pc.list_value_length(b["xyz"]).to_numpy(zero_copy_only=False)):  # groups may differ in atoms
+                part = b.filter(pc.equal(pc.list_value_length(b["xyz"]), int(n)))
+                x, ref = stack(part["xyz"]), stack(part["ref"])
+                d = np.sqrt(((linear.superpose_each(x, ref) - ref) ** 2).sum((1, 2)) / x.shape[1])
+                yield pa.RecordBatch.from_arrays([part[group], part["w"], pa.array(d)], [group, "w", "d"])
+
+    exact = reps.join(lowest, group).select(group, "w", "xyz", "ref").mapInArrow(fit, f"{group} {kind}, w long, d double")
+    limit = exact.groupBy(group).agg((F.sum(F.col("d") * F.col("w")) / F.sum("w") * (1 + 1e-9)).alias("limit"))
+    wanted = lows.join(limit, group).where(F.col("low") <= F.col("limit")).select(group, "traj_id", "frame", F.lit(True).alias("_can"))
+    marked = materialize(reps.join(wanted, [group, "traj_id", "frame"], "left").withColumn("wanted", F.col("_can").isNotNull()).select(group, "traj_id", "frame", "xyz", "w", "wanted"), "candidates")
+    means = _mean_rmsd(marked, group, tile, tiles, most)
+    return pick_medoids(means, group).drop("n_frames").join(total, group).withColumnRenamed("total", "n_frames")
+
+
 def pick_medoids(means: DataFrame, group: str) -> DataFrame:
     """The medoid of each group."""
     best = F.min(F.struct("mean_rmsd", "traj_id", "frame"))

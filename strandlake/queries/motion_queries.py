@@ -286,7 +286,7 @@ def _(spark, d):
 @R.add("m32_ensemble_medoid")
 def _(spark, d):
     f = dense(spark, d).withColumn("complex_id", (F.col("traj_id").cast("int") % 3).cast("string"))
-    return dynamics.pick_medoids(dynamics.medoids(f, "complex_id"), "complex_id")
+    return dynamics.ensemble_medoids(f, "complex_id")
 
 
 @R.add("m29_frame_clusters")

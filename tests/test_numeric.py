@@ -93,15 +93,51 @@ def test_medoids_of_many_tiles_send_frames_a_bounded_number_of_times(spark):
     x = RNG.normal(size=(300, 4, 3))
     x[200:220] = x[7]  # equal frames
     frames = spark.createDataFrame([("all", "ab"[f % 2], f, x[f].ravel().tolist()) for f in range(300)], "complex_id string, traj_id string, frame int, xyz array<double>")
-    met = dynamics._meetings(frames.withColumn("w", F.lit(1)), "complex_id", tile=2, tiles=5, most=1000)
+    given = frames.withColumns({"w": F.lit(1), "wanted": F.lit(True)})
+    met = dynamics._meetings(given, "complex_id", tile=2, tiles=5, most=1000)
     assert met.count() == 5 * 300
     assert met.select(F.spark_partition_id().alias("k"), "a", "b").distinct().groupBy("k").count().count() > 4
-    assert dynamics._meetings(frames.withColumn("w", F.lit(1)), "complex_id", tile=2, tiles=5, most=30).count() == 10 * 300
+    assert dynamics._meetings(given, "complex_id", tile=2, tiles=5, most=30).count() == 10 * 300
+    few = given.withColumn("wanted", F.col("frame") < 3)  # two tiles of these, five of the others
+    assert dynamics._meetings(few, "complex_id", tile=2, tiles=5, most=1000).count() == 3 * 7 + 297 * 2
     d = linear.fitted_rmsd(x, x)
     got = {r["frame"]: (r["mean_rmsd"], r["own_mean_rmsd"]) for r in dynamics.medoids(frames, "complex_id", tile=2, tiles=5).collect()}
     assert got == {f: (pytest.approx(d[f].mean(), abs=1e-7), pytest.approx(d[f, f % 2 :: 2].mean(), abs=1e-7)) for f in range(300)}
 
 
+def test_least_rmsd_bounds_from_below():
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 3)) * [9, 5, 3]
+    moved = np.stack([base + rng.normal(size=(30, 3)) * rng.uniform(0.01, 2) for _ in range(90)]) @ np.linalg.qr(rng.normal(size=(90, 3, 3)))[0]
+    awkward = rng.normal(size=(60, 7, 3))
+    awkward[10:20, :, 2], awkward[20:30, :, 1:], awkward[30], awkward[36:40] = 0, 0, 0, awkward[0] * [1, 1, -1]
+    awkward[44:50] *= 1e-3
+    for x in (rng.normal(size=(100, 21, 3)), moved, awkward):
+        exact, low = linear.fitted_rmsd(x, x), np.zeros((len(x), len(x)))
+        for i, j, d in linear.least_rmsd_blocks(x, x, rows=7, cols=40):
+            low[i : i + d.shape[0], j : j + d.shape[1]] = d
+        assert (low <= exact).all()
+        assert x is awkward or (low.mean(1) > 0.98 * exact.mean(1)).all()
+
+
+def test_ensemble_medoids_equal_the_least_of_all_means(spark):
+    """Whole and by tiles, with equal frames, with groups of one frame, of mixed atoms, and with no pair that bounds tell apart."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 3)) * 4
+    rows = [("near", "abc"[f % 3], f, (base + rng.normal(size=(6, 3)) * rng.uniform(0.1, 1)).ravel().tolist()) for f in range(120)]
+    rows += [("far", "d", f, rng.normal(size=12).tolist()) for f in range(80)] + [("far", "e", f, rows[0][3]) for f in range(9)]
+    rows += [("one", "f", 3, rng.normal(size=9).tolist())] + [("same", "gh"[f % 2], f, [1.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 3.0]) for f in range(20)]
+    frames = spark.createDataFrame(rows, "complex_id string, traj_id string, frame int, xyz array<double>")
+    want = {r["complex_id"]: r for r in dynamics.pick_medoids(dynamics.medoids(frames, "complex_id"), "complex_id").collect()}
+    for how in ({}, {"tile": 8, "tiles": 4, "most": 1000}):
+        got = {r["complex_id"]: r for r in dynamics.ensemble_medoids(frames, "complex_id", **how).collect()}
+        assert got.keys() == want.keys()
+        for k, r in got.items():
+            assert (r["traj_id"], r["frame"], r["n_frames"]) == (want[k]["traj_id"], want[k]["frame"], want[k]["n_frames"])
+            assert r["mean_rmsd"] == pytest.approx(want[k]["mean_rmsd"], abs=1e-9)
+        assert dynamics.ensemble_medoids(frames, "complex_id", **how).columns == ["complex_id", "traj_id", "frame", "mean_rmsd", "n_frames"]
+
+
 def test_second_moments_whatever_the_partitions(spark, monkeypatch):
     x = {k: RNG.normal(size=(n, 7)) + 100 for k, n in (("a", 90), ("b", 1), ("c", 40))}
     rows = [(k, v.tolist()) for k, m in x.items() for v in m]
